@@ -8,7 +8,6 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -66,22 +65,69 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    values = np.random.RandomState(7).randint(0, 2**63 - 1, 256, dtype=np.int64).astype(np.uint64) | np.uint64(1)
+    lower = np.arange(256)
+    lower[65:91] += 32
+    solid = np.ones(256, bool)
+    solid[[9, 10, 11, 12, 13, 32]] = False
+    return values[lower], solid
+
+
+BYTE_VALUES, SOLID = _tables()
+#: An odd multiplier and its inverse modulo 2**64: word hashes are polynomials over the word's bytes.
+STEP, BACK = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)
+BLOCK_BYTES = 1 << 20
+
+
+def powers(base: int, number: int) -> np.ndarray:
+    out = np.full(number, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All UTF-8 bytes of an Arrow string array, and where each text starts and the last one ends. Null is empty."""
+    if texts.null_count:
+        texts = pc.fill_null(texts, "")
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    if not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    at = np.frombuffer(texts.buffers()[1], kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[at[0] : at[-1]] if texts.buffers()[2] else np.zeros(0, np.uint8)
+    return data, at - at[0]
+
+
+def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte starts and ends of the words `[^\\x20\\x09-\\x0D]+`; words don't reach from one text into the next."""
+    solid = SOLID[data]
+    first, last = solid.copy(), solid.copy()
+    first[1:] &= ~solid[:-1]
+    last[:-1] &= ~solid[1:]
+    inner = at[(at > 0) & (at < len(data))]
+    first[inner] = solid[inner]
+    last[inner - 1] = solid[inner - 1]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z, and each text's word count. Null is empty."""
-    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
-    flat, sizes = parts.flatten(), pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
-    full = pc.not_equal(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
-    if not full.all():
-        ends = np.concatenate(([0], np.cumsum(full)))
-        stops = np.cumsum(sizes)
-        sizes = ends[stops] - ends[stops - sizes]
-        flat = flat.filter(pa.array(full))
-    if not len(flat):
-        return np.zeros(0, np.uint64), sizes
-    coded = flat.dictionary_encode()
-    digest = xxhash.xxh3_64_intdigest
-    known = np.fromiter((digest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-    return known[coded.indices.to_numpy(zero_copy_only=False)], sizes
+    data, at = text_bytes(texts)
+    starts, ends = word_spans(data, at)
+    sizes = np.diff(np.searchsorted(starts, at))
+    out = np.empty(len(starts), np.uint64)
+    k, up, down = 0, powers(STEP, 0), powers(BACK, 0)
+    while k < len(starts):
+        stop = max(k + 1, int(np.searchsorted(ends, starts[k] + BLOCK_BYTES, "right")))
+        low, high = starts[k], ends[stop - 1]
+        if high - low > len(up):
+            up, down = powers(STEP, high - low), powers(BACK, high - low)
+        sums = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(BYTE_VALUES[data[low:high]] * up[: high - low], out=sums[1:])
+        begin, end = starts[k:stop] - low, ends[k:stop] - low
+        out[k:stop] = (sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64)
+        k = stop
+    return mix(out), sizes
 
 
 def shingle_hashes(words: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
