@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name, module, function.
 QUERIES = {
+    "op7_boosted_tree_quality": ("quality", "op7"),
     "op8_tensored_near_duplicates": ("neardup", "op8"),
     "op9_simhash_decontamination": ("decontaminate", "op9"),
     "op5_best_fit_packing": ("packing", "op5"),
