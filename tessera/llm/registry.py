@@ -12,6 +12,7 @@ QUERIES = {
     "op7_boosted_tree_quality": ("quality", "op7"),
     "op8_tensored_near_duplicates": ("neardup", "op8"),
     "op9_simhash_decontamination": ("decontaminate", "op9"),
+    "op10_secret_scan": ("secrets", "op10"),
     "op5_best_fit_packing": ("packing", "op5"),
 }
 
