@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name, module, function.
 QUERIES = {
+    "op1_transport_streams": ("transport", "op1"),
     "op2_rendezvous_shards": ("sharding", "op2"),
     "op7_boosted_tree_quality": ("quality", "op7"),
     "op8_tensored_near_duplicates": ("neardup", "op8"),
