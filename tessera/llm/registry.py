@@ -12,6 +12,7 @@ QUERIES = {
     "op1_transport_streams": ("transport", "op1"),
     "op2_rendezvous_shards": ("sharding", "op2"),
     "op3_tag_path_ratios": ("extract", "op3"),
+    "op4_dictionary_warc": ("warc", "op4"),
     "op7_boosted_tree_quality": ("quality", "op7"),
     "op8_tensored_near_duplicates": ("neardup", "op8"),
     "op9_simhash_decontamination": ("decontaminate", "op9"),
