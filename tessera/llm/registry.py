@@ -7,12 +7,15 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import urlfilter
+
 #: Query name, module, function.
 QUERIES = {
     "op1_transport_streams": ("transport", "op1"),
     "op2_rendezvous_shards": ("sharding", "op2"),
     "op3_tag_path_ratios": ("extract", "op3"),
     "op4_dictionary_warc": ("warc", "op4"),
+    "op6_path_templates": ("urlfilter", "op6"),
     "op7_boosted_tree_quality": ("quality", "op7"),
     "op8_tensored_near_duplicates": ("neardup", "op8"),
     "op9_simhash_decontamination": ("decontaminate", "op9"),
@@ -26,4 +29,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_path_templates": urlfilter.oracle()}
