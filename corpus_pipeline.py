@@ -1,11 +1,46 @@
-"""A corpus pipeline: each stage works on all that its predecessor kept."""
+"""A corpus pipeline: quality, near duplicates, benchmark passages, secrets, packing.
+
+Each stage is written as Parquet in the shared folder and read again as the next one's documents; each works on all that
+its predecessor kept. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch
+from tessera.llm.decontaminate import decontaminated
+from tessera.llm.neardup import near_duplicates
 from tessera.llm.packing import pack
+from tessera.llm.quality import THRESHOLD, fit, scored
+from tessera.llm.secrets import masked
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents whose score is below the classifier's threshold."""
+    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored(docs, model).where(F.col("_score") >= THRESHOLD).drop("_score")
+
+
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near duplicates, that with the smallest id, once; rows without an id stay."""
+    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
+    found = docs.join(kept, "doc_id", "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id")) == 1
+    once = found.withColumn("_first", first).where("_first").drop("_first")
+    return once.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that hold a benchmark item."""
+    return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks the secrets in the texts; every document stays."""
+    clean = masked(docs)
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,6 +49,10 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("minhash_near_dedup", minhash_near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("secret_scan", secret_scan),
     ("packing", packing),
 ]
 
@@ -22,7 +61,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet in the shared folder and read again."""
+    """All stages over documents; the rows of the last."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
