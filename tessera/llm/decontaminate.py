@@ -89,7 +89,7 @@ class Index:
     def __init__(self, ids: list[int], texts: list[str], shingle: int, radius: int):
         words, sizes = word_hashes(pa.array(texts, pa.string()))
         stops = np.cumsum(sizes)
-        self.ids, self.shingle, self.radius = np.array(ids, np.int64), shingle, radius
+        self.ids, self.shingle, self.radius = pa.array(ids, pa.int64()), shingle, radius
         self.words = [words[b - n : b] for n, b in zip(sizes, stops, strict=True)]
         self.sizes = sizes
         self.shingles = []
@@ -249,7 +249,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, ra
                 if found:
                     text, item, start, n, similarity = zip(*found, strict=True)
                     yield pa.RecordBatch.from_arrays([
-                        part.column("doc_id").take(pa.array(text, pa.int32())), pa.array(shared.value.ids[list(item)]),
+                        part.column("doc_id").take(pa.array(text, pa.int32())), shared.value.ids.take(pa.array(item, pa.int32())),
                         pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(similarity, pa.float64()),
                     ], names=MATCHES.names)
 
