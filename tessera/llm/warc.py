@@ -74,7 +74,8 @@ class Archive:
         self.path = f"{folder}/{uuid.uuid4().hex}.warc.zst"
         system, path = FileSystem.from_uri(self.path)
         system.create_dir(path.rpartition("/")[0], recursive=True)
-        self.file, self.records, self.bytes, dictionary = system.open_output_stream(path), 0, 0, None
+        # Frames are written here: the stream must not compress by the file's name.
+        self.file, self.records, self.bytes, dictionary = system.open_output_stream(path, compression=None), 0, 0, None
         try:
             dictionary = zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, sum(map(len, sample)) // 8)), sample, k=512, d=8)
         except zstandard.ZstdError:
@@ -127,7 +128,7 @@ def frames(path: str) -> Iterator[bytes]:
     from pyarrow.fs import FileSystem
 
     system, inner = FileSystem.from_uri(path)
-    with system.open_input_stream(inner) as file:
+    with system.open_input_stream(inner, compression=None) as file:
         head, dictionary = file.read(8), None
         if len(head) == 8 and struct.unpack("<I", head[:4])[0] == SKIPPABLE:
             raw = file.read(struct.unpack("<I", head[4:])[0])
