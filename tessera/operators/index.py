@@ -101,32 +101,39 @@ def blocked_neighbours(queries: DataFrame, entries: DataFrame, k: int, block: in
     """`neighbours` for many queries: (query, vector, grp) against (entry, vector, grp), leaving a query's own group out if not null.
 
     Queries are cut into blocks of bounded size that travel to every part of the entries; each part multiplies matrices and
-    returns its best k of every query, so what meets in the ranking is k rows per query and part.
+    returns its best k of every query, so what meets in the ranking is k rows per query and part. Entries with a `strand`
+    column are ranked within each strand: every node answers for itself, in one pass.
     """
-    spark = queries.sparkSession
-    schema = T.StructType([T.StructField("query", T.LongType()), T.StructField("entry", T.LongType()), T.StructField("score", T.DoubleType())])
-
-    def matrix(batch, name: str) -> np.ndarray:
-        values = batch.column(name)
-        flat = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        return flat.reshape(len(values), -1) if len(values) else np.zeros((0, 1))
+    spark, strands = queries.sparkSession, "strand" in entries.columns
+    schema = T.StructType([T.StructField("query", T.LongType()), T.StructField("entry", T.LongType()), T.StructField("score", T.DoubleType()), *([T.StructField("strand", T.StringType())] if strands else [])])
+
+    def matrix(values: pa.Array) -> np.ndarray:
+        return values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(values), -1)
+
+    def best(shared, batch) -> list:
+        ids, q, own = shared
+        e, entry = matrix(batch.column("vector")), batch.column("entry").to_numpy(zero_copy_only=False)
+        group = np.array([(-1 if g is None else g) for g in batch.column("grp").to_pylist()], np.int64)
+        size = np.sqrt((e * e).sum(1))
+        score = np.round((q @ e.T) / np.outer(np.sqrt((q * q).sum(1)), np.where(size > 0, size, np.inf)), digits)
+        score[(own[:, None] == group[None, :]) & (own[:, None] >= 0)] = -np.inf
+        order = np.lexsort((np.broadcast_to(entry, score.shape), -score), axis=1)[:, :k]
+        kept = np.take_along_axis(score, order, 1)
+        ok = np.isfinite(kept)
+        return [pa.array(np.repeat(ids, ok.sum(1))), pa.array(entry[order[ok]]), pa.array(kept[ok])]
 
     def scorer(shared):
         def run(batches):
-            ids, q, own = shared.value
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                e, entry = matrix(batch, "vector"), batch.column("entry").to_numpy(zero_copy_only=False)
-                group = np.array([(-1 if g is None else g) for g in batch.column("grp").to_pylist()], np.int64)
-                size = np.sqrt((e * e).sum(1))
-                score = np.round((q @ e.T) / np.outer(np.sqrt((q * q).sum(1)), np.where(size > 0, size, np.inf)), digits)
-                score[(own[:, None] == group[None, :]) & (own[:, None] >= 0)] = -np.inf
-                # Above the k-th best, and the lower entries among its equals: sorting by both is exact.
-                order = np.lexsort((np.broadcast_to(entry, score.shape), -score), axis=1)[:, :k]
-                kept = np.take_along_axis(score, order, 1)
-                ok = np.isfinite(kept)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, ok.sum(1))), pa.array(entry[order[ok]]), pa.array(kept[ok])], names=schema.names)
+                if not strands:
+                    yield pa.RecordBatch.from_arrays(best(shared.value, batch), names=schema.names)
+                    continue
+                names = np.array(batch.column("strand").to_pylist(), object)
+                for name in sorted(set(names)):
+                    found = best(shared.value, batch.filter(pa.array(names == name)))
+                    yield pa.RecordBatch.from_arrays([*found, pa.array([name] * len(found[0]), pa.string())], names=schema.names)
 
         return run
 
@@ -138,13 +145,13 @@ def blocked_neighbours(queries: DataFrame, entries: DataFrame, k: int, block: in
             break
         last = part[-1]["query"]
         shared = spark.sparkContext.broadcast((np.array([r["query"] for r in part]), np.array([r["vector"] for r in part], float), np.array([-1 if r["grp"] is None else r["grp"] for r in part])))
-        now = entries.select("entry", "vector", "grp").mapInArrow(scorer(shared), schema)
+        now = entries.select("entry", "vector", "grp", *(["strand"] if strands else [])).mapInArrow(scorer(shared), schema)
         found = now if found is None else found.unionByName(now)
         if len(part) < block:
             break
     if found is None:
         found = spark.createDataFrame([], schema)
-    w = Window.partitionBy("query").orderBy(F.desc("score"), "entry")
+    w = Window.partitionBy("query", *(["strand"] if strands else [])).orderBy(F.desc("score"), "entry")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 

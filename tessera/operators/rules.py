@@ -34,7 +34,7 @@ def gate_arms(rows: DataFrame, baseline: str) -> DataFrame:
     """
     base = rows.where((F.col("arm") == baseline) & (F.col("set") == "facts"))
     base_exact = base.agg(F.count_if("exact").alias("base_exact"))
-    owned = base.where("leads AND cited").select("example", F.lit(True).alias("base_owned"))
+    owned = base.where("leads AND cited").select("example", F.lit(True).alias("base_owned")).distinct()
     marked = rows.where("candidate").join(owned, "example", "left")
     on = lambda name: F.col("set") == name
     own = F.coalesce(F.col("leads") & F.col("cited"), F.lit(False))

@@ -131,7 +131,6 @@ ok AS (SELECT *, coalesce(exact >= n - 1 AND lost = 0 AND moved >= 0.9 AND pe >=
 @query("decide_arm_rule", f"WITH {ARMS} SELECT arm, exact, lost, round(moved, 6) AS moved, round(fidelity, 6) AS fidelity, eligible FROM ok")
 def decide_arm_rule(spark, sf):
     b = bench(spark, sf)
-    # An example may have several baseline rows here; the rule asks whether any of them was owned.
     return rounded(rules.gate_arms(b, "en").select("arm", "exact", "lost", "moved", "fidelity", "eligible"))
 
 
@@ -250,7 +249,7 @@ def rule_query(name: str, columns: dict[str, str], family, oracle: dict[str, str
 
 rule_query("rules_umbrella", {"facts": "n", "exact": "n * q", "v1_facts": "40", "v1_exact": "33", "owned": "q", "v1_owned": "0.8", "moved": "1 - t", "commons_leads": "q + 0.05", "thread_gate": "t * 2", "thread_share": "t", "owner_share": "q + 0.1", "lift_positive": "1 - t / 2"}, rules.umbrella_rules, {
     "U1": "facts > 0 AND exact / facts >= v1_exact / v1_facts - 1 / 30.0 - 1e-9 AND owned >= v1_owned", "U2": "moved >= 0.9", "U3": "commons_leads >= 0.9 AND thread_gate <= 0.35", "U4": "thread_share <= 0.1 AND owner_share >= 0.9 AND lift_positive >= 0.95"})
-rule_query("rules_architecture", {"steps_to_97": "CASE WHEN n > 10 THEN n * 10 END", "ref_steps_to_97": "180", "greedy": "q", "ref_greedy": "0.87", "held_out": "t", "ref_held_out": "0.1", "boundaries": "n", "break_rate": "q", "citations_on_breaks": "CAST(t * 10 AS INT)", "steps": "n", "ref_steps": "12"}, rules.architecture_rules, {
+rule_query("rules_architecture", {"steps_to_97": "CASE WHEN n > 10 THEN n * 10 END", "ref_steps_to_97": "180", "greedy": "q", "ref_greedy": "0.87", "held_out": "t", "ref_held_out": "0.1", "boundaries": "n", "break_rate": "q", "citations_on_breaks": "floor(t * 10)", "steps": "n", "ref_steps": "12"}, rules.architecture_rules, {
     "A1": "steps_to_97 IS NOT NULL AND steps_to_97 <= 1.25 * ref_steps_to_97", "A2": "greedy >= ref_greedy - 0.02", "A3": "held_out <= ref_held_out", "A4": "boundaries > 0 AND break_rate >= 0.8", "A5": "citations_on_breaks = 0",
     "B1": "steps_to_97 IS NOT NULL AND steps_to_97 <= 0.75 * ref_steps_to_97", "M3": "held_out <= ref_held_out + 0.02", "W1": "steps <= 1.5 * ref_steps"})
 rule_query("rules_commons", {"child_loss": "t", "parent_loss": "0.1", "child_exact": "q", "parent_exact": "0.9", "child_citation": "q", "parent_citation": "0.88", "child_leads": "q", "parent_leads": "0.85", "child_share": "t", "parent_share": "0.1", "child_lift": "q", "parent_lift": "0.9"}, rules.commons_rules, {

@@ -136,14 +136,15 @@ opened AS (SELECT *, (gate >= 0.2 AND gate > 0) OR row_number() OVER (PARTITION
 renorm AS (SELECT *, CASE WHEN open THEN gate / sum(CASE WHEN open THEN gate ELSE 0 END) OVER (PARTITION BY query) ELSE 0 END AS share FROM opened)"""
 
 
+def own_hits(spark, sf):
+    """Every strand's own nearest entries, as a fan-out over nodes would return them."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("entry"), F.col("embedding").alias("vector"), F.col("label").cast("long").alias("value"), F.concat(F.lit("s"), (F.col("vec_id") % 4).cast("string")).alias("strand"), F.lit(None).cast("long").alias("grp"))
+    q = e.where("entry % 50 = 0").select(F.col("entry").alias("query"), "vector", "grp")
+    return index.blocked_neighbours(q, e, 8).join(e.select("entry", "value"), "entry")
+
+
 def pool(spark, sf):
-    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("entry"), F.col("embedding").alias("vector"), F.col("label").cast("long").alias("value"))
-    q = e.where("entry % 50 = 0").select(F.col("entry").alias("query"), "vector", F.lit(None).cast("long").alias("grp"))
-    found = None
-    for s in range(4):  # every node answers for itself, as in a fan-out
-        own = index.blocked_neighbours(q, e.where(F.col("entry") % 4 == s).select("entry", "vector", F.lit(None).cast("long").alias("grp")), 8).withColumn("strand", F.lit(f"s{s}"))
-        found = own if found is None else found.unionByName(own)
-    return mix.pooled(found.join(e.select("entry", "value"), "entry"), ["query"], 16, 0.05)
+    return mix.pooled(own_hits(spark, sf), ["query"], 16, 0.05)
 
 
 def gates(spark, sf):
@@ -207,8 +208,8 @@ own2 AS (SELECT query, strand, value, e / sum(e) OVER (PARTITION BY query, stran
 knn AS (SELECT query, strand, value, sum(w) AS knn FROM own2 GROUP BY 1, 2, 3),
 lm AS (SELECT 's' || (vec_id % 4) AS strand, label::BIGINT AS value, count(*)::DOUBLE AS c FROM embeddings GROUP BY 1, 2),
 lm2 AS (SELECT strand, value, c / sum(c) OVER (PARTITION BY strand) AS lm FROM lm),
-experts AS (SELECT o.query, o.strand, o.gate, o.open, o.share AS weight, lm2.value AS token, coalesce(knn, 0) AS knn, lm, CASE o.strand WHEN 's0' THEN 0.25 ELSE 0.5 END::DOUBLE AS lambda FROM renorm o JOIN lm2 ON lm2.strand = o.strand LEFT JOIN knn ON knn.query = o.query AND knn.strand = o.strand AND knn.value = lm2.value),
-alone AS (SELECT *, lambda * knn + (1 - lambda) * lm AS alone FROM experts),
+experts AS (SELECT o.query, o.strand, o.gate, o.open, o.share AS weight, lm2.value AS token, coalesce(knn, 0) AS knn, lm, CASE o.strand WHEN 's0' THEN 0.25 ELSE 0.5 END::DOUBLE AS lam FROM renorm o JOIN lm2 ON lm2.strand = o.strand LEFT JOIN knn ON knn.query = o.query AND knn.strand = o.strand AND knn.value = lm2.value),
+alone AS (SELECT *, lam * knn + (1 - lam) * lm AS alone FROM experts),
 mixparts AS (SELECT *, weight * alone AS part FROM alone)"""
 
 
@@ -218,13 +219,7 @@ def mixparts(spark, sf):
     counts = e.groupBy("strand", "token").agg(F.count(F.lit(1)).cast("double").alias("c"))
     lm = counts.select("strand", "token", (F.col("c") / F.sum("c").over(Window.partitionBy("strand"))).alias("lm"))
     opened = mix.opened(gates(spark, sf), ["query"], 0.2)
-    own = None
-    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("entry"), F.col("embedding").alias("vector"), F.col("label").cast("long").alias("value"))
-    q = v.where("entry % 50 = 0").select(F.col("entry").alias("query"), "vector", F.lit(None).cast("long").alias("grp"))
-    for s in range(4):
-        h = index.blocked_neighbours(q, v.where(F.col("entry") % 4 == s).select("entry", "vector", F.lit(None).cast("long").alias("grp")), 8).withColumn("strand", F.lit(f"s{s}"))
-        own = h if own is None else own.unionByName(h)
-    knn = mix.distribution(mix.weights(own.join(v.select("entry", "value"), "entry"), ["query", "strand"], 0.05), ["query", "strand"]).withColumnsRenamed({"value": "token", "p": "knn"})
+    knn = mix.distribution(mix.weights(own_hits(spark, sf), ["query", "strand"], 0.05), ["query", "strand"]).withColumnsRenamed({"value": "token", "p": "knn"})
     experts = opened.join(lm, "strand").join(knn, ["query", "strand", "token"], "left").withColumn("knn", F.coalesce("knn", F.lit(0.0)))
     return mix.expert_mix(experts.withColumn("lambda", F.when(F.col("strand") == "s0", 0.25).otherwise(0.5)), ["query"])
 

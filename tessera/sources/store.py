@@ -5,9 +5,12 @@ Every store is a folder of tables; a version of something is a partition of its
 
 from __future__ import annotations
 
+import base64
 import time
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -215,28 +218,16 @@ def slim(events: DataFrame, keep: list[str]) -> DataFrame:
 
 def packed_floats(x: Column) -> Column:
     """Floats as base64 of little-endian bytes, for exchange."""
-    import pandas as pd
-
     @F.pandas_udf(T.StringType())
     def run(values: pd.Series) -> pd.Series:
-        import base64
-
-        import numpy as np
-
         return values.map(lambda v: base64.b64encode(np.asarray(v, "<f4").tobytes()).decode())
 
     return run(x)
 
 
 def unpacked_floats(x: Column) -> Column:
-    import pandas as pd
-
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def run(values: pd.Series) -> pd.Series:
-        import base64
-
-        import numpy as np
-
         return values.map(lambda v: np.frombuffer(base64.b64decode(v), "<f4"))
 
     return run(x)

@@ -74,4 +74,5 @@ class CorpusSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(CorpusSource)
