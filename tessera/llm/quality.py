@@ -85,7 +85,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
     return np.column_stack([
         np.log1p(size), np.log1p(sizes), np.log1p(number), counts / some[:, None],
         sums(length) / count, sums(length > 12) / count, sums(length <= 3) / count, kinds / count, most / count,
-        runs / np.maximum(per, 1), kept / rows, count / rows, ended / rows, sums(first == 1) / count, sums((last == 9) | (last == 7)) / count,
+        runs / np.maximum(per, 1), kept / rows, sizes / rows, ended / rows, sums(first == 1) / count, sums((last == 9) | (last == 7)) / count,
     ])
 
 
