@@ -1 +1 @@
-
+"""Whole lifecycles as compositions of operators."""
