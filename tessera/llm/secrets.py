@@ -198,3 +198,23 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
         F.sha2(text(base).cast("binary"), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"),
     )
+
+
+def oracle() -> str:
+    """The base kinds in DuckDB SQL, and all spans where no added kind occurs, as in the test tables.
+
+    Matches and the pieces between them give each match's place.
+    """
+    words = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token")) + "|[Aa][Pp][Ii]_?[Kk][Ee][Yy]"
+    assign = f"""({words})[\\"\'\']?\\x20*[:=]\\x20*[\\"\'\']?([A-Za-z0-9+/_.=-]+)"""
+    kinds = [("assign", assign, f"regexp_extract_all(x, '{assign}', 2)", 6), ("access", "AKIA[A-Z0-9]+", "regexp_extract_all(x, 'AKIA[A-Z0-9]+')", 20), ("hex", "[0-9a-f]{24,}", "regexp_extract_all(x, '[0-9a-f]{24,}')", 24)]
+    parts = [
+        f"SELECT doc_id, '{name}' AS kind, {k} AS place, regexp_extract_all(x, '{e}') AS m, string_split_regex(x, '{e}') AS g, {part} AS v, {least} AS least FROM t"
+        for k, (name, e, part, least) in enumerate(kinds)
+    ]
+    return f"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents), k AS ({" UNION ALL ".join(parts)}),
+        u AS (SELECT doc_id, kind, place, least, m, g, v, unnest(range(1, len(m) + 1)) AS i FROM k),
+        w AS (SELECT doc_id, kind, place, (list_sum(list_transform(g[1:i], lambda p: length(p))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda p: length(p))), 0))::BIGINT AS start, length(m[i]) AS n FROM u WHERE length(v[i]) >= least),
+        s AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS b, count(*) FILTER (kind = 'hex') AS c, string_agg(kind || ':' || start || ':' || (start + n), ',' ORDER BY start, place) AS spans FROM w GROUP BY 1)
+        SELECT t.doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN s ON s.doc_id = t.doc_id"""

@@ -218,3 +218,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = read_archives(archived(spark.read.parquet(f"{sf_dir}/pages.parquet")), keep_payload=False)
     checked = F.when(F.col("intact"), F.col("payload_digest")).otherwise(F.raise_error("a record's payload differs from its digest"))
     return found.select("page_id", "payload_bytes", checked.alias("payload_digest"), "record_type", "refers_to")
+
+
+#: The same from the table itself; five hexadecimal digits are four of base 32.
+SQL = """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages),
+    d AS (SELECT page_id, payload, list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, (i // 4 * 5 + 1)::INT, 5))::BIGINT >> (15 - i % 4 * 5)::INT) & 31)::INT + 1, 1)), 'string_agg', '') AS digest,
+        min(page_id) OVER (PARTITION BY payload) AS head FROM p)
+    SELECT page_id, strlen(payload)::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> head THEN head END AS refers_to FROM d"""
