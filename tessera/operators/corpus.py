@@ -122,13 +122,15 @@ def peers(nodes: DataFrame, position: str, number: Column, reach: int) -> DataFr
 def mentions(subjects: DataFrame, docs: DataFrame, subject: str, owner: str, document: str, text: str) -> DataFrame:
     """Subjects that occur in documents other than their own.
 
-    A subject of whole words can only occur where its first word does; that word is the join's key, the full string decides.
+    A subject of whole words can only occur where its first word does. Words alone meet first; texts are fetched once for
+    the pairs that are left, and the full string decides.
     """
     key = F.get(words(F.col(subject)), F.lit(0))
-    wanted = subjects.select(F.col(subject).alias("_s"), F.col(owner).alias("_o"), key.alias("_w"))
-    there = docs.select(F.col(document).alias("_d"), F.col(text).alias("_t"), F.explode(F.array_distinct(words(F.col(text)))).alias("_w"))
-    found = there.join(wanted, "_w").where((F.col("_d") != F.col("_o")) & F.contains(F.col("_t"), F.col("_s")))
-    return found.select(F.col("_s").alias("subject"), F.col("_o").alias("owner"), F.col("_d").alias("document_id"))
+    wanted = subjects.select(F.col(subject).alias("subject"), F.col(owner).alias("owner"), key.alias("_w"))
+    there = docs.select(F.col(document).alias("document_id"), F.explode(F.array_distinct(words(F.col(text)))).alias("_w"))
+    near = there.join(wanted, "_w").where(F.col("document_id") != F.col("owner")).select("document_id", "subject", "owner")
+    texts = docs.select(F.col(document).alias("document_id"), F.col(text).alias("_t"))
+    return near.join(texts, "document_id").where(F.contains(F.col("_t"), F.col("subject"))).select("subject", "owner", "document_id")
 
 
 def word_overlap(pairs: DataFrame, a: str, b: str) -> DataFrame:

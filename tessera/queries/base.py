@@ -29,7 +29,7 @@ def query(name: str, sql: str | None = None):
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents")
+    return table(spark, sf, "documents", spread=True)
 
 
 def parts(spark: SparkSession, sf: str) -> DataFrame:

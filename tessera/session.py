@@ -14,5 +14,14 @@ def session(master: str = "local[*]", partitions: int = 8, **settings: str) -> S
     return builder.getOrCreate()
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+#: A table of less is dealt out over all cores, as a file of one row group is a single task whatever the cluster.
+SMALL_BYTES = 64 * 1024 * 1024
+
+
+def table(spark: SparkSession, folder: str, name: str, spread: bool = False) -> DataFrame:
+    """A table of a folder. `spread` deals a small one out evenly, for work that is heavy by the row; a large one stays as it is."""
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    if not spread:
+        return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(spark.sparkContext.defaultParallelism) if size < SMALL_BYTES else df
