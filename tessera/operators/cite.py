@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.scores import confidence
 from tessera.functions.text import role, sentence_ended, sha256, starts_word
+from tessera.operators.bounds import few
 
 
 def citable(neighbours: DataFrame, parts: DataFrame) -> DataFrame:
@@ -111,7 +112,7 @@ def owner_of_row(rows: DataFrame, strands: DataFrame) -> DataFrame:
     """The strand whose rows start last at or before a row; none before the first. (strand, first) are a few rows: they
     become one sorted array that every row looks its strand up in.
     """
-    marks = strands.agg(F.array_sort(F.collect_list(F.struct("first", "strand"))).alias("_marks"))
+    marks = few(strands).agg(F.array_sort(F.collect_list(F.struct("first", "strand"))).alias("_marks"))
     before = F.filter("_marks", lambda m: m["first"] <= F.col("row"))
     return rows.join(F.broadcast(marks)).withColumn("owner", F.try_element_at(before, F.lit(-1))["strand"]).drop("_marks")
 
@@ -119,7 +120,7 @@ def owner_of_row(rows: DataFrame, strands: DataFrame) -> DataFrame:
 def row_owner(rows: DataFrame, strands: DataFrame) -> DataFrame:
     """The strand that contains a row, by half-open ranges; strands are few and travel. A row outside all has none."""
     s = strands.select("strand", "first", (F.col("first") + F.col("rows")).alias("_end"))
-    return rows.join(F.broadcast(s), (F.col("row") >= F.col("first")) & (F.col("row") < F.col("_end")), "left").drop("_end", "first")
+    return rows.join(few(s), (F.col("row") >= F.col("first")) & (F.col("row") < F.col("_end")), "left").drop("_end", "first")
 
 
 def word_roles(tokens: DataFrame, text: str, order: str, piece: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import sha256, words
+from tessera.operators.bounds import few
 
 KEY = ["document_id", "partition_index"]
 
@@ -110,13 +111,13 @@ def copy_pair(docs: DataFrame, content: str, node: str) -> DataFrame:
 
 def ordered_pairs(nodes: DataFrame, node: str) -> DataFrame:
     """All ordered pairs of different nodes. Nodes are few by their nature."""
-    return nodes.select(F.col(node).alias("a")).join(F.broadcast(nodes.select(F.col(node).alias("b"))), F.col("a") != F.col("b"))
+    return nodes.select(F.col(node).alias("a")).join(few(nodes.select(F.col(node).alias("b"))), F.col("a") != F.col("b"))
 
 
 def peers(nodes: DataFrame, position: str, number: Column, reach: int) -> DataFrame:
     """Ring peers: the next `reach` nodes after each."""
     a, b = nodes.select(F.col(position).alias("i")), nodes.select(F.col(position).alias("j"))
-    return a.join(F.broadcast(b), F.pmod(F.col("j") - F.col("i"), number).between(1, reach))
+    return a.join(few(b), F.pmod(F.col("j") - F.col("i"), number).between(1, reach))
 
 
 def mentions(subjects: DataFrame, docs: DataFrame, subject: str, owner: str, document: str, text: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tessera.functions.scores import cosine, unit
 from tessera.functions.text import ngram_key, token_id, words
+from tessera.operators.bounds import few
 
 
 #: Queries that `neighbours` takes along at once.
@@ -75,11 +76,11 @@ def route(prompts: DataFrame, sketches: DataFrame, nodes: DataFrame, prompt: str
     """
     bound = F.greatest(F.lit(1), F.floor(F.col("_all") / 4))
     total = nodes.agg(F.count(F.lit(1)).alias("_all"))
-    few = sketches.groupBy("key").agg(F.count(F.lit(1)).alias("_holders")).join(F.broadcast(total)).where(F.col("_holders") <= bound).select("key")
-    held = sketches.join(few, "key", "left_semi")
+    rare = sketches.groupBy("key").agg(F.count(F.lit(1)).alias("_holders")).join(F.broadcast(total)).where(F.col("_holders") <= bound).select("key")
+    held = sketches.join(rare, "key", "left_semi")
     met = prompts.select(prompt, "key").distinct().join(held, "key").select(prompt, node).distinct()
     rest = prompts.select(prompt).distinct().join(met, prompt, "left_anti")
-    return met.withColumn("distinctive", F.lit(True)).unionByName(rest.join(F.broadcast(nodes.select(node))).withColumn("distinctive", F.lit(False)))
+    return met.withColumn("distinctive", F.lit(True)).unionByName(rest.join(few(nodes.select(node))).withColumn("distinctive", F.lit(False)))
 
 
 def neighbours(queries: DataFrame, entries: DataFrame, k: int, query: str = "query", entry: str = "entry", vector: str = "vector", other: Column | None = None, digits: int = 6) -> DataFrame:
@@ -160,7 +161,7 @@ def profile_scores(queries: DataFrame, centroids: DataFrame, query: str, thread:
     q = queries.select(F.col(query), unit(F.col("vector")).alias("_q"))
     c = centroids.select(F.col(thread), unit(F.col("vector")).alias("_c"))
     product = F.aggregate(F.zip_with("_q", "_c", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return q.join(F.broadcast(c)).groupBy(query, thread).agg(F.max(F.round(product, 6)).alias("score"))
+    return q.join(few(c)).groupBy(query, thread).agg(F.max(F.round(product, 6)).alias("score"))
 
 
 def profile_route(scores: DataFrame, query: str, thread: str, bar: float = 0.5, cap: int = 6) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import Row
 
 from tessera.functions.text import fill
+from tessera.operators.bounds import few
 
 
 def quoted(text: Column) -> Column:
@@ -22,7 +23,7 @@ def rewritten(questions: DataFrame, templates: DataFrame, question: str = "quest
     parts = F.split("template", r"\{s\}")
     pattern = F.concat(F.lit(r"(?i)^\s*"), quoted(parts[0]), F.lit("(.+?)"), quoted(parts[1]), F.lit(r"\s*$"))
     listed = templates.select("kind", "template", "stem", pattern.alias("_p"))
-    met = questions.join(F.broadcast(listed), F.expr(f"`{question}` RLIKE _p"), "left")
+    met = questions.join(few(listed), F.expr(f"`{question}` RLIKE _p"), "left")
     subject = F.trim(F.expr(f"regexp_extract(`{question}`, _p, 1)"))
     best = F.max_by(F.struct("kind", fill(F.col("stem"), subject).alias("stem")), F.when(F.col("template").isNotNull(), F.struct(F.length("template"), F.col("template"))))
     return met.groupBy(*questions.columns).agg(best.alias("_b")).select(*questions.columns, F.col("_b.kind").alias("kind"), F.col("_b.stem").alias("stem"))

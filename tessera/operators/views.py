@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.bounds import few
+
 
 def dominant(shares: DataFrame, by: list[str], threshold: float = 0.6) -> DataFrame:
     """The strand with the largest share, the first of equals, if that is large enough."""
@@ -109,7 +111,7 @@ def relative(states: DataFrame, anchors: DataFrame, key: str) -> DataFrame:
     from tessera.functions.scores import cosine
 
     a = anchors.select(F.col("anchor"), F.col("vector").alias("_a"))
-    met = states.join(F.broadcast(a)).select(key, "anchor", cosine(F.col("vector"), F.col("_a")).alias("_c"))
+    met = states.join(few(a)).select(key, "anchor", cosine(F.col("vector"), F.col("_a")).alias("_c"))
     return met.select(key, "anchor", (F.col("_c") - F.avg("_c").over(Window.partitionBy(key))).alias("value"))
 
 

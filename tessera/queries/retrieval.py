@@ -297,7 +297,7 @@ def asked_by_manner(spark, sf):
     return mix.asked(m, ["item_id", "position"], 0.25).select("item_id", "position", "strand", "asked")
 
 
-@query("braided_gate_fold")
+@query("gate_memory_fold")
 def gate_fold(spark, sf):
     return rounded(mix.gate_memory(likelihoods(spark, sf), "item_id", mix.Gate()))
 

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.operators.bounds import few
+
 
 class StoreError(Exception):
     """A store is not what it should be."""
@@ -142,7 +144,7 @@ def partition_texts(asked: DataFrame, live: DataFrame) -> DataFrame:
 
 def routed_texts(asked: DataFrame, nodes: DataFrame, live: DataFrame) -> DataFrame:
     """The same over several nodes: a document's prefix says whose table answers. Nodes are few."""
-    own = asked.join(F.broadcast(nodes), F.startswith(asked["document_id"], nodes["prefix"]), "left")
+    own = asked.join(few(nodes), F.startswith(asked["document_id"], nodes["prefix"]), "left")
     return own.join(live, ["node", "document_id", "partition_index"], "left")
 
 
@@ -207,7 +209,7 @@ def registry(slots: DataFrame, loose: DataFrame) -> DataFrame:
 
 
 def catalog(rows: DataFrame) -> DataFrame:
-    """Braids by when they were last updated, those never so last."""
+    """Catalog rows by when they were last updated, those never so last."""
     return rows.orderBy(F.desc_nulls_last("updated"), "name")
 
 
