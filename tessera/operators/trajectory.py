@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.scores import clamp, trace
 from tessera.functions.stats import pearson, with_ranks
+from tessera.functions.text import ngram_key
 
 
 @dataclass(frozen=True)
@@ -162,20 +163,71 @@ class Tracker:
             self.dormant.remove(best)
 
 
-def tracked(steps: DataFrame, entries: pd.DataFrame, text: str, rule: Rule | None = None) -> DataFrame:
-    """Chain length and trace at every position of every text: (text, j, token, hits: array of entries best first).
+def tracked(steps: DataFrame, entries: DataFrame, text: str, rule: Rule | None = None) -> DataFrame:
+    """Chain length and trace at every position of every text: (text, j, token, hits: array of (document, position), best first).
 
-    `entries` is one index's (value, document, position) by entry; a text is folded on its own.
+    `entries` holds what a text's chains can reach: (text, document, position, value), as `reachable` finds it. A text is
+    folded on its own over these alone; they are numbered in the order of document and position, so that one entry is the
+    next of another exactly if it is in the whole index.
     """
-    spark, rule = steps.sparkSession, rule or Rule()
-    shared = spark.sparkContext.broadcast(Corpus(entries["value"].to_numpy(), entries["document"].to_numpy(), entries["position"].to_numpy()))
+    rule = rule or Rule()
 
-    def run(key, pdf):
-        tracker = Tracker(shared.value, rule)
+    def run(key, pdf, near):
+        near = near.sort_values(["document", "position"])
+        place = {at: e for e, at in enumerate(zip(near["document"], near["position"], strict=True))}
+        tracker = Tracker(Corpus(near["value"].to_numpy(), near["document"].to_numpy(), near["position"].to_numpy()), rule)
         pdf = pdf.sort_values("j")
-        lengths = [tracker.step(int(t), [int(e) for e in h]) for t, h in zip(pdf["token"], pdf["hits"], strict=True)]
+        lengths = [tracker.step(int(t), [place[h["document"], h["position"]] for h in hits]) for t, hits in zip(pdf["token"], pdf["hits"], strict=True)]
         return pd.DataFrame({text: [key[0]] * len(pdf), "j": pdf["j"], "length": lengths})
 
     kind = steps.schema[text].dataType.simpleString()
-    found = steps.select(text, F.col("j").cast("long"), "token", "hits").groupBy(text).applyInPandas(run, f"`{text}` {kind}, j long, length long")
+    folded = steps.select(text, F.col("j").cast("long"), "token", "hits").groupBy(text)
+    near = entries.select(F.col(text).alias("_text"), "document", "position", "value").groupBy("_text")
+    found = folded.cogroup(near).applyInPandas(run, f"`{text}` {kind}, j long, length long")
     return found.withColumn("trace", trace(F.col("length"), rule.phrase, rule.arc))
+
+
+def contexts(tokens: DataFrame, text: str, order: str, levels: tuple[int, ...]) -> DataFrame:
+    """Every token with its last tokens of each level's number as a key: `keys`, an array of (level, high, low), longest first.
+
+    A key is exact: up to four 16-bit tokens in each of two numbers. Tokens without that many before them lack the level.
+    """
+    w = Window.partitionBy(text).orderBy(order)
+    back = [F.lag("token", k).over(w) if k else F.col("token") for k in range(max(levels))]
+    with_back = tokens.select("*", *[t.alias(f"_b{k}") for k, t in enumerate(back)])
+    b = [F.col(f"_b{k}") for k in range(len(back))]
+    none = F.lit(0).cast("long")
+    key = lambda n: F.when(b[n - 1].isNotNull(), F.struct(F.lit(n).alias("level"), (ngram_key(*b[4:n], bits=16) if n > 4 else none).alias("high"), ngram_key(*b[: min(n, 4)], bits=16).alias("low")))
+    return with_back.withColumn("keys", F.filter(F.array(*[key(n) for n in sorted(levels, reverse=True)]), lambda x: x.isNotNull())).drop(*[f"_b{k}" for k in range(len(back))])
+
+
+#: Keys of texts' positions that are broadcast; more are joined like any other table.
+MOST_KEYS = 200_000
+
+
+def retrieved(steps: DataFrame, entries: DataFrame, text: str, k: int = 16, levels: tuple[int, ...] = (8, 4, 2, 1)) -> DataFrame:
+    """The k best entries of every position: (text, j, hits). steps: (text, j, token); entries: (document, position, token, value).
+
+    An entry of the same token is better the more of the tokens before it are those before the position, by levels, and the
+    lower one is better among equals. Of each key only its k lowest entries can be among a position's k best, so common
+    tokens are cut to those before anything is joined to positions.
+    """
+    asked = contexts(steps, text, "j", levels).select(text, "j", F.explode("keys").alias("key")).select(text, "j", "key.*")
+    keys = asked.select("level", "high", "low").distinct()
+    keys = keys if keys.limit(MOST_KEYS + 1).count() > MOST_KEYS else F.broadcast(keys)
+    held = contexts(entries, "document", "position", levels).select("document", "position", F.explode("keys").alias("key")).select("document", "position", "key.*")
+    low = Window.partitionBy("level", "high", "low").orderBy("document", "position")
+    first = held.join(keys, ["level", "high", "low"], "left_semi").withColumn("_r", F.row_number().over(low)).where(F.col("_r") <= k).drop("_r")
+    met = asked.join(first, ["level", "high", "low"]).groupBy(text, "j", "document", "position").agg(F.max("level").alias("level"))
+    best = Window.partitionBy(text, "j").orderBy(F.desc("level"), "document", "position")
+    ranked = met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    hits = F.transform(F.array_sort(F.collect_list(F.struct("rank", "document", "position"))), lambda x: F.struct(x["document"].alias("document"), x["position"].alias("position")))
+    return ranked.groupBy(text, "j").agg(hits.alias("hits"))
+
+
+def reachable(hits: DataFrame, steps: DataFrame, entries: DataFrame, text: str) -> DataFrame:
+    """The entries that a chain from any hit can come to before its text ends: (text, document, position, value)."""
+    last = steps.groupBy(text).agg(F.max("j").alias("_last"))
+    seeds = hits.join(last, text).select(text, F.explode("hits").alias("h"), (F.col("_last") - F.col("j")).alias("_left"))
+    places = seeds.select(text, F.col("h.document").alias("document"), F.explode(F.sequence(F.col("h.position"), (F.col("h.position") + F.col("_left")).cast("int"))).alias("position")).distinct()
+    return places.join(entries.select("document", "position", "value"), ["document", "position"])

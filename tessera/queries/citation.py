@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text
 from tessera.operators import cite, index, mix, trajectory
 from tessera.session import table
+from tessera.sources.scratch import Scratch
 
 from .base import BEFORE, LIKELIHOODS, PROMPTS, TOKENS, WEIGHTED, WORDS, documents, likelihoods, parts, prompts, query, rounded, snapshots, tokens, weighted
 
@@ -269,14 +270,17 @@ def arc_spearman(spark, sf):
 
 @query("trajectory_state")
 def trajectory_state(spark, sf):
-    """Every prompt followed through an index over the documents that the test tables mark as good, entry by entry."""
-    import pandas as pd
-
-    good = table(spark, sf, "labels").where("quality = 1 AND doc_id % 20 = 0").select("doc_id").distinct()
-    t = index.transitions(tokens(spark, sf).join(good, "doc_id", "left_semi"), "doc_id").orderBy("doc_id", "pos").select("doc_id", "pos", "token", "next")
-    rows_ = t.toPandas()  # one index, as a node holds it: the bounded sample above
-    rows_["entry"] = range(len(rows_))
-    entries = pd.DataFrame({"value": rows_["next"], "document": rows_["doc_id"], "position": rows_["pos"]})
-    by = spark.createDataFrame(rows_[["token", "entry"]]).groupBy("token").agg(F.slice(F.array_sort(F.collect_list("entry")), 1, 16).alias("hits"))
-    p = prompts(spark, sf).join(by, "token", "left").select("item_id", F.col("pos").alias("j"), "token", F.coalesce("hits", F.array().cast("array<long>")).alias("hits"))
-    return trajectory.tracked(p, entries, "item_id")
+    """Every prompt followed through an index over all documents that the test tables mark as good.
+
+    A position's hits are the 16 entries of its token that share most of the tokens before it, the lower among equals; this
+    ranking stands in for the score of keys.
+    """
+    good = table(spark, sf, "labels").where("quality = 1").select("doc_id").distinct()
+    t = index.tokens(documents(spark, sf).join(good, "doc_id", "left_semi"), "doc_id", "text")
+    entries = index.transitions(t, "doc_id").select(F.col("doc_id").alias("document"), F.col("pos").alias("position"), "token", F.col("next").alias("value"))
+    scratch = Scratch(spark, "trajectory")
+    entries = scratch.save(entries, "entries")
+    p = prompts(spark, sf).select("item_id", F.col("pos").alias("j"), "token")
+    hits = scratch.save(trajectory.retrieved(p, entries, "item_id"), "hits")
+    steps = p.join(hits, ["item_id", "j"], "left").withColumn("hits", F.coalesce("hits", F.array().cast(hits.schema["hits"].dataType)))
+    return trajectory.tracked(steps, trajectory.reachable(hits, p, entries, "item_id"), "item_id")

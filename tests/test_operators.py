@@ -144,6 +144,52 @@ def test_tracker_bridges_a_changed_name():
     assert follow(c, far)[-1] == 29
 
 
+def track_by_hand(texts, documents_, rule=(8, 4, 2, 1), k=16):
+    """Chain lengths by plain loops over a whole index: documents and texts as lists of tokens by id."""
+    flat = [(d, p, ts) for d, ts in sorted(documents_.items()) for p in range(len(ts) - 1)]
+    whole = trajectory.Corpus(np.array([ts[p + 1] for _, p, ts in flat]), np.array([d for d, _, _ in flat]), np.array([p for _, p, _ in flat]))
+    of = {}
+    for e, (_, p, ts) in enumerate(flat):
+        of.setdefault(ts[p], []).append((e, p, ts))
+    found = {}
+    for i, text in texts.items():
+        tracker = trajectory.Tracker(whole)
+        for j, t in enumerate(text):
+            level = lambda p, ts, j=j, text=text: next(n for n in rule if n <= p + 1 and n <= j + 1 and ts[p + 1 - n : p + 1] == text[j + 1 - n : j + 1])
+            best = sorted((-level(p, ts), e) for e, p, ts in of.get(t, []))[:k]
+            found[i, j] = tracker.step(t, [e for _, e in best])
+    return found
+
+
+def test_trajectory_state_is_the_whole_index(spark, sf):
+    from tessera.queries import base, citation
+
+    def lists(df, i):
+        out = {}
+        for r in df.orderBy(i, "pos").collect():
+            out.setdefault(r[i], []).append(r["token"])
+        return out
+
+    good = {r["doc_id"] for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").collect()}
+    held = {d: ts for d, ts in lists(base.tokens(spark, sf), "doc_id").items() if d in good}
+    got = {(r["item_id"], r["j"]): r["length"] for r in citation.trajectory_state(spark, sf).collect()}
+    assert got == track_by_hand(lists(base.prompts(spark, sf), "item_id"), held)
+
+
+def test_tracked_follows_a_late_passage_of_common_tokens(spark):
+    random = np.random.RandomState(3)
+    held = {d: [int(t) for t in random.randint(0, 12, 50)] for d in range(60)}
+    texts = {1: held[57][5:45], 2: held[58][:20] + held[31][10:30], 3: [99, 98]}
+    rows = [(d, p, ts[p], ts[p + 1]) for d, ts in held.items() for p in range(49)]
+    entries = spark.createDataFrame(rows, "document long, position int, token long, value long").repartition(5)
+    steps = spark.createDataFrame([(i, j, t) for i, ts in texts.items() for j, t in enumerate(ts)], "text long, j int, token long")
+    hits = trajectory.retrieved(steps, entries, "text")
+    every = steps.join(hits, ["text", "j"], "left").withColumn("hits", F.coalesce("hits", F.array().cast(hits.schema["hits"].dataType)))
+    got = {(r["text"], r["j"]): r["length"] for r in trajectory.tracked(every, trajectory.reachable(hits, steps, entries, "text"), "text").collect()}
+    assert got == track_by_hand(texts, held)
+    assert got[1, 39] > 30 and got[3, 1] == 0
+
+
 def test_wire_lengths_agree_with_a_loop(spark):
     random = np.random.RandomState(2)
     rows = [(1, j, int(e), 0) for j in range(40) for e in set(random.randint(0, 12, 5) + j)]
