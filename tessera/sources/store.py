@@ -202,10 +202,13 @@ def checked_index(keys: DataFrame, info: DataFrame) -> DataFrame:
 def registry(slots: DataFrame, loose: DataFrame) -> DataFrame:
     """Listed and unlisted packs together; a slot without a current one takes its first."""
     every = slots.unionByName(loose.join(slots.select("sha"), "sha", "left_anti"), allowMissingColumns=True)
-    w = Window.partitionBy("slot")
-    has = F.bool_or(F.coalesce("current", F.lit(False))).over(w)
-    first = F.row_number().over(w.orderBy("created", "sha")) == 1
-    return every.withColumn("current", F.coalesce("current", F.lit(False)) | (~has & first))
+    once = Window.partitionBy("slot", "created", "sha").orderBy(F.desc_nulls_last("current"))
+    every = every.withColumn("_once", F.row_number().over(once) == 1)
+    # A row for each slot is counted before it meets the packs, so no window holds a hot slot.
+    own = every.groupBy(F.col("slot").alias("_slot")).agg(F.bool_or(F.coalesce("current", F.lit(False))).alias("_has"), F.min(F.struct("created", "sha")).alias("_first"))
+    first = F.struct("created", "sha").eqNullSafe(F.col("_first")) & F.col("_once")
+    joined = every.join(own, F.col("slot").eqNullSafe(F.col("_slot")))
+    return joined.withColumn("current", F.coalesce("current", F.lit(False)) | (~F.col("_has") & first)).drop("_once", "_slot", "_has", "_first")
 
 
 def catalog(rows: DataFrame) -> DataFrame:
