@@ -7,7 +7,7 @@ from tessera.functions import scores
 from tessera.operators import evaluate, index, mix, trajectory
 from tessera.session import table
 
-from .base import HITS, LIKELIHOODS, PARTS, PROMPTS, TOKENS, WEIGHTED, WORDS, documents, hits, likelihoods, parts, prompts, query, rounded, tokens, weighted
+from .base import HITS, LIKELIHOODS, PARTS, PROMPTS, SQL, TOKENS, WEIGHTED, WORDS, documents, hits, likelihoods, parts, prompts, query, rounded, tokens, weighted
 
 
 @query("transitions_lead", f"WITH {TOKENS}, t AS (SELECT lang, token, lead(token) OVER (PARTITION BY doc_id ORDER BY pos) AS next FROM tokens) SELECT lang, token, next, count(*) AS n FROM t WHERE next IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) >= 3")
@@ -346,9 +346,19 @@ def weighted_kmeans(spark, sf):
 
 @query("composite_keys", "SELECT vec_id, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)), 5) AS square, 1.0::DOUBLE AS unit FROM embeddings WHERE vec_id % 50 = 0")
 def composite_keys(spark, sf):
+    return keyed(table(spark, sf, "embeddings").where("vec_id % 50 = 0"))
+
+
+@query("composite_keys_whole", SQL["composite_keys"].replace(" WHERE vec_id % 50 = 0", ""))
+def composite_keys_whole(spark, sf):
+    """The key of every embedding; `composite_keys` and its SQL hold every fiftieth alone."""
+    return keyed(table(spark, sf, "embeddings"))
+
+
+def keyed(embeddings):
     v = F.col("embedding").cast("array<double>")
     key = scores.composite_key(F.slice(v, 1, 32), F.slice(v, 33, 32), 0.3)
-    return table(spark, sf, "embeddings").where("vec_id % 50 = 0").select("vec_id", F.round(scores.dot(v, v), 5).alias("square"), F.round(scores.norm(key), 6).alias("unit"))
+    return embeddings.select("vec_id", F.round(scores.dot(v, v), 5).alias("square"), F.round(scores.norm(key), 6).alias("unit"))
 
 
 @query("logit_stats", f"WITH {HITS}, l AS (SELECT query, list(score::DOUBLE ORDER BY rank) AS z FROM hits GROUP BY 1), e AS (SELECT query, list_transform(z, lambda x: exp(x - list_max(z))) AS e FROM l), p AS (SELECT query, list_transform(e, lambda x: x / list_sum(e)) AS p FROM e) SELECT query, round(-ln(p[3]), 6) AS loss, round(-list_sum(list_transform(p, lambda x: x * ln(x))), 6) AS entropy FROM p")

@@ -10,7 +10,7 @@ LARGER = "/root/testdata/sf0.01"
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
 
 
-@pytest.mark.parametrize(("name", "table"), [("registry_fold_whole", "documents")])
+@pytest.mark.parametrize(("name", "table"), [("registry_fold_whole", "documents"), ("composite_keys_whole", "embeddings")])
 def test_every_row_by_its_sql(spark, name, table):
     db = duckdb.connect()
     db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{LARGER}/{table}.parquet'")
