@@ -215,6 +215,16 @@ def grounding_join(spark, sf):
     return evaluate.grounding_rows(p.where("step < 12"), measured, ["item_id"]).select("item_id", "step", "aligned")
 
 
+@query("grounding_join_whole", f"WITH {PROMPTS}, t AS (SELECT item_id, pos AS step, token FROM prompts QUALIFY pos < max(pos) OVER (PARTITION BY item_id)), m AS (SELECT item_id, pos AS step, CASE WHEN pos % 6 = 5 THEN token + 1 ELSE token END AS token FROM prompts) SELECT m.item_id, m.step, t.token IS NULL OR t.token = m.token AS aligned FROM m LEFT JOIN t ON t.item_id = m.item_id AND t.step = m.step")
+def grounding_join_whole(spark, sf):
+    """Every step of every prompt, the trace lacking only the last; `grounding_join` and its SQL hold the first 13 alone."""
+    p = prompts(spark, sf).select("item_id", F.col("pos").alias("step"), "token")
+    measured = p.withColumn("token", F.when(F.col("step") % 6 == 5, F.col("token") + 1).otherwise(F.col("token")))
+    last = p.groupBy(F.col("item_id").alias("_item")).agg(F.max("step").alias("_last"))
+    traces = p.join(last, (F.col("item_id") == F.col("_item")) & (F.col("step") < F.col("_last"))).select("item_id", "step", "token")
+    return evaluate.grounding_rows(traces, measured, ["item_id"]).select("item_id", "step", "aligned")
+
+
 @query("agreement_band", f"WITH {GROUND} SELECT round(quantile_cont(influence, 0.95) FILTER (NOT inside), 6) AS low, round(quantile_cont(influence, 0.5) FILTER (inside), 6) AS high FROM g")
 def agreement_band(spark, sf):
     g = joined(spark, sf).select(((F.col("doc_id") % 100) / 100.0).alias("agreement"), (F.col("doc_id") % 5 != 0).alias("matched"))

@@ -27,3 +27,13 @@ def test_registry_of_hot_null_and_repeated_packs(spark):
     found = store.registry(spark.createDataFrame(rows, schema), spark.createDataFrame([], schema))
     assert found.columns == ["slot", "sha", "created", "current"] and found.count() == len(rows)
     assert sorted((r["slot"] or "", r["sha"]) for r in found.where("current").collect()) == [("", "b"), ("hot", "p0"), ("odd", "f"), ("set", "d"), ("twice", "e")]
+
+
+def test_grounding_joins_every_step(spark):
+    from tessera.queries.base import prompts
+
+    tokens = {(r["item_id"], r["pos"]) for r in prompts(spark, LARGER).collect()}
+    last = {i: max(p for j, p in tokens if j == i) for i, _ in tokens}
+    found = {(r["item_id"], r["step"]): r["aligned"] for r in QUERIES["grounding_join_whole"](spark, LARGER).collect()}
+    assert found == {(i, p): p % 6 != 5 or p == last[i] for i, p in tokens}
+    assert max(last.values()) > 13
