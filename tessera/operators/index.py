@@ -13,7 +13,7 @@ from tessera.functions.text import ngram_key, token_id, words
 from tessera.operators.bounds import few
 
 
-#: Queries that `neighbours` takes along at once.
+#: Queries that `neighbours` takes along at once, about; more go in several blocks.
 MOST_QUERIES = 4096
 
 
@@ -86,14 +86,17 @@ def route(prompts: DataFrame, sketches: DataFrame, nodes: DataFrame, prompt: str
 def neighbours(queries: DataFrame, entries: DataFrame, k: int, query: str = "query", entry: str = "entry", vector: str = "vector", other: Column | None = None, digits: int = 6) -> DataFrame:
     """Exact nearest entries of every query by cosine: query, entry, score, rank. Ties go to the lower entry.
 
-    Entries stay where they are; the queries, a bounded set, visit each of their blocks, which keeps its best k, and only
-    those meet in the ranking. `other` restricts pairs, such as entries of another group: it sees columns of both sides.
+    Entries stay where they are; the queries, in blocks of about MOST_QUERIES, visit each of their parts, which keeps its
+    best k, and only those meet in the ranking. `other` restricts pairs, such as entries of another group: it sees columns of both sides.
     """
-    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries: use blocked_neighbours")
     q = queries.select([F.col(c).alias(f"q_{c}") for c in queries.columns])
-    pairs = entries.join(F.broadcast(q), other if other is not None else F.lit(True))
-    scored = pairs.select(F.col(f"q_{query}").alias(query), F.col(entry), F.round(cosine(F.col(f"q_{vector}"), F.col(vector)), digits).alias("score"))
+    blocks = max(1, -(-queries.count() // MOST_QUERIES))
+    scored = None
+    for b in range(blocks):  # one pass over the entries for each block of queries
+        part = q if blocks == 1 else q.where(F.pmod(F.xxhash64(f"q_{query}"), F.lit(blocks)) == b)
+        pairs = entries.join(F.broadcast(part), other if other is not None else F.lit(True))
+        now = pairs.select(F.col(f"q_{query}").alias(query), F.col(entry), F.round(cosine(F.col(f"q_{vector}"), F.col(vector)), digits).alias("score"))
+        scored = now if scored is None else scored.unionByName(now)
     w = Window.partitionBy(query).orderBy(F.desc("score"), entry)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

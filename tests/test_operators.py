@@ -202,6 +202,17 @@ def test_wire_lengths_agree_with_a_loop(spark):
     assert {r["j"]: r["length"] for r in trajectory.wire_lengths(df, "text").collect()} == want
 
 
+def test_neighbours_of_more_queries_than_a_block(spark, monkeypatch):
+    v = np.random.RandomState(1).randn(90, 6)
+    e = spark.createDataFrame([(i, v[i].tolist(), i % 4) for i in range(90)], "entry long, vector array<double>, grp long")
+    q = e.where("entry % 2 = 0").withColumnRenamed("entry", "query")
+    key = lambda other=None: sorted((r["query"], r["rank"], r["entry"], r["score"]) for r in index.neighbours(q, e, 5, other=other).collect())
+    apart = F.col("grp") != F.col("q_grp")
+    want = key(), key(apart)
+    monkeypatch.setattr(index, "MOST_QUERIES", 7)
+    assert (key(), key(apart)) == want and len(want[0]) == 45 * 5
+
+
 def test_positions_over_breaks(spark):
     parts = spark.createDataFrame([("d", 0, 3), ("d", 1, 2), ("d", 2, 4)], "doc string, i int, n int")
     got = [(r["start"], r["length"]) for r in trajectory.positions(parts, "doc", "i", "n", 2).orderBy("i").collect()]
