@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import Scratch
 from tessera.llm.decontaminate import decontaminated
 from tessera.llm.neardup import near_duplicates
-from tessera.llm.packing import pack
+from tessera.llm.packing import pack, sequences
 from tessera.llm.quality import THRESHOLD, fit, scored
 from tessera.llm.secrets import masked
 
@@ -60,10 +60,21 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; the rows of the last."""
-    scratch = Scratch(spark, "pipeline")
+def cleaned(spark: SparkSession, sf_dir: str, scratch: Scratch) -> DataFrame:
+    """The documents that the stages before the last keep, masked."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
+    for k, (name, stage) in enumerate(STAGES[:-1]):
         docs = scratch.save(stage(spark, docs, sf_dir), f"{k}-{name}")
     return docs
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; the rows of the last: a plan with digests, whose tokens `training_sequences` has."""
+    scratch = Scratch(spark, "pipeline")
+    name, stage = STAGES[-1]
+    return scratch.save(stage(spark, cleaned(spark, sf_dir, scratch), sf_dir), f"{len(STAGES) - 1}-{name}")
+
+
+def training_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sequences that `run` plans, with their tokens: sequence_id, ids."""
+    return sequences(pack(cleaned(spark, sf_dir, Scratch(spark, "pipeline"))))

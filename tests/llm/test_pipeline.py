@@ -1,6 +1,8 @@
 import sys
+import zlib
 
 import corpus_pipeline
+import numpy as np
 from cases import docs, empty
 from pyspark.sql import types as T
 from test_decontaminate import low_words
@@ -65,3 +67,13 @@ def test_awkward_tables(spark, tmp_path):
         found = corpus_pipeline.run(spark, folder)
         assert (found.count() > 0) == (rows.count() > 0)
     assert "corpus_pipeline" in sys.modules
+
+
+def test_training_sequences_are_those_of_the_plan(spark, sf):
+    ids = {r["sequence_id"]: list(r["ids"]) for r in corpus_pipeline.training_sequences(spark, sf).collect()}
+    plan = corpus_pipeline.run(spark, sf).collect()
+    assert ids.keys() == {r["sequence_id"] for r in plan}
+    assert sum(map(len, ids.values())) == sum(r["length"] for r in plan)
+    for r in plan:
+        piece = ids[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]]
+        assert zlib.crc32(np.asarray(piece, "<u4").tobytes()) == r["ids_crc32"]
