@@ -1,8 +1,9 @@
 """MPEG transport streams in a binary column: a writer, and a reader that checks and reassembles them.
 
-The writer stores a byte string losslessly as one private elementary stream: program tables, then packetised units of
-UNIT bytes with a timestamp each, every KEY-th a random-access point with a clock reference. The reader takes any stream
-of 188-byte packets: it parses the program association and map tables (sections are checked by their CRC), follows the
+The writer stores a byte string losslessly as one private elementary stream: packetised units of UNIT bytes with a
+timestamp each, every KEY-th a random-access point with a clock reference and the program tables before it, so that a
+reader can start there. The reader takes any stream of 188-byte packets: it finds the packets again after lost or added
+bytes, joins the sections of the program association and map tables over packets and checks them by their CRC, follows the
 continuity counter of every stream, drops repeated packets, joins elementary packets, and lists timestamps and random
 access points by byte offset of the payload.
 """
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,6 +26,8 @@ from .common import in_chunks
 #: Format constants: packet size, first byte, table and stream identifiers.
 PACKET, SYNC = 188, 0x47
 PAT_PID, PMT_PID, STREAM_PID, PROGRAM, STREAM_TYPE, STREAM_ID = 0x0000, 0x1000, 0x0100, 1, 0x06, 0xBD
+#: Stream identifiers of units without an optional header, and of those that hold padding alone.
+PLAIN_IDS, PADDING_ID = frozenset((0xBC, 0xBE, 0xBF, 0xF0, 0xF1, 0xF2, 0xF8, 0xFF)), 0xBE
 #: Production parameters of op1: payload padding, bytes of a unit, units between random-access points, ticks of a unit.
 PAD, UNIT, KEY, TICKS = 64, 16_384, 4, 3600
 
@@ -43,16 +47,21 @@ def section(table: int, number: int, body: bytes) -> bytes:
     return head + body + mpeg_crc(head + body).to_bytes(4, "big")
 
 
-def table_packet(pid: int, data: bytes) -> bytes:
-    """A section in a packet of its own, counter 0."""
-    return (bytes([SYNC]) + (0x4000 | pid).to_bytes(2, "big") + b"\x10\x00" + data).ljust(PACKET, b"\xff")
+def table_packets(pid: int, data: bytes, counter: int) -> bytes:
+    """A section from a packet's start on, over as many packets as it takes."""
+    data, room, out = b"\x00" + data, PACKET - 4, []
+    for k in range(0, len(data), room):
+        head = bytes([SYNC]) + ((0x4000 if k == 0 else 0) | pid).to_bytes(2, "big") + bytes([0x10 | (counter + k // room) % 16])
+        out.append((head + data[k : k + room]).ljust(PACKET, b"\xff"))
+    return b"".join(out)
 
 
-def tables() -> bytes:
+def tables(counter: int = 0) -> bytes:
+    """The association and the map table; a packet each."""
     pat = section(0, 1, PROGRAM.to_bytes(2, "big") + (0xE000 | PMT_PID).to_bytes(2, "big"))
     streams = bytes([STREAM_TYPE]) + (0xE000 | STREAM_PID).to_bytes(2, "big") + (0xF000).to_bytes(2, "big")
     pmt = section(2, PROGRAM, (0xE000 | STREAM_PID).to_bytes(2, "big") + (0xF000).to_bytes(2, "big") + streams)
-    return table_packet(PAT_PID, pat) + table_packet(PMT_PID, pmt)
+    return table_packets(PAT_PID, pat, counter) + table_packets(PMT_PID, pmt, counter)
 
 
 def stamp(prefix: int, ticks: int) -> bytes:
@@ -95,14 +104,16 @@ def unit_packets(body: bytes, counter: int, ticks: int, key: bool) -> np.ndarray
 
 
 def write_stream(payload: bytes, unit: int = UNIT, key: int = KEY, ticks: int = TICKS) -> bytes:
-    parts, counter = [tables()], 0
+    parts, counter = [], 0
     for k, start in enumerate(range(0, len(payload), unit)):
         body = payload[start : start + unit]
         head = b"\x00\x00\x01" + bytes([STREAM_ID]) + ((8 + len(body)) if len(body) < 65_528 else 0).to_bytes(2, "big") + b"\x80\x80\x05" + stamp(2, k * ticks % 2**33)
         packets = unit_packets(head + body, counter, k * ticks % 2**33, k % key == 0)
         counter += len(packets)
+        if k % key == 0:
+            parts.append(tables(k // key))
         parts.append(packets.tobytes())
-    return b"".join(parts)
+    return b"".join(parts) or tables()
 
 
 @dataclass
@@ -121,14 +132,89 @@ class Stream:
     access: dict[int, list[int]] = field(default_factory=dict)  # pid: byte offsets of random-access points
 
 
-def read_section(data: bytes, table: int, seen: Stream) -> bytes | None:
-    """The body of a table section that starts after its pointer, if its CRC holds."""
-    data = data[1 + data[0] :] if data else b""
+def sections(rows: np.ndarray, body: np.ndarray, first: np.ndarray, counter: np.ndarray, seen: Stream) -> Iterator[tuple[int, bytes]]:
+    """The intact sections of one stream's packets, joined over packets: table and body. Broken ones are counted.
+
+    A packet in which a section starts has the length of what belongs to the section before it. What follows a gap in the
+    continuity counter is left out up to the next start; a repeated packet counts once.
+    """
+    open_, last = b"", None
+    for k in range(len(rows)):
+        data = rows[k, body[k] :].tobytes()
+        if last is not None and counter[k] == last[0] and data == last[1]:
+            continue
+        whole = last is None or (int(counter[k]) - last[0]) % 16 == 1
+        last = int(counter[k]), data
+        if not whole and open_:
+            seen.table_errors += 1
+            open_ = b""
+        if first[k]:
+            ahead, data = (data[0], data[1:]) if data else (0, b"")
+            if ahead > len(data):
+                seen.table_errors += 1
+                open_ = b""
+                continue
+            if open_:
+                yield from closed(open_ + data[:ahead], seen)
+            open_ = data[ahead:]
+        elif open_:
+            open_ += data
+        while len(open_) > 2 and open_[0] != 0xFF and len(open_) >= (size := 3 + (int.from_bytes(open_[1:3], "big") & 0xFFF)):
+            yield from closed(open_[:size], seen)
+            open_ = open_[size:]
+        if open_[:1] == b"\xff":
+            open_ = b""
+    if open_:
+        seen.table_errors += 1
+
+
+def closed(data: bytes, seen: Stream) -> Iterator[tuple[int, bytes]]:
+    """A section's table and body, if it is whole and its CRC holds."""
     size = int.from_bytes(data[1:3], "big") & 0xFFF if len(data) > 2 else 0
-    if len(data) < 3 + size or size < 9 or data[0] != table or CRC(data[: 3 + size]):
+    if size < 9 or len(data) != 3 + size or CRC(data):
         seen.table_errors += 1
-        return None
-    return data[8 : 3 + size - 4]
+        return
+    yield data[0], data[8 : 3 + size - 4]
+
+
+def packets_of(media: bytes, seen: Stream) -> np.ndarray:
+    """The packets of a stream, a row each; `sync_errors` counts the places where one is not where the last one ends.
+
+    A packet whose successor does not follow, while the one after that does, keeps its place and the successor is left
+    out; otherwise bytes were lost or added, the packet itself is left out, and reading goes on at the next place from
+    which three packets in a row (or all up to the end) start with the sync byte. A rest without one counts once more.
+    """
+    data = np.frombuffer(media, np.uint8)
+    if not len(data) % PACKET and (data[::PACKET] == SYNC).all():
+        return data.reshape(-1, PACKET)
+    sync = np.append(data == SYNC, np.ones(3 * PACKET, bool))
+    steady = np.flatnonzero(sync[: len(data)] & sync[PACKET : PACKET + len(data)] & sync[2 * PACKET : 2 * PACKET + len(data)])
+    parts, at = [], 0
+    while at < len(data):
+        run = sync[at : len(data) : PACKET]
+        number = len(run) if run.all() else int(run.argmin())
+        cut = at + number * PACKET > len(data)
+        if number == len(run) and not cut:
+            parts.append(data[at:].reshape(-1, PACKET))
+            break
+        seen.sync_errors += 1
+        after = at + number * PACKET
+        if cut:  # the last one lacks its end
+            parts.append(data[at : after - PACKET].reshape(-1, PACKET))
+            break
+        if sync[after + PACKET] and after + PACKET < len(data):
+            parts.append(data[at:after].reshape(-1, PACKET))
+            at = after + PACKET
+            continue
+        whole = max(0, number - 1) if after < len(data) else number
+        parts.append(data[at : at + whole * PACKET].reshape(-1, PACKET))
+        begin = at + whole * PACKET + 1
+        spot = np.searchsorted(steady, begin)
+        if spot == len(steady):
+            seen.sync_errors += 1
+            break
+        at = int(steady[spot])
+    return np.concatenate(parts) if parts else np.zeros((0, PACKET), np.uint8)
 
 
 _CRC_CACHE: dict[bytes, int] = {}
@@ -145,9 +231,9 @@ def CRC(data: bytes) -> int:  # noqa: N802
 
 def read_stream(media: bytes) -> Stream:
     seen = Stream(packets=len(media) // PACKET)
-    rows = np.frombuffer(media, np.uint8, seen.packets * PACKET).reshape(-1, PACKET)
-    good = (rows[:, 0] == SYNC) & (rows[:, 1] & 0x80 == 0)
-    seen.sync_errors = int((~good).sum()) + (len(media) % PACKET > 0)
+    rows = packets_of(media, seen)
+    good = rows[:, 1] & 0x80 == 0
+    seen.sync_errors += int((~good).sum())
     rows = rows[good]
     if not len(rows):
         return seen
@@ -159,22 +245,24 @@ def read_stream(media: bytes) -> Stream:
     unit_start, loaded = rows[:, 1] & 0x40 > 0, control & 1 > 0
     maps: dict[int, int] = {}
     kinds: dict[int, int] = {}
-    for k in np.flatnonzero((pid == PAT_PID) & unit_start & loaded).tolist():
-        data = read_section(rows[k, body[k] :].tobytes(), 0, seen) or b""
+
+    def told(own: int, table: int) -> Iterator[bytes]:
+        at = np.flatnonzero((pid == own) & loaded)
+        return (data for kind, data in sections(rows[at], body[at], unit_start[at], counter[at], seen) if kind == table)
+
+    for data in told(PAT_PID, 0):
         for j in range(0, len(data) - 3, 4):
             if program := int.from_bytes(data[j : j + 2], "big"):
                 maps[int.from_bytes(data[j + 2 : j + 4], "big") & 0x1FFF] = program
-    for k in np.flatnonzero(np.isin(pid, list(maps)) & unit_start & loaded).tolist() if maps else []:
-        data = read_section(rows[k, body[k] :].tobytes(), 2, seen)
-        if data is None or len(data) < 4:
-            continue
-        j = 4 + (int.from_bytes(data[2:4], "big") & 0xFFF)
-        while j + 5 <= len(data):
-            kinds[int.from_bytes(data[j + 1 : j + 3], "big") & 0x1FFF] = data[j]
-            stream = (maps[int(pid[k])], int.from_bytes(data[j + 1 : j + 3], "big") & 0x1FFF, data[j])
-            if stream not in seen.streams:
-                seen.streams.append(stream)
-            j += 5 + (int.from_bytes(data[j + 3 : j + 5], "big") & 0xFFF)
+    for own, program in maps.items():
+        for data in told(own, 2):
+            j = 4 + (int.from_bytes(data[2:4], "big") & 0xFFF)
+            while j + 5 <= len(data):
+                kinds[int.from_bytes(data[j + 1 : j + 3], "big") & 0x1FFF] = data[j]
+                stream = (program, int.from_bytes(data[j + 1 : j + 3], "big") & 0x1FFF, data[j])
+                if stream not in seen.streams:
+                    seen.streams.append(stream)
+                j += 5 + (int.from_bytes(data[j + 3 : j + 5], "big") & 0xFFF)
     seen.programs = sorted(set(maps.values()))
     for own in sorted(kinds):
         at = np.flatnonzero((pid == own) & loaded)
@@ -190,26 +278,34 @@ def read_stream(media: bytes) -> Stream:
 
 
 def join_units(seen: Stream, own: int, rows: np.ndarray, body: np.ndarray, first: np.ndarray, flags: np.ndarray) -> None:
-    """Elementary packets of one stream, joined; what precedes the first whole one is left out."""
+    """Elementary packets of one stream, joined; what precedes the first whole one is left out.
+
+    A stream without packets, or without the start of a unit, has an empty payload. A unit that does not start as one, or
+    whose header reaches beyond it, is counted and left out.
+    """
     inside = np.arange(PACKET)[None, :] >= body[:, None]
     data = rows[inside].tobytes()
     ends = np.concatenate(([0], np.cumsum(PACKET - body)))
     begins = np.flatnonzero(first).tolist()
     parts, stamps, access, offset = [], [], [], 0
-    for k, stop in zip(begins, [*begins[1:], len(rows)], strict=True):
+    for k, stop in zip(begins, [*begins[1:], len(rows)], strict=False):
         unit = data[ends[k] : ends[stop]]
-        if len(unit) < 9 or unit[:3] != b"\x00\x00\x01":
+        plain = len(unit) > 3 and unit[3] in PLAIN_IDS
+        head = 6 if plain else 9 + (unit[8] if len(unit) > 8 else 0)
+        if unit[:3] != b"\x00\x00\x01" or len(unit) < head:
             seen.table_errors += 1
             continue
+        if unit[3] == PADDING_ID:
+            continue
         size = int.from_bytes(unit[4:6], "big")
-        unit, head = unit[: 6 + size] if size else unit, 9 + unit[8]
-        if unit[7] & 0x80 and len(unit) >= 14:
+        unit = unit[: 6 + size] if size else unit
+        if not plain and unit[7] & 0x80 and head >= 14:
             t = unit[9:14]
             stamps.append((offset, (t[0] >> 1 & 7) << 30 | (t[1] << 8 | t[2]) >> 1 << 15 | (t[3] << 8 | t[4]) >> 1))
         if flags[k] & 0x40:
             access.append(offset)
         parts.append(unit[head:])
-        offset += len(unit) - head
+        offset += len(parts[-1])
     seen.payloads[own], seen.stamps[own], seen.access[own] = b"".join(parts), stamps, access
 
 

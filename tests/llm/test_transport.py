@@ -2,10 +2,11 @@ import hashlib
 import os
 import zlib
 
+import numpy as np
 import pytest
 from cases import TEXTS, docs, empty
 
-from tessera.llm.transport import PACKET, STREAM_PID, mpeg_crc, op1, parsed, read_stream, stored, write_stream
+from tessera.llm.transport import PACKET, PMT_PID, STREAM_PID, mpeg_crc, op1, parsed, read_stream, section, stored, table_packets, tables, write_stream
 
 
 @pytest.mark.parametrize("size", [64, 128, 176, 184, 192, 4096, 16_384, 16_448, 150_016])
@@ -35,6 +36,83 @@ def test_damage_is_counted():
     assert read_stream(b"").packets == 0 and read_stream(b"x" * 300).sync_errors == 2
 
 
+def test_lost_and_added_bytes():
+    """Reading goes on after them: all but the packets that they touch come through."""
+    payload = os.urandom(102_400)
+    media = write_stream(payload, 4096)
+    for at in (PACKET * 50 + 70, PACKET * 50, PACKET * 50 + 187, 3, len(media) - 5):
+        for broken in (media[:at] + media[at + 1 :], media[:at] + b"Z" + media[at:], media[:at] + os.urandom(500).replace(b"G", b"g") + media[at:]):
+            s = read_stream(broken)
+            assert s.sync_errors and len(s.payloads[STREAM_PID]) >= len(payload) - 2 * 4096 - 4 * PACKET
+    one = bytearray(media)
+    one[PACKET * 50] = 0
+    s = read_stream(bytes(one))
+    assert s.sync_errors == 1 and len(s.payloads[STREAM_PID]) == len(payload) - (PACKET - 4)
+
+
+def test_entering_at_a_random_access_point():
+    payload = os.urandom(64_000)
+    media = write_stream(payload, 4096)
+    points = [k for k in range(0, len(media), PACKET) if media[k + 1 : k + 3] == b"\x40\x00"]
+    assert len(points) == 4
+    for k, at in enumerate(points):
+        s = read_stream(media[at:])
+        assert s.payloads[STREAM_PID] == payload[k * 4 * 4096 :] and s.access[STREAM_PID][0] == 0 and not (s.table_errors or s.continuity_errors)
+
+
+def streams_table(number, extra=b""):
+    streams = b"".join(bytes([6]) + (0xE000 | 0x200 + k).to_bytes(2, "big") + (0xF000 | len(extra)).to_bytes(2, "big") + extra for k in range(number))
+    return section(2, 1, (0xE200).to_bytes(2, "big") + (0xF000).to_bytes(2, "big") + streams)
+
+
+def test_sections_over_packets_and_streams_without_units():
+    pat = table_packets(0, section(0, 1, (1).to_bytes(2, "big") + (0xE000 | PMT_PID).to_bytes(2, "big")), 0)
+    long = table_packets(PMT_PID, streams_table(100, b"\x05\x02ab"), 14)
+    assert len(long) == 5 * PACKET
+    s = read_stream(pat + long)
+    assert [x[1] for x in s.streams] == list(range(0x200, 0x200 + 100)) and not s.table_errors and set(s.payloads.values()) == {b""}
+    s = read_stream(pat + long[: 2 * PACKET] + long[3 * PACKET :])
+    assert s.table_errors == 1 and not s.streams
+    repeated = read_stream(pat + long[: 2 * PACKET] + long[PACKET : 2 * PACKET] + long[2 * PACKET :])
+    assert len(repeated.streams) == 100 and not repeated.table_errors
+    # Two sections, the second from the middle of a packet on, whose pointer says where.
+    a, b = streams_table(40), streams_table(60)
+    data = a + b
+    first = 183
+    rest = data[first : first + 183]
+    ahead = len(a) - first
+    packets = b"\x47" + (0x4000 | PMT_PID).to_bytes(2, "big") + b"\x10\x00" + data[:first] + b"\x47" + (0x4000 | PMT_PID).to_bytes(2, "big") + b"\x11" + bytes([ahead]) + rest
+    packets += (b"\x47" + PMT_PID.to_bytes(2, "big") + b"\x12" + data[first + 183 :]).ljust(PACKET, b"\xff")
+    s = read_stream(pat + packets)
+    assert len(s.streams) == 60 and not s.table_errors
+    # Packets of a stream, none of which starts a unit.
+    tail = b"".join(b"\x47\x02\x00" + bytes([0x10 | k]) + b"x" * 184 for k in range(5))
+    s = read_stream(pat + table_packets(PMT_PID, streams_table(1), 0) + tail)
+    assert s.payloads == {0x200: b""} and s.access == {0x200: []}
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_no_bytes_raise(seed):
+    random = np.random.RandomState(seed)
+    media = bytearray(write_stream(random.bytes(20_000), 1024))
+    for _ in range(random.randint(1, 200)):
+        media[random.randint(len(media))] = random.choice([0, 0x47, 255, random.randint(256)])
+    if seed % 3 == 0:
+        media = media[: random.randint(len(media))]
+    read_stream(bytes(media))
+    read_stream(random.bytes(5000))
+    packets = np.frombuffer(random.bytes(PACKET * 200), np.uint8).reshape(-1, PACKET).copy()
+    packets[:, 0], packets[:, 1], packets[:, 2] = 0x47, packets[:, 1] & 0x40, random.choice([0, 1], 200)
+    read_stream(tables() + packets.tobytes())
+
+
+def test_streams_of_any_damage_in_a_table(spark):
+    pat = table_packets(0, section(0, 1, (1).to_bytes(2, "big") + (0xE000 | PMT_PID).to_bytes(2, "big")), 0)
+    rows = [(1, pat + table_packets(PMT_PID, streams_table(3), 0)), (2, tables()), (3, os.urandom(1000)), (4, write_stream(b"a" * 64)[5:])]
+    found = parsed(spark.createDataFrame(rows, "doc_id long, media binary")).orderBy("doc_id").collect()
+    assert [r["payload_bytes"] for r in found][:3] == [0, 0, 0] and len(found[0]["streams"]) == 3
+
+
 def test_awkward_rows(spark):
     found = parsed(stored(docs(spark))).collect()
     assert len(found) == len(TEXTS)
@@ -54,4 +132,10 @@ def test_op1(spark, sf):
         data = texts[r["doc_id"]].encode()
         padded = data.ljust(max(64, -(-len(data) // 64) * 64), b"\0")
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(data), len(padded), hashlib.sha256(padded).hexdigest()) and r["media_bytes"] % PACKET == 0
+        media = write_stream(padded)
+        units = -(-len(padded) // 16_384)
+        assert (r["tail_crc32"], r["media_bytes"], r["media_sha256"]) == (zlib.crc32(padded[-64:]), len(media), hashlib.sha256(media).hexdigest())
+        stamps = ",".join(f"{k * 3600}@{k * 16_384}" for k in range(units))
+        access = ",".join(str(k * 16_384) for k in range(0, units, 4))
+        assert r["feature"] == f"packets={len(media) // PACKET};streams=1:256:6;errors=0,0,0,0;pts={stamps};access={access}"
         assert seen.setdefault(data, (r["media_sha256"], r["feature"])) == (r["media_sha256"], r["feature"])
