@@ -1,14 +1,21 @@
 """Main text of web pages by tag-path ratios.
 
-A page is cut into blocks, each with the path of tags from the root to it. Blocks inside elements that by their tag, role
-or class are no content (FURNITURE) go first. The others are gathered by path: text length and punctuation per node of
-the path are its ratios, link text counts against it. Ratios are smoothed over paths by how much of the path they share,
-fused as a geometric mean, and every path that reaches SHARE of the best is content; its blocks are kept whole, in order.
+A page is cut into blocks, each a leaf of a tree of tag paths; a step of a path is a tag with its class names, which tell
+paths apart and have no meaning of their own. Elements that by HTML's own rules are no content (FURNITURE, ROLES, hidden
+ones, articles inside articles, headers outside them) go first. Per path, characters, punctuation and link text are summed
+over its blocks: the ratios are characters and marks for each block, links counting against them. They are smoothed by the
+mean of the containers that the path occurs in (a block's container is the nearest element that isn't one of running text),
+fused as a geometric mean with those containers' share of the page's text, and every path that reaches SHARE of the best is
+content; its blocks are kept whole, in order. Text in an `article` or `main`, which name the content by HTML's rules, counts ARTICLE times as much.
+
+Nothing here reads what a class or a text says: outside the elements above, text on the same path as the article's own
+paragraphs, or a reader's comment as long and as dense as they are, is not told from them.
 """
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from html import unescape
 
 import pyarrow as pa
@@ -18,8 +25,8 @@ from pyspark.sql import types as T
 
 from .common import in_chunks
 
-#: Production parameter of op3: the part of the best path's score that content reaches.
-SHARE = 0.35
+#: Production parameters of op3: the part of the best path's score that content reaches; how often an article's text counts.
+SHARE, ARTICLE = 0.4, 32
 
 #: Fixed values of HTML: elements without content, with raw text, of inline text, and those that end an open one of their kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -27,55 +34,126 @@ RAW = frozenset("script style textarea title noscript template iframe svg math o
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 ENDS_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split())
-SCOPES = frozenset("table ul ol dl article section div body main blockquote".split())
 
-#: What marks an element as no content: tags, roles, and words of classes and ids.
+#: What marks an element as no content by HTML's own rules: tags and roles.
 FURNITURE = frozenset("head nav footer aside form button select menu dialog".split()) | RAW
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu".split())
-WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner popup modal overlay cookie cookies consent gdpr notice alert nav navbar navigation menu "
-    "breadcrumb breadcrumbs pagination pager sidebar aside footer masthead comment comments discussion disqus respond replies share sharing social related recommended newsletter subscribe "
-    "signup login search widget skip toolbar".split()
-)
-
-TAG = re.compile(r"""<(?:!--(?:.*?--!?>|.*\Z)|[!?][^>]*>?|(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]{0,8192}+"|'[^']{0,8192}+')*+)>|(/?)([A-Za-z][^\s/>]*)([^>]*)>?)""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: Elements of running text: their container is the next element around them that is none of these.
+FLOW = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption address details summary header hgroup".split())
+
+TAG = re.compile(r"""<(?:!--(?:.*?--!?>|.*\Z)|[!?][^>]*>?|(/?)([A-Za-z][^\s/>]*))""", re.S)
+PLAIN = re.compile(r"""[^>"']*""")
+ATTRIBUTE = re.compile(r"""\b(class|role|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 PUNCTUATION = re.compile(r"""[.,;:!?…。，、；：！？]""")
 
 
-def furniture(tag: str, attributes: str, inside_article: bool) -> bool:
-    if tag in FURNITURE or (tag == "header" and not inside_article):
-        return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+class Paths:
+    """A tree of tag paths. Node 0 is the page; a node's number is greater than its parent's."""
+
+    def __init__(self):
+        self.children: list[dict[tuple[str, str], int]] = [{}]
+        self.parent, self.step, self.inside = [0], [("", "")], [False]
+
+    def child(self, node: int, tag: str, label: str) -> int:
+        found = self.children[node].get((tag, label))
+        if found is None:
+            found = len(self.parent)
+            self.children[node][tag, label] = found
+            self.children.append({})
+            self.parent.append(node)
+            self.step.append((tag, label))
+            self.inside.append(self.inside[node] or tag in ("article", "main"))
+        return found
+
+    def name(self, node: int) -> str:
+        parts = []
+        while node:
+            tag, label = self.step[node]
+            parts.append(f"{tag}.{label}" if label else tag)
+            node = self.parent[node]
+        return "/".join(reversed(parts))
+
+
+class Tags:
+    """The ends of tags, quoted values honoured. A quote that never closes is plain text.
+
+    Looking for such a quote's end costs the rest of the page, so that the work is bounded by a few pages' length: a page
+    with more open quotes than that ends its further tags at the first `>`.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.spare = html, 16 * len(html)
+
+    def end(self, at: int) -> tuple[int, int]:
+        """Where the attributes that start here end, and where the tag does."""
+        html, k = self.html, at
+        while self.spare >= 0:
+            k = PLAIN.match(html, k).end()
+            if k == len(html):
+                break
+            if html[k] == ">":
+                return k, k + 1
+            close = html.find(html[k], k + 1)
+            if close < 0:
+                self.spare -= len(html) - at
+                break
+            k = close + 1
+        else:
+            k = at
+        if k == len(html):
+            self.spare -= len(html) - at
+        first = html.find(">", at)
+        return (first, first + 1) if first >= 0 else (len(html), len(html))
+
+
+def told(attributes: str) -> tuple[str, bool]:
+    """The class names of an element, in order and without digits, and whether its role or `hidden` makes it no content."""
+    label, gone = "", False
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or (name == "role" and value in ROLES):
-            return True
-        if name in ("class", "id") and not WORDS.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-            return True
-    return False
+            gone = True
+        elif name == "class" and not label:
+            label = ".".join(sorted(re.sub(r"\d+", "", value).split()))
+    return label, gone
+
+
+@dataclass
+class Page:
+    """The blocks of a page in order, furniture and empty ones left out, and the tree of their paths.
+
+    A block is the node of its path, its container, its text, and the characters of link text in it. Containers are
+    numbered as they occur; `around` has the container around each, the page itself is 0.
+    """
 
+    paths: Paths
+    blocks: list[tuple[int, int, str, int]]
+    around: list[int]
 
-def blocks(html: str) -> list[tuple[str, str, int]]:
-    """Blocks of a page in order: path, text, characters of link text. Blocks of furniture and empty ones are left out."""
-    out: list[tuple[str, str, int]] = []
-    stack: list[tuple[str, bool]] = []  # block element, whether it is furniture
+
+def read(html: str) -> Page:
+    paths, around = Paths(), [0]
+    out: list[tuple[int, int, str, int]] = []
+    stack: list[tuple[str, bool, int, int]] = []  # block element, whether it is furniture, node, container
+    open_: dict[str, int] = {}
     parts: list[str] = []
     linked = links = hidden = at = 0
-    end = len(html)
+    end, tags = len(html), Tags(html)
 
     def flush() -> None:
         nonlocal linked
         if parts:
             if not hidden and (text := " ".join(unescape("".join(parts)).split())):
-                out.append(("/".join(t for t, _ in stack), text, min(linked, len(text))))
+                out.append((*(stack[-1][2:] if stack else (0, 0)), text, min(linked, len(text))))
             parts.clear()
         linked = 0
 
-    def pop() -> None:
+    def pop() -> str:
         nonlocal hidden
-        hidden -= stack.pop()[1]
+        tag, own, _, _ = stack.pop()
+        hidden -= own
+        open_[tag] -= 1
+        return tag
 
     while at < end:
         m = TAG.search(html, at)
@@ -85,10 +163,10 @@ def blocks(html: str) -> list[tuple[str, str, int]]:
             parts.append(html[at : m.start()])
             linked += (m.start() - at) * (links > 0)
         at = m.end()
-        name = m[2] or m[5]
-        if name is None:
+        if m[2] is None:
             continue
-        tag, closing, attributes = name.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
+        stop, at = tags.end(at)
+        tag, closing, attributes = m[2].lower(), bool(m[1]), html[m.end() : stop]
         if tag in RAW:
             if not closing and not attributes.endswith("/"):
                 close = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>?", re.I).search(html, at)
@@ -101,60 +179,69 @@ def blocks(html: str) -> list[tuple[str, str, int]]:
         elif tag in VOID:
             flush()
         elif closing:
-            if any(t == tag for t, _ in stack):
+            if open_.get(tag):
                 flush()
-                while stack[-1][0] != tag:
-                    pop()
-                pop()
+                while pop() != tag:
+                    pass
                 links = 0
         else:
             flush()
             ends = CLOSES.get(tag) or ({"p"} if tag in ENDS_P else ())
             while stack and ends and stack[-1][0] in ends:
                 pop()
-            own = furniture(tag, attributes, any(t in ("article", "main") for t, _ in stack))
-            stack.append((tag, own))
+            label, own = told(attributes) if attributes else ("", False)
+            article = open_.get("article")
+            own = tag not in ("html", "body", "main") and (own or tag in FURNITURE or (tag == "article" and bool(article)) or (tag == "header" and not (article or open_.get("main"))))
+            node, container = stack[-1][2:] if stack else (0, 0)
+            if tag not in FLOW and tag not in ("html", "body"):
+                around.append(container)
+                container = len(around) - 1
+            stack.append((tag, own, paths.child(node, tag, label), container))
+            open_[tag] = open_.get(tag, 0) + 1
             hidden += own
     if at < end and not hidden:
         parts.append(html[at:])
     flush()
-    return out
+    return Page(paths, out, around)
 
 
-def likeness(a: list[str], b: list[str]) -> float:
-    """How much of two paths is shared from the root on, squared."""
-    same = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        same += 1
-    return (same / max(len(a), len(b), 1)) ** 2
+def scores(page: Page) -> dict[int, float]:
+    """The fused score of every path that has text."""
+    own: dict[int, list[float]] = {}  # characters with links counted less, marks, blocks, characters, link text
+    where: dict[int, set[int]] = {}
+    held = [[0.0, 0, 0, 0] for _ in page.around]  # of containers, with those inside; the page's is its own running text
+    for node, container, text, linked in page.blocks:
+        row = (len(text) * (1 - 0.9 * linked / len(text)) ** 2, len(PUNCTUATION.findall(text)), 1, len(text))
+        mine = own.setdefault(node, [0.0, 0, 0, 0, 0])
+        mine[4] += linked
+        where.setdefault(node, set()).add(container)
+        for k, value in enumerate(row):
+            mine[k] += value
+            held[container][k] += value
+    for container in range(len(held) - 1, 0, -1):
+        if up := page.around[container]:
+            for k, value in enumerate(held[container]):
+                held[up][k] += value
+    whole = sum(row[3] for row in own.values())
+    out = {}
+    for node, (length, marks, number, chars, linked) in own.items():
+        # A container inside another of the same path is in it already.
+        outer = [c for c in where[node] if page.around[c] not in where[node] or not page.around[c]]
+        all_length, all_marks, all_number, all_chars = (sum(held[c][k] for c in outer) for k in range(4))
+        smooth = (length / number + all_length / all_number) / 2
+        dense = (marks / number + all_marks / all_number) / 2
+        link = linked / chars
+        out[node] = (smooth * (1 + dense) * all_chars / whole) ** (1 / 3) * (1 - 0.9 * link if link > 0.5 else 1) * (ARTICLE if page.paths.inside[node] else 1)
+    return out
 
 
 def main_text(html: str, share: float = SHARE) -> str:
-    found = blocks(html)
-    if not found:
+    page = read(html)
+    if not page.blocks:
         return ""
-    paths: dict[str, list[int]] = {}
-    for path, text, linked in found:
-        row = paths.setdefault(path, [0, 0, 0, 0])
-        row[0] += 1
-        row[1] += len(text)
-        row[2] += len(PUNCTUATION.findall(text))
-        row[3] += linked
-    names = list(paths)
-    parts = [p.split("/") for p in names]
-    ratio = {p: (c / n * (1 - link / c) ** 2, mark / n * (1 - link / c)) for p, (n, c, mark, link) in paths.items()}
-    fused = {}
-    for p, own in zip(names, parts, strict=True):
-        weights = [likeness(own, other) for other in parts]
-        total = sum(weights) or 1.0
-        length = sum(w * ratio[q][0] for w, q in zip(weights, names, strict=True)) / total
-        marks = sum(w * ratio[q][1] for w, q in zip(weights, names, strict=True)) / total
-        link = paths[p][3] / paths[p][1]
-        fused[p] = (length * (1 + marks)) ** 0.5 * (1 - link if link > 0.5 else 1) * (2 if "article" in own or "main" in own else 1)
+    fused = scores(page)
     best = max(fused.values())
-    return " ".join(text for path, text, _ in found if fused[path] >= share * best)
+    return " ".join(text for node, _, text, _ in page.blocks if fused[node] >= share * best)
 
 
 def extracted(pages: DataFrame, html_col: str = "html", name: str = "text", share: float = SHARE) -> DataFrame:
