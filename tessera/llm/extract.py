@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from .common import in_chunks
 
 #: Production parameters of op3: the part of the best path's score that content reaches; how often an article's text counts.
-SHARE, ARTICLE = 0.4, 32
+SHARE, ARTICLE = 0.4, 128
 
 #: Fixed values of HTML: elements without content, with raw text, of inline text, and those that end an open one of their kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
