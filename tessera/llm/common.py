@@ -28,6 +28,22 @@ def in_chunks(batches, column: str, limit: int = CHUNK_CHARS):
             yield batch.slice(start)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with as many underscores behind it as it takes to be no column of `df`."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
+    """`df.mapInArrow(run, schema)` for columns of any name: Spark's own looks names with dots up as fields of structs."""
+    names = df.columns
+    if not any("." in c or "`" in c for c in names):
+        return df.mapInArrow(run, schema)
+    return df.toDF(*[f"_{k}" for k in range(len(names))]).mapInArrow(lambda batches: run(b.rename_columns(names) for b in batches), schema)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)

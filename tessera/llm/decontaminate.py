@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import in_chunks, mix, shingle_hashes, word_hashes
+from .common import in_chunks, map_batches, mix, shingle_hashes, word_hashes
 
 #: Production parameters of op9.
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 15
@@ -275,7 +275,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILAR
         return run
 
     for shared in indexes(benchmark, shingle, radius, index_chars, item_col, "text"):
-        docs = docs.mapInArrow(keeper(shared), schema)
+        docs = map_batches(docs, keeper(shared), schema)
     return docs
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import in_chunks
+from .common import in_chunks, map_batches
 
 #: Production parameters of op3: the part of the best path's score that content reaches; how often an article's text counts.
 SHARE, ARTICLE = 0.4, 128
@@ -259,7 +259,7 @@ def extracted(pages: DataFrame, html_col: str = "html", name: str = "text", shar
             texts = [main_text(h, share) if h else "" for h in part.column(html_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], pa.array(texts, pa.string())], names=schema.names)
 
-    return pages.mapInArrow(run, schema)
+    return map_batches(pages, run, schema)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

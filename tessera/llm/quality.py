@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import in_chunks, mix, shingle_hashes, text_bytes, word_hashes, word_spans
+from .common import in_chunks, map_batches, mix, shingle_hashes, text_bytes, word_hashes, word_spans
 
 #: Production parameters of op7. SAMPLE bounds the labelled rows that training takes, in the order of a hash of their ids.
 SAMPLE, TREES, DEPTH, BINS, RATE, RIDGE = 20_000, 80, 4, 64, 0.15, 2.0
@@ -152,34 +152,44 @@ def held_out(id_col: str):
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """A model from at most `sample` labelled documents that are not held out; of several labels of an id the lowest counts."""
+    """A model from at most `sample` labelled documents that are not held out; other columns are ignored.
+
+    Of several labels of an id the lowest counts, of several texts of an id that with the least hash (then the least
+    statistics), so that the model doesn't depend on how rows are dealt. Null texts count as empty; null ids, and labels other
+    than 0 and 1, are left out. Without usable rows the model gives one half.
+    """
     marked = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).alias("_label")).where(F.col("_label").isin(0, 1) & F.col("_id").isNotNull())
     marked = marked.where(~held_out("_id")).groupBy("_id").agg(F.min("_label").alias("_label"))
     chosen = marked.orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    schema = T.StructType([T.StructField("_id", T.LongType()), T.StructField("_label", T.IntegerType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([T.StructField("_id", T.LongType()), T.StructField("_label", T.IntegerType()), T.StructField("hash", T.LongType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
 
     def run(batches):
         for part in in_chunks(batches, "_text"):
             x = statistics(part.column("_text"))
-            yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_label").cast(pa.int32()), pa.array(list(x), pa.list_(pa.float64()))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_label").cast(pa.int32()), part.column("_hash"), pa.array(list(x), pa.list_(pa.float64()))], names=schema.names)
 
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     # `chosen` has at most `sample` rows of two numbers.
-    rows = texts.join(F.broadcast(chosen), "_id").select("_id", "_label", "_text").mapInArrow(run, schema).dropDuplicates(["_id"]).collect()
+    seen = texts.join(F.broadcast(chosen), "_id").select("_id", "_label", F.xxhash64("_text").alias("_hash"), "_text").mapInArrow(run, schema)
+    rows = seen.groupBy("_id", "_label").agg(F.min(F.struct("hash", "x")).alias("least")).collect()
     rows.sort(key=lambda r: r["_id"])
-    x = np.array([r["x"] for r in rows], float).reshape(len(rows), len(FEATURES))
+    x = np.array([r["least"]["x"] for r in rows], float).reshape(len(rows), len(FEATURES))
     return train(x, np.array([r["_label"] for r in rows], float))
 
 
-def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """`docs` with all its columns and `_score`, from 0 to 1: how likely label 1 is. Null texts count as empty."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())])
+def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str = "_score") -> DataFrame:
+    """`docs` with all its columns and `name`, from 0 to 1: how likely label 1 is; a column of that name is replaced.
+
+    Null texts count as empty, repeated rows stay, equal texts have equal scores; an empty table gives no rows.
+    """
+    docs = docs.drop(name)
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches):
         for part in in_chunks(batches, text_col):
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score(statistics(part.column(text_col))))], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:

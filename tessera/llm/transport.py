@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import in_chunks
+from .common import in_chunks, map_batches
 
 #: Format constants: packet size, first byte, table and stream identifiers.
 PACKET, SYNC = 188, 0x47
@@ -325,7 +325,7 @@ def stored(docs: DataFrame, text_col: str = "text", name: str = "media", unit: i
                 media.append(write_stream(data.ljust(max(pad, -(-len(data) // pad) * pad), b"\0"), unit))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(media, pa.binary())], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
 
 
 READ = [
@@ -367,7 +367,7 @@ def parsed(df: DataFrame, media_col: str = "media", keep_payload: bool = False,
             columns = list(zip(*rows, strict=True))[: len(extra)]
             yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], *[pa.array(c, k) for c, k in zip(columns, kinds, strict=False)]], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

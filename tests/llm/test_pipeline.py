@@ -4,6 +4,7 @@ import zlib
 import corpus_pipeline
 import numpy as np
 from cases import docs, empty
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from test_decontaminate import low_words
 from test_neardup import brute
@@ -69,6 +70,27 @@ def test_awkward_tables(spark, tmp_path):
     assert "corpus_pipeline" in sys.modules
 
 
+def test_clashing_names_and_repeats(spark, tmp_path, sf):
+    """Every stage keeps columns of the names that stages use themselves, and doesn't depend on the order of rows."""
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, quality int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.read.parquet(f"{sf}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    names = ["_score", "_first", "kept", "component_id", "_hash", "_id", "_text", "_label", "x", "a.b", "set_a", "cls", "ids", "start", "_rank", "_bucket"]
+    rows = docs(spark)
+    twice = rows.unionByName(rows.withColumn("text", F.concat("text", F.lit(" and more of it"))).where("doc_id IN (1, 6)"))
+    wide = twice.select("*", *[F.lit(f"value of {n}").alias(n) for n in names])
+    seen = set()
+    for parts in (1, 5):
+        frame = wide.repartition(parts)
+        for name, stage in corpus_pipeline.STAGES[:4]:
+            frame = stage(spark, frame, str(tmp_path))
+            assert frame.columns == wide.columns, name
+            assert all(r[n] == f"value of {n}" for r in frame.collect() for n in names)
+        seen.add(tuple(sorted(map(str, frame.collect()))))
+        assert corpus_pipeline.STAGES[4][1](spark, frame, str(tmp_path)).count() >= frame.count() > 0
+    assert len(seen) == 1
+
+
 def test_training_sequences_are_those_of_the_plan(spark, sf):
     ids = {r["sequence_id"]: list(r["ids"]) for r in corpus_pipeline.training_sequences(spark, sf).collect()}
     plan = corpus_pipeline.run(spark, sf).collect()

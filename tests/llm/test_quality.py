@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from cases import TEXTS, docs, empty
 
-from tessera.llm.quality import FEATURES, classify, op7, scored, statistics, train
+from tessera.llm.quality import FEATURES, SAMPLE, classify, op7, scored, statistics, train
 
 
 def test_statistics_of_known_texts():
@@ -49,6 +49,38 @@ def test_awkward_rows(spark):
     assert {r["score"] for r in none} == {0.5}
 
 
+def test_scores_don_t_depend_on_how_rows_are_dealt(spark):
+    """Repeated ids with different texts, under several partitionings and orders."""
+    texts = [(i % 40, f"text {i} " + "good words, here. " * (i % 7) + "JUNK!!! " * (i % 5)) for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(40)], "doc_id long, quality int")
+    seen = set()
+    for parts, turn in ((1, 1), (3, -1), (7, 1), (16, -1)):
+        found = classify(docs(spark, texts[::turn]).repartition(parts), labels).collect()
+        seen.add(tuple(sorted((r["doc_id"], r["score"]) for r in found)))
+    assert len(seen) == 1
+
+
+def test_op7_by_hand(spark, sf):
+    """The query's scores again: training rows by Python, statistics a text at a time, trees walked node by node."""
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    out = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in texts}
+    used = sorted(i for i in labels if i in texts and not out[i])
+    rows = {i: statistics(pa.array([t], pa.string()))[0] for i, t in texts.items()}
+    model = train(np.array([rows[i] for i in used]), np.array([labels[i] for i in used], float))
+    found = op7(spark, sf).collect()
+    assert len(found) == len(texts) and len(used) < SAMPLE
+    for r in found:
+        total = model.base
+        for feature, cut, value in zip(model.feature, model.cut, model.value, strict=True):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if rows[r["doc_id"]][feature[node]] > cut[node] else 1)
+            total += value[node - len(feature)]
+        want = 1 / (1 + np.exp(-total))
+        assert np.isclose(r["score"], want, rtol=1e-9) and r["held_out"] == out[r["doc_id"]] and r["predicted"] == int(r["score"] >= 0.3)
+
+
 def test_held_out_accuracy(spark, sf):
     folder = sf.replace("sf0.001", "sf0.1")
     found = op7(spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").where("held_out").toPandas()
@@ -60,3 +92,5 @@ def test_held_out_accuracy(spark, sf):
 def test_scored_keeps_columns(spark):
     model = train(np.zeros((2, len(FEATURES))), np.array([0.0, 1.0]))
     assert scored(docs(spark), model).columns == [*docs(spark).columns, "_score"]
+    assert scored(docs(spark), model, name="score").columns == [*[c for c in docs(spark).columns if c != "score"], "score"]
+    assert scored(empty(spark), model).count() == 0
