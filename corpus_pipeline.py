@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm.common import Scratch
+from tessera.llm.common import Scratch, free_name
 from tessera.llm.decontaminate import decontaminated
 from tessera.llm.neardup import near_duplicates
 from tessera.llm.packing import pack, sequences
@@ -18,33 +19,54 @@ from tessera.llm.secrets import masked
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents whose score is below the classifier's threshold."""
+    """Drops the documents whose score is below the classifier's threshold.
+
+    Null texts are judged as empty ones, rows without an id as any other; equal texts share their fate, repeated rows stay
+    or go together. Without usable labels every document stays. All columns stay, whatever their names.
+    """
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored(docs, model).where(F.col("_score") >= THRESHOLD).drop("_score")
+    score = free_name(docs, "_score")
+    return scored(docs, model, name=score).where(F.col(score) >= THRESHOLD).drop(score)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates, that with the smallest id, once; rows without an id stay."""
+    """Keeps one document of each group of near duplicates, that with the smallest id, once.
+
+    Of several rows with that id the one with the least text hash stays (then the least text, then the least of the other
+    columns in their order). Empty and null texts are linked with nothing and stay, a row for each id; so do all rows without
+    an id. All columns stay, whatever their names; an empty table gives no rows.
+    """
     kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
     found = docs.join(kept, "doc_id", "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id")) == 1
-    once = found.withColumn("_first", first).where("_first").drop("_first")
-    return once.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    others = [f.name for f in docs.schema.fields if f.name not in ("doc_id", "text") and isinstance(f.dataType, T.AtomicType)]
+    place = free_name(docs, "_first")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text", *[F.col(f"`{c}`") for c in others]))
+    once = found.withColumn(place, first).where(F.col(place) == 1).drop(place)
+    return once.select([F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where("doc_id IS NULL"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a benchmark item."""
+    """Drops the documents that hold a benchmark item.
+
+    Null and empty texts hold none; equal texts share their fate. All columns of the rows that stay are as they were.
+    """
     return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks the secrets in the texts; every document stays."""
+    """Masks the secrets in the texts; every document stays, repeated rows too.
+
+    Null and empty texts stay as they are. `n_chars` is counted anew where it is a column; all others are as they were.
+    """
     clean = masked(docs)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The kept documents as pieces of training sequences; the last stage."""
+    """The kept documents as pieces of training sequences; the last stage.
+
+    A null or empty text is its end id alone, repeated rows are packed as often as they occur, other columns are ignored.
+    """
     return pack(docs, keep_ids=False)
 
 
