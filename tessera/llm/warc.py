@@ -1,9 +1,10 @@
 """WARC archives with a Zstandard dictionary of their own, written and read by executors.
 
-An archive starts with a skippable frame that holds its dictionary, built from the archive's own first records; every
-record after it is a frame of its own, so that a reader can start at any record. Archives are rolled at a size, so memory
-and files are bounded whatever a partition holds. Files lie in the shared folder under names of their own; the table of
-archives, written by Spark, names those of the attempts that succeeded, and readers go by that table alone.
+An archive starts with a skippable frame that holds its dictionary, built from pieces spread evenly over the archive's own
+records; every record after it is a frame of its own, so that a reader can start at any record. Archives are rolled at a
+size and held in memory until then, so memory and files are bounded whatever a partition holds; only a record longer than
+that is an archive of its own size. Files lie in the shared folder under names of their own; the table of archives, written
+by Spark, names those of the attempts that succeeded, and readers go by that table alone.
 """
 
 from __future__ import annotations
@@ -25,10 +26,14 @@ from .common import Scratch
 #: Format constants: a skippable frame for dictionaries, and the formats' own magic numbers.
 SKIPPABLE, DICTIONARY, FRAME = 0x184D2A5D, b"\x37\xa4\x30\xec", b"\x28\xb5\x2f\xfd"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Production parameters of op4: records a dictionary is built from (bytes), its size, bytes of an archive, level, least payload of a revisit.
-SAMPLE_BYTES, DICTIONARY_BYTES, ROLL_BYTES, LEVEL, LEAST_BYTES = 2_000_000, 65_536, 64_000_000, 3, 0
+#: Production parameters of op4: bytes that a dictionary is built from, in pieces of, its size, bytes of an archive's records,
+#: level, least payload of a revisit.
+SAMPLE_BYTES, PIECE_BYTES, DICTIONARY_BYTES, ROLL_BYTES, LEVEL, LEAST_BYTES = 2_000_000, 4_096, 65_536, 32_000_000, 3, 0
 DATE = "2024-01-01T00:00:00Z"
 
+#: Tasks that read archives at most.
+MOST_TASKS = 20_000
+
 ARCHIVES = T.StructType([T.StructField("path", T.StringType()), T.StructField("records", T.LongType()), T.StructField("bytes", T.LongType()), T.StructField("dictionary_bytes", T.LongType())])
 RECORDS = T.StructType([
     T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("payload_bytes", T.LongType()),
@@ -37,24 +42,29 @@ RECORDS = T.StructType([
 ])
 
 
-def record_id(page: int | None) -> str:
-    return f"<urn:page:{'none' if page is None else page}>"
+def record_id(page: int | None, digest: str, copy: str = "") -> str:
+    """The identifier of a page's record; `copy` tells records of one page and payload apart."""
+    return f"<urn:page:{'none' if page is None else page}:{digest}{copy and ':' + copy}>"
 
 
 def page_of(identifier: str) -> int | None:
-    tail = identifier.strip("<>").rpartition(":")[2]
-    return None if tail == "none" else int(tail)
+    page = identifier.strip("<>").split(":")[2]
+    return None if page == "none" else int(page)
+
 
+def record(page: int | None, url: str | None, payload: bytes, digest: str, first: int | None, repeated: bool = False) -> bytes:
+    """One record: a response with its payload, or a revisit of the response of page `first`.
 
-def record(page: int | None, url: str | None, payload: bytes, digest: str, first: int | None) -> bytes:
-    """One record: a response with its payload, or a revisit of the response of page `first`."""
+    A record whose page and payload are those of others too has an identifier of its own beyond them.
+    """
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if first is not None else http + payload
     target = None if url is None else re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
+    own = record_id(page, digest, uuid.uuid4().hex if repeated or page is None else "")
     head = [
-        "WARC/1.1", f"WARC-Type: {'response' if first is None else 'revisit'}", f"WARC-Record-ID: {record_id(page)}", f"WARC-Date: {DATE}",
+        "WARC/1.1", f"WARC-Type: {'response' if first is None else 'revisit'}", f"WARC-Record-ID: {own}", f"WARC-Date: {DATE}",
         *([f"WARC-Target-URI: {target}"] if target is not None else []), f"WARC-Payload-Digest: sha1:{digest}",
-        *([f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(first)}"] if first is not None else []),
+        *([f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(first, digest)}"] if first is not None else []),
         "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -64,62 +74,60 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-class Archive:
-    """One archive file being written."""
-
-    def __init__(self, folder: str, sample: list[bytes]):
-        import zstandard
-        from pyarrow.fs import FileSystem
-
-        self.path = f"{folder}/{uuid.uuid4().hex}.warc.zst"
-        system, path = FileSystem.from_uri(self.path)
-        system.create_dir(path.rpartition("/")[0], recursive=True)
-        # Frames are written here: the stream must not compress by the file's name.
-        self.file, self.records, self.bytes, dictionary = system.open_output_stream(path, compression=None), 0, 0, None
-        try:
-            dictionary = zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, sum(map(len, sample)) // 8)), sample, k=512, d=8)
-        except zstandard.ZstdError:
-            pass  # too few records to build one: the format allows an archive without
-        raw = dictionary.as_bytes() if dictionary else b""
-        self.dictionary_bytes = len(raw)
-        self.compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_checksum=True)
-        if raw:
-            packed = zstandard.ZstdCompressor(level=LEVEL).compress(raw)
-            self.write(struct.pack("<II", SKIPPABLE, len(packed)) + packed)
-        for one in sample:
-            self.add(one)
-
-    def write(self, data: bytes) -> None:
-        self.file.write(data)
-        self.bytes += len(data)
-
-    def add(self, one: bytes) -> None:
-        self.write(self.compressor.compress(one))
-        self.records += 1
-
-    def close(self) -> tuple[str, int, int, int]:
-        self.file.close()
-        return self.path, self.records, self.bytes, self.dictionary_bytes
+def dictionary_of(records: list[bytes]):
+    """A dictionary from pieces spread evenly over the records' bytes.
+
+    Few or short records are not enough to build one from: a record's usual head and as many copies as it takes help then.
+    """
+    import zstandard
+
+    step = max(PIECE_BYTES, -(-sum(map(len, records)) // SAMPLE_BYTES) * PIECE_BYTES)
+    pieces, skip = [], 0
+    for one in records:
+        while skip < len(one):
+            pieces.append(one[skip : skip + PIECE_BYTES])
+            skip += step
+        skip -= len(one)
+    total = sum(map(len, pieces))
+    if len(pieces) < 16 or total < 16_384:
+        pieces.append(record(None, None, b"", base32_sha1(b""), None))
+        pieces *= max(1, -(-16 // len(pieces)), -(-16_384 // sum(map(len, pieces))))
+    return zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, total // 8)), pieces, k=512, d=8)
+
+
+def write_archive(records: list[bytes], folder: str) -> tuple[str, int, int, int]:
+    """An archive of these records as a row of ARCHIVES."""
+    import zstandard
+    from pyarrow.fs import FileSystem
+
+    uri = f"{folder}/{uuid.uuid4().hex}.warc.zst"
+    system, path = FileSystem.from_uri(uri)
+    system.create_dir(path.rpartition("/")[0], recursive=True)
+    dictionary = dictionary_of(records)
+    raw = dictionary.as_bytes()
+    compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_checksum=True)
+    packed = zstandard.ZstdCompressor(level=LEVEL).compress(raw)
+    size = 8 + len(packed)
+    # Frames are written here: the stream must not compress by the file's name.
+    with system.open_output_stream(path, compression=None) as file:
+        file.write(struct.pack("<II", SKIPPABLE, len(packed)) + packed)
+        for one in records:
+            frame = compressor.compress(one)
+            file.write(frame)
+            size += len(frame)
+    return uri, len(records), size, len(raw)
 
 
 def write_archives(records: Iterator[bytes], folder: str, roll: int = ROLL_BYTES) -> Iterator[tuple[str, int, int, int]]:
-    archive, sample, size = None, [], 0
+    held, size = [], 0
     for one in records:
-        if archive is None:
-            sample.append(one)
-            size += len(one)
-            if size < SAMPLE_BYTES:
-                continue
-            archive, sample, size = Archive(folder, sample), [], 0
-        else:
-            archive.add(one)
-        if archive.bytes >= roll:
-            yield archive.close()
-            archive = None
-    if sample:
-        archive = Archive(folder, sample)
-    if archive:
-        yield archive.close()
+        if held and size + len(one) > roll:
+            yield write_archive(held, folder)
+            held, size = [], 0
+        held.append(one)
+        size += len(one)
+    if held:
+        yield write_archive(held, folder)
 
 
 def frames(path: str) -> Iterator[bytes]:
@@ -171,20 +179,28 @@ def archived(pages: DataFrame, folder: str | None = None, least: int = LEAST_BYT
     The payload is the html in UTF-8, a null one is empty. Of records with equal payloads of at least `least` bytes that
     with the smallest id is the response and the others revisit it; repeated rows of that id are responses too. Rows
     without an id are responses unless an equal payload has one. Other columns are ignored; an empty table writes none.
+
+    Copies are found in a table of ids and digests alone; payloads move once, by id and digest, so that a payload that many
+    pages share is no key of its own.
     """
     scratch = Scratch(pages.sparkSession, "warc")
     folder = folder or f"{scratch.path}/archives"
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("sha1", F.sha1("payload"))
-    heads = rows.where(F.octet_length("payload") >= least).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies"))
-    heads = heads.where("copies > 1 AND first IS NOT NULL").select("sha1", "first")
-    told = rows.join(heads, "sha1", "left").select("page_id", "url", "payload", "sha1", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("first"))
+    ids = rows.groupBy("page_id", "sha1").agg(F.count(F.lit(1)).alias("copies"), F.first(F.octet_length("payload")).alias("size"))
+    ids = scratch.save(ids, "ids")
+    heads = ids.where(F.col("size") >= least).groupBy("sha1").agg(F.min("page_id").alias("first"), F.sum("copies").alias("all")).where("all > 1 AND first IS NOT NULL")
+    first = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
+    told = ids.join(heads, "sha1", "left").select(F.col("page_id").alias("_page"), F.col("sha1").alias("_sha1"), first.alias("first"), (F.col("copies") > 1).alias("repeated"))
+    told = told.where("first IS NOT NULL OR repeated")
+    told = rows.join(told, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("sha1") == F.col("_sha1")), "left")
+    told = told.select("page_id", "url", "payload", "sha1", "first", F.coalesce("repeated", F.lit(False)).alias("repeated"))
 
     def lines(batches):
         for batch in batches:
-            columns = [batch.column(c) for c in ("page_id", "url", "payload", "sha1", "first")]
-            for page, url, payload, sha1, first in zip(*columns, strict=True):
-                yield record(page.as_py(), url.as_py(), payload.as_py(), base64.b32encode(bytes.fromhex(sha1.as_py())).decode(), first.as_py())
+            columns = [batch.column(c) for c in ("page_id", "url", "payload", "sha1", "first", "repeated")]
+            for page, url, payload, sha1, first, again in zip(*columns, strict=True):
+                yield record(page.as_py(), url.as_py(), payload.as_py(), base64.b32encode(bytes.fromhex(sha1.as_py())).decode(), first.as_py(), again.as_py())
 
     def run(batches):
         for row in write_archives(lines(batches), folder):
@@ -194,7 +210,11 @@ def archived(pages: DataFrame, folder: str | None = None, least: int = LEAST_BYT
 
 
 def read_archives(archives: DataFrame, keep_payload: bool = True) -> DataFrame:
-    """The records of a table of archives, a file at a time in each task; RECORDS, without payloads if not kept."""
+    """The records of a table of archives; RECORDS, without payloads if not kept. Repeated archives are read as often.
+
+    Archives are dealt evenly over as many tasks as there are archives, MOST_TASKS at most; a task reads its own one after
+    the other. An empty table gives no rows; a cut or damaged archive is an error.
+    """
     schema = RECORDS if keep_payload else T.StructType(RECORDS.fields[:-1])
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.binary()][: len(schema)]
 
@@ -211,7 +231,7 @@ def read_archives(archives: DataFrame, keep_payload: bool = True) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=schema.names)
 
-    return archives.select("path").repartition("path").mapInArrow(run, schema)
+    return archives.select("path").repartition(min(MOST_TASKS, max(1, archives.count()))).mapInArrow(run, schema)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

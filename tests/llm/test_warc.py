@@ -3,8 +3,10 @@ import glob
 import hashlib
 import struct
 
+import numpy as np
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from tessera.llm.warc import SKIPPABLE, archived, frames, op4, read_archives, read_record, record, write_archives
 
@@ -36,6 +38,64 @@ def test_archives_roll_and_start_with_their_dictionary(tmp_path):
     assert [d for r in table for d in frames(r[0])] == records
 
 
+def dictionary_bytes(path):
+    raw = open(path.removeprefix("file://"), "rb").read()
+    head = zstandard.ZstdDecompressor().decompress(raw[8 : 8 + struct.unpack("<I", raw[4:8])[0]])
+    return zstandard.ZstdCompressionDict(head).as_bytes()
+
+
+@pytest.mark.parametrize("number", [1, 2, 3, 5, 8, 200])
+@pytest.mark.parametrize("body", [b"", b"x", b"<p>some words of a page</p>" * 30, b"\0" * 5000])
+def test_every_archive_has_a_dictionary(tmp_path, number, body):
+    records = [record(i, None, body, digest(body), None) for i in range(number)]
+    [(path, n, _, size)] = write_archives(iter(records), f"file://{tmp_path}")
+    assert n == number and size > 0 and len(dictionary_bytes(path)) == size and list(frames(path)) == records
+
+
+def test_dictionary_of_an_archive_with_a_long_first_record(tmp_path):
+    """Samples are spread over the archive: a long first record leaves room for the others."""
+    words = [b"<td class='cell wide'>", b"</td></tr>", b"a phrase that every record has"]
+    records = [record(0, None, bytes(np.random.RandomState(1).bytes(2_100_000)), "A" * 32, None)]
+    records += [record(i, None, b"".join(words) + str(i).encode(), "A" * 32, None) for i in range(1, 5001)]
+    [(path, n, _, size)] = write_archives(iter(records), f"file://{tmp_path}")
+    assert n == 5001 and size > 0 and words[2] in dictionary_bytes(path) and list(frames(path)) == records
+    plain = sum(len(zstandard.compress(r, 3)) for r in records[1:])
+    own = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary_bytes(path)))
+    assert sum(len(own.compress(r)) for r in records[1:]) < plain / 2
+
+
+def test_a_record_beyond_the_roll_is_whole(tmp_path):
+    records = [b"a" * 10, b"b" * 100_000, b"c" * 10]
+    table = list(write_archives(iter(records), f"file://{tmp_path}", roll=1000))
+    assert [r[1] for r in table] == [1, 1, 1] and [d for r in table for d in frames(r[0])] == records
+
+
+def test_archives_are_read_by_many_tasks(spark, tmp_path):
+    rows = [(row[0],) for k in range(64) for row in write_archives(iter([record(k, None, b"x", digest(b"x"), None)]), f"file://{tmp_path}")]
+    found = read_archives(spark.createDataFrame(rows, "path string"))
+    assert found.rdd.getNumPartitions() == 64 and {r["page_id"] for r in found.collect()} == set(range(64))
+    parts = found.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert parts > 30
+
+
+def test_record_ids_are_unique(spark, tmp_path):
+    pages = spark.createDataFrame(ROWS, "page_id long, url string, html string, sha1 long")
+    paths = [r["path"] for r in archived(pages, f"file://{tmp_path}").collect()]
+    heads = [dict(line.split(": ", 1) for line in data.partition(b"\r\n\r\n")[0].decode().split("\r\n")[1:]) for p in paths for data in frames(p)]
+    ids = [h["WARC-Record-ID"] for h in heads]
+    assert len(set(ids)) == len(ids) == len(ROWS)
+    assert {h["WARC-Refers-To"] for h in heads if "WARC-Refers-To" in h} <= {h["WARC-Record-ID"] for h in heads if h["WARC-Type"] == "response"}
+
+
+def test_a_payload_of_most_pages(spark):
+    """A third of all pages and more share a payload, another third has none."""
+    rows = [(i, "u", ("<p>common</p>", None, f"own {i}")[i % 3]) for i in range(3000)]
+    found = {r["page_id"]: r for r in read_archives(archived(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7))).collect()}
+    assert len(found) == 3000
+    for i in range(3000):
+        assert found[i]["refers_to"] == (None if i < 2 or i % 3 == 2 else i % 3)
+
+
 def test_cut_archive_is_an_error(tmp_path):
     [(path, *_)] = write_archives(iter([b"some record " * 50]), f"file://{tmp_path}")
     raw = open(path.removeprefix("file://"), "rb").read()
