@@ -51,27 +51,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+#: Places in a word whose byte values are tabulated.
+PLACES = 64
+
+
+def place_value(byte: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A 64-bit number for a byte (A-Z as a-z) at a place of a word."""
+    lower = np.where((byte >= 65) & (byte <= 90), byte + 32, byte).astype(np.uint64)
+    return mix(mix(place.astype(np.uint64) * np.uint64(256) + lower + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def _tables() -> tuple[np.ndarray, np.ndarray]:
-    values = np.random.RandomState(7).randint(0, 2**63 - 1, 256, dtype=np.int64).astype(np.uint64) | np.uint64(1)
-    lower = np.arange(256)
-    lower[65:91] += 32
+    place, byte = np.divmod(np.arange(PLACES * 256), 256)
     solid = np.ones(256, bool)
     solid[[9, 10, 11, 12, 13, 32]] = False
-    return values[lower], solid
+    return place_value(byte, place), solid
 
 
-BYTE_VALUES, SOLID = _tables()
-#: An odd multiplier and its inverse modulo 2**64: word hashes are polynomials over the word's bytes.
-STEP, BACK = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)
+VALUES, SOLID = _tables()
 BLOCK_BYTES = 1 << 20
 
 
-def powers(base: int, number: int) -> np.ndarray:
-    out = np.full(number, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All UTF-8 bytes of an Arrow string array, and where each text starts and the last one ends. Null is empty."""
     if texts.null_count:
@@ -97,28 +97,33 @@ def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z, and each text's word count. Null is empty."""
+    """64-bit hashes of the words `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z, and each text's word count. Null is empty.
+
+    A word's hash sums a number for each byte and its place, so that no two words collide by their form.
+    """
     data, at = text_bytes(texts)
     starts, ends = word_spans(data, at)
     sizes = np.diff(np.searchsorted(starts, at))
-    out = np.empty(len(starts), np.uint64)
-    k, up, down = 0, powers(STEP, 0), powers(BACK, 0)
+    out, k = np.empty(len(starts), np.uint64), 0
     while k < len(starts):
         stop = max(k + 1, int(np.searchsorted(ends, starts[k] + BLOCK_BYTES, "right")))
         low, high = starts[k], ends[stop - 1]
-        if high - low > len(up):
-            up, down = powers(STEP, high - low), powers(BACK, high - low)
-        sums = np.zeros(high - low + 1, np.uint64)
-        np.cumsum(BYTE_VALUES[data[low:high]] * up[: high - low], out=sums[1:])
         begin, end = starts[k:stop] - low, ends[k:stop] - low
-        out[k:stop] = (sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64)
+        own = data[low:high].astype(np.int64)
+        place = np.arange(high - low) - np.repeat(begin, np.diff(np.append(begin, high - low)))
+        far = np.flatnonzero(place >= PLACES) if int((end - begin).max()) > PLACES else place[:0]
+        values = VALUES[np.minimum(place, PLACES - 1) * 256 + own]
+        values[far] = place_value(own[far], place[far])
+        sums = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(values, out=sums[1:])
+        out[k:stop] = sums[end] - sums[begin] + (end - begin).astype(np.uint64)
         k = stop
     return mix(out), sizes
 
 
 def shingle_hashes(words: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of every run of `width` words, text by text; a shorter non-empty text is one shingle. Repeats stay."""
-    powers = mix(np.arange(1, width + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    factors = mix(np.arange(1, width + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
     stops = np.cumsum(sizes)
     starts = stops - sizes
     counts = np.where(sizes >= width, sizes - width + 1, np.minimum(sizes, 1))
@@ -127,7 +132,7 @@ def shingle_hashes(words: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np
         return out, counts
     run = np.zeros(max(len(words) - width + 1, 0), np.uint64)
     for k in range(width):
-        run += words[k : k + len(run)] * powers[k]
+        run += words[k : k + len(run)] * factors[k]
     at = np.cumsum(counts) - counts
     long = np.flatnonzero(sizes >= width)
     if len(long):
@@ -140,7 +145,7 @@ def shingle_hashes(words: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np
         out[np.cumsum(fill[:-1]) > 0] = run[np.cumsum(keep[:-1]) > 0]
     for i in np.flatnonzero((sizes > 0) & (sizes < width)):
         own = words[starts[i] : stops[i]]
-        out[at[i]] = (own * powers[: len(own)]).sum(dtype=np.uint64) + np.uint64(len(own))
+        out[at[i]] = (own * factors[: len(own)]).sum(dtype=np.uint64) + np.uint64(len(own))
     return mix(out), counts
 
 

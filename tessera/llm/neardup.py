@@ -5,10 +5,14 @@ from either collection, so that 2 * tables * width minhashes serve tables ** 2 t
 key unless all small hashes of a collection differ: with 9 tables of width 2 a link at 0.85 is missed with probability
 2e-5, one at 0.9 with 6e-7.
 
-Equal sets are one class from the start. Texts that share a key are joined to the key's smallest class, never to each
-other, and the components of these links hold every link. Inside a component the pairs are compared in blocks of bounded
-size: a prefix filter over rare shingles first finds partners, full sets then decide, and only the links that join
-two groups are emitted, so that the output never exceeds the number of texts.
+Equal sets are one class from the start. Texts that share a key are joined to the key's smallest class, its head, never to
+each other, and the components of these links, the clusters, hold every link. Links are then confirmed on full sets in two
+ways. First, round by round, each text of a cluster that isn't one group yet is held against one more of its heads; what
+links is one group from then on. Near copies of one text end here, at a cost in proportion to their number. Then, in clusters
+that are still several groups, all texts outside a cluster's largest group are compared with all of the cluster, in blocks of
+bounded size: a prefix filter over rare shingles finds partners, full sets decide, and only the links that join two groups
+are emitted, so that the output never exceeds the number of texts. This last part is the one whose work is not in proportion
+to the rows: texts that are close to a large group of near copies and link with none of it meet all of it, a block at a time.
 """
 
 from __future__ import annotations
@@ -27,8 +31,10 @@ from .common import Scratch, components, in_chunks, shingle_hashes, word_hashes
 SHINGLE, TABLES, WIDTH = 5, 9, 2
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Shingles in a block of a component; two blocks are in memory at once.
+#: Shingles in a block of a cluster; two blocks are in memory at once.
 BLOCK = 1_000_000
+#: Heads that a text is held against one by one at most, and texts that are held against one head in one task.
+ROUNDS, SHARE = 4, 5_000
 
 SIGNATURES = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()),
@@ -109,8 +115,10 @@ class Forest:
         return i != j
 
 
-def links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Pairs of sets that link, as a spanning forest: every link lies inside a tree. side 2: pairs of 0 with 1 only count.
+def links(sets: list[np.ndarray], side: np.ndarray, percent: int, groups: list[int] | None = None) -> list[tuple[int, int]]:
+    """Pairs of sets that link, as a spanning forest: every link lies inside a tree. With sides, pairs of 0 with 1 only count.
+
+    Sets of one of the `groups` are known to be in one tree, and no links among them are emitted.
 
     Two sets that link share a shingle among the rarest of either: with t = percent / 100, a set of n shingles can spare
     n - ceil(t n) of them. Postings over those prefixes give partners, full sets decide.
@@ -118,7 +126,7 @@ def links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[
     n = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
     out: list[tuple[int, int]] = []
-    if n == 2:
+    if n == 2 and groups is None:
         common = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
         return [(0, 1)] if enough(np.int64(common), sizes[0], sizes[1], percent) else []
     _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -129,6 +137,9 @@ def links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[
     rank = order[token]
     postings: dict[int, list[int]] = {}
     forest, seen = Forest(n), np.zeros(len(count), bool)
+    last: dict[int, int] = {}
+    for i, group in enumerate(groups or ()):
+        forest.join(i, last.setdefault(group, i))
     rare = int((count == 1).sum())  # ranks below have no partner
     for i in np.argsort(sizes, kind="stable").tolist():
         own = np.sort(rank[starts[i] : stops[i]])
@@ -164,56 +175,143 @@ def links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[
 
 def block_links(batches, percent: int):
     """Rows sorted by their block pair: links of each pair. A pair of blocks is in memory at a time."""
-    key, ids, sides, sets = None, [], [], []
+    key, ids, sides, groups, sets = None, [], [], [], []
 
     def close():
-        if len(ids) < 2:
+        if len(set(groups)) < 2:
             return None
         side = np.array(sides) if key[1] != key[2] else None
-        found = links(sets, side, percent)
+        found = links(sets, side, percent, groups)
         return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in found], pa.int64()), pa.array([ids[j] for _, j in found], pa.int64())], names=["a", "b"]) if found else None
 
     for batch in batches:
-        cluster, first, second, side, cls = (batch.column(c).to_pylist() for c in ("cluster", "first", "second", "side", "cls"))
+        cluster, first, second, side, cls, group = (batch.column(c).to_pylist() for c in ("cluster", "first", "second", "side", "cls", "group"))
         blob = batch.column("shingles")
         for k in range(batch.num_rows):
             now = (cluster[k], first[k], second[k])
             if now != key:
                 if (done := close()) is not None:
                     yield done
-                key, ids, sides, sets = now, [], [], []
+                key, ids, sides, groups, sets = now, [], [], [], []
             ids.append(cls[k])
             sides.append(side[k])
+            groups.append(group[k])
             sets.append(np.frombuffer(blob[k].as_buffer(), np.uint64).copy())
     if (done := close()) is not None:
         yield done
 
 
 def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    schema = T.StructType([T.StructField("cluster", T.LongType()), T.StructField("cls", T.LongType()), T.StructField("block", T.LongType()), T.StructField("shingles", T.BinaryType())])
+    """The sets of texts: cls, shingles (64-bit hashes in order)."""
+    schema = T.StructType([T.StructField("cls", T.LongType()), T.StructField("shingles", T.BinaryType())])
 
     def run(batches):
         for part in in_chunks(batches, "text"):
             sets = [s.tobytes() for s in distinct_sets(part.column("text"), shingle)]
-            yield pa.RecordBatch.from_arrays([part.column("cluster"), part.column("cls"), part.column("block"), pa.array(sets, pa.binary())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([part.column("cls"), pa.array(sets, pa.binary())], names=schema.names)
+
+    return docs.select("cls", "text").mapInArrow(run, schema)
+
 
-    return docs.select("cluster", "cls", "block", "text").mapInArrow(run, schema)
+def held_against(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that link by their full sets. Many texts share a b: it goes to each SHARE of them."""
+    shares = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / F.lit(SHARE)).cast("int").alias("shares"))
+    dealt = pairs.join(shares, "b").select("a", "b", "shares", F.pmod(F.xxhash64("a"), F.col("shares")).cast("int").alias("share"))
+    mine = sets.join(dealt.select(F.col("a").alias("cls"), "b", "share"), "cls").select(F.col("cls").alias("a"), "b", "share", "shingles")
+    theirs = shares.select(F.col("b").alias("cls"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    theirs = sets.join(theirs, "cls").select(F.col("cls").alias("b"), "share", F.col("shingles").alias("other"))
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for k in range(batch.num_rows):
+                x, y = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint64) for c in ("shingles", "other"))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(bool(enough(np.int64(common), len(x), np.int64(len(y)), percent)))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    return mine.join(theirs, ["b", "share"]).select("a", "b", "shingles", "other").mapInArrow(run, "a long, b long")
 
-def blocks_of(members: DataFrame, percent: int, block: int) -> tuple[DataFrame, DataFrame]:
-    """Cut components into blocks of about `block` shingles by size: members with block; pairs of blocks that can link.
 
-    Sizes are counted per component and size, and a running sum over that histogram places each size; the members of one
-    size spread over its share by a hash. A component below the bound is one block.
+def grouped(members: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """`members` (cluster, cls, n) of clusters that are not one group, with their group: cluster, cls, n, group."""
+    if groups is None:
+        found = members.select("cluster", "cls", "n", F.col("cls").alias("group"))
+    else:
+        found = members.join(groups.select(F.col("node").alias("cls"), "component"), "cls", "left").select("cluster", "cls", "n", F.coalesce("component", "cls").alias("group"))
+    open_ = found.groupBy("cluster").agg(F.min("group").alias("least"), F.max("group").alias("most")).where("least < most").select("cluster")
+    return found.join(open_, "cluster", "left_semi")
+
+
+def blocks_of(members: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Cut open clusters into blocks of about `block` shingles by size: members with block; what each block holds.
+
+    The texts of a cluster's largest group have blocks below 0, all others from 0 on; a cluster below the bound is one
+    block, 0. Sizes are counted per cluster, part and size, and a running sum over that histogram places each size; the
+    members of one size spread over its share by a hash.
     """
-    sizes = members.groupBy("cluster", "n").agg(F.count(F.lit(1)).alias("c"))
-    before = Window.partitionBy("cluster").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("cluster")
-    sizes = sizes.withColumn("before", F.coalesce(F.sum(F.col("c") * F.col("n")).over(before), F.lit(0))).withColumn("whole", F.sum(F.col("c") * F.col("n")).over(whole))
+    counts = members.groupBy("cluster", "group").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("whole"))
+    largest = counts.groupBy("cluster").agg(F.max(F.struct(F.col("c"), -F.col("group")))["col2"].alias("_most"), F.sum("whole").alias("whole"))
+    members = members.join(largest, "cluster").withColumn("low", (F.col("group") == -F.col("_most")) & (F.col("whole") > 2 * block))
+    sizes = members.groupBy("cluster", "low", "n").agg(F.count(F.lit(1)).alias("c"))
+    before = Window.partitionBy("cluster", "low").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("before", F.coalesce(F.sum(F.col("c") * F.col("n")).over(before), F.lit(0)))
     own = F.floor((F.col("before") + F.pmod(F.xxhash64("cls"), F.col("c")) * F.col("n")) / F.lit(block)).cast("long")
-    placed = members.join(sizes, ["cluster", "n"]).withColumn("block", F.when(F.col("whole") <= 2 * block, F.lit(0).cast("long")).otherwise(own))
+    number = F.when(F.col("whole") <= 2 * block, F.lit(0).cast("long")).when(F.col("low"), -1 - own).otherwise(own)
+    placed = members.join(sizes, ["cluster", "low", "n"]).withColumn("block", number)
     ranges = placed.groupBy("cluster", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count(F.lit(1)).alias("texts"))
-    return placed.select("cluster", "cls", "n", "block"), ranges
+    return placed.select("cluster", "cls", "n", "group", "block"), ranges
+
+
+def block_pairs(ranges: DataFrame, percent: int) -> DataFrame:
+    """Pairs of blocks that can link: cluster, first (0 or more), second."""
+    left = ranges.where("block >= 0").select("cluster", F.col("block").alias("first"), F.col("least").alias("least_1"), F.col("most").alias("most_1"), F.col("texts").alias("texts_1"))
+    right = ranges.select("cluster", F.col("block").alias("second"), F.col("least").alias("least_2"), F.col("most").alias("most_2"))
+    near = (100 * F.col("most_1") >= percent * F.col("least_2")) & (100 * F.col("most_2") >= percent * F.col("least_1"))
+    each = (F.col("second") < 0) | (F.col("first") < F.col("second")) | ((F.col("first") == F.col("second")) & (F.col("texts_1") > 1))
+    return left.join(right, "cluster").where(near & each).select("cluster", "first", "second")
+
+
+def compared(placed: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The sets of every pair of blocks, a pair in one task."""
+    roles = pairs.select("cluster", "first", "second", F.explode(F.when(F.col("first") == F.col("second"), F.array(F.col("first"))).otherwise(F.array("first", "second"))).alias("block"))
+    rows = sets.join(placed, "cls").join(roles, ["cluster", "block"]).withColumn("side", (F.col("block") == F.col("second")).cast("int"))
+    dealt = rows.repartition("cluster", "first", "second").sortWithinPartitions("cluster", "first", "second", "cls")
+    return dealt.select("cluster", "first", "second", "side", "cls", "group", "shingles")
+
+
+def confirmed(scratch: Scratch, docs: DataFrame, classes: DataFrame, shared: DataFrame, percent: int, shingle: int, block: int) -> DataFrame | None:
+    """The groups of linked classes, (node, component), among classes that share a key with a head: shared (a, b). None if none link."""
+    clusters = components(scratch, shared, "shared")
+    if clusters is None:
+        return None
+    members = scratch.save(clusters.select(F.col("node").alias("cls"), F.col("component").alias("cluster")).join(classes.select("cls", "n"), "cls"), "members")
+    sets = scratch.save(full_sets(docs.join(members.select("cls"), F.col("doc_id") == F.col("cls")), shingle), "sets")
+    groups, open_, edges, tried = None, members, [], []
+    for k in range(ROUNDS):
+        left = shared if k == 0 else shared.join(open_.select(F.col("cls").alias("a"), "group"), "a").join(open_.select(F.col("cls").alias("b"), F.col("group").alias("other")), "b").where("group <> other").select("a", "b")
+        for old in tried:
+            left = left.join(old, ["a", "b"], "left_anti")
+        now = scratch.save(left.groupBy("a").agg(F.min("b").alias("b")), f"pairs{k}")
+        if now.isEmpty():
+            break
+        tried.append(now)
+        edges.append(scratch.save(held_against(now, sets, percent), f"links{k}"))
+        groups = components(scratch, union(edges), f"groups{k}")
+        open_ = scratch.save(grouped(members, groups), f"open{k}")
+        if open_.isEmpty():
+            return groups
+    placed, ranges = blocks_of(open_, block)
+    placed, ranges = scratch.save(placed, "placed"), scratch.save(ranges, "ranges")
+    last = compared(placed, block_pairs(ranges, percent), sets).mapInArrow(lambda batches: block_links(batches, percent), "a long, b long")
+    return components(scratch, union([*edges, scratch.save(last, "last")]), "linked")
+
+
+def union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for other in tables[1:]:
+        out = out.unionByName(other)
+    return out
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, tables: int = TABLES, width: int = WIDTH, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -235,21 +333,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     keys = classes.select("cls", F.posexplode("left").alias("i", "l"), "right").select("cls", "i", "l", F.posexplode("right").alias("j", "r")).select("cls", F.xxhash64("i", "l", "j", "r").alias("key"))
     heads = keys.groupBy("key").agg(F.min("cls").alias("head"), F.max("cls").alias("last")).where("head < last").select("key", "head")
     shared = keys.join(heads, "key").where("cls <> head").select(F.col("cls").alias("a"), F.col("head").alias("b")).distinct()
-    groups = components(scratch, shared, "shared")
-    joined = None
-    if groups is not None:
-        members = scratch.save(groups.select(F.col("node").alias("cls"), F.col("component").alias("cluster")).join(classes.select("cls", "n"), "cls"), "members")
-        placed, ranges = blocks_of(members, percent, block)
-        placed, ranges = scratch.save(placed, "placed"), scratch.save(ranges, "ranges")
-        left = ranges.select("cluster", F.col("block").alias("first"), F.col("most").alias("most_1"), F.col("texts").alias("texts_1"))
-        right = ranges.select("cluster", F.col("block").alias("second"), F.col("least").alias("least_2"), "texts")
-        pairs = left.join(right, "cluster").where((F.col("first") <= F.col("second")) & (100 * F.col("most_1") >= percent * F.col("least_2")) & ((F.col("first") < F.col("second")) | (F.col("texts") > 1)))
-        roles = pairs.select("cluster", "first", "second", F.explode(F.when(F.col("first") == F.col("second"), F.array(F.col("first"))).otherwise(F.array("first", "second"))).alias("block"))
-        texts = docs.join(placed.select("cluster", "cls", "block"), F.col("doc_id") == F.col("cls"))
-        sets = full_sets(texts, shingle).join(roles, ["cluster", "block"]).withColumn("side", (F.col("block") == F.col("second")).cast("int"))
-        dealt = sets.repartition("cluster", "first", "second").sortWithinPartitions("cluster", "first", "second", "cls")
-        linked = dealt.select("cluster", "first", "second", "side", "cls", "shingles").mapInArrow(lambda batches: block_links(batches, percent), "a long, b long")
-        joined = components(scratch, linked, "linked")
+    shared = scratch.save(shared, "shared")
+    joined = confirmed(scratch, docs, classes, shared, percent, shingle, block)
     classes = classes.select("set_a", "set_b", "cls")
     if joined is not None:
         classes = classes.join(joined.select(F.col("node").alias("cls"), "component"), "cls", "left").select("set_a", "set_b", F.coalesce("component", "cls").alias("component"))

@@ -81,3 +81,17 @@ def test_components_against_union_find(spark):
     found = components(Scratch(spark, "test"), spark.createDataFrame(edges, "a long, b long"), "t")
     assert {(r["node"], r["component"]) for r in found.collect()} == {(x, root(x)) for x in up}
     assert components(Scratch(spark, "test"), spark.createDataFrame([], "a long, b long"), "t") is None
+
+
+def test_words_of_one_form_don_t_collide():
+    """Texts on which sums of powers of any odd number collide modulo 2 ** 64, and long words that differ in one letter."""
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate({97: 98, 98: 97})
+        if len(word) >= 16:
+            own, other = word_hashes(pa.array([word, word.translate({97: 98, 98: 97})]))[0].tolist()
+            assert own != other
+    words = [*("x" * k + "y" + "x" * (199 - k) for k in range(200)), "x" * 199, "x" * 200, "x" * 201]
+    assert len(set(word_hashes(pa.array(words))[0].tolist())) == len(words)
+    assert word_hashes(pa.array(["Zx" * 100]))[0][0] == word_hashes(pa.array(["zX" * 100]))[0][0]
+    assert len(set(word_hashes(pa.array(["ab ba abab baba aabb bbaa"]))[0].tolist())) == 6

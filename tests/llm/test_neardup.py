@@ -3,6 +3,7 @@ import re
 import numpy as np
 from cases import docs, empty
 
+from tessera.llm import neardup
 from tessera.llm.neardup import links, near_duplicates, op8
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -76,6 +77,38 @@ def test_copies_of_copies(spark):
     check(spark, rows, block=600)  # many blocks and block pairs
 
 
+def near_copies(number, seed=5, outliers=False):
+    """Near copies of one size, each with two words of its own; with outliers, one in twenty has four. The text that they are made from is none of them."""
+    random = np.random.RandomState(seed)
+    base = [f"w{k}" for k in range(300)]
+    return [(i, edited(random, base, 4 if outliers and i % 20 == 7 else 2)) for i in range(number)]
+
+
+def test_work_follows_rows_in_a_group_of_near_copies(spark, monkeypatch):
+    """Twice the near copies, about twice the sets that are compared, though a block holds three texts."""
+    work = {}
+    for number in (150, 300, 600):
+        seen = work[number] = []
+        for name in ("held_against", "compared"):
+            def counted(first, *rest, plain=getattr(neardup, name), seen=seen, name=name):
+                out = plain(first, *rest)
+                seen.append((first if name == "held_against" else out).count())
+                return out
+
+            monkeypatch.setattr(neardup, name, counted)
+        found = near_duplicates(docs(spark, near_copies(number)), block=1000).collect()
+        monkeypatch.undo()
+        assert {r["component_id"] for r in found} == {0}
+    assert sum(work[300]) < 2.5 * sum(work[150]) and sum(work[600]) < 2.5 * sum(work[300]), work
+    assert sum(work[600]) < 2 * 600, work
+
+
+def test_near_copies_in_many_blocks(spark):
+    """Outliers of a cluster meet all of it, wherever its blocks are cut."""
+    for seed, block in ((1, 1000), (2, 3000), (3, 10**6)):
+        check(spark, near_copies(120, seed, True) + [(1000 + i, t) for i, t in near_copies(40, seed + 10, True)], block=block)
+
+
 def test_links_hold_every_link():
     random = np.random.RandomState(9)
     base = random.randint(0, 10**9, 60).astype(np.uint64)
