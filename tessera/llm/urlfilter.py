@@ -1,10 +1,11 @@
 """URL filters by a path-template tree, with built-in functions alone.
 
 Explicit rules label the pages they fit. Per host, paths become templates: digits and long hexadecimal names are wildcards
-from the start; then, level by level, rare children of a node with many are one wildcard, and branches whose labelled
-share of allowed pages does not differ from their siblings' merge. A template's purity is its labelled share of allowed
-pages, smoothed towards its host's, which is smoothed towards that of all pages; templates below a bound are rejected.
-The tree is built from counts of distinct templates: only the first count and the last join touch all pages.
+from the start; then, from branching to branching down to the end of every path, branches without labels and those whose
+labelled share of allowed pages does not differ from their siblings' merge into one wildcard. A template's purity is its
+labelled share of allowed pages, smoothed towards its host's, which is smoothed towards that of all pages; templates below
+a bound are rejected. The tree is built from counts of distinct templates: only the first count and the last join touch all
+pages.
 """
 
 from __future__ import annotations
@@ -24,8 +25,6 @@ RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 class Settings:
     """Production parameters of op6."""
 
-    depth: int = 3  # levels of a path that are told apart; what is deeper is one tail
-    fan: int = 16  # a node with more children than this merges those with less than a fan-th of its pages
     z: float = 2.576  # branches within so many standard errors of their siblings' share merge
     weight: float = 8.0  # pages that a prior counts for
     least: float = 0.35  # templates of less purity are rejected
@@ -50,28 +49,64 @@ def rule_of(host: Column, path: Column, rules) -> Column:
     return found if found is not None else F.lit(None).cast("string")
 
 
-def parts_of(path: Column, depth: int) -> Column:
-    """A path's segments with digits and long hexadecimal names as wildcards, the deeper ones as one tail."""
+def parts_of(path: Column) -> Column:
+    """A path's segments with digits and long hexadecimal names as wildcards."""
     names = F.split(F.regexp_replace(path, "^/", ""), "/")
-    plain = F.transform(names, lambda s: F.when(s.rlike("^[0-9a-f-]{16,}$"), F.lit("{h}")).otherwise(F.regexp_replace(s, "[0-9]+", "{n}")))
-    return F.when(F.size(plain) > depth, F.concat(F.slice(plain, 1, depth), F.array(F.lit("**")))).otherwise(plain)
+    return F.transform(names, lambda s: F.when(s.rlike("^[0-9a-f-]{16,}$"), F.lit("{h}")).otherwise(F.regexp_replace(s, "[0-9]+", "{n}")))
 
 
-def merged(tree: DataFrame, level: int, s: Settings) -> DataFrame:
-    """One level of the tree: `node` of every template grows by its segment of this level, or by a wildcard."""
-    own = F.coalesce(F.try_element_at("parts", F.lit(level)), F.lit("$"))
-    tree = tree.withColumn("own", own)
+def branched(tree: DataFrame) -> DataFrame:
+    """Each template followed down to where its node branches: `node` and `level` grow by the segments that all of them share.
+
+    The least and the greatest of a node's rests share no more than all of them do. `own` is the segment at the branching,
+    null where a path ends; `alone` marks nodes of one template, which are at their end.
+    """
+    rest = F.slice("parts", F.col("level") + 1, F.size("parts"))
+    ends = tree.groupBy("node").agg(F.min(rest).alias("least"), F.max(rest).alias("most"))
+    differs = F.array_position(F.zip_with("least", "most", lambda x, y: F.coalesce(x == y, F.lit(False))), False)
+    same = F.when(differs == 0, F.size("least")).otherwise(differs - 1).cast("int")
+    ends = ends.select(F.col("node").alias("_node"), same.alias("same"), (F.col("least") == F.col("most")).alias("alone"))
+    found = tree.join(ends, F.col("node") == F.col("_node"))
+    down = F.concat_ws("/", F.col("node"), F.slice("parts", F.col("level") + 1, F.col("same")))
+    found = found.select("host", "parts", "n", "allow", "labelled", "alone", down.alias("node"), (F.col("level") + F.col("same")).alias("level"))
+    return found.withColumn("own", F.try_element_at("parts", F.col("level") + 1))
+
+
+def merged(tree: DataFrame, s: Settings) -> DataFrame:
+    """One branching of every node: `node` grows by the segment there, or by a wildcard; `done` where the path ends."""
     child = tree.groupBy("node", "own").agg(F.sum("n").alias("n"), F.sum("allow").alias("a"), F.sum("labelled").alias("l"))
-    total = child.groupBy("node").agg(F.count(F.lit(1)).alias("kids"), F.sum("n").alias("pages"), F.sum("a").alias("all_a"), F.sum("l").alias("all_l"))
+    total = child.groupBy("node").agg(F.sum("a").alias("all_a"), F.sum("l").alias("all_l"))
     child = child.join(total, "node")
-    rare = (F.col("kids") > s.fan) & (F.col("n") * s.fan < F.col("pages"))
     d = lambda c: F.col(c).cast("double")
     gap = d("a") * d("all_l") - d("all_a") * d("l")
     alike = gap * gap <= F.lit(s.z * s.z) * d("all_a") * (d("all_l") - d("all_a")) * d("l")
-    name = F.when(F.col("own") == "$", F.lit("$")).when((F.col("kids") > 1) & (rare | (F.col("l") == 0) | alike), F.lit("*")).otherwise(F.col("own"))
-    step = child.select(F.col("node").alias("_node"), F.col("own").alias("_own"), name.alias("name"))
-    joined = tree.join(step, (F.col("node") == F.col("_node")) & (F.col("own") == F.col("_own")))
-    return joined.select("host", "parts", "n", "allow", "labelled", F.when(F.col("name") == "$", F.col("node")).otherwise(F.concat_ws("/", "node", "name")).alias("node"))
+    name = F.when((F.col("l") == 0) | alike, F.lit("*")).otherwise(F.col("own"))
+    step = child.where("own IS NOT NULL").select(F.col("node").alias("_node"), F.col("own").alias("_own"), name.alias("name"))
+    joined = tree.join(step, (F.col("node") == F.col("_node")) & (F.col("own") == F.col("_own")), "left")
+    done = F.col("own").isNull()
+    return joined.select("host", "parts", "n", "allow", "labelled", F.when(done, F.col("node")).otherwise(F.concat_ws("/", "node", "name")).alias("node"), (F.col("level") + 1).alias("level"), done.alias("done"))
+
+
+def templates(count: DataFrame, scratch: Scratch, s: Settings) -> DataFrame:
+    """The node of every distinct path of a host: host, parts, n, allow, labelled, node.
+
+    Each round takes every open node one branching further, so that rounds are as many as branchings follow each other on
+    a path, however long it is; paths that are at their end wait in tables of their own.
+    """
+    columns = ["host", "parts", "n", "allow", "labelled", "node"]
+    tree = scratch.save(count.withColumn("node", F.concat(F.col("host"), F.lit(":"))).withColumn("level", F.lit(0)), "open0")
+    ended, k = [], 0
+    while not tree.isEmpty():
+        down = scratch.save(branched(tree), f"down{k}")
+        step = scratch.save(merged(down.where("NOT alone"), s), f"step{k}")
+        ended += [down.where("alone").select(columns), step.where("done").select(columns)]
+        scratch.drop(f"open{k}")
+        k += 1
+        tree = scratch.save(step.where("NOT done").drop("done"), f"open{k}")
+    out = tree.select(columns)
+    for other in ended:
+        out = out.unionByName(other)
+    return scratch.save(out, "tree")
 
 
 def filtered(pages: DataFrame, rules=RULES, settings: Settings | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -85,14 +120,11 @@ def filtered(pages: DataFrame, rules=RULES, settings: Settings | None = None, id
     scratch = Scratch(pages.sparkSession, "urlfilter")
     host, path = host_and_path(F.col(url_col))
     seen = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
-    seen = seen.select("*", rule_of(F.col("host"), F.col("path"), rules).alias("rule"), parts_of(F.col("path"), s.depth).alias("parts"))
+    seen = seen.select("*", rule_of(F.col("host"), F.col("path"), rules).alias("rule"), parts_of(F.col("path")).alias("parts"))
     blocked = F.coalesce(F.col("rule").isin([r for r, v in verdicts.items() if v == "block"]), F.lit(False))
     labelled = F.col("rule").isNotNull()
     count = seen.groupBy("host", "parts").agg(F.count(F.lit(1)).alias("n"), F.count_if(labelled & ~blocked).alias("allow"), F.count_if(labelled).alias("labelled"))
-    tree = scratch.save(count.withColumn("node", F.concat(F.col("host"), F.lit(":"))), "level0")
-    for level in range(1, s.depth + 2):
-        tree = scratch.save(merged(tree, level, s), f"level{level}")
-        scratch.drop(f"level{level - 1}")
+    tree = templates(count, scratch, s)
     share = lambda a, l, prior: (a.cast("double") + F.lit(s.weight) * prior) / (l.cast("double") + F.lit(s.weight))  # noqa: E731, E741
     whole = tree.agg(share(F.coalesce(F.sum("allow"), F.lit(0)), F.coalesce(F.sum("labelled"), F.lit(0)), F.lit(0.5)).alias("purity"))
     hosts = tree.groupBy("host").agg(F.sum("allow").alias("a"), F.sum("labelled").alias("l"))
@@ -117,28 +149,26 @@ def oracle(rules=RULES, settings: Settings | None = None) -> str:
         f"WHEN (host = '{r.partition('/')[0]}' OR ends_with(host, '.{r.partition('/')[0]}')) AND starts_with(path, '/{r.partition('/')[2]}') THEN '{r}'" for _, r in sorted(rules, key=lambda r: -len(r[1]))
     ) + " END"
     blocked = ", ".join(f"'{r}'" for v, r in rules if v == "block")
-    levels = []
-    for k in range(1, s.depth + 2):
-        levels.append(f"""
-        own{k} AS (SELECT *, CASE WHEN len(parts) >= {k} THEN parts[{k}] ELSE '$' END AS own FROM level{k - 1}),
-        kid{k} AS (SELECT node, own, sum(n)::DOUBLE AS n, sum(allow)::DOUBLE AS a, sum(labelled)::DOUBLE AS l FROM own{k} GROUP BY 1, 2),
-        all{k} AS (SELECT node, count(*) AS kids, sum(n) AS pages, sum(a) AS aa, sum(l) AS ll FROM kid{k} GROUP BY 1),
-        step{k} AS (SELECT kid{k}.node, own, CASE WHEN own = '$' THEN '$'
-            WHEN kids > 1 AND ((kids > {s.fan} AND n * {s.fan} < pages) OR l = 0 OR (a * ll - aa * l) * (a * ll - aa * l) <= {s.z * s.z!r}::DOUBLE * aa * (ll - aa) * l) THEN '*'
-            ELSE own END AS name FROM kid{k} JOIN all{k} ON kid{k}.node = all{k}.node),
-        level{k} AS (SELECT host, parts, n, allow, labelled, CASE WHEN name = '$' THEN o.node ELSE o.node || '/' || name END AS node
-            FROM own{k} o JOIN step{k} t ON o.node = t.node AND o.own = t.own),""")
     w = f"{s.weight!r}::DOUBLE"
     return f"""
-        WITH cut AS (SELECT page_id, CASE WHEN coalesce(instr(url, '://'), 0) > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        WITH RECURSIVE cut AS (SELECT page_id, CASE WHEN coalesce(instr(url, '://'), 0) > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
         named AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
-        named2 AS (SELECT *, {rule} AS rule, list_transform(string_split(regexp_replace(path, '^/', ''), '/'),
-            lambda x: CASE WHEN regexp_matches(x, '^[0-9a-f-]{{16,}}$') THEN '{{h}}' ELSE regexp_replace(x, '[0-9]+', '{{n}}', 'g') END) AS plain FROM named),
-        seen AS (SELECT page_id, host, path, rule, CASE WHEN len(plain) > {s.depth} THEN list_concat(plain[1:{s.depth}], ['**']) ELSE plain END AS parts FROM named2),
-        level0 AS (SELECT host, parts, count(*) AS n, count(*) FILTER (rule IS NOT NULL AND rule NOT IN ({blocked})) AS allow, count(rule) AS labelled, host || ':' AS node FROM seen GROUP BY host, parts),
-        {"".join(levels)}
-        whole AS (SELECT (coalesce(sum(allow), 0)::DOUBLE + {w} * 0.5::DOUBLE) / (coalesce(sum(labelled), 0)::DOUBLE + {w}) AS purity FROM level{s.depth + 1}),
-        hosts AS (SELECT host, (sum(allow)::DOUBLE + {w} * any_value(purity)) / (sum(labelled)::DOUBLE + {w}) AS prior FROM level{s.depth + 1}, whole GROUP BY host),
-        nodes AS (SELECT t.host, node, (sum(allow)::DOUBLE + {w} * any_value(prior)) / (sum(labelled)::DOUBLE + {w}) AS purity FROM level{s.depth + 1} t JOIN hosts ON t.host = hosts.host GROUP BY t.host, node)
+        seen AS (SELECT *, {rule} AS rule, list_transform(string_split(regexp_replace(path, '^/', ''), '/'),
+            lambda x: CASE WHEN regexp_matches(x, '^[0-9a-f-]{{16,}}$') THEN '{{h}}' ELSE regexp_replace(x, '[0-9]+', '{{n}}', 'g') END) AS parts FROM named),
+        depth AS (SELECT coalesce(max(len(parts)), 0) AS most FROM seen),
+        levels AS (
+            SELECT 0 AS level, host, parts, count(*)::DOUBLE AS n, count(*) FILTER (rule IS NOT NULL AND rule NOT IN ({blocked}))::DOUBLE AS allow, count(rule)::DOUBLE AS labelled, host || ':' AS node FROM seen GROUP BY host, parts
+            UNION ALL
+            SELECT level + 1, host, parts, n, allow, labelled, CASE WHEN own IS NULL THEN node
+                WHEN kids > 1 AND (l = 0 OR (a * ll - aa * l) * (a * ll - aa * l) <= {s.z * s.z!r}::DOUBLE * aa * (ll - aa) * l) THEN node || '/*'
+                ELSE node || '/' || own END
+            FROM (SELECT *, sum(allow) OVER child AS a, sum(labelled) OVER child AS l, sum(allow) OVER parent AS aa, sum(labelled) OVER parent AS ll,
+                    CASE WHEN min(own) OVER parent = max(own) OVER parent AND count(own) OVER parent = count(*) OVER parent THEN 1 ELSE 2 END AS kids
+                FROM (SELECT *, parts[level + 1] AS own FROM levels WHERE level < (SELECT most FROM depth))
+                WINDOW child AS (PARTITION BY node, own), parent AS (PARTITION BY node))),
+        tree AS (SELECT * FROM levels WHERE level = (SELECT most FROM depth)),
+        whole AS (SELECT (coalesce(sum(allow), 0)::DOUBLE + {w} * 0.5::DOUBLE) / (coalesce(sum(labelled), 0)::DOUBLE + {w}) AS purity FROM tree),
+        hosts AS (SELECT host, (sum(allow)::DOUBLE + {w} * any_value(purity)) / (sum(labelled)::DOUBLE + {w}) AS prior FROM tree, whole GROUP BY host),
+        nodes AS (SELECT t.host, node, (sum(allow)::DOUBLE + {w} * any_value(prior)) / (sum(labelled)::DOUBLE + {w}) AS purity FROM tree t JOIN hosts ON t.host = hosts.host GROUP BY t.host, node)
         SELECT page_id, seen.host, path, rule, CASE WHEN rule IN ({blocked}) THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN purity < {s.least!r}::DOUBLE THEN 'block' ELSE 'allow' END AS verdict, t.node AS template
-        FROM seen JOIN level{s.depth + 1} t ON seen.host = t.host AND seen.parts = t.parts JOIN nodes ON t.node = nodes.node"""
+        FROM seen JOIN tree t ON seen.host = t.host AND seen.parts = t.parts JOIN nodes ON t.node = nodes.node"""
