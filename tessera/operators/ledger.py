@@ -12,9 +12,15 @@ MEMORISED = 0.1
 
 
 def partition_stats(losses: DataFrame, parts: DataFrame, row: str = "row") -> DataFrame:
-    """Positions, mean, largest and 90th percentile loss, mean entropy and memorised share of every partition; null where it has none."""
+    """Positions, mean, largest and 90th percentile loss, mean entropy and memorised share of every partition; null where it has none.
+
+    The mean loss is the exact sum of the losses to fifteen places over their number, so that it doesn't depend on the order
+    of the rows; losses that aren't finite numbers below 1e12 make it the plain average.
+    """
+    loss = F.col("loss").cast("double")
+    exact = F.when(F.count_if(~(F.abs(loss) < 1e12)) > 0, F.avg(loss)).otherwise(F.sum(loss.try_cast("decimal(28,15)")).cast("double") / F.count(loss))
     found = losses.groupBy(row).agg(
-        F.count(F.lit(1)).alias("positions"), F.avg("loss").alias("mean_loss"), F.avg("entropy").alias("mean_entropy"), F.max("loss").alias("max_loss"),
+        F.count(F.lit(1)).alias("positions"), exact.alias("mean_loss"), F.avg("entropy").alias("mean_entropy"), F.max("loss").alias("max_loss"),
         F.percentile("loss", F.lit(0.9)).alias("p90_loss"), rate(F.col("loss") < MEMORISED).alias("memorised"),
     )
     return parts.select(row).join(found, row, "left")

@@ -5,31 +5,25 @@ An index entry expects a token (value) and sits at a position of a document; `hi
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scores import clamp, trace
 from tessera.functions.stats import pearson, with_ranks
 from tessera.functions.text import ngram_key
+from tessera.sources.scratch import Scratch
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Lengths and counts of the tracker. Fixed values."""
+    """Lengths and counts of chains. Fixed values."""
 
     phrase: int = 24
     arc: int = 96
     bridge: int = 8
-    heads: int = 8
     seeds: int = 4
-    block: int = 16
-    blocks: int = 8
-    min_blocks: int = 4
-    window: int = 32
 
 
 def positions(parts: DataFrame, document: str, order: str, tokens: str, gap: int = 0) -> DataFrame:
@@ -84,107 +78,87 @@ def arcs(medians: DataFrame, text: str, blocks: int = 8, least: int = 4) -> Data
     return ranked.groupBy(text).agg(F.when(F.count(F.lit(1)) >= least, pearson(F.col("block"), F.col("_r"))).alias("arc"))
 
 
-@dataclass
-class Head:
-    """A chain: the entry it expects next, its tokens, its present run, and where that began or ended."""
-
-    entry: int
-    document: int
-    start: int
-    begin: int
-    mass: int = 0
-    run: int = 0
-    ended: int = 0
-    end: int = 0
-
-
-@dataclass
-class Corpus:
-    """What a tracker needs of an index, by entry."""
-
-    value: np.ndarray
-    document: np.ndarray
-    position: np.ndarray
-
-    def after(self, entry: int) -> int | None:
-        n = entry + 1
-        if n < len(self.value) and self.document[n] == self.document[entry] and self.position[n] == self.position[entry] + 1:
-            return n
-        return None
-
-
-@dataclass
-class Tracker:
-    """Follows one text through one index, a position at a time; its state is small and bounded by the rule."""
-
-    corpus: Corpus
-    rule: Rule = field(default_factory=Rule)
-    live: list[Head] = field(default_factory=list)
-    fresh: list[Head] = field(default_factory=list)
-    dormant: list[Head] = field(default_factory=list)
-    steps: int = 0
-
-    def step(self, token: int, hits: list[int]) -> int:
-        """The token that came and the entries that the position retrieved, best first; the longest chain's length."""
-        now, c, moved, over = self.steps, self.corpus, {}, []
-        self.steps += 1
-        for head in self.live + self.fresh:
-            if c.value[head.entry] != token:
-                if head.run:
-                    head.ended, head.end = now, int(c.position[head.entry])
-                    self.dormant.append(head)
-                continue
-            head.mass += 1
-            head.run += 1
-            if head.run == self.rule.bridge:
-                self.join(head)
-            if (following := c.after(head.entry)) is None:
-                head.ended, head.end = now + 1, int(c.position[head.entry]) + 1
-                self.dormant.append(head)
-                over.append(head.mass)
-                continue
-            head.entry = following
-            if following not in moved or moved[following].mass < head.mass:
-                moved[following] = head
-        order = lambda h: (-h.mass, h.entry)
-        self.live = sorted(moved.values(), key=order)[: self.rule.heads]
-        taken = {h.entry for h in self.live}
-        self.fresh = [Head(e, int(c.document[e]), now + 1, int(c.position[e])) for e in hits[: self.rule.seeds] if 0 <= e < len(c.value) and e not in taken]
-        self.dormant = sorted((h for h in self.dormant if now - h.ended <= 2 * self.rule.bridge), key=order)[: 2 * self.rule.heads]
-        return max([*over, self.live[0].mass if self.live else 0])
-
-    def join(self, head: Head) -> None:
-        """A run long enough takes on a chain of its document that ended a little before it began, in text and document."""
-        reach = range(self.rule.bridge + 1)
-        fit = [d for d in self.dormant if d.document == head.document and d.run >= self.rule.bridge and head.start - d.ended in reach and head.begin - d.end in reach]
-        if fit:
-            best = max(fit, key=lambda d: d.mass)
-            head.mass += best.mass
-            self.dormant.remove(best)
+def runs(steps: DataFrame, entries: DataFrame, text: str, rule: Rule, scratch: Scratch) -> DataFrame:
+    """The runs of every text along documents: (text, document, line, first, last).
+
+    On a line the position in the document less that in the text is the same. A run starts at j where one of the best hits
+    expected the token that came at j + 1, and goes on over the line as long as the document has the tokens that come,
+    whether hits say so or not. Matching hits of a line that follow each other are islands; each island is followed on to
+    its first mismatch, or up to the next island, a few positions at first and four times as many in each round; islands
+    that this joins are one run. Work is in proportion to the runs' lengths.
+    """
+    came = steps.select(text, (F.col("j") - 1).alias("j"), F.col("token").alias("came"))
+    seeds = steps.select(text, "j", F.explode(F.slice("hits", 1, rule.seeds)).alias("h")).select(text, "j", "h.*")
+    met = seeds.join(came, [text, "j"]).where("value = came").select(text, "document", (F.col("position") - F.col("j")).alias("line"), "j").distinct()
+    line = [text, "document", "line"]
+    apart = met.withColumn("_island", F.col("j") - F.row_number().over(Window.partitionBy(*line).orderBy("j")))
+    along = Window.partitionBy(*line).orderBy("first")
+    islands = apart.groupBy(*line, "_island").agg(F.min("j").alias("first"), F.max("j").alias("last")).drop("_island").withColumn("until", F.lead("first").over(along))
+    open_ = scratch.save(islands, "islands0")
+    near = scratch.save(entries.join(open_.select("document").distinct(), "document", "left_semi").select("document", "position", "value"), "near")
+    ended, reach = [], 8
+    while True:
+        stop = F.least(F.col("last") + reach, F.col("until") - 1)
+        ahead = open_.withColumn("stop", stop).withColumn("j", F.explode(F.sequence(F.col("last") + 1, F.col("stop")))).withColumn("position", F.col("j") + F.col("line"))
+        seen = ahead.join(near, ["document", "position"], "left").join(came, [text, "j"], "left")
+        wrong = F.min(F.when(~F.coalesce(F.col("value") == F.col("came"), F.lit(False)), F.col("j"))).alias("wrong")
+        found = seen.groupBy(*line, "first", "until", "stop").agg(wrong)
+        done = F.col("wrong").isNotNull() | F.coalesce(F.col("stop") == F.col("until") - 1, F.lit(False))
+        found = scratch.save(found.select(*line, "first", F.coalesce(F.col("wrong") - 1, F.col("stop")).alias("last"), "until", done.alias("done")), f"islands{len(ended) + 1}")
+        ended.append(found.where("done").drop("done"))
+        open_ = found.where("NOT done").drop("done")
+        if open_.isEmpty():
+            break
+        reach *= 4
+    whole = ended[0]
+    for other in ended[1:]:
+        whole = whole.unionByName(other)
+    new = F.when(F.lag("last").over(along) + 1 == F.col("first"), 0).otherwise(1)
+    numbered = whole.withColumn("_new", new).withColumn("_run", F.sum("_new").over(along))
+    return numbered.groupBy(*line, "_run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("_run")
+
+
+def bridged(found: DataFrame, text: str, rule: Rule, scratch: Scratch) -> DataFrame:
+    """What runs take over from earlier ones: (text, document, line, first, before), runs that take over nothing left out.
+
+    A run of at least `bridge` tokens continues one as long that ended at most `bridge` tokens before it began, in the text
+    and in the document. A run is taken over once, by the first that can; of several a run takes the longest, then the one
+    that ended last. `before` sums a run's predecessors, by doubling steps along their chain.
+    """
+    long = found.where(F.col("last") - F.col("first") + 1 >= rule.bridge)
+    old = long.select(text, "document", F.col("line").alias("up_line"), F.col("first").alias("up_first"), F.col("last").alias("_end"), F.explode(F.sequence(F.col("last") + 1, F.col("last") + 1 + rule.bridge)).alias("first"))
+    gap = F.col("first") + F.col("line") - F.col("_end") - 1 - F.col("up_line")
+    able = long.select(text, "document", "line", "first").join(old, [text, "document", "first"]).where(gap.between(0, rule.bridge)).withColumn("before", F.col("_end") - F.col("up_first") + 1)
+    taker = Window.partitionBy(text, "document", "up_line", "up_first").orderBy("first", "line")
+    pick = Window.partitionBy(text, "document", "line", "first").orderBy(F.desc("before"), F.desc("_end"), "up_line")
+    chosen = able.withColumn("_r", F.row_number().over(taker)).where("_r = 1").withColumn("_r", F.row_number().over(pick)).where("_r = 1")
+    state = scratch.save(chosen.select(text, "document", "line", "first", "up_line", "up_first", "before"), "bridges0")
+    k = 0
+    while not state.where("up_line IS NOT NULL").isEmpty():
+        up = state.select(F.col(text).alias("_t"), F.col("document").alias("_d"), F.col("line").alias("_l"), F.col("first").alias("_f"), F.col("up_line").alias("_ul"), F.col("up_first").alias("_uf"), F.col("before").alias("_b"))
+        same = (F.col(text) == F.col("_t")) & (F.col("document") == F.col("_d")) & (F.col("up_line") == F.col("_l")) & (F.col("up_first") == F.col("_f"))
+        k += 1
+        state = scratch.save(state.join(up, same, "left").select(text, "document", "line", "first", F.col("_ul").alias("up_line"), F.col("_uf").alias("up_first"), (F.col("before") + F.coalesce("_b", F.lit(0))).alias("before")), f"bridges{k}")
+    return state.drop("up_line", "up_first")
 
 
 def tracked(steps: DataFrame, entries: DataFrame, text: str, rule: Rule | None = None) -> DataFrame:
-    """Chain length and trace at every position of every text: (text, j, token, hits: array of (document, position), best first).
+    """Chain length and trace at every position of every text: (text, j, token, hits: array of (document, position, value), best first).
 
-    `entries` holds what a text's chains can reach: (text, document, position, value), as `reachable` finds it. A text is
-    folded on its own over these alone; they are numbered in the order of document and position, so that one entry is the
-    next of another exactly if it is in the whole index.
+    A position's length is the greatest number of tokens that a run has come to there, from `bridge` tokens on with those of
+    the runs that it continues; 0 where none matches. `entries` is the index: (document, position, value).
     """
     rule = rule or Rule()
-
-    def run(key, pdf, near):
-        near = near.sort_values(["document", "position"])
-        place = {at: e for e, at in enumerate(zip(near["document"], near["position"], strict=True))}
-        tracker = Tracker(Corpus(near["value"].to_numpy(), near["document"].to_numpy(), near["position"].to_numpy()), rule)
-        pdf = pdf.sort_values("j")
-        lengths = [tracker.step(int(t), [place[h["document"], h["position"]] for h in hits]) for t, hits in zip(pdf["token"], pdf["hits"], strict=True)]
-        return pd.DataFrame({text: [key[0]] * len(pdf), "j": pdf["j"], "length": lengths})
-
-    kind = steps.schema[text].dataType.simpleString()
-    folded = steps.select(text, F.col("j").cast("long"), "token", "hits").groupBy(text)
-    near = entries.select(F.col(text).alias("_text"), "document", "position", "value").groupBy("_text")
-    found = folded.cogroup(near).applyInPandas(run, f"`{text}` {kind}, j long, length long")
-    return found.withColumn("trace", trace(F.col("length"), rule.phrase, rule.arc))
+    scratch = Scratch(steps.sparkSession, "tracked")
+    steps = steps.withColumn("j", F.col("j").cast("long"))
+    entries = entries.withColumn("position", F.col("position").cast("long"))
+    found = scratch.save(runs(steps, entries, text, rule, scratch), "runs")
+    held = found.join(bridged(found, text, rule, scratch), [text, "document", "line", "first"], "left")
+    at = held.withColumn("j", F.explode(F.sequence("first", "last"))).withColumn("own", F.col("j") - F.col("first") + 1)
+    mass = F.col("own") + F.when(F.col("own") >= rule.bridge, F.coalesce("before", F.lit(0))).otherwise(0)
+    lengths = at.groupBy(text, (F.col("j") + 1).alias("j")).agg(F.max(mass).alias("length"))
+    out = steps.select(text, "j").join(lengths, [text, "j"], "left").select(text, "j", F.coalesce("length", F.lit(0)).cast("long").alias("length"))
+    return out.withColumn("trace", trace(F.col("length"), rule.phrase, rule.arc))
 
 
 def contexts(tokens: DataFrame, text: str, order: str, levels: tuple[int, ...]) -> DataFrame:
@@ -206,7 +180,9 @@ MOST_KEYS = 200_000
 
 
 def retrieved(steps: DataFrame, entries: DataFrame, text: str, k: int = 16, levels: tuple[int, ...] = (8, 4, 2, 1)) -> DataFrame:
-    """The k best entries of every position: (text, j, hits). steps: (text, j, token); entries: (document, position, token, value).
+    """The k best entries of every position: (text, j, hits: array of (document, position, value)).
+
+    steps: (text, j, token); entries: (document, position, token, value).
 
     An entry of the same token is better the more of the tokens before it are those before the position, by levels, and the
     lower one is better among equals. Of each key only its k lowest entries can be among a position's k best, so common
@@ -215,19 +191,11 @@ def retrieved(steps: DataFrame, entries: DataFrame, text: str, k: int = 16, leve
     asked = contexts(steps, text, "j", levels).select(text, "j", F.explode("keys").alias("key")).select(text, "j", "key.*")
     keys = asked.select("level", "high", "low").distinct()
     keys = keys if keys.limit(MOST_KEYS + 1).count() > MOST_KEYS else F.broadcast(keys)
-    held = contexts(entries, "document", "position", levels).select("document", "position", F.explode("keys").alias("key")).select("document", "position", "key.*")
+    held = contexts(entries, "document", "position", levels).select("document", "position", "value", F.explode("keys").alias("key")).select("document", "position", "value", "key.*")
     low = Window.partitionBy("level", "high", "low").orderBy("document", "position")
     first = held.join(keys, ["level", "high", "low"], "left_semi").withColumn("_r", F.row_number().over(low)).where(F.col("_r") <= k).drop("_r")
-    met = asked.join(first, ["level", "high", "low"]).groupBy(text, "j", "document", "position").agg(F.max("level").alias("level"))
+    met = asked.join(first, ["level", "high", "low"]).groupBy(text, "j", "document", "position").agg(F.max("level").alias("level"), F.first("value").alias("value"))
     best = Window.partitionBy(text, "j").orderBy(F.desc("level"), "document", "position")
     ranked = met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    hits = F.transform(F.array_sort(F.collect_list(F.struct("rank", "document", "position"))), lambda x: F.struct(x["document"].alias("document"), x["position"].alias("position")))
+    hits = F.transform(F.array_sort(F.collect_list(F.struct("rank", "document", "position", "value"))), lambda x: F.struct(x["document"].alias("document"), x["position"].alias("position"), x["value"].alias("value")))
     return ranked.groupBy(text, "j").agg(hits.alias("hits"))
-
-
-def reachable(hits: DataFrame, steps: DataFrame, entries: DataFrame, text: str) -> DataFrame:
-    """The entries that a chain from any hit can come to before its text ends: (text, document, position, value)."""
-    last = steps.groupBy(text).agg(F.max("j").alias("_last"))
-    seeds = hits.join(last, text).select(text, F.explode("hits").alias("h"), (F.col("_last") - F.col("j")).alias("_left"))
-    places = seeds.select(text, F.col("h.document").alias("document"), F.explode(F.sequence(F.col("h.position"), (F.col("h.position") + F.col("_left")).cast("int"))).alias("position")).distinct()
-    return places.join(entries.select("document", "position", "value"), ["document", "position"])

@@ -268,7 +268,29 @@ def arc_spearman(spark, sf):
     return rounded(trajectory.arcs(trajectory.block_medians(steps(spark, sf), "item_id", 8), "item_id"))
 
 
-@query("trajectory_state")
+#: Seeds of every prompt's positions, runs along the lines that they open, and what runs take over from earlier ones.
+TRACKED = TOKENS + "," + PROMPTS + """,
+g AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
+held AS (SELECT doc_id AS document, pos AS position, token, lead(token) OVER (PARTITION BY doc_id ORDER BY pos) AS value, list(token) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS past FROM tokens WHERE doc_id IN (FROM g)),
+entries AS (SELECT * FROM held WHERE value IS NOT NULL),
+steps AS (SELECT item_id, pos AS j, token, lead(token) OVER (PARTITION BY item_id ORDER BY pos) AS came, list(token) OVER (PARTITION BY item_id ORDER BY pos ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS past FROM prompts),
+hits AS (SELECT item_id, j, came, document, position, value FROM steps s JOIN entries e ON e.token = s.token QUALIFY row_number() OVER (PARTITION BY item_id, j ORDER BY
+    CASE WHEN len(s.past) = 8 AND s.past = e.past THEN 8 WHEN len(s.past) >= 4 AND len(e.past) >= 4 AND s.past[-4:] = e.past[-4:] THEN 4 WHEN len(s.past) >= 2 AND len(e.past) >= 2 AND s.past[-2:] = e.past[-2:] THEN 2 ELSE 1 END DESC, document, position) <= 4),
+met AS (SELECT DISTINCT item_id, document, position - j AS line, j FROM hits WHERE value = came),
+same AS (SELECT l.item_id, l.document, line, j FROM (SELECT DISTINCT item_id, document, line FROM met) l JOIN steps s ON s.item_id = l.item_id JOIN entries e ON e.document = l.document AND e.position = s.j + line AND e.value = s.came),
+cut AS (SELECT *, j - row_number() OVER (PARTITION BY item_id, document, line ORDER BY j) AS island FROM same),
+runs AS (SELECT item_id, document, line, min(j) FILTER (seed) AS a, max(j) AS b FROM (SELECT c.*, m.j IS NOT NULL AS seed FROM cut c LEFT JOIN met m USING (item_id, document, line, j)) GROUP BY item_id, document, line, island HAVING bool_or(seed)),
+able AS (SELECT y.item_id, y.document, y.line, y.a, x.line AS up_line, x.a AS up_a, x.b AS up_b FROM runs y JOIN runs x ON x.item_id = y.item_id AND x.document = y.document WHERE y.b - y.a >= 7 AND x.b - x.a >= 7 AND y.a - x.b - 1 BETWEEN 0 AND 8 AND y.a + y.line - x.b - 1 - x.line BETWEEN 0 AND 8
+    QUALIFY row_number() OVER (PARTITION BY x.item_id, x.document, x.line, x.a ORDER BY y.a, y.line) = 1),
+bridges AS (SELECT * FROM able QUALIFY row_number() OVER (PARTITION BY item_id, document, line, a ORDER BY up_b - up_a DESC, up_b DESC, up_line) = 1),
+chains AS (SELECT item_id, document, line, a, up_line, up_a, up_b - up_a + 1 AS before FROM bridges UNION ALL
+    SELECT c.item_id, c.document, c.line, c.a, b.up_line, b.up_a, b.up_b - b.up_a + 1 FROM chains c JOIN bridges b ON b.item_id = c.item_id AND b.document = c.document AND b.line = c.up_line AND b.a = c.up_a),
+taken AS (SELECT item_id, document, line, a, sum(before) AS before FROM chains GROUP BY 1, 2, 3, 4),
+masses AS (SELECT item_id, unnest(range(a, b + 1)) AS j, a, coalesce(before, 0) AS before FROM runs LEFT JOIN taken USING (item_id, document, line, a)),
+lengths AS (SELECT item_id, j + 1 AS j, max(j - a + 1 + CASE WHEN j - a >= 7 THEN before ELSE 0 END) AS length FROM masses GROUP BY 1, 2)"""
+
+
+@query("trajectory_state", f"WITH RECURSIVE {TRACKED} SELECT item_id, s.j, coalesce(length, 0)::BIGINT AS length, greatest(0, least(1, (coalesce(length, 0) - 24) / 72.0::DOUBLE)) AS trace FROM steps s LEFT JOIN lengths USING (item_id, j)")
 def trajectory_state(spark, sf):
     """Every prompt followed through an index over all documents that the test tables mark as good.
 
@@ -282,5 +304,4 @@ def trajectory_state(spark, sf):
     entries = scratch.save(entries, "entries")
     p = prompts(spark, sf).select("item_id", F.col("pos").alias("j"), "token")
     hits = scratch.save(trajectory.retrieved(p, entries, "item_id"), "hits")
-    steps = p.join(hits, ["item_id", "j"], "left").withColumn("hits", F.coalesce("hits", F.array().cast(hits.schema["hits"].dataType)))
-    return trajectory.tracked(steps, trajectory.reachable(hits, p, entries, "item_id"), "item_id")
+    return trajectory.tracked(p.join(hits, ["item_id", "j"], "left"), entries, "item_id")

@@ -8,7 +8,7 @@ from tessera.session import table
 
 from .base import LIKELIHOODS, PROMPTS, TOKENS, documents, hits, likelihoods, prompts, query, rounded, tokens
 
-LOSSES = TOKENS + ", losses AS (SELECT doc_id AS row, pos AS offs, (token % 1000) / 1000.0::DOUBLE AS loss, (token % 777) / 777.0::DOUBLE AS entropy, lang FROM tokens)"
+LOSSES = TOKENS + ", losses AS (SELECT doc_id AS row, pos AS offs, token % 1000 AS thousandths, (token % 1000) / 1000.0::DOUBLE AS loss, (token % 777) / 777.0::DOUBLE AS entropy, lang FROM tokens)"
 
 
 def losses(spark, sf):
@@ -16,10 +16,11 @@ def losses(spark, sf):
     return tokens(spark, sf).select(F.col("doc_id").alias("row"), F.col("pos").alias("offset"), ((F.col("token") % 1000) / 1000.0).alias("loss"), ((F.col("token") % 777) / 777.0).alias("entropy"), "lang")
 
 
-@query("partition_stats", f"WITH {LOSSES} SELECT doc_id AS row, count(loss) FILTER (loss IS NOT NULL) AS positions, round(avg(loss), 6) AS mean_loss, round(avg(entropy), 6) AS mean_entropy, max(loss) AS max_loss, round(quantile_cont(loss, 0.9), 6) AS p90_loss, round(avg((loss < 0.1)::INT), 6) AS memorised FROM documents LEFT JOIN losses ON row = doc_id GROUP BY 1")
+@query("partition_stats", f"WITH {LOSSES} SELECT doc_id AS row, count(loss) FILTER (loss IS NOT NULL) AS positions, sum(thousandths)::DOUBLE / 1000.0::DOUBLE / count(loss) AS mean_loss, round(avg(entropy), 6) AS mean_entropy, max(loss) AS max_loss, round(quantile_cont(loss, 0.9), 6) AS p90_loss, round(avg((loss < 0.1)::INT), 6) AS memorised FROM documents LEFT JOIN losses ON row = doc_id GROUP BY 1")
 def partition_stats(spark, sf):
     s = ledger.partition_stats(losses(spark, sf), documents(spark, sf).select(F.col("doc_id").alias("row")))
-    return rounded(s.withColumn("positions", F.coalesce("positions", F.lit(0))))
+    # The mean loss is exact on both sides; rounded, means that lie halfway between two places would part.
+    return rounded(s.withColumn("positions", F.coalesce("positions", F.lit(0))), "mean_entropy", "p90_loss", "memorised")
 
 
 @query("memorised_fraction", f"WITH {LOSSES} SELECT lang, round(coalesce(avg((loss < 0.1)::INT), 0), 6) AS memorised FROM losses GROUP BY 1")
@@ -208,16 +209,9 @@ def grounding_stats(spark, sf):
     return rounded(evaluate.grounding_stats(g, ["lang"]))
 
 
-@query("grounding_join", f"WITH {PROMPTS}, t AS (SELECT item_id, pos AS step, token FROM prompts WHERE pos < 12), m AS (SELECT item_id, pos AS step, CASE WHEN pos % 6 = 5 THEN token + 1 ELSE token END AS token FROM prompts WHERE pos < 13) SELECT m.item_id, m.step, t.token IS NULL OR t.token = m.token AS aligned FROM m LEFT JOIN t ON t.item_id = m.item_id AND t.step = m.step")
-def grounding_join(spark, sf):
-    p = prompts(spark, sf).select("item_id", F.col("pos").alias("step"), "token")
-    measured = p.where("step < 13").withColumn("token", F.when(F.col("step") % 6 == 5, F.col("token") + 1).otherwise(F.col("token")))
-    return evaluate.grounding_rows(p.where("step < 12"), measured, ["item_id"]).select("item_id", "step", "aligned")
-
-
 @query("grounding_join_whole", f"WITH {PROMPTS}, t AS (SELECT item_id, pos AS step, token FROM prompts QUALIFY pos < max(pos) OVER (PARTITION BY item_id)), m AS (SELECT item_id, pos AS step, CASE WHEN pos % 6 = 5 THEN token + 1 ELSE token END AS token FROM prompts) SELECT m.item_id, m.step, t.token IS NULL OR t.token = m.token AS aligned FROM m LEFT JOIN t ON t.item_id = m.item_id AND t.step = m.step")
 def grounding_join_whole(spark, sf):
-    """Every step of every prompt, the trace lacking only the last; `grounding_join` and its SQL hold the first 13 alone."""
+    """Every step of every prompt, the trace lacking only the last."""
     p = prompts(spark, sf).select("item_id", F.col("pos").alias("step"), "token")
     measured = p.withColumn("token", F.when(F.col("step") % 6 == 5, F.col("token") + 1).otherwise(F.col("token")))
     last = p.groupBy(F.col("item_id").alias("_item")).agg(F.max("step").alias("_last"))

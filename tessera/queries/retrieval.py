@@ -7,7 +7,7 @@ from tessera.functions import scores
 from tessera.operators import evaluate, index, mix, trajectory
 from tessera.session import table
 
-from .base import HITS, LIKELIHOODS, PARTS, PROMPTS, SQL, TOKENS, WEIGHTED, WORDS, documents, hits, likelihoods, parts, prompts, query, rounded, tokens, weighted
+from .base import HITS, LIKELIHOODS, PARTS, PROMPTS, TOKENS, WEIGHTED, WORDS, documents, hits, likelihoods, parts, prompts, query, rounded, tokens, weighted
 
 
 @query("transitions_lead", f"WITH {TOKENS}, t AS (SELECT lang, token, lead(token) OVER (PARTITION BY doc_id ORDER BY pos) AS next FROM tokens) SELECT lang, token, next, count(*) AS n FROM t WHERE next IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) >= 3")
@@ -344,14 +344,9 @@ def weighted_kmeans(spark, sf):
     return index.centroids(e, "label", "v", "w", 4).select("label", "centroid", F.round("mass", 6).alias("mass"))
 
 
-@query("composite_keys", "SELECT vec_id, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)), 5) AS square, 1.0::DOUBLE AS unit FROM embeddings WHERE vec_id % 50 = 0")
-def composite_keys(spark, sf):
-    return keyed(table(spark, sf, "embeddings").where("vec_id % 50 = 0"))
-
-
-@query("composite_keys_whole", SQL["composite_keys"].replace(" WHERE vec_id % 50 = 0", ""))
+@query("composite_keys_whole", "SELECT vec_id, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)), 5) AS square, 1.0::DOUBLE AS unit FROM embeddings")
 def composite_keys_whole(spark, sf):
-    """The key of every embedding; `composite_keys` and its SQL hold every fiftieth alone."""
+    """The key of every embedding."""
     return keyed(table(spark, sf, "embeddings"))
 
 

@@ -12,7 +12,7 @@ from tessera.session import table
 from tessera.streaming import sessions as session_state
 from tessera.streaming import sync, windows
 
-from .base import BEFORE, PARTS, SQL, TOKENS, documents, parts, query, tokens
+from .base import BEFORE, PARTS, TOKENS, documents, parts, query, tokens
 
 
 def exported(spark, sf):
@@ -110,14 +110,9 @@ def ledger_append(spark, sf):
     return back.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query("registry_fold", "WITH a AS (SELECT source AS slot, 'p' || doc_id AS sha, doc_id AS created, CASE WHEN doc_id % 2 = 0 AND doc_id // 20 = 3 THEN true END AS current FROM documents WHERE doc_id < 200), r AS (SELECT *, bool_or(coalesce(current, false)) OVER (PARTITION BY slot) AS has, row_number() OVER (PARTITION BY slot ORDER BY created, sha) AS k FROM a) SELECT slot, sha, coalesce(current, false) OR (NOT has AND k = 1) AS current FROM r")
-def registry_fold(spark, sf):
-    return packs_folded(documents(spark, sf).where("doc_id < 200"))
-
-
-@query("registry_fold_whole", SQL["registry_fold"].replace(" WHERE doc_id < 200", ""))
+@query("registry_fold_whole", "WITH a AS (SELECT source AS slot, 'p' || doc_id AS sha, doc_id AS created, CASE WHEN doc_id % 2 = 0 AND doc_id // 20 = 3 THEN true END AS current FROM documents), r AS (SELECT *, bool_or(coalesce(current, false)) OVER (PARTITION BY slot) AS has, row_number() OVER (PARTITION BY slot ORDER BY created, sha) AS k FROM a) SELECT slot, sha, coalesce(current, false) OR (NOT has AND k = 1) AS current FROM r")
 def registry_fold_whole(spark, sf):
-    """Every document as a pack of its slot; `registry_fold` and its SQL hold the first 200 ids alone."""
+    """Every document as a pack of its slot."""
     return packs_folded(documents(spark, sf))
 
 

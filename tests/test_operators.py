@@ -106,58 +106,86 @@ def test_following_and_credit(spark):
     assert credit == {(1, "a"): 0.7, (1, "b"): 0.0, (1, "commons"): 0.3, (2, "a"): 0.35, (2, "b"): 0.35, (2, "commons"): 0.3, (3, "a"): 0.2, (3, "b"): 0.5, (3, "commons"): 0.3}
 
 
-def three_documents():
-    """Documents of 60, 40 and 140 tokens with ids of their own."""
-    value, document, position = [], [], []
-    for d, n in enumerate((60, 40, 140)):
-        for i in range(n - 1):
-            value.append(1000 * (d + 1) + i + 1)
-            document.append(d)
-            position.append(i)
-    return trajectory.Corpus(np.array(value), np.array(document), np.array(position))
-
-
-def follow(corpus_, tokens):
-    by_value = {(int(d), int(p)): e for e, (d, p) in enumerate(zip(corpus_.document, corpus_.position, strict=True))}
-    tracker, lengths = trajectory.Tracker(corpus_), []
-    for t in tokens:
-        d, p = divmod(t, 1000)
-        entry = by_value.get((d - 1, p))
-        lengths.append(tracker.step(t, [] if entry is None else [entry]))
-    return lengths
-
-
-def test_tracker_follows_a_document():
-    c = three_documents()
-    assert follow(c, [1000 + i for i in range(60)]) == list(range(60))
-    assert max(follow(c, [1000 + i for i in range(20)] + [2000 + i for i in range(20)])) == 19
-    assert follow(c, [9000] * 10) == [0] * 10
-
-
-def test_tracker_bridges_a_changed_name():
-    c = three_documents()
-    text = [3000 + i for i in range(60)]
-    text[30:32] = [9001, 9002]
-    lengths = follow(c, text)
-    assert lengths[29] == 29 and lengths[31] == 0 and lengths[-1] > 50
-    far = [3000 + i for i in range(30)] + [9000 + i for i in range(20)] + [3030 + i for i in range(30)]
-    assert follow(c, far)[-1] == 29
+def runs_by_hand(text, hits, tokens_at):
+    """Runs of one text: {(document, line): [(first, last)]}, from matching seeds on as long as tokens agree."""
+    found = {}
+    for j, here in enumerate(hits[:-1]):
+        for d, p in here[:4]:
+            own = found.setdefault((d, p - j), [])
+            if any(a <= j <= b for a, b in own) or tokens_at(d, p + 1) != text[j + 1]:
+                continue
+            last = j
+            while last + 2 < len(text) and tokens_at(d, p - j + last + 2) == text[last + 2]:
+                last += 1
+            own.append((j, last))
+    return {k: v for k, v in found.items() if v}
+
+
+def lengths_by_hand(text, hits, tokens_at):
+    """Chain lengths of one text from its runs: each taken over once, by the first run of its document that begins soon after it."""
+    runs = [(a, b, d, line) for (d, line), own in runs_by_hand(text, hits, tokens_at).items() for a, b in own]
+    long = [r for r in runs if r[1] - r[0] >= 7]
+    taken = {}
+    for x in long:
+        able = [y for y in long if y[2] == x[2] and 0 <= y[0] - x[1] - 1 <= 8 and 0 <= y[0] + y[3] - x[1] - x[3] - 1 <= 8]
+        if able:
+            taken.setdefault(min(able, key=lambda y: (y[0], y[3])), []).append(x)
+    before = {}
+    for y in sorted(long):
+        if y in taken:
+            x = max(taken[y], key=lambda x: (x[1] - x[0], x[1], -x[3]))
+            before[y] = x[1] - x[0] + 1 + before.get(x, 0)
+    out = [0] * len(text)
+    for r in runs:
+        for j in range(r[0], r[1] + 1):
+            out[j + 1] = max(out[j + 1], j - r[0] + 1 + (before.get(r, 0) if j - r[0] >= 7 else 0))
+    return out
+
+
+THREE = {d: [1000 * (d + 1) + i for i in range(n)] for d, n in enumerate((60, 40, 140))}
+
+
+def follow(spark, *texts):
+    """The chain lengths of texts over three documents whose tokens are theirs alone; each hit is the token's own entry."""
+    at = {t: (d, p) for d, ts in THREE.items() for p, t in enumerate(ts)}
+    entries = spark.createDataFrame([(d, p, ts[p + 1]) for d, ts in THREE.items() for p in range(len(ts) - 1)], "document long, position int, value long")
+    hits = lambda t: [(*at[t], t + 1)] if t in at and t + 1 in at else []
+    steps = spark.createDataFrame([(i, j, t, hits(t)) for i, text in enumerate(texts) for j, t in enumerate(text)], "text long, j long, token long, hits array<struct<document: long, position: int, value: long>>")
+    found = {(r["text"], r["j"]): r["length"] for r in trajectory.tracked(steps, entries, "text").collect()}
+    return [[found[i, j] for j in range(len(text))] for i, text in enumerate(texts)]
+
+
+def test_chains_follow_a_document(spark):
+    a, b, c = THREE.values()
+    whole, phrases, junk, turned, across, far = follow(spark, a, a[:20] + b[:20], [9000] * 10, a[15:30] + a[:15] + a[30:45], a[45:60] + b[:15], c)
+    assert whole == list(range(60)) and max(phrases) == 19 and junk == [0] * 10
+    assert max(turned) <= 15 and max(across) == 14 and far == list(range(140))
+
+
+def test_chains_bridge_a_changed_name(spark):
+    a, _, c = THREE.values()
+    renamed = [*c[:30], 9001, 9002, *c[32:60]]
+    twice = [*c[:30], 9001, *c[31:60], 9002, *c[61:90]]
+    name, distant, value, sentence, dropped, two = follow(spark, renamed, c[:30] + [9000] * 20 + c[30:60], [*a[:20], 9000, *a[21:41]], a[:20] + [9000] * 12 + a[32:52], a[:20] + a[22:42], twice)
+    assert name[29] == 29 and name[31] == 0 and name[-1] == 29 + 27
+    assert distant[-1] == 29 and max(value) == 38 and max(sentence) == 19 and max(dropped) == 38
+    assert two[-1] == 29 + 28 + 28 and two[29 + 2 + 6] == 6 and two[29 + 2 + 8] == 29 + 8
 
 
 def track_by_hand(texts, documents_, rule=(8, 4, 2, 1), k=16):
     """Chain lengths by plain loops over a whole index: documents and texts as lists of tokens by id."""
-    flat = [(d, p, ts) for d, ts in sorted(documents_.items()) for p in range(len(ts) - 1)]
-    whole = trajectory.Corpus(np.array([ts[p + 1] for _, p, ts in flat]), np.array([d for d, _, _ in flat]), np.array([p for _, p, _ in flat]))
     of = {}
-    for e, (_, p, ts) in enumerate(flat):
-        of.setdefault(ts[p], []).append((e, p, ts))
+    for d, ts in sorted(documents_.items()):
+        for p in range(len(ts) - 1):
+            of.setdefault(ts[p], []).append((d, p))
     found = {}
     for i, text in texts.items():
-        tracker = trajectory.Tracker(whole)
+        hits = []
         for j, t in enumerate(text):
-            level = lambda p, ts, j=j, text=text: next(n for n in rule if n <= p + 1 and n <= j + 1 and ts[p + 1 - n : p + 1] == text[j + 1 - n : j + 1])
-            best = sorted((-level(p, ts), e) for e, p, ts in of.get(t, []))[:k]
-            found[i, j] = tracker.step(t, [e for _, e in best])
+            level = lambda d, p, j=j, text=text: next(n for n in rule if n <= p + 1 and n <= j + 1 and documents_[d][p + 1 - n : p + 1] == text[j + 1 - n : j + 1])
+            hits.append([at for _, at in sorted((-level(*at), at) for at in of.get(t, []))[:k]])
+        lengths = lengths_by_hand(text, hits, lambda d, p: documents_[d][p] if 0 <= p < len(documents_[d]) else None)
+        found |= {(i, j): n for j, n in enumerate(lengths)}
     return found
 
 
@@ -185,7 +213,7 @@ def test_tracked_follows_a_late_passage_of_common_tokens(spark):
     steps = spark.createDataFrame([(i, j, t) for i, ts in texts.items() for j, t in enumerate(ts)], "text long, j int, token long")
     hits = trajectory.retrieved(steps, entries, "text")
     every = steps.join(hits, ["text", "j"], "left").withColumn("hits", F.coalesce("hits", F.array().cast(hits.schema["hits"].dataType)))
-    got = {(r["text"], r["j"]): r["length"] for r in trajectory.tracked(every, trajectory.reachable(hits, steps, entries, "text"), "text").collect()}
+    got = {(r["text"], r["j"]): r["length"] for r in trajectory.tracked(every, entries, "text").collect()}
     assert got == track_by_hand(texts, held)
     assert got[1, 39] > 30 and got[3, 1] == 0
 
