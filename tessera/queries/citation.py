@@ -64,16 +64,31 @@ def chains_gaps_islands(spark, sf):
     return rounded(cite.chains(neighbours(spark, sf), rows(spark, sf)).select("gen", "row", "start", "length", "offset", "weight"))
 
 
+#: Chains one after the other in the order of the choice: `taken` lists those that overlap none taken before.
+CHOSEN = CHAINS + """,
+ordered AS (SELECT *, row_number() OVER (PARTITION BY gen ORDER BY length DESC, weight DESC, row, offs) AS i FROM chains),
+picked AS (SELECT gen, 0::BIGINT AS i, []::STRUCT(a BIGINT, z BIGINT, i BIGINT)[] AS taken FROM (SELECT DISTINCT gen FROM chains)
+    UNION ALL SELECT p.gen, o.i, CASE WHEN len(list_filter(p.taken, lambda t: o.start < t.z AND t.a < o.start + o.length)) = 0 THEN list_append(p.taken, {'a': o.start, 'z': o.start + o.length, 'i': o.i}) ELSE p.taken END
+    FROM picked p JOIN ordered o ON o.gen = p.gen AND o.i = p.i + 1),
+places AS (SELECT gen, unnest(arg_max(taken, i)) AS t FROM picked GROUP BY gen),
+owners AS (SELECT o.gen, o.i, o.row, min(t.i) AS owner FROM ordered o JOIN places p ON p.gen = o.gen AND o.start < t.z AND t.a < o.start + o.length GROUP BY 1, 2, 3),
+others AS (SELECT gen, owner, string_agg(row::VARCHAR, ',' ORDER BY i) AS alternatives FROM (SELECT * FROM owners WHERE i <> owner QUALIFY row_number() OVER (PARTITION BY gen, owner ORDER BY i) <= 5) GROUP BY 1, 2),
+spans AS (SELECT o.*, row_number() OVER (PARTITION BY o.gen ORDER BY start) - 1 AS span, coalesce(alternatives, '') AS alternatives FROM ordered o JOIN places p ON p.gen = o.gen AND t.i = o.i LEFT JOIN others x ON x.gen = o.gen AND x.owner = o.i)"""
+
+
 def chosen(spark, sf):
     return cite.spans(cite.chains(neighbours(spark, sf), rows(spark, sf)), rows(spark, sf))
 
 
-@query("greedy_spans")
+@query("greedy_spans", f"WITH RECURSIVE {CHOSEN} SELECT gen, span, start, length, row, offs AS offset, round(weight, 6) AS weight, alternatives FROM spans")
 def greedy_spans(spark, sf):
-    return rounded(chosen(spark, sf), "weight")
+    return rounded(chosen(spark, sf).withColumn("alternatives", F.array_join(F.transform("alternatives", lambda x: x.cast("string")), ",")), "weight")
 
 
-@query("span_confidence")
+@query("span_confidence", f"""WITH RECURSIVE {CHOSEN}, grouped AS (SELECT gen, k, row, sum(weight) AS weight, arg_max(score, (score, -rank)) AS score, arg_max(loss, (score, -rank)) AS loss FROM citable GROUP BY 1, 2, 3),
+    cited AS (SELECT *, greatest(0, least(1, (score - 0.5) / 0.5)) * greatest(0, least(1, weight)) * exp(-greatest(loss, 0)) AS product FROM grouped),
+    along AS (SELECT gen, span, row, unnest(range(start, start + length)) AS k FROM spans), c AS (SELECT along.gen, span, CASE WHEN coalesce(product, 0) > 0 THEN pow(product, 1 / 3.0::DOUBLE) ELSE 0 END AS c FROM along LEFT JOIN cited USING (gen, k, row))
+    SELECT gen, span, round(min(c), 6) AS confidence, round(avg(c), 6) AS mean_confidence FROM c GROUP BY 1, 2""")
 def span_confidence(spark, sf):
     return rounded(cite.span_confidence(chosen(spark, sf), cite.citations(neighbours(spark, sf), rows(spark, sf))))
 

@@ -297,12 +297,32 @@ def asked_by_manner(spark, sf):
     return mix.asked(m, ["item_id", "position"], 0.25).select("item_id", "position", "strand", "asked")
 
 
-@query("gate_memory_fold")
+def folded(commons: bool) -> str:
+    """The gate's memory in SQL, a position at a time over lists of strands in their order."""
+    clipped = "greatest(0.02, least(50, x / greatest(list_extract(r.ps, r.c), 1e-12)))" if commons else "greatest(0.01, least(0.5, x))"
+    evidence = f"list_transform(r.ps, lambda x, i: {f'CASE WHEN i = r.c THEN 1 ELSE {clipped} END' if commons else clipped}::DOUBLE)"
+    loss = "greatest(-ln(x) / ln(50::DOUBLE), 0)" if commons else "ln(0.5 / x) / ln(0.5 / 0.01::DOUBLE)"
+    gain = "greatest(ln(x) / ln(50::DOUBLE), 0)" if commons else f"1 - {loss}"
+    voices = "list_max(list_filter(credible, lambda x, i: i <> c))" if commons else "list_max(credible)"
+    start = "list_transform(ps, lambda x, i: CASE WHEN i = c THEN 0.9 ELSE (1 - 0.9) / (len(ps) - 1) END::DOUBLE)" if commons else "list_transform(ps, lambda x: 1 / len(ps)::DOUBLE)"
+    return f"""WITH RECURSIVE {LIKELIHOODS}, lists AS (SELECT item_id, position, row_number() OVER (PARTITION BY item_id ORDER BY position) AS i, list(strand ORDER BY strand) AS strands, list(p ORDER BY strand) AS ps, list_position(list(strand ORDER BY strand), 'en') AS c FROM likelihoods GROUP BY 1, 2),
+    memories AS (SELECT item_id, 0::BIGINT AS i, {start} AS memory, list_transform(ps, lambda x: 0::DOUBLE) AS credible FROM lists WHERE i = 1
+        UNION ALL
+        SELECT item_id, i, list_transform(updated, lambda x, k: x - given[k] + (list_sum(given) - given[k]) / (len(given) - 1)) AS memory, credible FROM (
+            SELECT *, list_transform(updated, lambda x, k: x * (1 - pow(0.95::DOUBLE, losses[k]))) AS given FROM (
+                SELECT *, list_transform(raw, lambda x: x / list_sum(raw)) AS updated FROM (
+                    SELECT *, list_transform(evidence, lambda x, k: old[k] * pow(x, {voices})) AS raw FROM (
+                        SELECT item_id, i, c, evidence, old, list_transform(evidence, lambda x: {loss}) AS losses, list_transform(evidence, lambda x, k: 0.9::DOUBLE * before[k] + 0.1::DOUBLE * ({gain})) AS credible FROM (
+                            SELECT r.item_id, r.i, r.c, m.memory AS old, m.credible AS before, {evidence} AS evidence FROM memories m JOIN lists r ON r.item_id = m.item_id AND r.i = m.i + 1))))))
+    SELECT item_id, position, unnest(strands) AS strand, round(unnest(memory), 6) AS memory, round(unnest(credible), 6) AS credibility FROM lists JOIN memories USING (item_id, i)"""
+
+
+@query("gate_memory_fold", folded(False))
 def gate_fold(spark, sf):
     return rounded(mix.gate_memory(likelihoods(spark, sf), "item_id", mix.Gate()))
 
 
-@query("lift_gate_fold")
+@query("lift_gate_fold", folded(True))
 def lift_gate_fold(spark, sf):
     return rounded(mix.gate_memory(likelihoods(spark, sf), "item_id", mix.Gate(), commons="en"))
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tessera.functions import text
+from tessera.functions import rng, text
 from tessera.operators import corpus, evaluate
 from tessera.session import table
 
@@ -70,13 +70,32 @@ def markers_rendered(spark, sf):
     return c.select("conv_id", "turn", text.marked(F.concat("text", F.lit(" ")), F.col("turn") + 1).alias("marked"))
 
 
-@query("chunk_paragraphs")
+#: Pieces and chunks are built up as texts in which chr(2) parts them, so that what stands behind the last one is still open.
+CHUNKS = r"""paragraphs AS (SELECT doc_id, list_filter(list_transform(string_split_regex(replace(text, chr(13) || chr(10), chr(10)), '\n(?:[^\S\n]*\n)+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS bodies FROM documents),
+bodies AS (SELECT doc_id, generate_subscripts(bodies, 1) AS place, unnest(bodies) AS body FROM paragraphs),
+sentences AS (SELECT doc_id, place, body, CASE WHEN length(body) > 600 THEN list_filter(flatten(list_transform(string_split(regexp_replace(body, '([.?!])([ \n])', '\1' || chr(1) || '\2', 'g'), chr(1)),
+    lambda s: list_transform(regexp_extract_all(trim(s, ' ' || chr(9)), '(?s)(?:.{1,600}$|.{1,599} +|.{600})'), lambda x: trim(x, ' ' || chr(9))))), lambda x: x <> '') ELSE [body] END AS bits FROM bodies),
+packed AS (SELECT doc_id, place, CASE WHEN length(body) > 600 THEN string_split(list_reduce(bits, lambda acc, x: CASE WHEN length(regexp_extract(acc, '[^\x02]*$')) + 1 + length(x) <= 600 THEN acc || ' ' || x ELSE acc || chr(2) || x END), chr(2)) ELSE bits END AS pieces FROM sentences),
+merged AS (SELECT doc_id, list_reduce(flatten(list(pieces ORDER BY place)), lambda acc, x: CASE WHEN length(regexp_extract(acc, '[^\x02]*$')) < 120 THEN acc || ' ' || x ELSE acc || chr(2) || x END) AS whole FROM packed GROUP BY 1),
+cut AS (SELECT doc_id, string_split(CASE WHEN length(regexp_extract(whole, '[^\x02]*$')) < 120 THEN regexp_replace(whole, '\x02([^\x02]*)$', ' \1') ELSE whole END, chr(2)) AS chunks FROM merged),
+chunks AS (SELECT doc_id, generate_subscripts(chunks, 1) - 1 AS chunk, unnest(chunks) AS body FROM cut)"""
+
+
+@query("chunk_paragraphs", f"WITH {CHUNKS} SELECT doc_id, chunk, length(body) AS n_chars, sha256(body) AS sha FROM chunks")
 def chunk_paragraphs(spark, sf):
     d = documents(spark, sf).select("doc_id", F.posexplode(text.chunked()(F.col("text"))).alias("chunk", "text"))
     return d.select("doc_id", "chunk", F.length("text").alias("n_chars"), text.sha256(F.col("text")).alias("sha"))
 
 
-@query("splitmix64_shuffle")
+def mixed_numbers(state: str, name: str, source: str) -> str:
+    """The generator's next number after `state`, in 128-bit arithmetic cut to 64 bits; the same fixed values as functions.rng."""
+    mask = f"{rng.MASK}::UHUGEINT"
+    return f"""{name}0 AS (SELECT *, (({state}) + {rng.GAMMA}::UHUGEINT) & {mask} AS z FROM {source}),
+    {name}1 AS (SELECT * REPLACE ((xor(z, z >> 30) * {rng.MIX_A}::UHUGEINT) & {mask} AS z) FROM {name}0), {name}2 AS (SELECT * REPLACE ((xor(z, z >> 27) * {rng.MIX_B}::UHUGEINT) & {mask} AS z) FROM {name}1),
+    {name} AS (SELECT * EXCLUDE (z), xor(z, z >> 31) AS {name} FROM {name}2)"""
+
+
+@query("splitmix64_shuffle", f"WITH {mixed_numbers(f'xor(2024::UHUGEINT, (doc_id::UHUGEINT * {rng.STREAM}::UHUGEINT) & {rng.MASK}::UHUGEINT)', 'a', 'documents')}, {mixed_numbers('a', 'b', 'a')} SELECT doc_id, (b >> 11)::DOUBLE * pow(2::DOUBLE, -53) AS u FROM b")
 def splitmix64_shuffle(spark, sf):
     from tessera.functions.rng import unit_of
 
