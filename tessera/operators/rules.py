@@ -180,8 +180,14 @@ def trajectory_rules(readings: DataFrame, holder: float = 0.40, low: float = 0.1
 
 
 def promotion_gates(candidate: DataFrame, floor: float = 0.90) -> DataFrame:
-    """A version's gates: a trained one has memorised enough, vocabularies match, nothing withdrawn is indexed, probes verify."""
+    """A version's gates: a trained one has memorised enough, vocabularies match, nothing withdrawn is indexed, probes verify.
+
+    Where the columns are there, also: its trunk is the expected one, and its rows are those of the corpus (no strays).
+    """
     c = F.col
-    return verdicts(candidate, ["version"], {
-        "memorised": (c("kind") != "train") | (c("memorised") >= floor), "vocabulary": c("vocabulary") == c("expected_vocabulary"), "withdrawn": c("leaked") == 0, "verified": c("unverified") == 0,
-    })
+    gates = {"memorised": (c("kind") != "train") | (c("memorised") >= floor), "vocabulary": c("vocabulary") == c("expected_vocabulary"), "withdrawn": c("leaked") == 0, "verified": c("unverified") == 0}
+    if "trunk" in candidate.columns:
+        gates["trunk"] = c("trunk") == c("expected_trunk")
+    if "strays" in candidate.columns:
+        gates["chain"] = c("strays") == 0
+    return verdicts(candidate, ["version"], gates)

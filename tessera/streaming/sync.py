@@ -3,26 +3,61 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import corpus, rules
+from tessera.functions.text import sha256
+from tessera.operators import corpus, ledger, rules
 from tessera.sources.store import exists
 
 
+@dataclass
+class Measured:
+    """What a model trained on a version, or read with it, says; models are outside, so that it comes as tables.
+
+    losses: (document_id, partition_index, loss), a row for each position, or for each partition of equal positions;
+    spans: (document_id, partition_index, first, text), what answers to probes of changed facts quoted, from character
+    `first` of a partition on; vocabulary and trunk: digests of what the version was made with.
+    """
+
+    losses: DataFrame | None = None
+    spans: DataFrame | None = None
+    vocabulary: str = ""
+    trunk: str = ""
+
+
+def unverified(spans: DataFrame, live: DataFrame) -> int:
+    """Quoted spans that the partitions as they are now don't have there: other text, or no such partition."""
+    now = live.select(*corpus.KEY, F.col("text").alias("_text"))
+    found = spans.join(now, corpus.KEY, "left")
+    same = F.substr("_text", F.col("first") + 1, F.length("text")) == F.col("text")
+    return found.where(~F.coalesce(same, F.lit(False))).count()
+
+
 @dataclass
 class Ladder:
-    """export, compare, plan, index, gates, live: one batch of a feed after another.
+    """export, compare, plan, index, measure, gates, live: one batch of a feed after another.
 
     The store holds every version of the index and a pointer to the live one. A version that fails a gate stays, held, and
-    the old one goes on serving. A batch that is replayed writes the same version again.
+    the old one goes on serving; the next batch starts from the live one, and `feeds` keeps what came in between, so that
+    nothing of a held batch is lost. A batch that is replayed writes the same version again.
+
+    `build` makes the rows of an index from partitions, `measure` says how a version does: it takes the index, the keys
+    of added and changed partitions, and the version. Without one the index is its own model, which has memorised a
+    partition if a row's digest is that of its text.
     """
 
     spark: SparkSession
     path: str
     floor: float = 0.9
+    measure: Callable[[DataFrame, DataFrame, int], Measured] | None = None
+    build: Callable[[DataFrame], DataFrame] | None = None
+    vocabulary: str = ""
+    trunk: str = ""
+    train_fraction: float = 0.05
 
     def live(self) -> int | None:
         if not exists(self.spark, f"{self.path}/live"):
@@ -32,26 +67,56 @@ class Ladder:
     def index(self, version: int) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/index/version={version}")
 
+    def gates(self) -> DataFrame:
+        """Every version's gates: version, rule, passed."""
+        return self.spark.read.parquet(f"{self.path}/gates")
+
+    def exact(self, written: DataFrame) -> Measured:
+        loss = F.when(F.col("sha") == sha256(F.col("text")), 0.0).otherwise(1.0)
+        return Measured(written.select(*corpus.KEY, loss.alias("loss")), None, self.vocabulary, self.trunk)
+
+    def pending(self, feed: DataFrame, batch: int, last: int | None) -> DataFrame:
+        """This batch after those since the live version, of each key and document the newest rows."""
+        feed.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(f"{self.path}/feeds/number={batch}")
+        rows = self.spark.read.parquet(f"{self.path}/feeds").where((F.col("number") <= batch) & (F.col("number") > (-1 if last is None else last)))
+        gone = rows.where("op = 'withdraw'").groupBy("document_id").agg(F.max("batch").alias("_gone"))
+        rows = rows.join(gone, "document_id", "left").where("_gone IS NULL OR batch > _gone OR op = 'withdraw'")
+        newest = Window.partitionBy(*corpus.KEY, "op").orderBy(F.desc("batch"))
+        return rows.withColumn("_k", F.row_number().over(newest)).where("_k = 1").select(feed.columns)
+
     def sync(self, feed: DataFrame, batch: int) -> None:
         """feed: (document_id, partition_index, text, sha, op), op `deposit` or `withdraw`."""
         last = self.live()
+        feed = self.pending(feed, batch, last)
         empty = feed.select("document_id", "partition_index", "text", "sha").limit(0)
         before = self.index(last).select(empty.columns) if last is not None else empty
         gone = feed.where("op = 'withdraw'").select("document_id").distinct()
         new = feed.where("op = 'deposit'").select(empty.columns)
         kept = before.join(gone, "document_id", "left_anti").join(new.select(*corpus.KEY), corpus.KEY, "left_anti")
-        after = kept.unionByName(new.join(gone, "document_id", "left_anti"))
+        after = kept.unionByName(new)
         change = corpus.changes(before, after)
         counts = change.agg(*[F.count_if(F.col("change") == c).alias(c) for c in ("added", "removed", "changed")])
-        plan = counts.select(corpus.update_plan(counts, F.lit(after.count()), F.lit(last is not None)).alias("plan")).first()["plan"]
+        plan = counts.select(corpus.update_plan(counts, F.lit(after.count()), F.lit(last is not None), self.train_fraction).alias("plan")).first()["plan"]
         if plan == "none":
             return
-        after.write.mode("overwrite").parquet(f"{self.path}/index/version={batch}")
+        (self.build(after) if self.build else after).write.mode("overwrite").parquet(f"{self.path}/index/version={batch}")
         written = self.index(batch)
-        leaked = written.join(gone, "document_id", "left_semi").count()
-        learned = written.agg(F.avg((F.length("sha") == 64).cast("double"))).first()[0] or 0.0
-        row = self.spark.createDataFrame([(batch, "train" if "train" in plan else "reindex", float(learned), "shared", "shared", leaked, 0)], "version long, kind string, memorised double, vocabulary string, expected_vocabulary string, leaked long, unverified long")
-        passed = rules.qualifies(rules.promotion_gates(row, self.floor), ["version"]).first()["qualifies"]
+        touched = change.where("change <> 'removed'").select(*corpus.KEY)
+        said = self.measure(written, touched, batch) if self.measure else self.exact(written)
+        # A document that this feed withdraws and deposits anew is wanted; one that it only withdraws must not be indexed.
+        rows, parts = (x.select(*corpus.KEY, "sha").distinct() for x in (written, after))
+        strays = rows.join(parts, [*corpus.KEY, "sha"], "left_anti").count() + parts.join(rows, [*corpus.KEY, "sha"], "left_anti").count()
+        leaked = written.join(gone.join(new.select("document_id"), "document_id", "left_anti"), "document_id", "left_semi").count()
+        learned = said.losses.agg(ledger.memorised_share(F.col("loss"))).first()[0] if said.losses is not None else 0.0
+        bad = unverified(said.spans, after) if said.spans is not None else 0
+        kind = "train" if "train" in plan else "reindex"
+        row = self.spark.createDataFrame(
+            [(batch, kind, float(learned or 0.0), said.vocabulary, self.vocabulary, said.trunk, self.trunk, leaked, bad, strays)],
+            "version long, kind string, memorised double, vocabulary string, expected_vocabulary string, trunk string, expected_trunk string, leaked long, unverified long, strays long",
+        )
+        verdicts = rules.promotion_gates(row, self.floor)
+        verdicts.write.mode("overwrite").parquet(f"{self.path}/gates/number={batch}")
+        passed = rules.qualifies(verdicts, ["version"]).first()["qualifies"]
         state = self.spark.createDataFrame([(batch, batch if passed else last, plan, bool(passed))], "batch long, version long, plan string, passed boolean")
         state.write.mode("append").parquet(f"{self.path}/{'live' if passed else 'held'}")
 

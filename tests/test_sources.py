@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from tessera.sources import store, synthetic
 from tessera.sources.web import book_body
-from tessera.streaming.sync import Ladder, Throttle
+from tessera.streaming.sync import Ladder, Measured, Throttle
 
 
 def test_corpus_needs_its_manifest(spark, tmp_path):
@@ -94,6 +94,73 @@ def test_ladder_promotes_holds_and_replays(spark, tmp_path):
     assert strict.live() is None and strict.index(0).count() == 1
 
 
+def streamed(spark, path, batches, **settings):
+    """The ladder over a stream of batches, each in turn."""
+    ladder = Ladder(spark, f"{path}/ladder", **settings)
+    for rows in batches:
+        rows.write.mode("append").parquet(f"{path}/feed")
+        ladder.follow(spark.readStream.schema(rows.schema).parquet(f"{path}/feed"), f"{path}/checkpoint").awaitTermination()
+    return ladder
+
+
+def failed(ladder, version):
+    return sorted(r["rule"] for r in ladder.gates().where(f"version = {version} AND NOT passed").collect())
+
+
+FIRST = [("a", 0, "the first text", "deposit"), ("b", 0, "the second text", "deposit"), ("c", 0, "a third", "deposit")]
+
+
+def test_a_leaked_document_is_held(spark, tmp_path):
+    """An index that keeps a row of a withdrawn document doesn't go live, and the batch isn't lost."""
+    state = {"leak": True}
+
+    def build(parts):
+        lost = spark.createDataFrame([("b", 0, "the second text", "x")], "document_id string, partition_index int, text string, sha string")
+        return parts.unionByName(lost) if state["leak"] and parts.where("document_id = 'b'").isEmpty() else parts
+
+    ladder = streamed(spark, tmp_path, [feed(spark, FIRST), feed(spark, [("b", 0, "", "withdraw")])], build=build)
+    assert ladder.live() == 0 and failed(ladder, 1) == ["chain", "withdrawn"]
+    assert sorted(r["document_id"] for r in ladder.index(ladder.live()).collect()) == ["a", "b", "c"]
+    state["leak"] = False
+    ladder = streamed(spark, tmp_path, [feed(spark, [("d", 0, "a fourth", "deposit")])], build=build)
+    assert ladder.live() == 2 and sorted(r["document_id"] for r in ladder.index(2).collect()) == ["a", "c", "d"]
+
+
+def test_a_failed_span_is_held(spark, tmp_path):
+    """Probes of changed partitions quote them; a version whose answers still quote the old text is held."""
+    seen = []
+
+    def measure(index, touched, version):
+        seen.append(sorted(r["document_id"] for r in touched.collect()))
+        said = "first" if version == 0 else "1st"
+        spans = touched.where("document_id = 'a'").select("document_id", "partition_index", F.lit(4).alias("first"), F.lit("first" if version < 3 else said).alias("text"))
+        return Measured(index.select("document_id", "partition_index", F.lit(0.01).alias("loss")), spans)
+
+    batches = [feed(spark, FIRST), feed(spark, [("c", 0, "a third, changed", "deposit")]), feed(spark, [("a", 0, "the 1st text", "deposit")])]
+    ladder = streamed(spark, tmp_path, batches, measure=measure)
+    assert ladder.live() == 1 and failed(ladder, 2) == ["verified"] and seen == [["a", "b", "c"], ["c"], ["a"]]
+    ladder = streamed(spark, tmp_path, [feed(spark, [("b", 0, "the second text, too", "deposit")])], measure=measure)
+    assert ladder.live() == 3 and seen[-1] == ["a", "b"] and {r["text"] for r in ladder.index(3).collect()} >= {"the 1st text", "the second text, too"}
+
+
+@pytest.mark.parametrize(("share", "settings", "rules_"), [(0.85, {}, ["memorised"]), (0.95, {}, []), (0.95, {"vocabulary": "other"}, ["vocabulary"]), (0.95, {"trunk": "other"}, ["trunk"])])
+def test_a_low_memorised_share_is_held(spark, tmp_path, share, settings, rules_):
+    def measure(index, touched, version):
+        return Measured(spark.range(100).select(F.lit("a").alias("document_id"), F.lit(0).alias("partition_index"), F.when(F.col("id") < share * 100, 0.05).otherwise(2.0).alias("loss")))
+
+    ladder = streamed(spark, tmp_path, [feed(spark, FIRST)], measure=measure, **settings)
+    assert failed(ladder, 0) == rules_ and ladder.live() == (None if rules_ else 0)
+
+
+def test_a_reindex_needs_no_memory(spark, tmp_path):
+    """A change below the share that calls for training goes live whatever the losses say."""
+    many = [(f"d{i}", 0, f"text {i}", "deposit") for i in range(60)]
+    loss = {0: 0.0, 1: 5.0}
+    measure = lambda index, touched, version: Measured(index.select("document_id", "partition_index", F.lit(loss[version]).alias("loss")))
+    ladder = streamed(spark, tmp_path, [feed(spark, many), feed(spark, [("d3", 0, "new", "deposit")])], measure=measure)
+    assert ladder.live() == 1
+
+
 def test_throttle():
     from collections import deque
 
