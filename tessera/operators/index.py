@@ -17,15 +17,29 @@ from tessera.operators.bounds import few
 MOST_QUERIES = 4096
 
 
-def tokens(docs: DataFrame, document: str, text: str, *keep: str) -> DataFrame:
-    """One row per word: document, pos, word and its 16-bit id."""
-    out = docs.select(document, *keep, F.posexplode(words(F.col(text))).alias("pos", "word"))
-    return out.withColumn("token", token_id(F.col("word")))
+def tokens(docs: DataFrame, document: str, text: str, *keep: str, ahead: int = 0) -> DataFrame:
+    """One row per word: document, pos, word and its 16-bit id; with `ahead`, the ids of the words that follow it as next1, next2, ...
+
+    A text's words are one array until they become rows, so that what follows needs no shuffle.
+    """
+    if not ahead:
+        out = docs.select(document, *keep, F.posexplode(words(F.col(text))).alias("pos", "word"))
+        return out.withColumn("token", token_id(F.col("word")))
+    out = docs.select(document, *keep, words(F.col(text)).alias("word")).withColumn("token", F.transform("word", token_id))
+    follows = [f"next{k}" for k in range(1, ahead + 1)]
+    out = out.select(document, *keep, "word", "token", *[F.slice("token", k + 2, F.size("token")).alias(c) for k, c in enumerate(follows)])
+    out = out.select(document, *keep, F.posexplode(F.arrays_zip("word", "token", *follows)).alias("pos", "_w"))
+    return out.select(document, *keep, "pos", *[F.col("_w")[c].alias(c) for c in ("word", "token", *follows)])
+
+
+def following(tokens: DataFrame, document: str, k: int) -> Column:
+    """The id of the k-th word after each: a column of the tokens if they were made with it, else over their order."""
+    return F.col(f"next{k}") if f"next{k}" in tokens.columns else F.lead("token", k).over(Window.partitionBy(document).orderBy("pos"))
 
 
 def transitions(tokens: DataFrame, document: str) -> DataFrame:
     """Each token with the one that follows it in its document."""
-    return tokens.withColumn("next", F.lead("token").over(Window.partitionBy(document).orderBy("pos"))).where("next IS NOT NULL")
+    return tokens.withColumn("next", following(tokens, document, 1)).where("next IS NOT NULL")
 
 
 def running_start(sizes: DataFrame, key: str, size: Column, width: int = 10_000) -> DataFrame:
@@ -54,8 +68,7 @@ def stream(tokens: DataFrame, document: str, end: int) -> DataFrame:
 
 def ngrams(tokens: DataFrame, document: str, n: int, bits: int) -> DataFrame:
     """Packed n-grams of each document with their position."""
-    w = Window.partitionBy(document).orderBy("pos")
-    parts = [F.col("token"), *[F.lead("token", k).over(w) for k in range(1, n)]]
+    parts = [F.col("token"), *[following(tokens, document, k) for k in range(1, n)]]
     return tokens.select("*", ngram_key(*parts, bits=bits).alias("key")).where("key IS NOT NULL")
 
 

@@ -29,12 +29,12 @@ def build(docs: DataFrame, document: str, text: str, loss: Column, entropy: Colu
     """
     kept = docs if excluded is None else docs.join(excluded.select(document), document, "left_anti")
     parts = corpus.partitions(kept, document, text)
-    tokens = index.tokens(kept, document, text)
+    tokens = index.tokens(kept, document, text, ahead=2)
     moves = index.transitions(tokens, document).withColumn("loss", loss).withColumn("entropy", entropy)
     entries = moves.select(F.col(document).alias("row"), F.col("pos").alias("key_offset"), (F.col("pos") + 1).alias("offset"), F.col("next").alias("value"), "loss", "entropy")
     shared = index.shared_ngrams(index.ngrams(tokens, document, 3, 16), document)
     stats = ledger.partition_stats(entries, kept.select(F.col(document).alias("row")))
-    return Built(parts, tokens, entries, shared, stats, corpus.snapshot(parts))
+    return Built(parts, tokens.drop("next1", "next2"), entries, shared, stats, corpus.snapshot(parts))
 
 
 def located(facts: DataFrame, tokens: DataFrame, document: str) -> tuple[DataFrame, DataFrame]:

@@ -55,8 +55,8 @@ def snapshots(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return before, p.where("document_id % 7 <> 0")
 
 
-def tokens(spark: SparkSession, sf: str) -> DataFrame:
-    return index.tokens(documents(spark, sf), "doc_id", "text", "lang", "source")
+def tokens(spark: SparkSession, sf: str, ahead: int = 0) -> DataFrame:
+    return index.tokens(documents(spark, sf), "doc_id", "text", "lang", "source", ahead=ahead)
 
 
 WORDS = r"list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
@@ -66,8 +66,8 @@ tokens0 AS (SELECT doc_id, lang, source, generate_subscripts(ws, 1) - 1 AS pos,
 tokens AS (SELECT *, {TOKEN.format("word")} AS token FROM tokens0)"""
 
 
-def prompts(spark: SparkSession, sf: str) -> DataFrame:
-    return index.tokens(table(spark, sf, "benchmark"), "item_id", "text")
+def prompts(spark: SparkSession, sf: str, ahead: int = 0) -> DataFrame:
+    return index.tokens(table(spark, sf, "benchmark"), "item_id", "text", ahead=ahead)
 
 
 PROMPTS = f"""pbag AS (SELECT item_id, {WORDS.format("text")} AS ws FROM benchmark),

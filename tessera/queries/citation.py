@@ -13,8 +13,8 @@ from .base import BEFORE, LIKELIHOODS, PROMPTS, TOKENS, WEIGHTED, WORDS, documen
 
 def neighbours(spark, sf):
     """Prompts as generations: a position's neighbours are where its last three words occur in documents, in order."""
-    grams = index.ngrams(tokens(spark, sf), "doc_id", 3, 16).select("key", F.col("doc_id").alias("row"), (F.col("pos") + 2).alias("offset"))
-    asked = index.ngrams(prompts(spark, sf), "item_id", 3, 16).select("key", F.col("item_id").alias("gen"), (F.col("pos") + 2).alias("k"))
+    grams = index.ngrams(tokens(spark, sf, 2), "doc_id", 3, 16).select("key", F.col("doc_id").alias("row"), (F.col("pos") + 2).alias("offset"))
+    asked = index.ngrams(prompts(spark, sf, 2), "item_id", 3, 16).select("key", F.col("item_id").alias("gen"), (F.col("pos") + 2).alias("k"))
     met = asked.join(grams, "key").select("gen", "k", "row", "offset")
     placed = met.withColumn("rank", F.row_number().over(Window.partitionBy("gen", "k").orderBy("row", "offset")))
     scored = placed.withColumn("score", 1 - F.least(F.col("rank"), F.lit(40)) * 0.01).withColumn("loss", (F.col("row") % 7) * 0.01)
@@ -109,7 +109,7 @@ def generation_summary(spark, sf):
 @query("span_distinctiveness", f"""WITH {TOKENS}, g AS (SELECT doc_id, (token << 32) | (lead(token, 1) OVER w << 16) | lead(token, 2) OVER w AS key FROM tokens WINDOW w AS (PARTITION BY doc_id ORDER BY pos)), s AS (SELECT key FROM g WHERE key IS NOT NULL GROUP BY 1 HAVING count(DISTINCT doc_id) >= 2)
     SELECT doc_id, round(1 - avg(CASE WHEN s.key IS NOT NULL THEN 1.0 ELSE 0 END)::DOUBLE, 6) AS distinctiveness FROM g LEFT JOIN s USING (key) WHERE g.key IS NOT NULL GROUP BY 1""")
 def span_distinctiveness(spark, sf):
-    g = index.ngrams(tokens(spark, sf), "doc_id", 3, 16)
+    g = index.ngrams(tokens(spark, sf, 2), "doc_id", 3, 16)
     return rounded(cite.distinctiveness(g, index.shared_ngrams(g, "doc_id"), ["doc_id"]))
 
 
@@ -313,7 +313,7 @@ def trajectory_state(spark, sf):
     ranking stands in for the score of keys.
     """
     good = table(spark, sf, "labels").where("quality = 1").select("doc_id").distinct()
-    t = index.tokens(documents(spark, sf).join(good, "doc_id", "left_semi"), "doc_id", "text")
+    t = index.tokens(documents(spark, sf).join(good, "doc_id", "left_semi"), "doc_id", "text", ahead=1)
     entries = index.transitions(t, "doc_id").select(F.col("doc_id").alias("document"), F.col("pos").alias("position"), "token", F.col("next").alias("value"))
     scratch = Scratch(spark, "trajectory")
     entries = scratch.save(entries, "entries")

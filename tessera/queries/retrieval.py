@@ -12,7 +12,7 @@ from .base import HITS, LIKELIHOODS, PARTS, PROMPTS, TOKENS, WEIGHTED, WORDS, do
 
 @query("transitions_lead", f"WITH {TOKENS}, t AS (SELECT lang, token, lead(token) OVER (PARTITION BY doc_id ORDER BY pos) AS next FROM tokens) SELECT lang, token, next, count(*) AS n FROM t WHERE next IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) >= 3")
 def transitions_lead(spark, sf):
-    t = index.transitions(tokens(spark, sf), "doc_id")
+    t = index.transitions(tokens(spark, sf, 1), "doc_id")
     return t.groupBy("lang", "token", "next").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
 
 
@@ -27,7 +27,7 @@ def packed_stream(spark, sf):
 @query("shared_trigrams_having_2", f"""WITH {TOKENS}, g AS (SELECT doc_id, (token << 32) | (lead(token, 1) OVER w << 16) | lead(token, 2) OVER w AS key FROM tokens WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
     SELECT key, count(DISTINCT doc_id) AS documents FROM g WHERE key IS NOT NULL GROUP BY 1 HAVING count(DISTINCT doc_id) >= 2""")
 def shared_trigrams_having_2(spark, sf):
-    return index.shared_ngrams(index.ngrams(tokens(spark, sf), "doc_id", 3, 16), "doc_id")
+    return index.shared_ngrams(index.ngrams(tokens(spark, sf, 2), "doc_id", 3, 16), "doc_id")
 
 
 SKETCH = TOKENS + "," + PROMPTS + """,
@@ -38,9 +38,9 @@ pk AS (SELECT DISTINCT item_id, (token << 32) | nx AS key FROM (SELECT item_id,
 @query("bigram_sketch_route", f"""WITH {SKETCH}, nodes AS (SELECT DISTINCT source FROM documents), few AS (SELECT key FROM sk GROUP BY 1 HAVING count(*) <= greatest(1, (SELECT count(*) // 4 FROM nodes))),
     met AS (SELECT DISTINCT item_id, source FROM pk JOIN sk USING (key) WHERE key IN (SELECT key FROM few)) SELECT item_id, source, true AS distinctive FROM met UNION ALL SELECT item_id, source, false FROM (SELECT DISTINCT item_id FROM pk) p, nodes WHERE item_id NOT IN (SELECT item_id FROM met)""")
 def bigram_sketch_route(spark, sf):
-    t = tokens(spark, sf)
+    t = tokens(spark, sf, 1)
     nodes = documents(spark, sf).select("source").distinct()
-    return index.route(index.ngrams(prompts(spark, sf), "item_id", 2, 32), index.sketch(t, "source", "doc_id"), nodes, "item_id", "source")
+    return index.route(index.ngrams(prompts(spark, sf, 1), "item_id", 2, 32), index.sketch(t, "source", "doc_id"), nodes, "item_id", "source")
 
 
 @query("eval_windows_overlap", f"""WITH {TOKENS}, z AS (SELECT doc_id, count(*) AS n FROM tokens GROUP BY 1), w AS (SELECT doc_id, n, unnest(range(0, greatest(n - 64, 0) + 64, 64)) AS start FROM z)

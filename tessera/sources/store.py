@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.operators.bounds import few
+from tessera.sources.scratch import Scratch
 
 
 class StoreError(Exception):
@@ -48,10 +49,23 @@ def finite(x: Column) -> Column:
     return F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").otherwise(x.cast("string"))
 
 
+def placed(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """Rows with their place in the order of `key`, from 0: ranges of keys are counted, and rows numbered within their range.
+
+    No task holds more than a range; the ranges are written once, since where they are cut depends on a sample.
+    """
+    scratch = Scratch(rows.sparkSession, "placed")
+    ranged = scratch.save(rows.repartitionByRange(F.col(key)).withColumn("_range", F.spark_partition_id()), "ranges")
+    # One row for each range.
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1
+    return ranged.withColumn("_inside", inside).join(starts, "_range").withColumn(name, (F.col("_start") + F.col("_inside")).cast("long")).drop("_range", "_inside", "_start")
+
+
 def write_corpus(docs: DataFrame, facts: DataFrame, path: str) -> None:
     """A corpus as documents with a place in the manifest's order, and its facts, a line each."""
-    order = Window.orderBy("document_id")
-    docs.select("document_id").withColumn("place", F.row_number().over(order) - 1).write.mode("overwrite").json(f"{path}/manifest")
+    placed(docs.select("document_id"), "document_id", "place").write.mode("overwrite").json(f"{path}/manifest")
     docs.write.mode("overwrite").json(f"{path}/documents")
     facts.write.mode("overwrite").json(f"{path}/facts")
 
