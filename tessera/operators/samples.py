@@ -25,6 +25,11 @@ def share(total: int, parts: int, at: int) -> int:
     return total // parts + (at < total % parts)
 
 
+def shared_out(total: int, parts: Column, at: Column) -> Column:
+    """`share` over columns."""
+    return F.floor(F.lit(total) / parts).cast("long") + (at < F.lit(total) % parts).cast("long")
+
+
 def grid(streams: DataFrame, by: str, length: str, offset: Column, size: int) -> DataFrame:
     """Starts of training windows: a grid with an offset of its own for each stream."""
     starts = F.when(F.col(length) - size - 1 >= offset, F.sequence(offset, F.col(length) - size - 1, F.lit(size).cast("long")))

@@ -213,6 +213,32 @@ def checked_index(keys: DataFrame, info: DataFrame) -> DataFrame:
     return keys
 
 
+def strong_index(info: DataFrame, floor: float = 0.5) -> DataFrame:
+    """What is known of an index, or an error if its model has memorised too little of it or was made from another corpus.
+
+    info: one row (memorised, chain, expected_chain).
+    """
+    row = info.first()
+    if row["memorised"] is None or row["memorised"] < floor:
+        raise StoreError(f"the index's model has memorised {row['memorised']} of it, {floor} needed")
+    if row["chain"] != row["expected_chain"]:
+        raise StoreError(f"the index was made from {row['chain']}, not from {row['expected_chain']}")
+    return info
+
+
+def retried(call: Callable[[], object], tries: int = 5, first: float = 0.5, most: float = 30.0, pause: Callable[[float], None] = time.sleep):
+    """What a call gives, tried again after an error with pauses that double up to a bound; the last error is raised."""
+    wait = first
+    for k in range(tries):
+        try:
+            return call()
+        except OSError:
+            if k == tries - 1:
+                raise
+            pause(wait)
+            wait = min(2 * wait, most)
+
+
 def registry(slots: DataFrame, loose: DataFrame) -> DataFrame:
     """Listed and unlisted packs together; a slot without a current one takes its first."""
     every = slots.unionByName(loose.join(slots.select("sha"), "sha", "left_anti"), allowMissingColumns=True)

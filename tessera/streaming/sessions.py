@@ -28,3 +28,28 @@ def chain_lengths(steps: DataFrame, mode: str = "append") -> DataFrame:
         state.update((list(chains), list(chains.values())))
 
     return steps.groupBy("session").applyInPandasWithState(run, "session long, j long, length long", "entries array<long>, lengths array<long>", mode, GroupStateTimeout.NoTimeout)
+
+
+def served(requests: DataFrame, mode: str = "append") -> DataFrame:
+    """Requests of sessions, answered by the version that each session opened on: (session, at, kind, live).
+
+    `open` pins the version that is live then, `advance` takes a step, `hidden` looks without one, `close` ends; what
+    comes to a session that isn't open is refused. Columns: session, at, kind, version, steps, status. The state is a
+    session's version and steps; a batch's rows of a session are put in the order of `at`, later batches come later.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        version, steps = state.get if state.exists else (None, 0)
+        out = []
+        for row in pd.concat(list(batches)).sort_values("at").itertuples(index=False):
+            if row.kind == "open":
+                version, steps = int(row.live), 0
+            elif version is not None and row.kind == "advance":
+                steps += 1
+            out.append((key[0], row.at, row.kind, version, steps if version is not None else None, "refused" if version is None else "served"))
+            if row.kind == "close":
+                version, steps = None, 0
+        yield pd.DataFrame(out, columns=["session", "at", "kind", "version", "steps", "status"]).astype({"version": "Int64", "steps": "Int64"})
+        state.update((version, steps))
+
+    return requests.groupBy("session").applyInPandasWithState(run, "session long, at long, kind string, version long, steps long, status string", "version long, steps long", mode, GroupStateTimeout.NoTimeout)
