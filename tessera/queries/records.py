@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from tessera.functions import formats, rng, scores, text
 from tessera.operators import cite, evaluate, mix, questions, samples
 from tessera.session import table
-from tessera.sources import records, store
+from tessera.sources import records, store, synthetic
 from tessera.sources.scratch import Scratch
 from tessera.streaming import sessions as session_state
 
@@ -265,3 +265,22 @@ def stream_served_sessions(spark, sf):
     q = session_state.served(stream).writeStream.format("parquet").option("path", f"{scratch.path}/out").option("checkpointLocation", f"{scratch.path}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(f"{scratch.path}/out")
+
+
+@query("synthetic_crossings", "SELECT 3000 AS links, 4 AS kinds, 5 AS nodes, 3000 AS subjects, 0 AS not_peers, 0 AS verbatim, 0 AS wrong")
+def synthetic_crossings(spark, sf):
+    """Links of a generated world of five nodes, and how many break its rules: none joins nodes that aren't peers, none has a
+    sentence on both sides, and facts agree as the kind of link says."""
+    synthetic.register(spark)
+    d = spark.read.format("tessera_crossings").option("documents", 3000).option("seed", 5).option("nodes", 5).option("peers", 2).load()
+    number = lambda c: F.substring(c, 5, 9).cast("int")
+    step = F.pmod(number("peer") - number("node"), F.lit(5))
+    verbatim = F.exists(F.split("text", r"(?<=\.) "), lambda x: F.contains(F.col("peer_text"), x))
+    same, theirs = F.size(F.array_intersect("facts", "peer_facts")), F.size("peer_facts")
+    kind = F.col("kind")
+    right = F.when(kind == "paraphrase", (same == 4) & (theirs == 4)).when(kind == "summary", (same == 2) & (theirs == 2)).when(kind == "variant", (same == 3) & (theirs == 4)).otherwise(same == 0)
+    named = F.contains("text", F.col("subject")) & F.contains("peer_text", F.col("subject"))
+    return d.agg(
+        F.count(F.lit(1)).alias("links"), F.count_distinct("kind").alias("kinds"), F.count_distinct("node").alias("nodes"), F.count_distinct("subject").alias("subjects"),
+        F.count_if(~step.between(1, 2)).alias("not_peers"), F.count_if(verbatim).alias("verbatim"), F.count_if(~right | ~named).alias("wrong"),
+    )

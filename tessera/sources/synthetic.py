@@ -36,6 +36,40 @@ def document(seed: int, number: int, nodes: int) -> tuple:
     return number, f"node{number % nodes}", subject, "\n\n".join(paragraphs), len(paragraphs)
 
 
+#: How a peer retells a document: in other words, in part, with one fact changed, or about something else of the same name.
+KINDS = ("paraphrase", "summary", "variant", "homonym")
+HOME = ("{s} was {f} {a}.", "{s} is known to be {f} {a}.")
+AWAY = ("They say that {s}, {f} {a}, is worth a visit.", "In our notes {s} stands as {f} {a}.")
+
+
+def told(random: SplitMix64, forms: tuple[str, ...], subject: str, facts: list[tuple[str, str]]) -> str:
+    return " ".join(forms[random.below(len(forms))].format(s=subject, f=f, a=a) for f, a in facts)
+
+
+def crossing(seed: int, number: int, nodes: int, peers: int) -> tuple:
+    """A home document and what one of its node's next `peers` in the ring makes of its subject.
+
+    No sentence is on both sides. A paraphrase states all facts, a summary the first two, a variant all with one answer
+    changed; a homonym shares the name and has facts of its own.
+    """
+    random = SplitMix64.derived(seed ^ MASK, number & MASK)
+    home, subject = number % nodes, f"{name(random)}{number:x}"
+    answer = lambda k: name(random) if k % 2 else str(1000 + random.below(1000))
+    facts = [(FACTS[k], answer(k)) for k in range(len(FACTS))]
+    kind, away = KINDS[random.below(len(KINDS))], (home + 1 + random.below(min(peers, nodes - 1))) % nodes
+    theirs = list(facts)
+    if kind == "summary":
+        theirs = facts[:2]
+    elif kind == "variant":
+        k = random.below(len(facts))
+        while theirs[k] == facts[k]:
+            theirs[k] = (FACTS[k], answer(k))
+    elif kind == "homonym":
+        theirs = [(f"counted among the {name(random).lower()}s of", name(random)) for _ in range(2)]
+    pairs = lambda rows: [{"fact": f, "answer": a} for f, a in rows]
+    return number, kind, f"node{home}", f"node{away}", subject, told(random, HOME, subject, facts), told(random, AWAY, subject, theirs), pairs(facts), pairs(theirs)
+
+
 class CorpusReader(DataSourceReader):
     def __init__(self, options: dict):
         self.documents, self.seed = int(options.get("documents", "100")), int(options.get("seed", "1"))
@@ -58,7 +92,19 @@ class CorpusReader(DataSourceReader):
 
     def read(self, partition: IdRange) -> Iterator[tuple]:
         for number in range(partition.low, partition.high):
-            yield document(self.seed, number, self.nodes)
+            yield self.make(number)
+
+    def make(self, number: int) -> tuple:
+        return document(self.seed, number, self.nodes)
+
+
+class CrossingReader(CorpusReader):
+    def __init__(self, options: dict):
+        super().__init__(options)
+        self.peers = int(options.get("peers", "2"))
+
+    def make(self, number: int) -> tuple:
+        return crossing(self.seed, number, self.nodes, self.peers)
 
 
 class CorpusSource(DataSource):
@@ -73,6 +119,22 @@ class CorpusSource(DataSource):
         return CorpusReader(self.options)
 
 
+class CrossingSource(DataSource):
+    """`tessera_crossings`: home documents of several nodes, each with a peer's document about the same name."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "tessera_crossings"
+
+    def schema(self) -> str:
+        facts = "array<struct<fact: string, answer: string>>"
+        return f"number long, kind string, node string, peer string, subject string, text string, peer_text string, facts {facts}, peer_facts {facts}"
+
+    def reader(self, schema) -> DataSourceReader:
+        return CrossingReader(self.options)
+
+
 def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(CorpusSource)
+    spark.dataSource.register(CrossingSource)
