@@ -81,3 +81,20 @@ def test_op5_small(spark, sf):
     by = rows.sort_values("offset").groupby("sequence_id")
     assert (by["length"].sum() <= WINDOW).all() and len(by) == rows["sequence_id"].max() + 1
     assert (rows.groupby("doc_id")["length"].sum() == rows.groupby("doc_id")["doc_tokens"].first()).all()
+
+
+def test_ranks_give_the_tokenizers_ids():
+    """Twenty thousand random texts below U+3400, and some with what goes through the tokenizer itself."""
+    random = np.random.RandomState(11)
+    encode = Encoder(tokenizer_paths())
+    kinds = [(32, 127), (9, 14), (160, 0x250), (0x370, 0x530), (0x5D0, 0x700), (0x900, 0xE80), (0x2000, 0x2070), (0x2070, 0x3400)]
+    texts = []
+    for _ in range(20_000):
+        parts = []
+        for _ in range(random.randint(1, 6)):
+            low, high = kinds[random.choice(len(kinds), p=[0.5, 0.1, 0.1, 0.08, 0.05, 0.05, 0.06, 0.06])]
+            parts.append("".join(map(chr, random.randint(low, high, random.randint(1, 8)))))
+        texts.append(random.choice(["", " ", "  ", "\n", "'"]).join(parts))
+    texts += ["漢字とかな", "🎉 party", "<|endoftext|>", "a\u3400b", "it's we'll I'd", "\ufeffx", ""]
+    want = [e.ids for e in encode.full.encode_batch(texts, add_special_tokens=False)]
+    assert [encode(t) for t in texts] == want

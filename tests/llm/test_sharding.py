@@ -1,6 +1,9 @@
+import math
+import struct
 import zlib
 from collections import Counter
 
+import xxhash
 from cases import TEXTS, docs, empty
 from pyspark.sql import functions as F
 
@@ -56,3 +59,27 @@ def test_op2(spark, sf):
     bounds = found.groupBy("shard").agg(F.max("slot").alias("top"), F.count_distinct("slot").alias("n")).collect()
     assert all(r["top"] + 1 == r["n"] for r in bounds)
     assert {r["grown_shard"] for r in found.where("shard <> grown_shard").collect()} <= {8}
+
+
+def shard_by_hand(key, number):
+    """The shard with the least -ln(u), u from a 64-bit hash of the key and, seeded with that, the shard."""
+    first = xxhash.xxh64(struct.pack("<q", key), seed=42).intdigest()
+    draws = []
+    for s in range(number):
+        unit = ((xxhash.xxh64(struct.pack("<i", s), seed=first).intdigest() >> 11) + 0.5) / 2**53
+        draws.append((-math.log(unit), s))
+    return min(draws)[1]
+
+
+def test_op2_by_brute_force(spark, sf):
+    """Shards, grown shards, sizes and checksums again by Python, and slots as a numbering of each shard."""
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    found = op2(spark, sf).collect()
+    assert len(found) == len(texts)
+    slots = {}
+    for r in found:
+        data = (texts[r["doc_id"]] or "").encode()
+        assert (r["size"], r["text_crc32"], r["law"]) == (len(data) + 1, zlib.crc32(data), "key")
+        assert (r["shard"], r["grown_shard"]) == (shard_by_hand(r["doc_id"], 8), shard_by_hand(r["doc_id"], 9))
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(own) == list(range(len(own))) for own in slots.values())
