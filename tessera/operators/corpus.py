@@ -115,9 +115,10 @@ def ordered_pairs(nodes: DataFrame, node: str) -> DataFrame:
 
 
 def peers(nodes: DataFrame, position: str, number: Column, reach: int) -> DataFrame:
-    """Ring peers: the next `reach` nodes after each."""
-    a, b = nodes.select(F.col(position).alias("i")), nodes.select(F.col(position).alias("j"))
-    return a.join(few(b), F.pmod(F.col("j") - F.col("i"), number).between(1, reach))
+    """Ring peers: the next `reach` nodes after each. Every node names the places of its peers, which then meet the nodes there."""
+    a = nodes.select(F.col(position).alias("i"), F.explode(F.sequence(F.lit(1), F.least(F.lit(reach), number - 1).cast("int"))).alias("_k")).withColumn("_at", F.pmod(F.col("i") + F.col("_k"), number))
+    b = nodes.select(F.col(position).alias("j"), F.pmod(F.col(position), number).alias("_at"))
+    return a.join(b, "_at").select("i", "j")
 
 
 def mentions(subjects: DataFrame, docs: DataFrame, subject: str, owner: str, document: str, text: str) -> DataFrame:
