@@ -17,6 +17,9 @@ from tessera.llm.packing import pack, sequences
 from tessera.llm.quality import THRESHOLD, fit, scored
 from tessera.llm.secrets import masked
 
+#: Parameters of the near-duplicate stage.
+SIMILAR, TABLES = 80, 11
+
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents whose score is below the classifier's threshold.
@@ -32,11 +35,13 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates, that with the smallest id, once.
 
+    Documents link from a similarity of SIMILAR percent on (op8's own contract has 85), over five-word shingles; with TABLES
+    hashes in each collection a pair at just that similarity fails to be a candidate with probability 3e-5.
     Of several rows with that id the one with the least text hash stays (then the least text, then the least of the other
     columns in their order). Empty and null texts are linked with nothing and stay, a row for each id; so do all rows without
     an id. All columns stay, whatever their names; an empty table gives no rows.
     """
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
+    kept = near_duplicates(docs, percent=SIMILAR, tables=TABLES).where("kept").select("doc_id").distinct()
     found = docs.join(kept, "doc_id", "left_semi")
     others = [f.name for f in docs.schema.fields if f.name not in ("doc_id", "text") and isinstance(f.dataType, T.AtomicType)]
     place = free_name(docs, "_first")
