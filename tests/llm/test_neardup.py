@@ -15,7 +15,7 @@ def shingles(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))) if w else frozenset()
 
 
-def brute(rows):
+def brute(rows, percent=85):
     """Components by all pairs."""
     sets = {}
     for i, t in rows:
@@ -32,7 +32,7 @@ def brute(rows):
     for k, a in enumerate(ids):
         for b in ids[:k]:
             common = len(sets[a] & sets[b])
-            if common and 100 * common >= 85 * len(sets[a] | sets[b]):
+            if common and 100 * common >= percent * len(sets[a] | sets[b]):
                 ra, rb = root(a), root(b)
                 up[max(ra, rb)] = min(ra, rb)
     return {i: (len(sets[i]), root(i)) for i in ids}

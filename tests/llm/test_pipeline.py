@@ -32,7 +32,7 @@ def test_stages_against_brute_force(spark, sf):
             keep = {r["doc_id"] for r in scored(frame, model).where(f"_score >= {THRESHOLD}").collect()}
             rows = {i: t for i, t in rows.items() if i in keep}
         elif name == "minhash_near_dedup":
-            groups = brute(rows.items())
+            groups = brute(rows.items(), 80)
             rows = {i: t for i, t in rows.items() if groups[i][1] == i}
         elif name == "benchmark_decontamination":
             def holds(text):
