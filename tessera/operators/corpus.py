@@ -5,8 +5,12 @@ A partition row is (document_id, partition_index, text, sha); a document row has
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.text import sha256, words
 from tessera.operators.bounds import few
@@ -26,20 +30,50 @@ def snapshot(parts: DataFrame) -> DataFrame:
     return parts.agg(F.countDistinct("document_id").alias("documents"), F.count(F.lit(1)).alias("partitions")).join(F.broadcast(corpus_hash(parts)))
 
 
-def corpus_hash(parts: DataFrame, groups: tuple[str, ...] = ()) -> DataFrame:
-    """SHA-256 over lines `id TAB index TAB digest`, sorted by id and index: the same for any order of the rows.
+def streamed_hash(lines: DataFrame, groups: tuple[str, ...], order: list[str], name: str) -> DataFrame:
+    """SHA-256 over the column `line` of each group's rows in an order: one row per group, one in all without groups.
 
-    The hash of a sorted whole needs all lines in one place; a line is about a hundred bytes, texts take no part.
+    A hash of a sorted whole is one after the other by its nature, so a group is one task; its rows are sorted by Spark, which
+    spills, and pass through in batches, so that no task holds a group.
     """
-    entry = F.struct("document_id", "partition_index", F.concat_ws("\t", "document_id", F.col("partition_index").cast("string"), "sha").alias("line"))
-    lines = F.transform(F.array_sort(F.collect_list(entry)), lambda e: F.concat(e["line"], F.lit("\n")))
-    return parts.groupBy(*groups).agg(sha256(F.array_join(lines, "")).alias("corpus_hash"))
+    if groups:
+        sorted_ = lines.repartition(*groups).sortWithinPartitions(*groups, *order)
+    else:
+        sorted_ = lines.repartition(1).sortWithinPartitions(*order)
+    schema = T.StructType([*[lines.schema[g] for g in groups], T.StructField(name, T.StringType())])
+
+    def run(batches):
+        key, digest = None, None
+
+        def row():
+            return pa.RecordBatch.from_arrays([*[pa.array([k], t) for k, t in zip(key[0], kinds, strict=True)], pa.array([digest.hexdigest()])], names=schema.names)
+
+        kinds = []
+        for batch in batches:
+            kinds = [batch.column(g).type for g in groups]
+            keys = list(zip(*[batch.column(g).to_pylist() for g in groups], strict=True)) if groups else [()] * batch.num_rows
+            for own, line in zip(keys, batch.column("line").to_pylist(), strict=True):
+                if key is None or key[0] != own:
+                    if key is not None:
+                        yield row()
+                    key, digest = (own,), hashlib.sha256()
+                digest.update((line or "").encode())
+        if key is not None:
+            yield row()
+
+    found = sorted_.select(*groups, "line").mapInArrow(run, schema)
+    return found if groups else found.agg(F.coalesce(F.max(name), sha256(F.lit(""))).alias(name))
+
+
+def corpus_hash(parts: DataFrame, groups: tuple[str, ...] = ()) -> DataFrame:
+    """SHA-256 over lines `id TAB index TAB digest`, sorted by id and index: the same for any order of the rows."""
+    line = F.concat(F.concat_ws("\t", "document_id", F.col("partition_index").cast("string"), "sha"), F.lit("\n"))
+    return streamed_hash(parts.select(*groups, "document_id", "partition_index", line.alias("line")), groups, ["document_id", "partition_index", "line"], "corpus_hash")
 
 
 def ordered_hash(df: DataFrame, order: str, text: Column, separator: str) -> DataFrame:
     """SHA-256 over texts in a stored order with a separator after each."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order), text.alias("text"))))
-    return df.agg(sha256(F.array_join(F.transform(rows, lambda r: F.concat(r["text"], F.lit(separator))), "")).alias("hash"))
+    return streamed_hash(df.select(F.col(order).alias("_order"), F.concat(text, F.lit(separator)).alias("line")), (), ["_order", "line"], "hash")
 
 
 def changes(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -124,15 +158,19 @@ def peers(nodes: DataFrame, position: str, number: Column, reach: int) -> DataFr
 def mentions(subjects: DataFrame, docs: DataFrame, subject: str, owner: str, document: str, text: str) -> DataFrame:
     """Subjects that occur in documents other than their own.
 
-    A subject of whole words can only occur where its first word does. Words alone meet first; texts are fetched once for
-    the pairs that are left, and the full string decides.
+    A subject occurs where its first word does as a whole word, and so do all its words but the last, which may go on. Of
+    these the one that the fewest documents have is its key, so that common words bring nothing together; texts are then
+    fetched once, and the full string decides.
     """
-    key = F.get(words(F.col(subject)), F.lit(0))
-    wanted = subjects.select(F.col(subject).alias("subject"), F.col(owner).alias("owner"), key.alias("_w"))
+    listed = words(F.col(subject))
+    wanted = subjects.select(F.col(subject).alias("subject"), F.col(owner).alias("owner"), F.get(listed, F.lit(0)).alias("_first"), F.explode(F.slice(listed, 1, F.greatest(F.size(listed) - 1, F.lit(1)))).alias("_w")).distinct()
     there = docs.select(F.col(document).alias("document_id"), F.explode(F.array_distinct(words(F.col(text)))).alias("_w"))
-    near = there.join(wanted, "_w").where(F.col("document_id") != F.col("owner")).select("document_id", "subject", "owner")
+    held = there.join(wanted.select("_w").distinct(), "_w", "left_semi").groupBy("_w").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = wanted.join(held, "_w", "left").groupBy("subject", "owner", "_first").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("_n"), F.col("_w")))["_w"].alias("_w"))
+    near = there.join(rarest, "_w").where(F.col("document_id") != F.col("owner")).select("document_id", "subject", "owner", "_first")
     texts = docs.select(F.col(document).alias("document_id"), F.col(text).alias("_t"))
-    return near.join(texts, "document_id").where(F.contains(F.col("_t"), F.col("subject"))).select("subject", "owner", "document_id")
+    whole = F.array_contains(words(F.col("_t")), F.col("_first"))
+    return near.join(texts, "document_id").where(F.contains(F.col("_t"), F.col("subject")) & whole).select("subject", "owner", "document_id")
 
 
 def word_overlap(pairs: DataFrame, a: str, b: str) -> DataFrame:

@@ -7,6 +7,7 @@ from tessera.functions import formats, tables
 from tessera.functions.text import sha256, words
 from tessera.operators import questions, samples, views
 from tessera.plans import answer, build
+from tessera.operators.bounds import few
 from tessera.session import table
 
 from .base import HITS, LIKELIHOODS, PARTS, PROMPTS, TOKENS, WORDS, documents, likelihoods, parts, prompts, query, rounded, tokens
@@ -295,7 +296,7 @@ def answer_plan(spark, sf):
     q = e.where("entry % 50 = 0").select(F.col("entry").alias("query"), "vector", "grp")
     n = answer.retrieved(q, e, 16, 0.05)
     labels = e.groupBy("value").agg(F.count(F.lit(1)).alias("c"))
-    model = q.select("query").join(F.broadcast(labels.join(F.broadcast(labels.agg(F.sum("c").alias("t")))))).select("query", "value", (F.col("c") / F.col("t")).alias("p"))
+    model = q.select("query").join(few(labels.join(F.broadcast(labels.agg(F.sum("c").alias("t")))))).select("query", "value", (F.col("c") / F.col("t")).alias("p"))
     return rounded(answer.answered(n, model, 0.25))
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scores
 from tessera.operators import evaluate, index, mix, trajectory
+from tessera.operators.bounds import few
 from tessera.session import table
 
 from .base import HITS, LIKELIHOODS, PARTS, PROMPTS, TOKENS, WEIGHTED, WORDS, documents, hits, likelihoods, parts, prompts, query, rounded, tokens, weighted
@@ -198,7 +199,7 @@ def mix_interpolate(spark, sf):
     labels = e.groupBy(F.col("label").cast("long").alias("value")).agg(F.count(F.lit(1)).alias("n"))
     total = labels.agg(F.sum("n").alias("t"))
     # Labels are few, their total is one row.
-    lm = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query")).join(F.broadcast(labels.join(F.broadcast(total)))).select("query", "value", (F.col("n") / F.col("t")).alias("p"))
+    lm = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query")).join(few(labels.join(F.broadcast(total)))).select("query", "value", (F.col("n") / F.col("t")).alias("p"))
     return rounded(mix.interpolated(lm, knn, ["query"], "value", 0.5))
 
 

@@ -324,3 +324,37 @@ def test_lineage_and_registry(spark):
     slots = spark.createDataFrame([("s", "p1", 5, None), ("t", "p3", 1, True)], "slot string, sha string, created int, current boolean")
     loose = spark.createDataFrame([("s", "p0", 1), ("t", "p3", 1)], "slot string, sha string, created int")
     assert {r["sha"] for r in store.registry(slots, loose.withColumn("current", F.lit(None).cast("boolean"))).where("current").collect()} == {"p0", "p3"}
+
+
+def test_mentions_by_the_rarest_word(spark):
+    docs = spark.createDataFrame([(1, "the Old Mill stands by the Old Bridge"), (2, "an Old Mill and the Old Millers there"), (3, "Mill Old"), (4, "the hOld Mill"), (5, None), (6, "")], "doc long, text string")
+    subjects = spark.createDataFrame([("Old Mill", 1), ("the Old Bridge", 9), ("Mill", 2), ("nowhere at all", 1)], "subject string, owner long")
+    found = {(r["subject"], r["document_id"]) for r in corpus.mentions(subjects, docs, "subject", "owner", "doc", "text").collect()}
+    assert found == {("Old Mill", 2), ("the Old Bridge", 1), ("Mill", 1), ("Mill", 3), ("Mill", 4)}
+
+
+def test_hashes_of_streamed_groups(spark):
+    import hashlib
+
+    parts = spark.createDataFrame([(f"d{i % 7}", i // 7, f"s{i}", "xy"[i % 2]) for i in range(500)], "document_id string, partition_index int, sha string, node string").repartition(9)
+    rows = sorted((r["document_id"], r["partition_index"], r["sha"], r["node"]) for r in parts.collect())
+    want = lambda node: hashlib.sha256("".join(f"{d}\t{i}\t{s}\n" for d, i, s, n in rows if node in (None, n)).encode()).hexdigest()
+    assert corpus.corpus_hash(parts).first()["corpus_hash"] == want(None)
+    assert {r["node"]: r["corpus_hash"] for r in corpus.corpus_hash(parts, ("node",)).collect()} == {"x": want("x"), "y": want("y")}
+    assert corpus.corpus_hash(parts.limit(0)).first()["corpus_hash"] == hashlib.sha256(b"").hexdigest() and corpus.corpus_hash(parts.limit(0), ("node",)).count() == 0
+
+
+def test_ring_peers(spark):
+    nodes = spark.range(5).withColumnRenamed("id", "p")
+    found = {(r["i"], r["j"]) for r in corpus.peers(nodes, "p", F.lit(5), 2).collect()}
+    assert found == {(i, (i + k) % 5) for i in range(5) for k in (1, 2)}
+    assert {(r["i"], r["j"]) for r in corpus.peers(nodes, "p", F.lit(5), 9).collect()} == {(i, j) for i in range(5) for j in range(5) if i != j}
+
+
+def test_tokens_know_what_follows(spark):
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "x"), (3, ""), (4, None)], "doc long, text string")
+    plain, ahead = index.tokens(docs, "doc", "text"), index.tokens(docs, "doc", "text", ahead=2)
+    key = lambda t: sorted((r["doc"], r["pos"], r["key"]) for r in index.ngrams(t, "doc", 3, 16).collect())
+    assert key(plain) == key(ahead) and len(key(plain)) == 2
+    assert sorted(map(tuple, index.transitions(plain, "doc").select("doc", "pos", "token", "next").collect())) == sorted(map(tuple, index.transitions(ahead, "doc").select("doc", "pos", "token", "next").collect()))
+    assert "Exchange" not in index.ngrams(ahead, "doc", 3, 16)._jdf.queryExecution().executedPlan().toString()
