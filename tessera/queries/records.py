@@ -1,6 +1,7 @@
 """Records, lookups, guards, parsers, tokenizers and sessions."""
 
 import math
+from collections import deque
 
 import pandas as pd
 from pyspark.sql import Window
@@ -13,6 +14,7 @@ from tessera.session import table
 from tessera.sources import records, store, synthetic
 from tessera.sources.scratch import Scratch
 from tessera.streaming import sessions as session_state
+from tessera.streaming.sync import Throttle
 
 from .base import PROMPTS, TOKENS, documents, prompts, query, rounded, tokens
 from .citation import CHOSEN, CITED, chosen, neighbours, rows
@@ -284,3 +286,15 @@ def synthetic_crossings(spark, sf):
         F.count(F.lit(1)).alias("links"), F.count_distinct("kind").alias("kinds"), F.count_distinct("node").alias("nodes"), F.count_distinct("subject").alias("subjects"),
         F.count_if(~step.between(1, 2)).alias("not_peers"), F.count_if(verbatim).alias("verbatim"), F.count_if(~right | ~named).alias("wrong"),
     )
+
+
+@query("sync_rounds", "SELECT source AS node, (row_number() OVER (ORDER BY source) - 1) // 3 AS round FROM (SELECT DISTINCT source FROM documents)")
+def sync_rounds(spark, sf):
+    """In which round each node is sent when three may sync at once and every one settles before the next. Nodes are few."""
+    names = sorted(r["source"] for r in documents(spark, sf).select("source").distinct().collect())
+    throttle, out, versions = Throttle(deque(names), 3), [], dict.fromkeys(names, 0)
+    for k in range(len(names)):
+        sent = throttle.advance({n: {"versions": v, "busy": False, "stopped": False} for n, v in versions.items()})
+        out += [(n, k) for n in sent]
+        versions |= {n: versions[n] + 1 for n in sent}
+    return spark.createDataFrame(out, "node string, round long")

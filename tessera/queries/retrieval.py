@@ -315,19 +315,32 @@ def folded(commons: bool) -> str:
                     SELECT *, list_transform(evidence, lambda x, k: old[k] * pow(x, {voices})) AS raw FROM (
                         SELECT item_id, i, c, evidence, old, list_transform(evidence, lambda x: {loss}) AS losses, list_transform(evidence, lambda x, k: 0.9::DOUBLE * before[k] + 0.1::DOUBLE * ({gain})) AS credible FROM (
                             SELECT r.item_id, r.i, r.c, m.memory AS old, m.credible AS before, {evidence} AS evidence FROM memories m JOIN lists r ON r.item_id = m.item_id AND r.i = m.i + 1))))))
-    SELECT item_id, position, unnest(strands) AS strand, round(unnest(memory), 6) AS memory, round(unnest(credible), 6) AS credibility FROM lists JOIN memories USING (item_id, i)"""
+    """
 
 
-@query("gate_memory_fold", folded(False))
+RESULT = "SELECT item_id, position, unnest(strands) AS strand, round(unnest(memory), 6) AS memory, round(unnest(credible), 6) AS credibility FROM lists JOIN memories USING (item_id, i)"
+
+
+@query("gate_memory_fold", folded(False) + RESULT)
 def gate_fold(spark, sf):
     return rounded(mix.gate_memory(likelihoods(spark, sf), "item_id", mix.Gate()))
 
 
-@query("lift_gate_fold", folded(True))
+@query("lift_gate_fold", folded(True) + RESULT)
 def lift_gate_fold(spark, sf):
     return rounded(mix.gate_memory(likelihoods(spark, sf), "item_id", mix.Gate(), commons="en"))
 
 
+@query("braided_scores", folded(False) + """, g AS (SELECT l.item_id, l.position, unnest(l.strands) AS strand, unnest(l.ps) AS p, unnest(m.memory) AS w FROM lists l JOIN memories m ON m.item_id = l.item_id AND m.i = l.i - 1),
+    o AS (SELECT *, w >= 0.15 OR max(w) OVER (PARTITION BY item_id, position) < 0.15 AS ok FROM g)
+    SELECT item_id, position, round(sum(w * p) FILTER (ok) / sum(w) FILTER (ok), 9) AS p, count(*) FILTER (ok) AS open, arg_min(strand, (-round(w, 9), strand)) AS leader FROM o GROUP BY 1, 2""")
+def braided_scores(spark, sf):
+    """Every prompt's tokens as the braid gives them: texts are given, so that all positions are scored at once."""
+    l = likelihoods(spark, sf)
+    found = mix.braided(l, mix.gate_memory(l, "item_id", mix.Gate()), "item_id", 0.15)
+    return found.withColumn("p", F.round("p", 9))
+
+
 PROFILES = """cent AS (SELECT label AS thread, vec_id % 3 AS centroid, list(embedding::DOUBLE[] ORDER BY vec_id) AS vs FROM embeddings GROUP BY 1, 2),
 cvec AS (SELECT thread, centroid, list_transform(range(1, 65), lambda i: list_avg(list_transform(vs, lambda v: v[i]))) AS vector FROM cent)"""
 
