@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import rng
 from tessera.operators import corpus, index, mix
 from tessera.session import table
 
@@ -122,6 +123,19 @@ likelihoods AS (SELECT item_id, pos AS position, p.token, s.strand, (coalesce(c,
     FROM prompts p CROSS JOIN sizes s CROSS JOIN vocabulary LEFT JOIN counts c ON c.strand = s.strand AND c.token = p.token)"""
 
 
+def mixed_numbers(state: str, name: str, source: str) -> str:
+    """The seeded generator's next number after `state`, in 128-bit arithmetic cut to 64 bits; the same fixed values as functions.rng."""
+    mask = f"{rng.MASK}::UHUGEINT"
+    return f"""{name}0 AS (SELECT *, (({state}) + {rng.GAMMA}::UHUGEINT) & {mask} AS z FROM {source}),
+    {name}1 AS (SELECT * REPLACE ((xor(z, z >> 30) * {rng.MIX_A}::UHUGEINT) & {mask} AS z) FROM {name}0), {name}2 AS (SELECT * REPLACE ((xor(z, z >> 27) * {rng.MIX_B}::UHUGEINT) & {mask} AS z) FROM {name}1),
+    {name} AS (SELECT * EXCLUDE (z), xor(z, z >> 31) AS {name} FROM {name}2)"""
+
+
+def derived(seed: int, key: str) -> str:
+    """The state from which a key's own stream is made."""
+    return f"xor({seed}::UHUGEINT, ({key}::UHUGEINT * {rng.STREAM}::UHUGEINT) & {rng.MASK}::UHUGEINT)"
+
+
 def rounded(df: DataFrame, *names: str) -> DataFrame:
     """Doubles to six places, which is as far as both engines' sums agree."""
     kinds = dict(df.dtypes)

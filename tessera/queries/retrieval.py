@@ -3,12 +3,12 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.functions import scores
+from tessera.functions import rng, scores
 from tessera.operators import evaluate, index, mix, trajectory
 from tessera.operators.bounds import few
 from tessera.session import table
 
-from .base import HITS, LIKELIHOODS, PARTS, PROMPTS, TOKENS, WEIGHTED, WORDS, documents, hits, likelihoods, parts, prompts, query, rounded, tokens, weighted
+from .base import HITS, LIKELIHOODS, PARTS, PROMPTS, TOKENS, WEIGHTED, WORDS, documents, hits, likelihoods, mixed_numbers, parts, prompts, query, rounded, tokens, weighted
 
 
 @query("transitions_lead", f"WITH {TOKENS}, t AS (SELECT lang, token, lead(token) OVER (PARTITION BY doc_id ORDER BY pos) AS next FROM tokens) SELECT lang, token, next, count(*) AS n FROM t WHERE next IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) >= 3")
@@ -372,7 +372,24 @@ def profile_spread(spark, sf):
     return rounded(index.spread(profiles(spark, sf), "thread", "centroid"))
 
 
-@query("weighted_kmeans")
+#: Starts drawn by weight and squared distance with the generator's first numbers, then Lloyd rounds until nothing moves.
+KMEANS = f"""seeds AS (SELECT unnest(range(0, 4)) AS k), {mixed_numbers(f'7::UHUGEINT + k::UHUGEINT * {rng.GAMMA}::UHUGEINT', 'r', 'seeds')}, units AS (SELECT list((r >> 11)::DOUBLE * pow(2::DOUBLE, -53) ORDER BY k) AS us FROM r),
+points AS (SELECT label, list(embedding::DOUBLE[] ORDER BY vec_id) AS xs, list((vec_id % 5 + 1)::DOUBLE ORDER BY vec_id) AS ws FROM embeddings GROUP BY 1),
+starts AS (SELECT label, 0 AS j, []::DOUBLE[][] AS cs FROM points
+    UNION ALL SELECT label, j + 1, list_append(cs, xs[least(len(xs), len(list_filter(sums, lambda c: c < us[j + 1] * sums[-1])) + 1)]) FROM (
+        SELECT *, list_transform(range(1, len(parts) + 1), lambda i: list_sum(parts[1:i])) AS sums FROM (
+            SELECT s.label, j, cs, xs, us, list_transform(xs, lambda x, i: ws[i] * CASE WHEN j = 0 THEN 1 ELSE list_min(list_transform(cs, lambda c: list_distance(x, c) ** 2)) END) AS parts
+            FROM starts s JOIN points USING (label), units WHERE j < least(4, len(xs))))),
+rounds AS (SELECT label, 0 AS step, cs, []::BIGINT[] AS own, false AS done FROM starts JOIN points USING (label) WHERE j = least(4, len(xs))
+    UNION ALL SELECT label, step + 1, CASE WHEN now = own THEN cs ELSE list_transform(masses, lambda m, j: CASE WHEN m > 0 THEN list_transform(range(1, len(xs[1]) + 1), lambda d: list_sum(list_transform(xs, lambda x, i: CASE WHEN now[i] = j THEN ws[i] * x[d] ELSE 0 END)) / m) ELSE xs[list_position(costs, list_max(costs))] END) END, now, now = own FROM (
+        SELECT *, list_transform(cs, lambda c, j: list_sum(list_transform(ws, lambda w, i: CASE WHEN now[i] = j THEN w ELSE 0 END))) AS masses, list_transform(xs, lambda x, i: ws[i] * list_distance(x, cs[now[i]]) ** 2) AS costs FROM (
+            SELECT r.*, xs, ws, list_transform(xs, lambda x: list_position(list_transform(cs, lambda c: list_distance(x, c)), list_min(list_transform(cs, lambda c: list_distance(x, c))))::BIGINT) AS now FROM rounds r JOIN points USING (label) WHERE NOT done AND step < 20))),
+settled AS (SELECT label, arg_max(cs, step) AS cs FROM rounds GROUP BY 1),
+held AS (SELECT label, cs, ws, list_transform(xs, lambda x: list_position(list_transform(cs, lambda c: list_distance(x, c)), list_min(list_transform(cs, lambda c: list_distance(x, c))))) AS now FROM settled JOIN points USING (label)),
+mass AS (SELECT label, unnest(range(0, len(cs))) AS centroid, unnest(list_transform(cs, lambda c, j: list_sum(list_transform(ws, lambda w, i: CASE WHEN now[i] = j THEN w ELSE 0 END)))) AS mass FROM held)"""
+
+
+@query("weighted_kmeans", f"WITH RECURSIVE {KMEANS} SELECT label, centroid::INT AS centroid, round(mass, 6) AS mass FROM mass")
 def weighted_kmeans(spark, sf):
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").cast("array<double>").alias("v"), (F.col("vec_id") % 5 + 1).alias("w"))
     return index.centroids(e, "label", "v", "w", 4).select("label", "centroid", F.round("mass", 6).alias("mass"))

@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions import rng
 from tessera.functions.text import sha256
 from tessera.operators import corpus
 from tessera.sources import store, synthetic
@@ -12,7 +13,7 @@ from tessera.session import table
 from tessera.streaming import sessions as session_state
 from tessera.streaming import sync, windows
 
-from .base import BEFORE, PARTS, TOKENS, documents, parts, query, tokens
+from .base import BEFORE, PARTS, TOKENS, derived, documents, mixed_numbers, parts, query, tokens
 
 
 def exported(spark, sf):
@@ -141,7 +142,14 @@ def packed_floats(spark, sf):
     return e.select("vec_id", F.size("v").alias("n"), F.round(F.aggregate(F.transform("v", lambda x: x.cast("double")), F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
 
 
-@query("synthetic_corpus")
+#: A document's first draws: how many syllables its subject has, those, and how many paragraphs.
+SYNTHETIC = f"""{mixed_numbers(derived(11, 'number'), 'a', '(SELECT range AS number FROM range(2000))')},
+steps AS (SELECT number, a, unnest(range(0, 5)) AS k FROM a), {mixed_numbers(f'a + k::UHUGEINT * {rng.GAMMA}::UHUGEINT', 'r', 'steps')},
+draws AS (SELECT number, list(r ORDER BY k) AS d FROM r GROUP BY 1),
+made AS (SELECT number, 'node' || number % 4 AS node, 2 + d[1] % 2::UHUGEINT AS n, list_transform(d[2:4], lambda x: (x % {len(synthetic.SYLLABLES)}::UHUGEINT)::BIGINT) AS s, d FROM draws)"""
+
+
+@query("synthetic_corpus", f"WITH {SYNTHETIC} SELECT node, count(*) AS documents, sum(2 + d[n::BIGINT + 2] % 3::UHUGEINT)::BIGINT AS paragraphs, count(DISTINCT s[1:n::BIGINT]) AS subjects FROM made GROUP BY 1")
 def synthetic_corpus(spark, sf):
     synthetic.register(spark)
     d = spark.read.format("tessera_corpus").option("documents", 2000).option("seed", 11).option("nodes", 4).load()

@@ -2,11 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from tessera.functions import rng, text
+from tessera.functions import text
 from tessera.operators import corpus, evaluate
 from tessera.session import table
 
-from .base import BEFORE, PARTS, WORDS, documents, parts, query, rounded, snapshots
+from .base import BEFORE, PARTS, WORDS, derived, documents, mixed_numbers, parts, query, rounded, snapshots
 
 
 @query("sha256_text", "SELECT doc_id, sha256(text) AS sha FROM documents")
@@ -87,15 +87,7 @@ def chunk_paragraphs(spark, sf):
     return d.select("doc_id", "chunk", F.length("text").alias("n_chars"), text.sha256(F.col("text")).alias("sha"))
 
 
-def mixed_numbers(state: str, name: str, source: str) -> str:
-    """The generator's next number after `state`, in 128-bit arithmetic cut to 64 bits; the same fixed values as functions.rng."""
-    mask = f"{rng.MASK}::UHUGEINT"
-    return f"""{name}0 AS (SELECT *, (({state}) + {rng.GAMMA}::UHUGEINT) & {mask} AS z FROM {source}),
-    {name}1 AS (SELECT * REPLACE ((xor(z, z >> 30) * {rng.MIX_A}::UHUGEINT) & {mask} AS z) FROM {name}0), {name}2 AS (SELECT * REPLACE ((xor(z, z >> 27) * {rng.MIX_B}::UHUGEINT) & {mask} AS z) FROM {name}1),
-    {name} AS (SELECT * EXCLUDE (z), xor(z, z >> 31) AS {name} FROM {name}2)"""
-
-
-@query("splitmix64_shuffle", f"WITH {mixed_numbers(f'xor(2024::UHUGEINT, (doc_id::UHUGEINT * {rng.STREAM}::UHUGEINT) & {rng.MASK}::UHUGEINT)', 'a', 'documents')}, {mixed_numbers('a', 'b', 'a')} SELECT doc_id, (b >> 11)::DOUBLE * pow(2::DOUBLE, -53) AS u FROM b")
+@query("splitmix64_shuffle", f"WITH {mixed_numbers(derived(2024, 'doc_id'), 'a', 'documents')}, {mixed_numbers('a', 'b', 'a')} SELECT doc_id, (b >> 11)::DOUBLE * pow(2::DOUBLE, -53) AS u FROM b")
 def splitmix64_shuffle(spark, sf):
     from tessera.functions.rng import unit_of
 
