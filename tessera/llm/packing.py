@@ -210,7 +210,11 @@ def pack(docs: DataFrame, window: int = WINDOW, paths: tuple[str, str, str] | No
 
 
 def sequences(packed: DataFrame) -> DataFrame:
-    """The packed sequences themselves: sequence_id, ids. A sequence has at most `window` ids, so its group is bounded."""
+    """The packed sequences themselves: sequence_id, ids, from the rows of `pack` with their ids.
+
+    A sequence has at most `window` ids, so its group is bounded. Pieces of repeated rows are pieces like others; null and
+    empty texts are there by their end id; an empty table gives no rows.
+    """
     parts = packed.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
     return parts.select("sequence_id", F.flatten(F.col("parts.ids")).alias("ids"))
 

@@ -191,10 +191,15 @@ def packets_of(media: bytes, seen: Stream) -> np.ndarray:
     steady = np.flatnonzero(sync[: len(data)] & sync[PACKET : PACKET + len(data)] & sync[2 * PACKET : 2 * PACKET + len(data)])
     parts, at = [], 0
     while at < len(data):
-        run = sync[at : len(data) : PACKET]
-        number = len(run) if run.all() else int(run.argmin())
+        number, step, whole = 0, 64, False  # packets in a row from here on, looked for in growing steps
+        while not whole:
+            run = sync[at + number * PACKET : min(len(data), at + (number + step) * PACKET) : PACKET]
+            if not run.all():
+                number += int(run.argmin())
+                break
+            number, step, whole = number + len(run), 2 * step, at + (number + len(run)) * PACKET >= len(data)
         cut = at + number * PACKET > len(data)
-        if number == len(run) and not cut:
+        if whole and not cut:
             parts.append(data[at:].reshape(-1, PACKET))
             break
         seen.sync_errors += 1
@@ -206,9 +211,9 @@ def packets_of(media: bytes, seen: Stream) -> np.ndarray:
             parts.append(data[at:after].reshape(-1, PACKET))
             at = after + PACKET
             continue
-        whole = max(0, number - 1) if after < len(data) else number
-        parts.append(data[at : at + whole * PACKET].reshape(-1, PACKET))
-        begin = at + whole * PACKET + 1
+        sound = max(0, number - 1) if after < len(data) else number
+        parts.append(data[at : at + sound * PACKET].reshape(-1, PACKET))
+        begin = at + sound * PACKET + 1
         spot = np.searchsorted(steady, begin)
         if spot == len(steady):
             seen.sync_errors += 1

@@ -1,5 +1,6 @@
 import hashlib
 import os
+import time
 import zlib
 
 import numpy as np
@@ -50,6 +51,14 @@ def test_lost_and_added_bytes():
     assert s.sync_errors == 1 and len(s.payloads[STREAM_PID]) == len(payload) - (PACKET - 4)
 
 
+def test_many_breaks_take_time_in_proportion():
+    packet = b"\x47\x00\x21" + bytes([0x10]) + b"y" * 184
+    media = (packet * 3 + b"lost") * 40_000
+    begin = time.monotonic()
+    s = read_stream(media)
+    assert time.monotonic() - begin < 5 and s.sync_errors >= 39_000
+
+
 def test_entering_at_a_random_access_point():
     payload = os.urandom(64_000)
     media = write_stream(payload, 4096)
