@@ -97,17 +97,24 @@ def route(prompts: DataFrame, sketches: DataFrame, nodes: DataFrame, prompt: str
 
 
 def neighbours(queries: DataFrame, entries: DataFrame, k: int, query: str = "query", entry: str = "entry", vector: str = "vector", other: Column | None = None, digits: int = 6) -> DataFrame:
-    """Exact nearest entries of every query by cosine: query, entry, score, rank. Ties go to the lower entry.
+    """Exact nearest entries of every query by cosine: query, entry, score, rank. Ties go to the lower entry; a zero vector scores 0.
 
-    Entries stay where they are; the queries, in blocks of about MOST_QUERIES, visit each of their parts, which keeps its
-    best k, and only those meet in the ranking. `other` restricts pairs, such as entries of another group: it sees columns of both sides.
+    All entries are compared by products of matrices (`blocked_neighbours`). `other` restricts pairs by columns of both sides,
+    those of queries as `q_...`; entries then stay where they are, the queries, in blocks of about MOST_QUERIES, visit each of
+    their parts, which keeps its best k, and only those meet in the ranking.
     """
+    if other is None:
+        none = F.lit(None).cast("long").alias("grp")
+        asked = queries.select(F.col(query).cast("long").alias("query"), F.col(vector).alias("vector"), none)
+        held = entries.select(F.col(entry).cast("long").alias("entry"), F.col(vector).alias("vector"), none)
+        found = blocked_neighbours(asked, held, k, MOST_QUERIES, digits)
+        return found.select(F.col("query").alias(query), F.col("entry").alias(entry), "score", "rank")
     q = queries.select([F.col(c).alias(f"q_{c}") for c in queries.columns])
     blocks = max(1, -(-queries.count() // MOST_QUERIES))
     scored = None
     for b in range(blocks):  # one pass over the entries for each block of queries
         part = q if blocks == 1 else q.where(F.pmod(F.xxhash64(f"q_{query}"), F.lit(blocks)) == b)
-        pairs = entries.join(F.broadcast(part), other if other is not None else F.lit(True))
+        pairs = entries.join(F.broadcast(part), other)
         now = pairs.select(F.col(f"q_{query}").alias(query), F.col(entry), F.round(cosine(F.col(f"q_{vector}"), F.col(vector)), digits).alias("score"))
         scored = now if scored is None else scored.unionByName(now)
     w = Window.partitionBy(query).orderBy(F.desc("score"), entry)
@@ -131,8 +138,8 @@ def blocked_neighbours(queries: DataFrame, entries: DataFrame, k: int, block: in
         ids, q, own = shared
         e, entry = matrix(batch.column("vector")), batch.column("entry").to_numpy(zero_copy_only=False)
         group = np.array([(-1 if g is None else g) for g in batch.column("grp").to_pylist()], np.int64)
-        size = np.sqrt((e * e).sum(1))
-        score = np.round((q @ e.T) / np.outer(np.sqrt((q * q).sum(1)), np.where(size > 0, size, np.inf)), digits)
+        size, own_size = np.sqrt((e * e).sum(1)), np.sqrt((q * q).sum(1))
+        score = np.round((q @ e.T) / np.outer(np.where(own_size > 0, own_size, np.inf), np.where(size > 0, size, np.inf)), digits)
         score[(own[:, None] == group[None, :]) & (own[:, None] >= 0)] = -np.inf
         order = np.lexsort((np.broadcast_to(entry, score.shape), -score), axis=1)[:, :k]
         kept = np.take_along_axis(score, order, 1)
