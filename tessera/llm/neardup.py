@@ -35,6 +35,8 @@ PERCENT = 85
 BLOCK = 1_000_000
 #: Heads that a text is held against one by one at most, and texts that are held against one head in one task.
 ROUNDS, SHARE = 4, 5_000
+#: Tasks that the rows of one key are dealt over where they meet what is known of it.
+SALTS = 8
 
 SIGNATURES = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()),
@@ -233,6 +235,16 @@ def held_against(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return mine.join(theirs, ["b", "share"]).select("a", "b", "shingles", "other").mapInArrow(run, "a long, b long")
 
 
+def dealt_join(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Rows joined to a table of a row for each key: rows of one key are dealt over SALTS tasks, and the table goes to each.
+
+    The table grows with the rows, so that it is never broadcast.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int"))
+    every = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(every.hint("merge"), [*keys, "_salt"], how).drop("_salt")
+
+
 def grouped(members: DataFrame, groups: DataFrame | None) -> DataFrame:
     """`members` (cluster, cls, n) of clusters that are not one group, with their group: cluster, cls, n, group."""
     if groups is None:
@@ -240,7 +252,7 @@ def grouped(members: DataFrame, groups: DataFrame | None) -> DataFrame:
     else:
         found = members.join(groups.select(F.col("node").alias("cls"), "component"), "cls", "left").select("cluster", "cls", "n", F.coalesce("component", "cls").alias("group"))
     open_ = found.groupBy("cluster").agg(F.min("group").alias("least"), F.max("group").alias("most")).where("least < most").select("cluster")
-    return found.join(open_, "cluster", "left_semi")
+    return dealt_join(found, open_, ["cluster"], "left_semi")
 
 
 def blocks_of(members: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
@@ -250,15 +262,15 @@ def blocks_of(members: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
     block, 0. Sizes are counted per cluster, part and size, and a running sum over that histogram places each size; the
     members of one size spread over its share by a hash.
     """
-    counts = members.groupBy("cluster", "group").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("whole"))
-    largest = counts.groupBy("cluster").agg(F.max(F.struct(F.col("c"), -F.col("group")))["col2"].alias("_most"), F.sum("whole").alias("whole"))
-    members = members.join(largest, "cluster").withColumn("low", (F.col("group") == -F.col("_most")) & (F.col("whole") > 2 * block))
+    groups = members.groupBy("cluster", "group").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("held"))
+    largest = groups.groupBy("cluster").agg(F.max(F.struct("texts", -F.col("group")))["col2"].alias("_most"), F.sum("held").alias("whole"))
+    members = dealt_join(members, largest, ["cluster"]).withColumn("low", (F.col("group") == -F.col("_most")) & (F.col("whole") > 2 * block))
     sizes = members.groupBy("cluster", "low", "n").agg(F.count(F.lit(1)).alias("c"))
     before = Window.partitionBy("cluster", "low").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("before", F.coalesce(F.sum(F.col("c") * F.col("n")).over(before), F.lit(0)))
     own = F.floor((F.col("before") + F.pmod(F.xxhash64("cls"), F.col("c")) * F.col("n")) / F.lit(block)).cast("long")
     number = F.when(F.col("whole") <= 2 * block, F.lit(0).cast("long")).when(F.col("low"), -1 - own).otherwise(own)
-    placed = members.join(sizes, ["cluster", "low", "n"]).withColumn("block", number)
+    placed = dealt_join(members, sizes, ["cluster", "low", "n"]).withColumn("block", number)
     ranges = placed.groupBy("cluster", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count(F.lit(1)).alias("texts"))
     return placed.select("cluster", "cls", "n", "group", "block"), ranges
 
