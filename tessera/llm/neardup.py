@@ -7,12 +7,13 @@ key unless all small hashes of a collection differ: with 9 tables of width 2 a l
 
 Equal sets are one class from the start. Texts that share a key are joined to the key's smallest class, its head, never to
 each other, and the components of these links, the clusters, hold every link. Links are then confirmed on full sets in two
-ways. First, round by round, each text of a cluster that isn't one group yet is held against one more of its heads; what
-links is one group from then on. Near copies of one text end here, at a cost in proportion to their number. Then, in clusters
-that are still several groups, all texts outside a cluster's largest group are compared with all of the cluster, in blocks of
-bounded size: a prefix filter over rare shingles finds partners, full sets decide, and only the links that join two groups
-are emitted, so that the output never exceeds the number of texts. This last part is the one whose work is not in proportion
-to the rows: texts that are close to a large group of near copies and link with none of it meet all of it, a block at a time.
+ways. First, in clusters of more than two blocks, each text is held against one of its heads after the other, round by
+round; what links is one group from then on. Near copies of one text end here, at a cost in proportion to their number.
+Then, in clusters that are still several groups, all texts outside a cluster's largest group are compared with all of the
+cluster, in blocks of bounded size (a cluster of less than two is one): a prefix filter over rare shingles finds partners,
+full sets decide, and only the links that join two groups are emitted, so that the output never exceeds the number of texts.
+This last part is the one whose work is not in proportion to the rows: texts that are close to a large group of near copies
+and link with none of it meet all of it, a block at a time.
 """
 
 from __future__ import annotations
@@ -299,9 +300,14 @@ def confirmed(scratch: Scratch, docs: DataFrame, classes: DataFrame, shared: Dat
         return None
     members = scratch.save(clusters.select(F.col("node").alias("cls"), F.col("component").alias("cluster")).join(classes.select("cls", "n"), "cls"), "members")
     sets = scratch.save(full_sets(docs.join(members.select("cls"), F.col("doc_id") == F.col("cls")), shingle), "sets")
-    groups, open_, edges, tried = None, members, [], []
-    for k in range(ROUNDS):
-        left = shared if k == 0 else shared.join(open_.select(F.col("cls").alias("a"), "group"), "a").join(open_.select(F.col("cls").alias("b"), F.col("group").alias("other")), "b").where("group <> other").select("a", "b")
+    whole = members.groupBy("cluster").agg(F.sum("n").alias("whole")).where(F.col("whole") > 2 * block).select("cluster")
+    large = scratch.save(dealt_join(members, whole, ["cluster"], "left_semi"), "large")
+    groups, open_, edges, tried = None, large, [], []
+    for k in range(0 if large.isEmpty() else ROUNDS):
+        mine = open_.select(F.col("cls").alias("a"), (F.col("group") if k else F.lit(0)).alias("group"))
+        left = shared.join(mine, "a")
+        if k:
+            left = left.join(open_.select(F.col("cls").alias("b"), F.col("group").alias("other")), "b").where("group <> other")
         for old in tried:
             left = left.join(old, ["a", "b"], "left_anti")
         now = scratch.save(left.groupBy("a").agg(F.min("b").alias("b")), f"pairs{k}")
@@ -310,9 +316,12 @@ def confirmed(scratch: Scratch, docs: DataFrame, classes: DataFrame, shared: Dat
         tried.append(now)
         edges.append(scratch.save(held_against(now, sets, percent), f"links{k}"))
         groups = components(scratch, union(edges), f"groups{k}")
-        open_ = scratch.save(grouped(members, groups), f"open{k}")
+        open_ = scratch.save(grouped(large, groups), f"open{k}")
         if open_.isEmpty():
-            return groups
+            break
+    open_ = scratch.save(grouped(members, groups), "open")
+    if open_.isEmpty():
+        return groups
     placed, ranges = blocks_of(open_, block)
     placed, ranges = scratch.save(placed, "placed"), scratch.save(ranges, "ranges")
     last = compared(placed, block_pairs(ranges, percent), sets).mapInArrow(lambda batches: block_links(batches, percent), "a long, b long")
