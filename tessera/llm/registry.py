@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import extract, neardup, secrets, urlfilter, warc
+from . import extract, infilling, neardup, secrets, urlfilter, warc
 
 #: Query name, module, function.
 QUERIES = {
@@ -21,6 +21,7 @@ QUERIES = {
     "op9_simhash_decontamination": ("decontaminate", "op9"),
     "op10_secret_scan": ("secrets", "op10"),
     "op5_best_fit_packing": ("packing", "op5"),
+    "op13_fill_in_middle": ("infilling", "op13"),
 }
 
 
@@ -29,4 +30,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_tag_path_ratios": extract.SQL, "op4_dictionary_warc": warc.SQL, "op6_path_templates": urlfilter.oracle(), "op8_tensored_near_duplicates": neardup.SQL, "op10_secret_scan": secrets.oracle()}
+    return {"op3_tag_path_ratios": extract.SQL, "op4_dictionary_warc": warc.SQL, "op6_path_templates": urlfilter.oracle(), "op8_tensored_near_duplicates": neardup.SQL, "op10_secret_scan": secrets.oracle(), "op13_fill_in_middle": infilling.SQL}
