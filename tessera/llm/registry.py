@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import extract, infilling, neardup, secrets, spelling, urlfilter, warc
+from . import extract, infilling, mixing, neardup, secrets, spelling, urlfilter, warc
 
 #: Query name, module, function.
 QUERIES = {
@@ -21,6 +21,7 @@ QUERIES = {
     "op9_simhash_decontamination": ("decontaminate", "op9"),
     "op10_secret_scan": ("secrets", "op10"),
     "op5_best_fit_packing": ("packing", "op5"),
+    "op11_source_mixing": ("mixing", "op11"),
     "op12_spelling_variants": ("spelling", "op12"),
     "op13_fill_in_middle": ("infilling", "op13"),
 }
@@ -31,4 +32,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_tag_path_ratios": extract.SQL, "op4_dictionary_warc": warc.SQL, "op6_path_templates": urlfilter.oracle(), "op8_tensored_near_duplicates": neardup.SQL, "op10_secret_scan": secrets.oracle(), "op12_spelling_variants": spelling.SQL, "op13_fill_in_middle": infilling.SQL}
+    return {"op3_tag_path_ratios": extract.SQL, "op4_dictionary_warc": warc.SQL, "op6_path_templates": urlfilter.oracle(), "op8_tensored_near_duplicates": neardup.SQL, "op10_secret_scan": secrets.oracle(), "op11_source_mixing": mixing.SQL, "op12_spelling_variants": spelling.SQL, "op13_fill_in_middle": infilling.SQL}
