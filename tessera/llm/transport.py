@@ -28,6 +28,8 @@ PACKET, SYNC = 188, 0x47
 PAT_PID, PMT_PID, STREAM_PID, PROGRAM, STREAM_TYPE, STREAM_ID = 0x0000, 0x1000, 0x0100, 1, 0x06, 0xBD
 #: Stream identifiers of units without an optional header, and of those that hold padding alone.
 PLAIN_IDS, PADDING_ID = frozenset((0xBC, 0xBE, 0xBF, 0xF0, 0xF1, 0xF2, 0xF8, 0xFF)), 0xBE
+#: Packet identifiers have 13 bits.
+PIDS = 1 << 13
 #: Production parameters of op1: payload padding, bytes of a unit, units between random-access points, ticks of a unit.
 PAD, UNIT, KEY, TICKS = 64, 16_384, 4, 3600
 
@@ -250,9 +252,12 @@ def read_stream(media: bytes) -> Stream:
     unit_start, loaded = rows[:, 1] & 0x40 > 0, control & 1 > 0
     maps: dict[int, int] = {}
     kinds: dict[int, int] = {}
+    listed: set[tuple[int, int, int]] = set()
+    by_pid = np.flatnonzero(loaded)[np.argsort(pid[loaded], kind="stable")]  # in their order within each
+    bounds = np.searchsorted(pid[by_pid], np.arange(PIDS + 1))
 
     def told(own: int, table: int) -> Iterator[bytes]:
-        at = np.flatnonzero((pid == own) & loaded)
+        at = by_pid[bounds[own] : bounds[own + 1]]
         return (data for kind, data in sections(rows[at], body[at], unit_start[at], counter[at], seen) if kind == table)
 
     for data in told(PAT_PID, 0):
@@ -265,12 +270,13 @@ def read_stream(media: bytes) -> Stream:
             while j + 5 <= len(data):
                 kinds[int.from_bytes(data[j + 1 : j + 3], "big") & 0x1FFF] = data[j]
                 stream = (program, int.from_bytes(data[j + 1 : j + 3], "big") & 0x1FFF, data[j])
-                if stream not in seen.streams:
+                if stream not in listed:
+                    listed.add(stream)
                     seen.streams.append(stream)
                 j += 5 + (int.from_bytes(data[j + 3 : j + 5], "big") & 0xFFF)
     seen.programs = sorted(set(maps.values()))
     for own in sorted(kinds):
-        at = np.flatnonzero((pid == own) & loaded)
+        at = by_pid[bounds[own] : bounds[own + 1]]
         if len(at) > 1:
             step = (counter[at[1:]].astype(np.int32) - counter[at[:-1]]) % 16
             same = (step == 0) & (rows[at[1:], 4:] == rows[at[:-1], 4:]).all(axis=1)
@@ -286,7 +292,7 @@ def join_units(seen: Stream, own: int, rows: np.ndarray, body: np.ndarray, first
     """Elementary packets of one stream, joined; what precedes the first whole one is left out.
 
     A stream without packets, or without the start of a unit, has an empty payload. A unit that does not start as one, or
-    whose header reaches beyond it, is counted and left out.
+    whose header reaches beyond it or beyond the length that it declares, is counted and left out.
     """
     inside = np.arange(PACKET)[None, :] >= body[:, None]
     data = rows[inside].tobytes()
@@ -297,13 +303,13 @@ def join_units(seen: Stream, own: int, rows: np.ndarray, body: np.ndarray, first
         unit = data[ends[k] : ends[stop]]
         plain = len(unit) > 3 and unit[3] in PLAIN_IDS
         head = 6 if plain else 9 + (unit[8] if len(unit) > 8 else 0)
+        size = int.from_bytes(unit[4:6], "big")
+        unit = unit[: 6 + size] if size else unit
         if unit[:3] != b"\x00\x00\x01" or len(unit) < head:
             seen.table_errors += 1
             continue
         if unit[3] == PADDING_ID:
             continue
-        size = int.from_bytes(unit[4:6], "big")
-        unit = unit[: 6 + size] if size else unit
         if not plain and unit[7] & 0x80 and head >= 14:
             t = unit[9:14]
             stamps.append((offset, (t[0] >> 1 & 7) << 30 | (t[1] << 8 | t[2]) >> 1 << 15 | (t[3] << 8 | t[4]) >> 1))

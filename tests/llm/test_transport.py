@@ -115,6 +115,47 @@ def test_no_bytes_raise(seed):
     read_stream(tables() + packets.tobytes())
 
 
+def test_any_damage_of_unit_headers():
+    """3,000 streams with flipped bits and bytes in the headers of their units: none raises, all say what is wrong or are whole."""
+    random = np.random.RandomState(17)
+    whole = read_stream(write_stream(b"\x5a" * 6000, 512))
+    clean = np.frombuffer(write_stream(b"\x5a" * 6000, 512), np.uint8).reshape(-1, PACKET)
+    heads = [(k, 4 + (row[4] + 1 if row[3] & 0x20 else 0)) for k, row in enumerate(clean) if row[1] & 0x40 and (int(row[1]) & 0x1F) << 8 | int(row[2]) == STREAM_PID]
+    assert len(heads) == 12
+    short = 0
+    for _ in range(3000):
+        media = clean.copy()
+        for _ in range(random.randint(1, 6)):
+            k, at = heads[random.randint(len(heads))]
+            spot = at + random.randint(14)
+            media[k, spot] = random.choice([int(media[k, spot]) ^ 1 << random.randint(8), 0, random.randint(16), 255])
+        s = read_stream(media.tobytes())
+        short += s.table_errors > 0
+        assert len(s.payloads[STREAM_PID]) <= 6000 + 12 * PACKET and all(0 <= o <= len(s.payloads[STREAM_PID]) for o, _ in s.stamps[STREAM_PID])
+    assert short > 1000 and whole.table_errors == 0
+
+
+def test_declared_length_within_the_header():
+    """A unit that declares less than its header needs is counted, whatever the header says."""
+    clean = np.frombuffer(write_stream(b"x" * 64), np.uint8).reshape(-1, PACKET)
+    k = next(k for k, row in enumerate(clean) if row[1] & 0x40 and (int(row[1]) & 0x1F) << 8 | int(row[2]) == STREAM_PID)
+    at = 4 + (clean[k, 4] + 1 if clean[k, 3] & 0x20 else 0)
+    for size in range(1, 8):
+        media = clean.copy()
+        media[k, at + 4 : at + 6] = 0, size
+        s = read_stream(media.tobytes())
+        assert s.table_errors == 1 and s.payloads[STREAM_PID] == b"" and s.stamps[STREAM_PID] == []
+
+
+def test_many_programs_take_time_in_proportion():
+    """Thousands of program maps, each named once, over a long stream."""
+    entries = b"".join((i + 1).to_bytes(2, "big") + (0xE000 | 32 + i).to_bytes(2, "big") for i in range(250))
+    pats = b"".join(table_packets(0, section(0, 1, entries[j:] + entries[:j]), 0) for j in range(0, 1000, 4))
+    start = time.process_time()
+    read_stream(pats + write_stream(b"z" * 3_000_000))
+    assert time.process_time() - start < 8
+
+
 def test_streams_of_any_damage_in_a_table(spark):
     pat = table_packets(0, section(0, 1, (1).to_bytes(2, "big") + (0xE000 | PMT_PID).to_bytes(2, "big")), 0)
     rows = [(1, pat + table_packets(PMT_PID, streams_table(3), 0)), (2, tables()), (3, os.urandom(1000)), (4, write_stream(b"a" * 64)[5:])]
