@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from fractions import Fraction
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,6 @@ from .common import Scratch, free_name, in_chunks, map_batches, ranked, text_byt
 WEIGHTS, SHARE, EPOCHS, SEED = (3, 1, 2), Fraction(3, 2), Fraction(2), 11
 #: A word, for sizes.
 WORD = r"[^\x20\x09-\x0D]+"
-#: About as many rows of a source lie in one range of its order.
-RANGE_ROWS = 65_536
 #: Digits of the order's key: a document's place in its source.
 KEY_DIGITS, RANGE_DIGITS = 32, 7
 
@@ -89,10 +88,11 @@ def targets(sources: DataFrame, share: Fraction = SHARE, epochs: Fraction = EPOC
 def edges(sized: DataFrame, sources: DataFrame, most_rows: int) -> DataFrame:
     """Where each source's last, partial repetition ends: source, edge (a key), rest (words for the rows with that key).
 
-    Sizes are summed by range of the order, then by key in the range in which the words run out.
+    Sizes are summed by range of the order, then by key in the range in which the words run out. There are about as many
+    ranges as the largest source has rows in each, so that both sums run over the root of its rows.
     """
     digits = F.conv(F.substring("key", 1, RANGE_DIGITS), 16, 10).cast("long")
-    ranges = max(1, min(-(-most_rows // RANGE_ROWS), 16**RANGE_DIGITS))
+    ranges = isqrt(most_rows) + 1
     dealt = sized.withColumn("_range", F.floor(digits * ranges / F.lit(16**RANGE_DIGITS)))
     want = sources.select("source", "extra")
 

@@ -9,7 +9,6 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing
 from tessera.llm.common import Scratch
 from tessera.llm.mixing import mixed, op11, repeated, size_of, targets
 
@@ -71,8 +70,7 @@ CASES = {
 
 
 @pytest.mark.parametrize("name", CASES)
-def test_against_brute_force(spark, name, monkeypatch):
-    monkeypatch.setattr(mixing, "RANGE_ROWS", 16)  # many ranges
+def test_against_brute_force(spark, name):
     rows = CASES[name]
     got = found(mixed(table(spark, rows)))
     assert got == brute(rows)
