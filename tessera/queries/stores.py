@@ -223,6 +223,40 @@ def stream_sync_foreachbatch(spark, sf):
     return ladder.index(ladder.live()).groupBy("document_id").agg(F.count(F.lit(1)).alias("partitions"))
 
 
+SYNC_PLAN = "CASE WHEN {0} >= 0.05::DOUBLE * {1} THEN 'reindex+train' ELSE 'reindex' END"
+
+
+@query("sync_versions", f"""WITH {PARTS}, n AS (SELECT count(*) AS n, count(*) FILTER (document_id % 100 = 7) AS a, count(*) FILTER (document_id % 100 = 11) AS w, count(*) FILTER (document_id % 100 = 13) AS b, count(*) FILTER (document_id % 100 = 17) AS c FROM parts)
+    SELECT 0 AS batch, 0 AS version, 'train' AS plan, n AS added, 0 AS changed, 0 AS removed, n AS partitions, true AS passed FROM n
+    UNION ALL SELECT 1, 1, {SYNC_PLAN.format("a", "n")}, 0, a, 0, n, true FROM n
+    UNION ALL SELECT 2, 1, {SYNC_PLAN.format("b", "(n - w)")}, 0, b, w, n - w, false FROM n
+    UNION ALL SELECT 3, 3, {SYNC_PLAN.format("(b + c)", "(n - w)")}, 0, b + c, w, n - w, true FROM n""")
+def sync_versions(spark, sf):
+    """The whole corpus, then one document in a hundred at a time changed or withdrawn, as a stream of four batches.
+
+    Every version is probed: each changed partition is quoted as the version has it. The third version answers from the one
+    before, so that its quotes are stale and it is held; the fourth makes up for it.
+    """
+    scratch = Scratch(spark, "versions")
+    p = scratch.save(parts(spark, sf).select("document_id", "partition_index", "text", "sha"), "parts")
+    text_ = F.concat(F.lit("!"), "text")
+    changed = lambda k: p.where(f"document_id % 100 = {k}").select("document_id", "partition_index", text_.alias("text"), sha256(text_).alias("sha"), F.lit("deposit").alias("op"))
+    gone = p.where("document_id % 100 = 11").select("document_id", F.lit(0).alias("partition_index"), F.lit("").alias("text"), F.lit("").alias("sha"), F.lit("withdraw").alias("op")).distinct()
+    feeds = [p.withColumn("op", F.lit("deposit")), changed(7), changed(13).unionByName(gone), changed(17)]
+    ladder = sync.Ladder(spark, f"{scratch.path}/ladder", buckets=16)
+
+    def measure(index, touched, version):
+        says = index if version != 2 else ladder.index(1)
+        spans = says.join(touched, ["document_id", "partition_index"], "left_semi").select("document_id", "partition_index", F.lit(0).alias("first"), F.substring("text", 1, 24).alias("text"))
+        return sync.Measured(index.select("document_id", "partition_index", F.when(sha256(F.col("text")) == F.col("sha"), 0.0).otherwise(1.0).alias("loss")), spans)
+
+    ladder.measure = measure
+    for feed in feeds:
+        feed.write.mode("append").parquet(f"{scratch.path}/feed")
+        ladder.follow(spark.readStream.schema(feeds[0].schema).parquet(f"{scratch.path}/feed"), f"{scratch.path}/checkpoint").awaitTermination()
+    return ladder.batches()
+
+
 @query("stream_session_state", """WITH e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS j, (event_id % 4) AS x FROM events), h AS (SELECT user_id AS session, j, x + j AS entry FROM e WHERE x < 3 UNION ALL SELECT user_id, j, 7 + j FROM e WHERE j % 5 <> 4),
     c AS (SELECT DISTINCT session, j, entry FROM h), g AS (SELECT *, entry - j AS d, j - row_number() OVER (PARTITION BY session, entry - j ORDER BY j) AS island FROM c), r AS (SELECT session, j, row_number() OVER (PARTITION BY session, d, island ORDER BY j) AS run FROM g), m AS (SELECT session, j, max(run) AS length FROM r GROUP BY 1, 2)
     SELECT user_id AS session, e.j, coalesce(length, 0) AS length FROM e LEFT JOIN m ON m.session = user_id AND m.j = e.j""")

@@ -5,14 +5,19 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import sha256
 from tessera.operators import corpus, ledger, rules
+from tessera.sources.layers import Layers
 from tessera.sources.store import exists
 
+#: What an index keeps of a partition.
+PARTITION = ["document_id", "partition_index", "text", "sha"]
+
 
 @dataclass
 class Measured:
@@ -41,13 +46,14 @@ def unverified(spans: DataFrame, live: DataFrame) -> int:
 class Ladder:
     """export, compare, plan, index, measure, gates, live: one batch of a feed after another.
 
-    The store holds every version of the index and a pointer to the live one. A version that fails a gate stays, held, and
-    the old one goes on serving; the next batch starts from the live one, and `feeds` keeps what came in between, so that
-    nothing of a held batch is lost. A batch that is replayed writes the same version again.
+    The store holds versions of the index that share their files, and a pointer to the live one: a batch writes the rows that
+    it changes and reads the buckets that it touches. A version that fails a gate stays, held, and the old one goes on
+    serving; the next batch starts from the live one, and `feeds` keeps what came in between, so that nothing of a held batch
+    is lost. A batch that is replayed writes the same version again; once it is live there is nothing left of it to do.
 
-    `build` makes the rows of an index from partitions, `measure` says how a version does: it takes the index, the keys
-    of added and changed partitions, and the version. Without one the index is its own model, which has memorised a
-    partition if a row's digest is that of its text.
+    `build` makes the rows of an index from partitions, a partition's from that partition alone, and keeps their columns;
+    `measure` says how a version does: it takes the index, the keys of added and changed partitions, and the version. Without
+    one the index is its own model, which has memorised a partition if a row's digest is that of its text.
     """
 
     spark: SparkSession
@@ -58,6 +64,10 @@ class Ladder:
     vocabulary: str = ""
     trunk: str = ""
     train_fraction: float = 0.05
+    buckets: int = 64
+
+    def __post_init__(self):
+        self.store = Layers(self.spark, f"{self.path}/index", self.buckets)
 
     def live(self) -> int | None:
         if not exists(self.spark, f"{self.path}/live"):
@@ -65,50 +75,83 @@ class Ladder:
         return self.spark.read.parquet(f"{self.path}/live").agg(F.max_by("version", "batch")).first()[0]
 
     def index(self, version: int) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/index/version={version}")
+        return self.store.read(version)
 
     def gates(self) -> DataFrame:
         """Every version's gates: version, rule, passed."""
         return self.spark.read.parquet(f"{self.path}/gates")
 
-    def exact(self, written: DataFrame) -> Measured:
-        loss = F.when(F.col("sha") == sha256(F.col("text")), 0.0).otherwise(1.0)
-        return Measured(written.select(*corpus.KEY, loss.alias("loss")), None, self.vocabulary, self.trunk)
+    def batches(self) -> DataFrame:
+        """What came of each batch that called for a version: batch, version (live after it), plan, added, changed, removed, partitions, passed."""
+        told = [self.spark.read.parquet(f"{self.path}/{k}").drop("number") for k in ("live", "held") if exists(self.spark, f"{self.path}/{k}")]
+        return reduce(DataFrame.unionByName, told)
 
     def pending(self, feed: DataFrame, batch: int, last: int | None) -> DataFrame:
-        """This batch after those since the live version, of each key and document the newest rows."""
+        """This batch after those since the live version, of each key and document the newest rows; a batch withdraws before it deposits."""
         feed.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(f"{self.path}/feeds/number={batch}")
         rows = self.spark.read.parquet(f"{self.path}/feeds").where((F.col("number") <= batch) & (F.col("number") > (-1 if last is None else last)))
         gone = rows.where("op = 'withdraw'").groupBy("document_id").agg(F.max("batch").alias("_gone"))
-        rows = rows.join(gone, "document_id", "left").where("_gone IS NULL OR batch > _gone OR op = 'withdraw'")
+        rows = rows.join(gone, "document_id", "left").where("_gone IS NULL OR batch >= _gone OR op = 'withdraw'")
         newest = Window.partitionBy(*corpus.KEY, "op").orderBy(F.desc("batch"))
         return rows.withColumn("_k", F.row_number().over(newest)).where("_k = 1").select(feed.columns)
 
+    def applied(self, feed: DataFrame, last: int | None, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The partitions of some documents as the live version has them, and as they are with the feed."""
+        new = feed.where("op = 'deposit'").select(*PARTITION)
+        before = self.store.read(last, self.store.touched(docs)).select(*PARTITION).join(docs, "document_id", "left_semi") if last is not None else new.limit(0)
+        gone = feed.where("op = 'withdraw'").select("document_id").distinct()
+        kept = before.join(gone, "document_id", "left_anti").join(new.select(*corpus.KEY), corpus.KEY, "left_anti")
+        return before, kept.unionByName(new.join(docs, "document_id", "left_semi"))
+
+    def changed(self, feed: DataFrame, batch: int, last: int | None) -> DataFrame:
+        """What the feed changes, kept as a table: key, change, bucket, and by how much the inexact partitions grow."""
+        before, after = self.applied(feed, last, feed.select("document_id").distinct())
+        inexact = (F.col("sha") != sha256(F.col("text"))).cast("long")
+        flags = before.select(*corpus.KEY, (-inexact).alias("inexact")).unionByName(after.select(*corpus.KEY, inexact.alias("inexact")))
+        found = corpus.changes(before, after).join(flags.groupBy(*corpus.KEY).agg(F.sum("inexact").alias("inexact")), corpus.KEY)
+        found.withColumn("bucket", self.store.bucket()).write.mode("overwrite").parquet(f"{self.path}/changes/number={batch}")
+        return self.spark.read.parquet(f"{self.path}/changes/number={batch}")
+
+    def checked(self, feed: DataFrame, version: int, last: int | None) -> tuple[int, int, int]:
+        """What a reader of the version finds of the feed's documents: rows that differ, rows of withdrawn documents, inexact rows beyond those of the live version."""
+        docs = feed.select("document_id").distinct()
+        before, after = self.applied(feed, last, docs)
+        inexact = F.count_if(F.col("sha") != sha256(F.col("text")))
+        now = self.store.read(version, self.store.touched(docs)).select(*PARTITION).join(docs, "document_id", "left_semi")
+        # A document that the feed withdraws and deposits anew is wanted; one that it only withdraws must not be indexed.
+        gone = feed.groupBy("document_id").agg(F.bool_and(F.col("op") == "withdraw").alias("_gone"))
+        met = now.join(gone, "document_id").join(after.select(*corpus.KEY, F.col("sha").alias("_want")), corpus.KEY, "full_outer")
+        differs = ~F.coalesce(F.col("sha") == F.col("_want"), F.lit(False))
+        told = met.agg(F.count_if(differs), F.count_if(F.coalesce(F.col("_gone"), F.lit(False)) & F.col("sha").isNotNull()), inexact).first()
+        return told[0], told[1], told[2] - before.agg(inexact).first()[0]
+
     def sync(self, feed: DataFrame, batch: int) -> None:
         """feed: (document_id, partition_index, text, sha, op), op `deposit` or `withdraw`."""
         last = self.live()
         feed = self.pending(feed, batch, last)
-        empty = feed.select("document_id", "partition_index", "text", "sha").limit(0)
-        before = self.index(last).select(empty.columns) if last is not None else empty
-        gone = feed.where("op = 'withdraw'").select("document_id").distinct()
-        new = feed.where("op = 'deposit'").select(empty.columns)
-        kept = before.join(gone, "document_id", "left_anti").join(new.select(*corpus.KEY), corpus.KEY, "left_anti")
-        after = kept.unionByName(new)
-        change = corpus.changes(before, after)
-        counts = change.agg(*[F.count_if(F.col("change") == c).alias(c) for c in ("added", "removed", "changed")])
-        plan = counts.select(corpus.update_plan(counts, F.lit(after.count()), F.lit(last is not None), self.train_fraction).alias("plan")).first()["plan"]
+        change = self.changed(feed, batch, last)
+        kinds = ("added", "changed", "removed")
+        found = change.groupBy("bucket").agg(*[F.count_if(F.col("change") == c).alias(c) for c in kinds], F.sum("inexact").alias("inexact")).collect()  # a row for each bucket
+        added, altered, removed = (sum(r[c] for r in found) for c in kinds)
+        buckets = self.store.manifest(last)[0] if last is not None else []
+        rows = sum(x.rows for x in buckets) + added - removed
+        counts = self.spark.createDataFrame([(added, altered, removed)], "added long, changed long, removed long")
+        plan = counts.select(corpus.update_plan(counts, F.lit(rows), F.lit(last is not None), self.train_fraction).alias("plan")).first()["plan"]
         if plan == "none":
             return
-        (self.build(after) if self.build else after).write.mode("overwrite").parquet(f"{self.path}/index/version={batch}")
-        written = self.index(batch)
         touched = change.where("change <> 'removed'").select(*corpus.KEY)
-        said = self.measure(written, touched, batch) if self.measure else self.exact(written)
-        # A document that this feed withdraws and deposits anew is wanted; one that it only withdraws must not be indexed.
-        rows, parts = (x.select(*corpus.KEY, "sha").distinct() for x in (written, after))
-        strays = rows.join(parts, [*corpus.KEY, "sha"], "left_anti").count() + parts.join(rows, [*corpus.KEY, "sha"], "left_anti").count()
-        leaked = written.join(gone.join(new.select("document_id"), "document_id", "left_anti"), "document_id", "left_semi").count()
+        new = feed.where("op = 'deposit'").select(*PARTITION).join(touched, corpus.KEY, "left_semi")
+        marks = change.where("change <> 'added'").select(*corpus.KEY)
+        grown = {r["bucket"]: (r["added"] - r["removed"], r["added"] + 2 * r["changed"] + r["removed"], (r["inexact"],)) for r in found}
+        self.store.commit(batch, last, self.build(new) if self.build else new, marks, grown)
+        strays, leaked, inexact = self.checked(feed, batch, last)
+        said = self.measure(self.index(batch), touched, batch) if self.measure else Measured(None, None, self.vocabulary, self.trunk)
         learned = said.losses.agg(ledger.memorised_share(F.col("loss"))).first()[0] if said.losses is not None else 0.0
-        bad = unverified(said.spans, after) if said.spans is not None else 0
+        if not self.measure:
+            learned = 1 - (sum(x.sums[0] for x in buckets if x.sums) + inexact) / rows
+        bad = 0
+        if said.spans is not None:
+            bad = unverified(said.spans, self.applied(feed, last, said.spans.select("document_id").distinct())[1])
         kind = "train" if "train" in plan else "reindex"
         row = self.spark.createDataFrame(
             [(batch, kind, float(learned or 0.0), said.vocabulary, self.vocabulary, said.trunk, self.trunk, leaked, bad, strays)],
@@ -117,8 +160,11 @@ class Ladder:
         verdicts = rules.promotion_gates(row, self.floor)
         verdicts.write.mode("overwrite").parquet(f"{self.path}/gates/number={batch}")
         passed = rules.qualifies(verdicts, ["version"]).first()["qualifies"]
-        state = self.spark.createDataFrame([(batch, batch if passed else last, plan, bool(passed))], "batch long, version long, plan string, passed boolean")
-        state.write.mode("append").parquet(f"{self.path}/{'live' if passed else 'held'}")
+        state = self.spark.createDataFrame(
+            [(batch, batch if passed else last, plan, added, altered, removed, rows, bool(passed))],
+            "batch long, version long, plan string, added long, changed long, removed long, partitions long, passed boolean",
+        )
+        state.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/{'live' if passed else 'held'}/number={batch}")
 
     def follow(self, feed: DataFrame, checkpoint: str):
         """The ladder over a stream of feed files; the checkpoint makes it resume where it stopped."""
