@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.queries import base
 
-MODULES = ["statistics", "texts", "retrieval", "citation", "ledgers", "stores", "reports", "records"]
+MODULES = ["statistics", "texts", "retrieval", "citation", "ledgers", "stores", "streams", "reports", "records"]
 for _name in MODULES:
     import_module(f"tessera.queries.{_name}")
 
