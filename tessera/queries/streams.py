@@ -4,12 +4,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.session import table
+from tessera.sources import log
 from tessera.sources.scratch import Scratch
 from tessera.streaming import resume
 from tessera.streaming import sessions as session_state
 from tessera.streaming.ordered import presence, streaming_session
 
-from .base import query
+from .base import documents, query
 
 #: Three batches of ten days; a row may be three hours in the wrong one.
 BATCH = "(unix_seconds(ts) - unix_seconds(TIMESTAMP '2024-01-01 00:00:00') + pmod(hash(event_id), 21600) - 10800) DIV 864000"
@@ -105,3 +106,16 @@ def stream_resumed(spark, sf):
     run()
     held = resume.state_of(spark, f"{scratch.path}/checkpoint").select("user_id", F.col("count").alias("held"))
     return resume.latest(spark, f"{scratch.path}/out", ["user_id"]).join(held, "user_id").select("user_id", "n", F.round("total", 4).alias("total"), "held")
+
+
+@query("log_round_trip", "SELECT doc_id, sha256(text) AS sha, lang, source, n_chars FROM documents")
+def log_round_trip(spark, sf):
+    """All documents written to a log, streamed from there in pages by offset into a second one, and read back."""
+    log.register(spark)
+    path = Scratch(spark, "log").path
+    docs = documents(spark, sf)
+    docs.write.format("tessera_log").mode("append").option("path", f"{path}/one").save()
+    stream = spark.readStream.format("tessera_log").schema(docs.schema).option("path", f"{path}/one").option("pageRows", 500).load()
+    stream.writeStream.format("tessera_log").option("path", f"{path}/two").option("writer", "copy").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    back = spark.read.format("tessera_log").option("path", f"{path}/two").load()
+    return back.select("doc_id", F.sha2("text", 256).alias("sha"), "lang", "source", "n_chars")
