@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import ranges
+
 
 def mean(x: Column) -> Column:
     return F.coalesce(F.avg(x.cast("double")), F.lit(0.0))
@@ -50,9 +52,12 @@ def pearson(x: Column, y: Column) -> Column:
 def with_ranks(df: DataFrame, value: str, name: str, by: list[str] | None = None) -> DataFrame:
     """1-based ranks, ties sharing their average.
 
-    Counts of distinct values are ranked, not rows, so a value that many rows share costs one row.
+    Counts of distinct values are ranked, not rows, so a value that many rows share costs one row. Groups are windows of
+    distinct values; without groups ranks come by ranges, in many tasks. Rows without a value are left out.
     """
     keys = by or []
+    if not keys:
+        return df.join(ranges.ranks(df, value, name, []), value)
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     ranks = counts.withColumn(name, F.coalesce(F.sum("_n").over(before), F.lit(0)) + (F.col("_n") + 1) / 2.0).drop("_n")
@@ -66,6 +71,8 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
 
 def auroc(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
     """Mann-Whitney area under the curve by group; null where a class is empty."""
+    if not by:
+        return ranges.area(df, score, label, by)
     ranked = with_ranks(df, score, "_rank", by)
     positive = F.count_if(F.col(label))
     negative = F.count_if(~F.col(label))

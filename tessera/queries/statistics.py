@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tessera.functions import stats
+from tessera.functions import ranges, stats
 from tessera.session import table
 
 from .base import query, rounded
@@ -54,6 +54,27 @@ def auroc(spark, sf):
     return rounded(stats.auroc(j, "n_chars", "good", ["lang"]))
 
 
+WHOLE = {"q0": 0.0, "q1": 0.01, "q50": 0.5, "q90": 0.9, "q99": 0.999, "q100": 1.0}
+
+
+@query("quantiles_whole", "SELECT " + ", ".join(f"round(quantile_cont(l_extendedprice, {q}), 6) AS {n}" for n, q in WHOLE.items()) + " FROM lineitem")
+def quantiles_whole(spark, sf):
+    """Quantiles of all lines as one group, by selection."""
+    return rounded(ranges.quantiles(table(spark, sf, "lineitem"), "l_extendedprice", WHOLE))
+
+
+@query("auroc_whole", f"WITH j AS (SELECT l_extendedprice AS x, l_returnflag = 'R' AS good FROM lineitem), r AS (SELECT *, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rk FROM j) SELECT round((sum(rk) FILTER (good) - count(*) FILTER (good) * (count(*) FILTER (good) + 1) / 2.0) / (count(*) FILTER (good) * count(*) FILTER (NOT good)), 6) AS auroc FROM r")
+def auroc_whole(spark, sf):
+    """How well a line's price tells that it was returned, over all lines."""
+    return rounded(stats.auroc(table(spark, sf, "lineitem").withColumn("good", F.col("l_returnflag") == "R"), "l_extendedprice", "good", []))
+
+
+@query("spearman_whole", f"WITH a AS (SELECT *, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS rx, rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2.0 AS ry FROM lineitem) SELECT {PEARSON.format('rx', 'ry')} AS spearman FROM a")
+def spearman_whole(spark, sf):
+    """Rank correlation of quantity and price over all lines."""
+    return rounded(stats.spearman(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", []))
+
+
 @query("calibration_bins_ece", """WITH j AS (SELECT n_chars / 4000.0::DOUBLE AS c, quality = 1 AS ok FROM documents JOIN labels USING (doc_id)),
     b AS (SELECT CASE WHEN c BETWEEN 0 AND 1 THEN least(floor(c * 10), 9)::INT END AS bin, count(*) AS n, avg(c) AS confidence, avg(ok::INT) AS accuracy FROM j GROUP BY 1)
     SELECT r.i::INT AS bin, coalesce(n, 0) AS n, round(coalesce(confidence, 0), 6) AS confidence, round(coalesce(accuracy, 0), 6) AS accuracy, round(coalesce(n / (SELECT count(*) FROM j) * abs(accuracy - confidence), 0), 6) AS error FROM range(10) r(i) LEFT JOIN b ON b.bin = r.i""")
