@@ -8,8 +8,9 @@ mean of the containers that the path occurs in (a block's container is the neare
 fused as a geometric mean with those containers' share of the page's text, and every path that reaches SHARE of the best is
 content; its blocks are kept whole, in order. Text in an `article` or `main`, which name the content by HTML's rules, counts ARTICLE times as much.
 
-Nothing here reads what a class or a text says: outside the elements above, text on the same path as the article's own
-paragraphs, or a reader's comment as long and as dense as they are, is not told from them.
+Containers alike that hold little text each, beside a path of more and longer blocks, are readers' remarks: such a path has
+the share of one of them, not of all. Nothing here reads what a class or a text says: outside the elements above, text on the
+same path as the article's own paragraphs, or a reader's comment as long and as dense as they are, is not told from them.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ from pyspark.sql import types as T
 
 from .common import in_chunks, map_batches
 
-#: Production parameters of op3: the part of the best path's score that content reaches; how often an article's text counts.
-SHARE, ARTICLE = 0.4, 128
+#: Production parameters of op3: the part of the best path's score that content reaches; how often an article's text counts;
+#: how many short containers alike are readers' remarks.
+SHARE, ARTICLE, REMARKS = 0.4, 128, 3
 
 #: Fixed values of HTML: elements without content, with raw text, of inline text, and those that end an open one of their kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -77,33 +79,38 @@ class Paths:
 class Tags:
     """The ends of tags, quoted values honoured. A quote that never closes is plain text.
 
-    Looking for such a quote's end costs the rest of the page, so that the work is bounded by a few pages' length: a page
-    with more open quotes than that ends its further tags at the first `>`.
+    From each mark that is reached outside of quotes (a quote or `>`), where its tag ends is kept: all marks on the way to an
+    end share it, so that the page is walked through once, whatever its quotes.
     """
 
     def __init__(self, html: str):
-        self.html, self.spare = html, 16 * len(html)
+        self.html = html
+        self.known: dict[int, int] = {}  # from a mark, where the tag's `>` is, or -1 where a quote stays open
 
     def end(self, at: int) -> tuple[int, int]:
         """Where the attributes that start here end, and where the tag does."""
-        html, k = self.html, at
-        while self.spare >= 0:
+        html, way, k = self.html, [], at
+        while True:
             k = PLAIN.match(html, k).end()
+            stop = self.known.get(k)
+            if stop is not None:
+                break
             if k == len(html):
+                stop = -1
                 break
+            way.append(k)
             if html[k] == ">":
-                return k, k + 1
+                stop = k
+                break
             close = html.find(html[k], k + 1)
             if close < 0:
-                self.spare -= len(html) - at
+                stop = -1
                 break
             k = close + 1
-        else:
-            k = at
-        if k == len(html):
-            self.spare -= len(html) - at
-        first = html.find(">", at)
-        return (first, first + 1) if first >= 0 else (len(html), len(html))
+        self.known.update(dict.fromkeys(way, stop))
+        if stop < 0:
+            stop = html.find(">", at)
+        return (stop, stop + 1) if stop >= 0 else (len(html), len(html))
 
 
 def told(attributes: str) -> tuple[str, bool]:
@@ -123,16 +130,17 @@ class Page:
     """The blocks of a page in order, furniture and empty ones left out, and the tree of their paths.
 
     A block is the node of its path, its container, its text, and the characters of link text in it. Containers are
-    numbered as they occur; `around` has the container around each, the page itself is 0.
+    numbered as they occur; `around` has the container around each, `of` its path; the page itself is 0.
     """
 
     paths: Paths
     blocks: list[tuple[int, int, str, int]]
     around: list[int]
+    of: list[int]
 
 
 def read(html: str) -> Page:
-    paths, around = Paths(), [0]
+    paths, around, of = Paths(), [0], [0]
     out: list[tuple[int, int, str, int]] = []
     stack: list[tuple[str, bool, int, int]] = []  # block element, whether it is furniture, node, container
     open_: dict[str, int] = {}
@@ -193,16 +201,48 @@ def read(html: str) -> Page:
             article = open_.get("article")
             own = tag not in ("html", "body", "main") and (own or tag in FURNITURE or (tag == "article" and bool(article)) or (tag == "header" and not (article or open_.get("main"))))
             node, container = stack[-1][2:] if stack else (0, 0)
+            path = paths.child(node, tag, label)
             if tag not in FLOW and tag not in ("html", "body"):
                 around.append(container)
+                of.append(path)
                 container = len(around) - 1
-            stack.append((tag, own, paths.child(node, tag, label), container))
+            stack.append((tag, own, path, container))
             open_[tag] = open_.get(tag, 0) + 1
             hidden += own
     if at < end and not hidden:
         parts.append(html[at:])
     flush()
-    return Page(paths, out, around)
+    return Page(paths, out, around, of)
+
+
+def remarks(page: Page, held: list[list[float]], own: dict[int, list[float]], where: dict[int, set[int]]) -> list[int]:
+    """For each container how many alike it is one of, if they are like readers' remarks, else 1; so are those inside it.
+
+    Remarks are at least REMARKS containers of one path in one container, with two blocks each at most, less text in each
+    than a block of some other path has, and less in all than that path.
+    """
+    alike: dict[tuple[int, int], list[int]] = {}
+    for c in range(1, len(held)):
+        if held[c][2]:
+            alike.setdefault((page.around[c], page.of[c]), []).append(c)
+    outer = [1] * len(held)
+    # Paths by the length of their blocks, and the largest of all that have longer ones.
+    sizes = sorted(((row[3] / row[2], row[3], node) for node, row in own.items()), reverse=True)
+    for group in alike.values():
+        number, chars = (sum(held[c][k] for c in group) for k in (2, 3))
+        if len(group) < REMARKS or number > 2 * len(group):
+            continue
+        inside = set(group)
+        for mean, total, node in sizes:
+            if mean <= chars / len(group):
+                break
+            if total > chars and not where[node] & inside:
+                for c in group:
+                    outer[c] = len(group)
+                break
+    for c in range(1, len(held)):  # a container comes after the one around it
+        outer[c] = max(outer[c], outer[page.around[c]])
+    return outer
 
 
 def scores(page: Page) -> dict[int, float]:
@@ -223,6 +263,7 @@ def scores(page: Page) -> dict[int, float]:
             for k, value in enumerate(held[container]):
                 held[up][k] += value
     whole = sum(row[3] for row in own.values())
+    many = remarks(page, held, own, where)
     out = {}
     for node, (length, marks, number, chars, linked) in own.items():
         # A container inside another of the same path is in it already.
@@ -231,7 +272,8 @@ def scores(page: Page) -> dict[int, float]:
         smooth = (length / number + all_length / all_number) / 2
         dense = (marks / number + all_marks / all_number) / 2
         link = linked / chars
-        out[node] = (smooth * (1 + dense) * all_chars / whole) ** (1 / 3) * (1 - 0.9 * link if link > 0.5 else 1) * (ARTICLE if page.paths.inside[node] else 1)
+        part = all_chars / whole / min(many[c] for c in outer)
+        out[node] = (smooth * (1 + dense) * part) ** (1 / 3) * (1 - 0.9 * link if link > 0.5 else 1) * (ARTICLE if page.paths.inside[node] else 1)
     return out
 
 

@@ -38,6 +38,60 @@ def test_quoted_values_of_any_length():
         assert main_text("<p>Before.</p><p><span data-x=\"" + "a" * n + " > LEAKED junk\">Inside, too.</span></p>") == "Before. Inside, too."
 
 
+def test_quotes_of_any_number():
+    """Many open and odd quotes before an article don't change how its own tags end."""
+    for n in (0, 10, 40, 41, 4000):
+        page = '<b ">"' * n + "'" + "<article><p>The text, <span data-q=\"b > LEAK2\">ok</span> to the end.</p></article>"
+        assert main_text(page).endswith("The text, ok to the end."), n
+    for quotes in ("'\"" * 1000, "\"'" * 999 + "'", '"' * 2001):
+        assert main_text("<p>a</p><p " + quotes + ">b</p><p title='x > y'>c</p>").endswith("c")
+
+
+def test_tags_end_as_they_do_one_by_one():
+    """The kept ends are those that a reader finds who walks from each tag anew."""
+    import random
+
+    from tessera.llm.extract import Tags
+
+    def walked(html, at):
+        k, quote = at, ""
+        while k < len(html):
+            if quote:
+                quote = "" if html[k] == quote else quote
+            elif html[k] == ">":
+                return k, k + 1
+            elif html[k] in "\"'":
+                quote = html[k]
+            k += 1
+        first = html.find(">", at)
+        return (first, first + 1) if first >= 0 else (len(html), len(html))
+
+    r = random.Random(5)
+    for _ in range(3000):
+        html = "".join(r.choice("ab >>\"\"''") for _ in range(r.randrange(40)))
+        tags, at = Tags(html), 0
+        while at < len(html):
+            assert tags.end(at) == walked(html, at), (html, at)
+            at += r.randrange(1, 6)
+
+
+def test_remarks_of_readers():
+    """Short containers alike are remarks, within the article, beside it, and where there is none; equal ones that hold the text are not."""
+    story = "".join(f"<p>{prose(3, k)}</p>" for k in range(6))
+    want = " ".join(["Head", *[prose(3, k) for k in range(6)]])
+    short = "".join(f"<div class=r><p>I think that number {k} is right.</p></div>" for k in range(6))
+    named = "".join(f"<div class=r><b>Ann</b><p>I think that number {k} is right.</p></div>" for k in range(6))
+    for remarks in (short, named):
+        assert main_text(f"<body><article><h1>Head</h1>{story}{remarks}</article></body>") == want
+        assert main_text(f"<body><main><article><h1>Head</h1>{story}</article><section>{remarks}</section></main></body>") == want
+        assert main_text(f"<body><main><h1>Head</h1>{story}<section><h2>Remarks</h2>{remarks}</section></main></body>").startswith(want) and "number 3" not in main_text(f"<body><main><h1>Head</h1>{story}<section>{remarks}</section></main></body>")
+        assert main_text(f"<body><div class=story><h1>Head</h1>{story}</div><section class=comments>{remarks}</section></body>") == want
+    sections = "".join(f"<section><h2>Part {k}</h2><p>{prose(3, k)}</p><p>{prose(2, k)}</p></section>" for k in range(9))
+    assert all(prose(3, k) in main_text(f"<body><article><h1>Head</h1><p>{prose(4)}</p>{sections}</article></body>") for k in range(9))
+    wrapped = "".join(f"<div class=p><p>{prose(1 + k % 3, k)}</p></div>" for k in range(12))
+    assert main_text(f"<body><div><h1>Head</h1>{wrapped}</div></body>").endswith(" ".join(prose(1 + k % 3, k) for k in range(12)))
+
+
 def test_time_is_in_proportion():
     """Pages of a megabyte made to stall a reader; each takes about a second at most."""
     for page in ("<div>x" * 100_000, '<a "' * 200_000, "<p title='" * 100_000, "<p>x" * 100_000 + "</div>" * 100_000, "<" * 10**6, "<!--" * 200_000, "<script>x" * 100_000, "&" * 10**6, "<b class=" * 100_000, "<div class='a" * 60_000, "<div><p>" * 60_000 + "</p>" * 60_000):
