@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -50,25 +50,48 @@ def rule_of(host: Column, path: Column, rules) -> Column:
 
 
 def parts_of(path: Column) -> Column:
-    """A path's segments with digits and long hexadecimal names as wildcards."""
+    """A path's segments with digits and long hexadecimal names as wildcards.
+
+    A backslash stands before what a segment itself has of the marks of wildcards, so that no segment reads like one.
+    """
     names = F.split(F.regexp_replace(path, "^/", ""), "/")
-    return F.transform(names, lambda s: F.when(s.rlike("^[0-9a-f-]{16,}$"), F.lit("{h}")).otherwise(F.regexp_replace(s, "[0-9]+", "{n}")))
+    marked = lambda s: F.regexp_replace(s, r"([\\*{}])", r"\\$1")
+    return F.transform(names, lambda s: F.when(s.rlike("^[0-9a-f-]{16,}$"), F.lit("{h}")).otherwise(F.regexp_replace(marked(s), "[0-9]+", "{n}")))
+
+
+def alike(s: Settings) -> Column:
+    """Whether a child's share (a of l) is within s.z standard errors of that of its node (all_a of all_l), or it has no labels."""
+    d = lambda c: F.col(c).cast("double")
+    gap = d("a") * d("all_l") - d("all_a") * d("l")
+    return (F.col("l") == 0) | (gap * gap <= F.lit(s.z * s.z) * d("all_a") * (d("all_l") - d("all_a")) * d("l"))
 
 
-def branched(tree: DataFrame) -> DataFrame:
-    """Each template followed down to where its node branches: `node` and `level` grow by the segments that all of them share.
+def branched(tree: DataFrame, s: Settings) -> DataFrame:
+    """Each template followed down to where its node branches: `node` and `level` grow by the segments up to there.
 
-    The least and the greatest of a node's rests share no more than all of them do. `own` is the segment at the branching,
-    null where a path ends; `alone` marks nodes of one template, which are at their end.
+    A node branches where two of its paths differ; up to there each path is a beginning of the longest one, and ends in
+    between (`alone`) or goes on. Where some end, the one child that goes on is a wildcard or not by its share, as it would
+    be among siblings; all such places of a node are decided at once. `own` is the segment at the branching, null where a
+    path ends there.
     """
-    rest = F.slice("parts", F.col("level") + 1, F.size("parts"))
-    ends = tree.groupBy("node").agg(F.min(rest).alias("least"), F.max(rest).alias("most"))
-    differs = F.array_position(F.zip_with("least", "most", lambda x, y: F.coalesce(x == y, F.lit(False))), False)
-    same = F.when(differs == 0, F.size("least")).otherwise(differs - 1).cast("int")
-    ends = ends.select(F.col("node").alias("_node"), same.alias("same"), (F.col("least") == F.col("most")).alias("alone"))
-    found = tree.join(ends, F.col("node") == F.col("_node"))
-    down = F.concat_ws("/", F.col("node"), F.slice("parts", F.col("level") + 1, F.col("same")))
-    found = found.select("host", "parts", "n", "allow", "labelled", "alone", down.alias("node"), (F.col("level") + F.col("same")).alias("level"))
+    size = F.size("parts")
+    longest = tree.groupBy("node").agg(F.max_by("parts", F.struct(size, "parts")).alias("longest"), F.sum("allow").alias("whole_a"), F.sum("labelled").alias("whole_l"))
+    found = tree.join(longest.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node")).drop("_node")
+    rest = lambda c: F.slice(c, F.col("level") + 1, size - F.col("level"))  # noqa: E731  (segments before are merged ones)
+    differs = F.array_position(F.zip_with(rest("parts"), rest("longest"), lambda x, y: x == y), False)
+    cut = found.groupBy("node").agg(F.min(F.when(differs > 0, F.col("level") + differs - 1)).cast("int").alias("cut"))
+    found = found.join(cut.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node")).drop("_node")
+    found = found.withColumn("cut", F.coalesce("cut", F.size("longest") + 1)).withColumn("alone", size < F.col("cut"))
+    before = Window.partitionBy("node").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    sums = [F.sum("allow").alias("end_a"), F.sum("labelled").alias("end_l"), F.first("whole_a").alias("whole_a"), F.first("whole_l").alias("whole_l"), F.first(F.size("longest")).alias("deepest")]
+    ends = found.where("alone").groupBy("node", size.alias("at")).agg(*sums)
+    left = lambda c: F.col(f"whole_{c}") - F.coalesce(F.sum(f"end_{c}").over(before), F.lit(0))
+    ends = ends.withColumns({"all_a": left("a"), "all_l": left("l")}).withColumns({"a": F.col("all_a") - F.col("end_a"), "l": F.col("all_l") - F.col("end_l")})
+    stars = ends.where((F.col("at") < F.col("deepest")) & alike(s)).groupBy(F.col("node").alias("_node")).agg(F.collect_list("at").alias("stars"))
+    found = found.join(stars, F.col("node") == F.col("_node"), "left")
+    passed = F.slice("parts", F.col("level") + 1, F.least(size, F.col("cut")) - F.col("level"))
+    names = F.transform(passed, lambda x, i: F.when(F.coalesce(F.array_contains("stars", F.col("level") + i), F.lit(False)), F.lit("*")).otherwise(x))
+    found = found.select("host", "parts", "n", "allow", "labelled", "alone", F.concat_ws("/", "node", names).alias("node"), F.col("cut").alias("level"))
     return found.withColumn("own", F.try_element_at("parts", F.col("level") + 1))
 
 
@@ -77,10 +100,7 @@ def merged(tree: DataFrame, s: Settings) -> DataFrame:
     child = tree.groupBy("node", "own").agg(F.sum("n").alias("n"), F.sum("allow").alias("a"), F.sum("labelled").alias("l"))
     total = child.groupBy("node").agg(F.sum("a").alias("all_a"), F.sum("l").alias("all_l"))
     child = child.join(total, "node")
-    d = lambda c: F.col(c).cast("double")
-    gap = d("a") * d("all_l") - d("all_a") * d("l")
-    alike = gap * gap <= F.lit(s.z * s.z) * d("all_a") * (d("all_l") - d("all_a")) * d("l")
-    name = F.when((F.col("l") == 0) | alike, F.lit("*")).otherwise(F.col("own"))
+    name = F.when(alike(s), F.lit("*")).otherwise(F.col("own"))
     step = child.where("own IS NOT NULL").select(F.col("node").alias("_node"), F.col("own").alias("_own"), name.alias("name"))
     joined = tree.join(step, (F.col("node") == F.col("_node")) & (F.col("own") == F.col("_own")), "left")
     done = F.col("own").isNull()
@@ -91,13 +111,13 @@ def templates(count: DataFrame, scratch: Scratch, s: Settings) -> DataFrame:
     """The node of every distinct path of a host: host, parts, n, allow, labelled, node.
 
     Each round takes every open node one branching further, so that rounds are as many as branchings follow each other on
-    a path, however long it is; paths that are at their end wait in tables of their own.
+    a path, however long it is and however many paths end along it; paths that are at their end wait in tables of their own.
     """
     columns = ["host", "parts", "n", "allow", "labelled", "node"]
     tree = scratch.save(count.withColumn("node", F.concat(F.col("host"), F.lit(":"))).withColumn("level", F.lit(0)), "open0")
     ended, k = [], 0
     while not tree.isEmpty():
-        down = scratch.save(branched(tree), f"down{k}")
+        down = scratch.save(branched(tree, s), f"down{k}")
         step = scratch.save(merged(down.where("NOT alone"), s), f"step{k}")
         ended += [down.where("alone").select(columns), step.where("done").select(columns)]
         scratch.drop(f"open{k}")
@@ -154,7 +174,7 @@ def oracle(rules=RULES, settings: Settings | None = None) -> str:
         WITH RECURSIVE cut AS (SELECT page_id, CASE WHEN coalesce(instr(url, '://'), 0) > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
         named AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
         seen AS (SELECT *, {rule} AS rule, list_transform(string_split(regexp_replace(path, '^/', ''), '/'),
-            lambda x: CASE WHEN regexp_matches(x, '^[0-9a-f-]{{16,}}$') THEN '{{h}}' ELSE regexp_replace(x, '[0-9]+', '{{n}}', 'g') END) AS parts FROM named),
+            lambda x: CASE WHEN regexp_matches(x, '^[0-9a-f-]{{16,}}$') THEN '{{h}}' ELSE regexp_replace(regexp_replace(x, '([\\*{{}}])', '\\\\\\1', 'g'), '[0-9]+', '{{n}}', 'g') END) AS parts FROM named),
         depth AS (SELECT coalesce(max(len(parts)), 0) AS most FROM seen),
         levels AS (
             SELECT 0 AS level, host, parts, count(*)::DOUBLE AS n, count(*) FILTER (rule IS NOT NULL AND rule NOT IN ({blocked}))::DOUBLE AS allow, count(rule)::DOUBLE AS labelled, host || ':' AS node FROM seen GROUP BY host, parts

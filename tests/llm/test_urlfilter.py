@@ -100,3 +100,30 @@ def test_op6_is_its_sql(spark, sf):
     want = db.execute(f"SELECT page_id, host, path, rule, verdict, template FROM ({oracle()})").fetchall()
     got = [tuple(r[c] for c in ("page_id", "host", "path", "rule", "verdict", "template")) for r in op6(spark, folder).collect()]
     assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_literal_marks_are_no_wildcards(spark):
+    """A segment that reads like a wildcard is a segment; merged branches don't join it."""
+    rules = [("block", "x.com/*/"), ("allow", "x.com/ok/"), ("block", "y.com/{n}/"), ("allow", "y.com/ok/"), ("block", "z.com/{h}/")]
+    urls = [f"http://{h}.com/{m}/p{i}" for h, m in (("x", "*"), ("y", "{n}"), ("z", "{h}")) for i in range(40)] + [f"http://{h}.com/ok/p{i}" for h in "xyz" for i in range(40)]
+    urls += [f"http://x.com/{chr(97 + i)}z/q" for i in range(26)] + [f"http://y.com/{i}/q" for i in range(26)] + [f"http://z.com/0123456789abcdef{i:02d}/q" for i in range(26)] + ["http://x.com/\\*/a", "http://x.com/a\\/b}"]
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    found = filtered(rows, rules).collect()
+    against_sql(rows, found, rules)
+    by = {r["page_id"]: r for r in found}
+    assert {by[k]["verdict"] for k in range(240, 266)} == {"allow"} and by[240]["template"].startswith("x.com:/*/") and by[0]["template"] == "x.com:/\\*/p{n}"
+    assert by[40]["template"] == "y.com:/\\{n\\}/p{n}" and not by[266]["template"].startswith("y.com:/\\{")
+
+
+def test_paths_that_end_along_a_deep_one(spark):
+    """One path a level, with labels that change along the way, is its SQL; hundreds of levels take as few rounds as ten."""
+    import time
+
+    deep = lambda n: "/".join(["a"] * n)
+    rules = [("block", f"t.com/{deep(9)}/"), ("allow", "t.com/"), ("block", "u.com/b"), ("allow", "u.com/a/a/a/a")]
+    urls = [f"http://t.com/{deep(n)}" for n in range(1, 16) for _ in range(1 + n % 3)] + [f"http://u.com/{x}/{deep(n)}/{y}" for n in range(1, 9) for x in "ab" for y in ("", "end", "b")] + ["http://u.com/" + deep(5), "http://t.com", "http://t.com/"]
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    against_sql(rows, filtered(rows, rules).collect(), rules)
+    begin = time.monotonic()
+    found = run(spark, [f"http://t.com/{deep(n)}" for n in range(1, 501)], [("block", f"t.com/{deep(400)}/"), ("allow", "t.com/a")])
+    assert time.monotonic() - begin < 60 and found[450]["verdict"] == "block" and found[399]["verdict"] == "allow"
