@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -55,6 +57,62 @@ def test_gate_memory_laws():
     assert np.allclose(mix.remembered(same, mix.Gate(), commons=1, prior=0.9)[0][-1][1], 0.9)
 
 
+def test_gate_memory_step_by_step():
+    """The fold against one written out for a single token at a time, with and without a commons, in every setting."""
+
+    def step(weight, credit, row, gate, commons):
+        n = len(weight)
+        if commons is None:
+            said = [min(max(x, gate.floor), gate.ceiling) for x in row]
+            short = [math.log(gate.ceiling / x) / math.log(gate.ceiling / gate.floor) for x in said]
+            good = [1 - x for x in short]
+        else:
+            most = gate.ceiling / gate.floor
+            said = [1.0 if t == commons else min(max(x / max(row[commons], 1e-12), 1 / most), most) for t, x in enumerate(row)]
+            good, short = [max(0, math.log(x) / math.log(most)) for x in said], [max(0, -math.log(x) / math.log(most)) for x in said]
+        credit = [(1 - gate.credibility_rate) * c + gate.credibility_rate * g for c, g in zip(credit, good, strict=True)]
+        power = max(c for t, c in enumerate(credit) if t != commons) if gate.credibility else 1
+        new = [w * x**power for w, x in zip(weight, said, strict=True)]
+        new = [x / sum(new) for x in new]
+        if not gate.variable:
+            return [(1 - gate.share_rate) * x + gate.share_rate / n for x in new], credit
+        out = [x * (1 - (1 - gate.share_rate) ** f) for x, f in zip(new, short, strict=True)]
+        return [x - o + (sum(out) - o) / (n - 1) for x, o in zip(new, out, strict=True)], credit
+
+    random = np.random.RandomState(4)
+    p = random.choice([0.0, 1e-5, 0.02, 0.3, 0.5, 0.9], (60, 4)) * random.rand(60, 4)
+    for commons in (None, 2):
+        for gate in (mix.Gate(), mix.Gate(variable=False), mix.Gate(credibility=False), mix.Gate(floor=0.1, ceiling=0.11)):
+            memory, credible = mix.remembered(p, gate, commons, 0.8)
+            weight = [0.25] * 4 if commons is None else [0.2 / 3, 0.2 / 3, 0.8, 0.2 / 3]
+            credit = [0.0] * 4
+            for k, row in enumerate(p.tolist()):
+                weight, credit = step(weight, credit, row, gate, commons)
+                assert np.allclose(memory[k], weight) and np.allclose(credible[k], credit)
+    halves = mix.Memory(4, mix.Gate())
+    parts = [halves.read(p[:17]), halves.read(p[17:])]
+    assert np.allclose(np.vstack([x[0] for x in parts]), mix.remembered(p, mix.Gate())[0])
+
+
+def test_gate_memory_of_long_texts(spark):
+    """A text over many batches is one fold, silent strands give 0, texts don't touch each other."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        random = np.random.RandomState(5)
+        rows = [(t, k, s, float(random.rand())) for t in ("long", "b", "c") for k in range(40 if t == "long" else 3) for s in "xyz" if (t, s) != ("c", "y") and (k + ord(s)) % 5]
+        df = spark.createDataFrame(rows, "text string, position long, strand string, p double").repartition(5)
+        got = {(r["text"], r["position"], r["strand"]): r["memory"] for r in mix.gate_memory(df, "text", mix.Gate(), "x").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for t in ("long", "b", "c"):
+        names, given = sorted({s for x, _, s, _ in rows if x == t}), {(k, s): p for x, k, s, p in rows if x == t}
+        at = sorted({k for k, _ in given})
+        memory, _ = mix.remembered(np.array([[given.get((k, s), 0.0) for s in names] for k in at]), mix.Gate(), names.index("x"))
+        want |= {(t, k, s): memory[i][j] for i, k in enumerate(at) for j, s in enumerate(names)}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
 def neighbours(spark, rows):
     return spark.createDataFrame([(1, k, 10 + k, rank, 0.95 - 0.01 * rank, weight, True, row, offset, 0.0) for k, rank, weight, row, offset in rows], "gen long, k long, token long, rank int, score double, weight double, matches boolean, row long, offset long, loss double")
 
