@@ -7,11 +7,14 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions.runs import longest_common
 from tessera.functions.text import sha256, words
 from tessera.operators.bounds import few
 
@@ -180,17 +183,40 @@ def word_overlap(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.select("*", F.size(wa).alias("words_a"), F.size(wb).alias("words_b"), F.when(either > 0, both / either).otherwise(0.0).alias("jaccard"))
 
 
+#: Words of the pairs that one step of `longest_common_run` takes at once; longer pairs go alone.
+RUN_WORDS = 200_000
+
+
 def longest_common_run(pairs: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
-    """The most words in a row that two texts share.
+    """The most words in a row that two texts share: keys, run; pairs that share none, or lack a text, have no row.
 
-    Equal words meet on their diagonal; a run is an island of consecutive positions there.
+    A pair is a row and stays where it is. Runs are told apart by ranks whose lengths double, so that texts of one word
+    repeated take no longer than others.
     """
-    left = pairs.select(*keys, F.posexplode(words(F.col(a))).alias("i", "w"))
-    right = pairs.select(*keys, F.posexplode(words(F.col(b))).alias("j", "w"))
-    met = left.join(right, [*keys, "w"]).select(*keys, "i", (F.col("i") - F.col("j")).alias("d"))
-    line = Window.partitionBy(*keys, "d").orderBy("i")
-    runs = met.withColumn("_island", F.col("i") - F.row_number().over(line)).groupBy(*keys, "d", "_island").agg(F.count(F.lit(1)).alias("n"))
-    return runs.groupBy(*keys).agg(F.max("n").alias("run"))
+    rows = pairs.select(*keys, words(F.col(a)).alias("_a"), words(F.col(b)).alias("_b")).where("size(_a) > 0 AND size(_b) > 0")
+    schema = T.StructType([*rows.select(*keys).schema.fields, T.StructField("run", T.LongType())])
+
+    def measured(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sides = [batch.column(c) for c in ("_a", "_b")]
+        sizes = np.stack([pc.list_value_length(s).to_numpy() for s in sides], 1)
+        flat = pa.concat_arrays([s.flatten() for s in sides])
+        tokens = flat.dictionary_encode().indices.to_numpy()
+        pair = np.concatenate([np.repeat(np.arange(len(sizes)), sizes[:, k]) for k in (0, 1)])
+        left = np.concatenate([np.arange(n, 0, -1) for k in (0, 1) for n in sizes[:, k]])
+        run = longest_common(tokens, pair, np.repeat([False, True], sizes.sum(0)), left, len(sizes))
+        found = batch.select(keys).append_column("run", pa.array(run))
+        return found.filter(pa.array(run > 0))
+
+    def go(batches):
+        for batch in batches:
+            total = np.cumsum(sum(pc.list_value_length(batch.column(c)).to_numpy() for c in ("_a", "_b")))
+            start = 0
+            while start < batch.num_rows:
+                end = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + RUN_WORDS, "right")))
+                yield measured(batch.slice(start, end - start))
+                start = end
+
+    return rows.mapInArrow(go, schema)
 
 
 def crossed(links: DataFrame, facts: DataFrame, docs: DataFrame, per_link: int) -> DataFrame:
