@@ -6,9 +6,12 @@ retrieved entry whose value sits at (row, offset) of the partition table (row, d
 
 from __future__ import annotations
 
-import pandas as pd
+from bisect import bisect_right
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.scores import confidence
 from tessera.functions.text import role, sentence_ended, sha256, starts_word
@@ -39,27 +42,59 @@ def chains(neighbours: DataFrame, parts: DataFrame, gen: str = "gen", rank: int
     return runs.where(F.col("length") >= least).drop("_d", "_island")
 
 
+class Chosen:
+    """Spans of a generation, chosen longest first. What comes is no longer than what is chosen, so that it overlaps two of
+    these at most: the last that begins no later, and the next one."""
+
+    def __init__(self, most: int):
+        self.most, self.starts, self.order, self.rows = most, [], [], []
+
+    def add(self, start: int, length: int, row: int, offset: int, weight: float) -> None:
+        at = bisect_right(self.starts, start)
+        near = [k for k in self.order[max(at - 1, 0) : at + 1] if start < self.rows[k][0] + self.rows[k][1] and self.rows[k][0] < start + length]
+        if not near:
+            self.starts.insert(at, start)
+            self.order.insert(at, len(self.rows))
+            self.rows.append((start, length, row, offset, weight, []))
+        elif len(others := self.rows[min(near)][5]) < self.most:
+            others.append(row)
+
+    def placed(self) -> list[tuple]:
+        return [(i, *self.rows[k]) for i, k in enumerate(self.order)]
+
+
 def spans(found: DataFrame, parts: DataFrame, gen: str = "gen", most: int = 5) -> DataFrame:
     """Chains chosen greedily without overlap: longest, heaviest, then by place; up to `most` others that overlap are alternatives.
 
-    A chain goes with the first chosen one it overlaps. Each generation is folded on its own; its chains are few.
+    A chain goes with the first chosen one it overlaps. Chains lie in partitions in the order of choice and are read through
+    batch by batch: a task holds a batch and what is chosen of one generation.
     """
-    placed = found.join(parts.select("row", "document_id", "partition_index"), "row")
-
-    def run(key, pdf):
-        pdf = pdf.sort_values(["length", "weight", "document_id", "partition_index", "offset"], ascending=[False, False, True, True, True])
-        chosen: list[dict] = []
-        for c in pdf.itertuples(index=False):
-            owner = next((s for s in chosen if c.start < s["start"] + s["length"] and s["start"] < c.start + c.length), None)
-            if owner is None:
-                chosen.append({gen: key[0], "start": c.start, "length": c.length, "row": c.row, "offset": c.offset, "weight": c.weight, "alternatives": []})
-            elif len(owner["alternatives"]) < most:
-                owner["alternatives"].append(int(c.row))
-        chosen.sort(key=lambda s: s["start"])
-        return pd.DataFrame([{**s, "span": i} for i, s in enumerate(chosen)], columns=[gen, "span", "start", "length", "row", "offset", "weight", "alternatives"])
-
-    kind = found.schema[gen].dataType.simpleString()
-    return placed.groupBy(gen).applyInPandas(run, f"`{gen}` {kind}, span int, start long, length long, row long, offset long, weight double, alternatives array<long>")
+    placed = found.join(parts.select("row", "document_id", "partition_index"), "row").where(F.col(gen).isNotNull())
+    order = [F.desc("length"), F.desc("weight"), "document_id", "partition_index", "offset"]
+    rows = placed.repartition(gen).sortWithinPartitions(gen, *order).select(F.col(gen).alias("gen"), *[F.col(c).cast("long") for c in ("start", "length", "row", "offset")], F.col("weight").cast("double"))
+    long_ = T.LongType()
+    schema = T.StructType([T.StructField(gen, found.schema[gen].dataType), T.StructField("span", T.IntegerType()), *[T.StructField(c, long_) for c in ("start", "length", "row", "offset")], T.StructField("weight", T.DoubleType()), T.StructField("alternatives", T.ArrayType(long_))])
+
+    def run(batches):
+        now, chosen, kind = None, None, None
+
+        def told() -> pa.RecordBatch:
+            columns = list(zip(*chosen.placed(), strict=True))
+            kinds = [pa.int32(), *[pa.int64()] * 4, pa.float64(), pa.list_(pa.int64())]
+            return pa.RecordBatch.from_arrays([pa.array([now] * len(columns[0]), kind), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=schema.names)
+
+        for batch in batches:
+            kind = batch.column("gen").type
+            for key, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if chosen is None or key != now:
+                    if chosen:
+                        yield told()
+                    now, chosen = key, Chosen(most)
+                chosen.add(*row)
+        if chosen:
+            yield told()
+
+    return rows.mapInArrow(run, schema)
 
 
 def span_confidence(chosen: DataFrame, cited: DataFrame, gen: str = "gen") -> DataFrame:

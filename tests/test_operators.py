@@ -57,6 +57,33 @@ def test_gate_memory_laws():
     assert np.allclose(mix.remembered(same, mix.Gate(), commons=1, prior=0.9)[0][-1][1], 0.9)
 
 
+def test_spans_of_a_long_text(spark):
+    """Thousands of chains of one generation, over many batches, as a scan of all that is chosen chooses them."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        r = np.random.RandomState(6)
+        rows = [(g, int(r.randint(3000)), int(r.randint(3, 40)), int(r.randint(9)), int(r.randint(500)), float(r.choice([0.1, 0.2, 0.7]))) for g in (1, 1, 1, 2) for _ in range(700)]
+        rows = sorted({x[:5]: x for x in rows}.values())
+        parts = spark.createDataFrame([(k, f"d{k % 4}", k) for k in range(9)], "row long, document_id string, partition_index int")
+        df = spark.createDataFrame(rows, "gen long, start long, length long, row long, offset long, weight double")
+        got = {(x["gen"], x["span"]): (x["start"], x["length"], x["row"], x["offset"], x["alternatives"]) for x in cite.spans(df, parts).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for g in (1, 2):
+        chosen = []
+        for _, start, length, row, offset, _ in sorted((x for x in rows if x[0] == g), key=lambda x: (-x[2], -x[5], f"d{x[3] % 4}", x[3], x[4])):
+            owner = next((c for c in chosen if start < c[0] + c[1] and c[0] < start + length), None)
+            if owner is None:
+                chosen.append((start, length, row, offset, []))
+            elif len(owner[4]) < 5:
+                owner[4].append(row)
+        want |= {(g, i): c for i, c in enumerate(sorted(chosen))}
+    assert got.keys() == want.keys() and all(got[k][:2] == want[k][:2] for k in want)
+    settled = [k for k in want if sum(x[0] == k[0] and (x[2], x[5], x[3], x[4]) == (want[k][1], 0, want[k][2], want[k][3]) for x in rows) <= 1]
+    assert all(got[k] == want[k] for k in settled) and len(settled) > 100
+
+
 def test_gate_memory_step_by_step():
     """The fold against one written out for a single token at a time, with and without a commons, in every setting."""
 
