@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 from tessera.functions.scores import cosine, unit
 from tessera.functions.text import ngram_key, token_id, words
 from tessera.operators.bounds import few
+from tessera.sources.scratch import Scratch
 
 
 #: Queries that `neighbours` takes along at once, about; more go in several blocks.
@@ -121,60 +123,69 @@ def neighbours(queries: DataFrame, entries: DataFrame, k: int, query: str = "que
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def blocked_neighbours(queries: DataFrame, entries: DataFrame, k: int, block: int = 4096, digits: int = 6) -> DataFrame:
+#: Entries of a cell: what one product of matrices takes of them.
+CELL = 2048
+PACKED = T.StructType([T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("groups", T.ArrayType(T.LongType())), T.StructField("vectors", T.BinaryType()), T.StructField("strand", T.StringType())])
+
+
+def packed(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """Up to `size` vectors a row, those of one strand if there is such a column: ids, groups (-1 for none), vectors, strand."""
+    named = "strand" in rows.columns
+
+    def run(batches):
+        for batch in batches:
+            strands = np.array(batch.column("strand").to_pylist() if named else [""] * batch.num_rows, object)
+            for name in sorted(set(strands)):
+                own = batch.filter(pa.array(strands == name))
+                for k in range(0, own.num_rows, size):
+                    part = own.slice(k, size)
+                    vectors = part.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                    lists = [pa.array([part.column(key).to_pylist()], pa.list_(pa.int64())), pa.array([pc.fill_null(part.column("grp"), -1).to_pylist()], pa.list_(pa.int64()))]
+                    yield pa.RecordBatch.from_arrays([*lists, pa.array([vectors.tobytes()], pa.binary()), pa.array([name], pa.string())], names=PACKED.names)
+
+    return rows.select(F.col(key).cast("long"), "vector", F.col("grp").cast("long"), *(["strand"] if named else [])).mapInArrow(run, PACKED)
+
+
+def nearest_in_cell(ids: np.ndarray, q: np.ndarray, own: np.ndarray, entry: np.ndarray, e: np.ndarray, group: np.ndarray, k: int, digits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each query the best k entries of a cell: query, entry, score."""
+    size, own_size = np.sqrt((e * e).sum(1)), np.sqrt((q * q).sum(1))
+    score = np.round((q @ e.T) / np.outer(np.where(own_size > 0, own_size, np.inf), np.where(size > 0, size, np.inf)), digits)
+    score[(own[:, None] == group[None, :]) & (own[:, None] >= 0)] = -np.inf
+    least = np.partition(score, len(entry) - min(k, len(entry)), axis=1)[:, len(entry) - min(k, len(entry))]
+    row, column = np.nonzero((score >= least[:, None]) & np.isfinite(score))
+    found = score[row, column]
+    order = np.lexsort((entry[column], -found, row))
+    row, column, found = row[order], column[order], found[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return ids[row[kept]], entry[column[kept]], found[kept]
+
+
+def blocked_neighbours(queries: DataFrame, entries: DataFrame, k: int, block: int = 1024, digits: int = 6) -> DataFrame:
     """`neighbours` for many queries: (query, vector, grp) against (entry, vector, grp), leaving a query's own group out if not null.
 
-    Queries are cut into blocks of bounded size that travel to every part of the entries; each part multiplies matrices and
-    returns its best k of every query, so what meets in the ranking is k rows per query and part. Entries with a `strand`
-    column are ranked within each strand: every node answers for itself, in one pass.
+    Queries are packed into blocks and entries into cells, a row each; every block meets every cell, where a product of
+    matrices leaves the block's best k of the cell, so that what is ranked is k rows a query and cell. Blocks travel to the
+    cells while they are small, else both are dealt out; nothing passes through the driver. Entries with a `strand` column
+    are ranked within each strand: every node answers for itself, in one pass.
     """
-    spark, strands = queries.sparkSession, "strand" in entries.columns
+    strands = "strand" in entries.columns
     schema = T.StructType([T.StructField("query", T.LongType()), T.StructField("entry", T.LongType()), T.StructField("score", T.DoubleType()), *([T.StructField("strand", T.StringType())] if strands else [])])
-
-    def matrix(values: pa.Array) -> np.ndarray:
-        return values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(values), -1)
-
-    def best(shared, batch) -> list:
-        ids, q, own = shared
-        e, entry = matrix(batch.column("vector")), batch.column("entry").to_numpy(zero_copy_only=False)
-        group = np.array([(-1 if g is None else g) for g in batch.column("grp").to_pylist()], np.int64)
-        size, own_size = np.sqrt((e * e).sum(1)), np.sqrt((q * q).sum(1))
-        score = np.round((q @ e.T) / np.outer(np.where(own_size > 0, own_size, np.inf), np.where(size > 0, size, np.inf)), digits)
-        score[(own[:, None] == group[None, :]) & (own[:, None] >= 0)] = -np.inf
-        order = np.lexsort((np.broadcast_to(entry, score.shape), -score), axis=1)[:, :k]
-        kept = np.take_along_axis(score, order, 1)
-        ok = np.isfinite(kept)
-        return [pa.array(np.repeat(ids, ok.sum(1))), pa.array(entry[order[ok]]), pa.array(kept[ok])]
-
-    def scorer(shared):
-        def run(batches):
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                if not strands:
-                    yield pa.RecordBatch.from_arrays(best(shared.value, batch), names=schema.names)
-                    continue
-                names = np.array(batch.column("strand").to_pylist(), object)
-                for name in sorted(set(names)):
-                    found = best(shared.value, batch.filter(pa.array(names == name)))
-                    yield pa.RecordBatch.from_arrays([*found, pa.array([name] * len(found[0]), pa.string())], names=schema.names)
-
-        return run
-
-    found, last = None, None
-    while True:  # one pass over the entries for each block of queries
-        rest = queries if last is None else queries.where(F.col("query") > last)
-        part = rest.select("query", "vector", "grp").orderBy("query").limit(block).collect()
-        if not part:
-            break
-        last = part[-1]["query"]
-        shared = spark.sparkContext.broadcast((np.array([r["query"] for r in part]), np.array([r["vector"] for r in part], float), np.array([-1 if r["grp"] is None else r["grp"] for r in part])))
-        now = entries.select("entry", "vector", "grp", *(["strand"] if strands else [])).mapInArrow(scorer(shared), schema)
-        found = now if found is None else found.unionByName(now)
-        if len(part) < block:
-            break
-    if found is None:
-        found = spark.createDataFrame([], schema)
+    asked = queries.select("query", "vector", "grp").repartition(max(1, -(-queries.count() // block)))
+    asked = Scratch(queries.sparkSession, "queries").save(packed(asked, "query", block), "blocks")
+    cells = packed(entries.select("entry", "vector", "grp", *(["strand"] if strands else [])), "entry", CELL)
+    met = cells.crossJoin(asked.select(F.col("ids").alias("q_ids"), F.col("groups").alias("q_groups"), F.col("vectors").alias("q_vectors")))
+
+    def run(batches):
+        for batch in batches:
+            lists = [[np.array(x.values) for x in batch.column(c)] for c in ("q_ids", "q_groups", "ids", "groups")]
+            flat = [[np.frombuffer(x.as_buffer(), np.float64) for x in batch.column(c)] for c in ("q_vectors", "vectors")]
+            for i, (ids, own, entry, group) in enumerate(zip(*lists, strict=True)):
+                q, e = flat[0][i].reshape(len(ids), -1), flat[1][i].reshape(len(entry), -1)
+                found = nearest_in_cell(ids, q, own, entry, e, group, k, digits)
+                named = [pa.array([batch.column("strand")[i].as_py()] * len(found[0]), pa.string())] if strands else []
+                yield pa.RecordBatch.from_arrays([*[pa.array(x) for x in found], *named], names=schema.names)
+
+    found = met.mapInArrow(run, schema)
     w = Window.partitionBy("query", *(["strand"] if strands else [])).orderBy(F.desc("score"), "entry")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

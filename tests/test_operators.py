@@ -57,6 +57,27 @@ def test_gate_memory_laws():
     assert np.allclose(mix.remembered(same, mix.Gate(), commons=1, prior=0.9)[0][-1][1], 0.9)
 
 
+def test_neighbours_stay_off_the_driver(spark, monkeypatch):
+    """Blocks and cells of any size give the same rows, in a plan whose products meet no collected query."""
+    r = np.random.RandomState(12)
+    e = spark.createDataFrame([(i, r.randint(-2, 3, 4).astype(float).tolist(), int(i % 3)) for i in range(150)], "entry long, vector array<double>, grp long")
+    q = e.where("entry % 3 = 1").select(F.col("entry").alias("query"), "vector", "grp")
+    key = lambda df: sorted(tuple(x) for x in df.collect())
+    whole = key(index.blocked_neighbours(q, e, 7))
+    assert len(whole) == 350
+    monkeypatch.setattr(index, "CELL", 11)
+    assert key(index.blocked_neighbours(q, e.repartition(4), 7, block=9)) == whole
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = index.blocked_neighbours(q, e, 7, block=9)
+        assert "CartesianProduct" in found._jdf.queryExecution().executedPlan().toString() and key(found) == whole
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    named = index.blocked_neighbours(q.withColumn("grp", F.lit(None).cast("long")), e.withColumn("strand", F.concat(F.lit("s"), F.col("entry") % 2)), 3)
+    assert named.groupBy("query", "strand").count().where("count <> 3").count() == 0 and named.count() == 300
+    assert index.blocked_neighbours(q.limit(0), e, 3).count() == 0 and index.blocked_neighbours(q, e.limit(0), 3).count() == 0
+
+
 def test_spans_of_a_long_text(spark):
     """Thousands of chains of one generation, over many batches, as a scan of all that is chosen chooses them."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
