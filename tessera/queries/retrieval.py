@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import rng, scores
-from tessera.operators import evaluate, index, mix, trajectory
+from tessera.operators import clusters, evaluate, index, mix, trajectory
 from tessera.operators.bounds import few
 from tessera.session import table
 
@@ -395,6 +395,13 @@ def weighted_kmeans(spark, sf):
     return index.centroids(e, "label", "v", "w", 4).select("label", "centroid", F.round("mass", 6).alias("mass"))
 
 
+@query("kmeans_whole")
+def kmeans_whole(spark, sf):
+    """All embeddings as one thread's states: eight centres and the weight that is nearest to each."""
+    e = table(spark, sf, "embeddings", spread=True).select("vec_id", F.lit("all").alias("thread"), F.col("embedding").cast("array<double>").alias("v"), F.lit(1.0).alias("w"))
+    return clusters.kmeans(e, "thread", "vec_id", "v", "w", 8).select("thread", "centroid", F.round("mass", 6).alias("mass"), "vector")
+
+
 @query("composite_keys_whole", "SELECT vec_id, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)), 5) AS square, 1.0::DOUBLE AS unit FROM embeddings")
 def composite_keys_whole(spark, sf):
     """The key of every embedding."""
