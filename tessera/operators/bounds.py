@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def few(df: DataFrame, most: int = 10_000) -> DataFrame:
-    """A side to broadcast in a join without equal keys; more rows than `most` are an error, not a flood."""
-    if df.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} rows where a few are expected")
-    return F.broadcast(df)
+    """A side of a join without equal keys that is small by its nature: broadcast if it has no more than `most` rows.
+
+    Where it has more, it is left as it is, and both sides meet partition by partition: the same rows, by another plan.
+    """
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -58,10 +58,9 @@ def planned(steps: DataFrame, weights: dict[str, int]) -> DataFrame:
     return steps.select("step", cases.alias("_c")).select("step", "_c.corpus", "_c.window")
 
 
-def schedule(lists: dict[str, int], every: dict[str, int], rounds: int, spark) -> DataFrame:
-    """A panel's order: each round one of every list that is due, cycling through it: round, list, item."""
-    rows = spark.range(rounds).withColumnRenamed("id", "round")
-    found = None
+def schedule(lists: dict[str, int], every: dict[str, int], rounds: DataFrame) -> DataFrame:
+    """A panel's order: each `round` one of every list that is due, cycling through it: round, place, list, item."""
+    rows, found = rounds.select("round"), None
     for place, (name, size) in enumerate(lists.items()):
         due = rows.where(F.col("round") % every.get(name, 1) == 0)
         own = due.select("round", F.lit(place).alias("place"), F.lit(name).alias("list"), (F.floor(F.col("round") / every.get(name, 1)) % size).alias("item"))

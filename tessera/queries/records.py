@@ -220,19 +220,29 @@ def value_pool(spark, sf):
     return documents(spark, sf).select("doc_id", run(F.col("doc_id")).alias("items"))
 
 
-@query("parsed_settings", "SELECT * FROM (VALUES ('a1, b2,c3', 'a1|b2|c3', true), ('a1,a1', '', false), ('A', '', false), ('all', 'all', true), ('top:3', 'top 3', true), ('x#1,y#2', 'ids x#1 y#2', true)) t(setting, parsed, sound)")
+SETTING = "CASE doc_id % 5 WHEN 0 THEN source || ', ' || lang WHEN 1 THEN source || ',' || source WHEN 2 THEN 'top:' || (doc_id + 1) WHEN 3 THEN source || '#' || doc_id || ',' || lang || '#1' ELSE 'all' END"
+
+
+@query("parsed_settings", f"SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN source || '|' || lang WHEN 1 THEN '' WHEN 2 THEN 'top ' || (doc_id + 1) WHEN 3 THEN 'ids ' || source || '#' || doc_id || ' ' || lang || '#1' ELSE 'all' END AS parsed, doc_id % 5 <> 1 AS sound FROM (SELECT doc_id, source, lang, {SETTING} AS setting FROM documents)")
 def parsed_settings(spark, sf):
-    """Lists of nodes and source policies as read; what is ill-formed is refused."""
-    out = []
-    for setting in ("a1, b2,c3", "a1,a1", "A"):
-        try:
-            out.append((setting, "|".join(formats.node_list(setting)), True))
-        except ValueError:
-            out.append((setting, "", False))
-    for setting in ("all", "top:3", "x#1,y#2"):
-        kind, what = formats.source_policy(setting)
-        out.append((setting, " ".join([kind, *([] if what is None else [str(what)] if isinstance(what, int) else what)]), True))
-    return spark.createDataFrame(out, "setting string, parsed string, sound boolean")
+    """Of every document a list of nodes or a source policy as read; what is ill-formed is refused."""
+
+    @F.pandas_udf("parsed string, sound boolean")
+    def read(setting: pd.Series, nodes: pd.Series) -> pd.DataFrame:
+        out = []
+        for text, listed in zip(setting, nodes, strict=True):
+            try:
+                if listed:
+                    out.append(("|".join(formats.node_list(text)), True))
+                    continue
+                kind, what = formats.source_policy(text)
+                out.append((" ".join([kind, *([] if what is None else [str(what)] if isinstance(what, int) else what)]), True))
+            except ValueError:
+                out.append(("", False))
+        return pd.DataFrame(out, columns=["parsed", "sound"])
+
+    d = documents(spark, sf).select("doc_id", F.expr(SETTING).alias("setting"))
+    return d.select("doc_id", read("setting", F.col("doc_id") % 5 < 2).alias("r")).select("doc_id", "r.*")
 
 
 @query("json_lines_non_finite", """SELECT event_id, '{"a":' || event_id || ',"b":"' || CASE event_id % 4 WHEN 0 THEN 'nan' WHEN 1 THEN 'inf' WHEN 2 THEN '-inf' ELSE (event_id % 7) || '.0' END || '"}' AS line FROM events""")

@@ -220,14 +220,16 @@ def training_batches(spark, sf):
     return b.select("lang", "doc_id", F.col("batch").cast("long"), F.col("place").cast("long"))
 
 
-@query("corpus_plan", "SELECT i AS step, CASE WHEN i % 6 < 3 THEN 'web' WHEN i % 6 < 5 THEN 'books' ELSE 'code' END AS corpus, CASE WHEN i % 6 < 3 THEN i // 6 * 3 + i % 6 WHEN i % 6 < 5 THEN i // 6 * 2 + i % 6 - 3 ELSE i // 6 END AS \"window\" FROM range(600) r(i)")
+@query("corpus_plan", "SELECT i AS step, CASE WHEN i % 6 < 3 THEN 'web' WHEN i % 6 < 5 THEN 'books' ELSE 'code' END AS corpus, CASE WHEN i % 6 < 3 THEN i // 6 * 3 + i % 6 WHEN i % 6 < 5 THEN i // 6 * 2 + i % 6 - 3 ELSE i // 6 END AS \"window\" FROM (SELECT event_id AS i FROM events)")
 def corpus_plan(spark, sf):
-    return samples.planned(spark.range(600).withColumnRenamed("id", "step"), {"web": 3, "books": 2, "code": 1})
+    """Every event as a step."""
+    return samples.planned(table(spark, sf, "events").select(F.col("event_id").alias("step")), {"web": 3, "books": 2, "code": 1})
 
 
-@query("panel_schedule", "SELECT i AS round, 0 AS place, 'facts' AS list, i % 7 AS item FROM range(30) r(i) UNION ALL SELECT i, 1, 'unknown', i // 3 % 4 FROM range(30) r(i) WHERE i % 3 = 0")
+@query("panel_schedule", "SELECT i AS round, 0 AS place, 'facts' AS list, i % 7 AS item FROM (SELECT event_id AS i FROM events) UNION ALL SELECT i, 1, 'unknown', i // 3 % 4 FROM (SELECT event_id AS i FROM events) WHERE i % 3 = 0")
 def panel_schedule(spark, sf):
-    return samples.schedule({"facts": 7, "unknown": 4}, {"unknown": 3}, 30, spark)
+    """Every event as a round."""
+    return samples.schedule({"facts": 7, "unknown": 4}, {"unknown": 3}, table(spark, sf, "events").select(F.col("event_id").alias("round")))
 
 
 @query("collage_texts", f"WITH {PARTS}, d AS (SELECT source, document_id, partition_index, text, dense_rank() OVER (PARTITION BY source ORDER BY document_id) - 1 AS d FROM parts) SELECT source, sha256(string_agg(text, ' ' ORDER BY partition_index, document_id, text)) AS sha FROM d WHERE d < 5 AND partition_index % 5 = d GROUP BY 1")

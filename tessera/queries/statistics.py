@@ -123,9 +123,10 @@ def opened_histogram(spark, sf):
 
 
 @query("lr_schedules", """SELECT i AS step, round(CASE WHEN i < 100 THEN 0.001 * (i + 1) / 100.0::DOUBLE ELSE 0.0001 + 0.0009 * 0.5 * (1 + cos(greatest(0, least(1, (i - 100) / 900.0::DOUBLE)) * 3.141592653589793)) END, 9) AS cosine,
-    round(CASE WHEN i < 100 THEN 0.001 * (i + 1) / 100.0::DOUBLE WHEN 1000 - i > 200 THEN 0.001 ELSE 0.001 * greatest(0, least(1, (1000 - i) / 200.0::DOUBLE)) END, 9) AS stable FROM range(1000) r(i)""")
+    round(CASE WHEN i < 100 THEN 0.001 * (i + 1) / 100.0::DOUBLE WHEN 1000 - i > 200 THEN 0.001 ELSE 0.001 * greatest(0, least(1, (1000 - i) / 200.0::DOUBLE)) END, 9) AS stable FROM (SELECT event_id AS i FROM events)""")
 def lr_schedules(spark, sf):
+    """Rates of every event as a step."""
     from tessera.functions.scores import cosine_rate, stable_rate
 
-    s = spark.range(1000).select(F.col("id").alias("step"))
+    s = table(spark, sf, "events").select(F.col("event_id").alias("step"))
     return s.select("step", F.round(cosine_rate(F.col("step"), 1000, 0.001, 100, 0.0001), 9).alias("cosine"), F.round(stable_rate(F.col("step"), 1000, 0.001, 100, 200), 9).alias("stable"))

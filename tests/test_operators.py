@@ -78,6 +78,22 @@ def test_neighbours_stay_off_the_driver(spark, monkeypatch):
     assert index.blocked_neighbours(q.limit(0), e, 3).count() == 0 and index.blocked_neighbours(q, e.limit(0), 3).count() == 0
 
 
+def test_many_nodes_meet_without_a_broadcast(spark, monkeypatch):
+    """Beyond the bound of what travels, joins without equal keys give the same rows by another plan."""
+    from tessera.operators import bounds
+
+    nodes = spark.range(40).select(F.concat(F.lit("n"), "id").alias("n"))
+    few = corpus.ordered_pairs(nodes, "n")
+    assert few.count() == 40 * 39 and "Broadcast" in few._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(corpus, "few", lambda df: bounds.few(df, 10))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        many = corpus.ordered_pairs(nodes, "n")
+        assert "CartesianProduct" in many._jdf.queryExecution().executedPlan().toString() and sorted(many.collect()) == sorted(few.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_spans_of_a_long_text(spark):
     """Thousands of chains of one generation, over many batches, as a scan of all that is chosen chooses them."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
