@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import rng
+from tessera.functions.text import token_id
 from tessera.operators import corpus, index, mix
 from tessera.session import table
+from tessera.sources.scratch import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -104,9 +106,14 @@ weighted AS (SELECT *, part / sum(part) OVER (PARTITION BY query) AS weight FROM
 
 
 def likelihoods(spark: SparkSession, sf: str) -> DataFrame:
-    """What every world's count model gives each token of every prompt: item_id, position, strand, p."""
-    t = tokens(spark, sf)
-    counts = t.groupBy(F.col("lang").alias("strand"), "token").agg(F.count(F.lit(1)).alias("c"))
+    """What every world's count model gives each token of every prompt: item_id, position, strand, p.
+
+    Words are counted before they become tokens, and the counts are a table: texts are read once, and a digest is made of
+    each different word.
+    """
+    words = tokens(spark, sf).groupBy(F.col("lang").alias("strand"), "word").agg(F.count(F.lit(1)).alias("c"))
+    counts = words.groupBy("strand", token_id(F.col("word")).alias("token")).agg(F.sum("c").alias("c"))
+    counts = Scratch(spark, "counts").save(counts, "counts")
     sizes = counts.groupBy("strand").agg(F.sum("c").alias("n"))
     vocabulary = counts.agg(F.count_distinct("token").alias("v"))
     # One row for each world, and one for the vocabulary.
