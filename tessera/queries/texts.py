@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import corpus, evaluate
+from tessera.operators import corpus, evaluate, trees
 from tessera.session import table
+from tessera.sources.scratch import Scratch
 
 from .base import BEFORE, PARTS, WORDS, derived, documents, mixed_numbers, parts, query, rounded, snapshots
 
@@ -117,6 +118,15 @@ def snapshot_changes(spark, sf):
     return corpus.changes(*snapshots(spark, sf))
 
 
+@query("snapshot_changes_tree", f"WITH {CHANGED} SELECT * FROM changed")
+def snapshot_changes_tree(spark, sf):
+    """The same between stored snapshots, whose trees of digests say which ranges to compare."""
+    path = Scratch(spark, "trees").path
+    for name, parts_ in zip(("before", "after"), snapshots(spark, sf), strict=True):
+        trees.save(parts_.select("document_id", "partition_index", "sha"), f"{path}/{name}", 12)
+    return trees.stored_changes(spark, f"{path}/before", f"{path}/after")
+
+
 @query("document_changes", f"WITH {BEFORE} SELECT DISTINCT document_id, 'added' AS change FROM after WHERE document_id NOT IN (SELECT document_id FROM before) UNION ALL SELECT DISTINCT document_id, 'removed' FROM before WHERE document_id NOT IN (SELECT document_id FROM after)")
 def document_changes(spark, sf):
     return corpus.document_changes(*snapshots(spark, sf))
