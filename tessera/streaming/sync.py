@@ -7,7 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import sha256
@@ -19,6 +19,11 @@ from tessera.sources.store import exists
 PARTITION = ["document_id", "partition_index", "text", "sha"]
 
 
+def inexact() -> Column:
+    """Whether a partition's digest is not that of its text, as 0 or 1."""
+    return (F.col("sha") != sha256(F.col("text"))).cast("long").alias("inexact")
+
+
 @dataclass
 class Measured:
     """What a model trained on a version, or read with it, says; models are outside, so that it comes as tables.
@@ -87,27 +92,34 @@ class Ladder:
         return reduce(DataFrame.unionByName, told)
 
     def pending(self, feed: DataFrame, batch: int, last: int | None) -> DataFrame:
-        """This batch after those since the live version, of each key and document the newest rows; a batch withdraws before it deposits."""
+        """This batch after those since the live version, of each key and document the newest rows; a batch withdraws before it deposits.
+
+        A batch with nothing before it and a row for each key is read as it is stored; others are put together once.
+        """
         feed.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(f"{self.path}/feeds/number={batch}")
         rows = self.spark.read.parquet(f"{self.path}/feeds").where((F.col("number") <= batch) & (F.col("number") > (-1 if last is None else last)))
+        if rows.groupBy(*corpus.KEY, "op").count().where("count > 1").isEmpty() and rows.select("number").distinct().count() <= 1:
+            return rows.select(feed.columns)
         gone = rows.where("op = 'withdraw'").groupBy("document_id").agg(F.max("batch").alias("_gone"))
         rows = rows.join(gone, "document_id", "left").where("_gone IS NULL OR batch >= _gone OR op = 'withdraw'")
         newest = Window.partitionBy(*corpus.KEY, "op").orderBy(F.desc("batch"))
-        return rows.withColumn("_k", F.row_number().over(newest)).where("_k = 1").select(feed.columns)
-
-    def applied(self, feed: DataFrame, last: int | None, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The partitions of some documents as the live version has them, and as they are with the feed."""
-        new = feed.where("op = 'deposit'").select(*PARTITION)
-        before = self.store.read(last, self.store.touched(docs)).select(*PARTITION).join(docs, "document_id", "left_semi") if last is not None else new.limit(0)
+        whole = rows.withColumn("_k", F.row_number().over(newest)).where("_k = 1").select(feed.columns)
+        whole.write.mode("overwrite").parquet(f"{self.path}/pending/number={batch}")
+        return self.spark.read.parquet(f"{self.path}/pending/number={batch}")
+
+    def applied(self, feed: DataFrame, last: int | None, docs: DataFrame, *columns: Column) -> tuple[DataFrame, DataFrame]:
+        """The partitions of some documents as the live version has them, and as they are with the feed: key, and columns made of theirs."""
+        taken = [*corpus.KEY, *columns]
+        new = feed.where("op = 'deposit'").select(taken)
+        before = self.store.read(last, self.store.touched(docs)).select(taken).join(docs, "document_id", "left_semi") if last is not None else new.limit(0)
         gone = feed.where("op = 'withdraw'").select("document_id").distinct()
         kept = before.join(gone, "document_id", "left_anti").join(new.select(*corpus.KEY), corpus.KEY, "left_anti")
         return before, kept.unionByName(new.join(docs, "document_id", "left_semi"))
 
     def changed(self, feed: DataFrame, batch: int, last: int | None) -> DataFrame:
         """What the feed changes, kept as a table: key, change, bucket, and by how much the inexact partitions grow."""
-        before, after = self.applied(feed, last, feed.select("document_id").distinct())
-        inexact = (F.col("sha") != sha256(F.col("text"))).cast("long")
-        flags = before.select(*corpus.KEY, (-inexact).alias("inexact")).unionByName(after.select(*corpus.KEY, inexact.alias("inexact")))
+        before, after = self.applied(feed, last, feed.select("document_id").distinct(), F.col("sha"), inexact())
+        flags = before.select(*corpus.KEY, (-F.col("inexact")).alias("inexact")).unionByName(after.select(*corpus.KEY, "inexact"))
         found = corpus.changes(before, after).join(flags.groupBy(*corpus.KEY).agg(F.sum("inexact").alias("inexact")), corpus.KEY)
         found.withColumn("bucket", self.store.bucket()).write.mode("overwrite").parquet(f"{self.path}/changes/number={batch}")
         return self.spark.read.parquet(f"{self.path}/changes/number={batch}")
@@ -115,15 +127,14 @@ class Ladder:
     def checked(self, feed: DataFrame, version: int, last: int | None) -> tuple[int, int, int]:
         """What a reader of the version finds of the feed's documents: rows that differ, rows of withdrawn documents, inexact rows beyond those of the live version."""
         docs = feed.select("document_id").distinct()
-        before, after = self.applied(feed, last, docs)
-        inexact = F.count_if(F.col("sha") != sha256(F.col("text")))
-        now = self.store.read(version, self.store.touched(docs)).select(*PARTITION).join(docs, "document_id", "left_semi")
+        before, after = self.applied(feed, last, docs, F.col("sha"), inexact())
+        now = self.store.read(version, self.store.touched(docs)).select(*corpus.KEY, "sha", inexact()).join(docs, "document_id", "left_semi")
         # A document that the feed withdraws and deposits anew is wanted; one that it only withdraws must not be indexed.
         gone = feed.groupBy("document_id").agg(F.bool_and(F.col("op") == "withdraw").alias("_gone"))
         met = now.join(gone, "document_id").join(after.select(*corpus.KEY, F.col("sha").alias("_want")), corpus.KEY, "full_outer")
         differs = ~F.coalesce(F.col("sha") == F.col("_want"), F.lit(False))
-        told = met.agg(F.count_if(differs), F.count_if(F.coalesce(F.col("_gone"), F.lit(False)) & F.col("sha").isNotNull()), inexact).first()
-        return told[0], told[1], told[2] - before.agg(inexact).first()[0]
+        told = met.agg(F.count_if(differs), F.count_if(F.coalesce(F.col("_gone"), F.lit(False)) & F.col("sha").isNotNull()), F.coalesce(F.sum("inexact"), F.lit(0))).first()
+        return told[0], told[1], told[2] - (before.agg(F.sum("inexact")).first()[0] or 0)
 
     def sync(self, feed: DataFrame, batch: int) -> None:
         """feed: (document_id, partition_index, text, sha, op), op `deposit` or `withdraw`."""
@@ -140,18 +151,20 @@ class Ladder:
         if plan == "none":
             return
         touched = change.where("change <> 'removed'").select(*corpus.KEY)
-        new = feed.where("op = 'deposit'").select(*PARTITION).join(touched, corpus.KEY, "left_semi")
+        new = feed.where("op = 'deposit'").select(*PARTITION)
+        if new.count() > added + altered:  # some are there already
+            new = new.join(touched, corpus.KEY, "left_semi")
         marks = change.where("change <> 'added'").select(*corpus.KEY)
         grown = {r["bucket"]: (r["added"] - r["removed"], r["added"] + 2 * r["changed"] + r["removed"], (r["inexact"],)) for r in found}
         self.store.commit(batch, last, self.build(new) if self.build else new, marks, grown)
-        strays, leaked, inexact = self.checked(feed, batch, last)
+        strays, leaked, more = self.checked(feed, batch, last)
         said = self.measure(self.index(batch), touched, batch) if self.measure else Measured(None, None, self.vocabulary, self.trunk)
         learned = said.losses.agg(ledger.memorised_share(F.col("loss"))).first()[0] if said.losses is not None else 0.0
         if not self.measure:
-            learned = 1 - (sum(x.sums[0] for x in buckets if x.sums) + inexact) / rows
+            learned = 1 - (sum(x.sums[0] for x in buckets if x.sums) + more) / rows
         bad = 0
         if said.spans is not None:
-            bad = unverified(said.spans, self.applied(feed, last, said.spans.select("document_id").distinct())[1])
+            bad = unverified(said.spans, self.applied(feed, last, said.spans.select("document_id").distinct(), F.col("text"))[1])
         kind = "train" if "train" in plan else "reindex"
         row = self.spark.createDataFrame(
             [(batch, kind, float(learned or 0.0), said.vocabulary, self.vocabulary, said.trunk, self.trunk, leaked, bad, strays)],

@@ -100,7 +100,7 @@ def test_spans_of_a_long_text(spark):
     try:
         r = np.random.RandomState(6)
         rows = [(g, int(r.randint(3000)), int(r.randint(3, 40)), int(r.randint(9)), int(r.randint(500)), float(r.choice([0.1, 0.2, 0.7]))) for g in (1, 1, 1, 2) for _ in range(700)]
-        rows = sorted({x[:5]: x for x in rows}.values())
+        rows = sorted({(x[0], *x[2:5]): x for x in rows}.values())  # no two of one rank
         parts = spark.createDataFrame([(k, f"d{k % 4}", k) for k in range(9)], "row long, document_id string, partition_index int")
         df = spark.createDataFrame(rows, "gen long, start long, length long, row long, offset long, weight double")
         got = {(x["gen"], x["span"]): (x["start"], x["length"], x["row"], x["offset"], x["alternatives"]) for x in cite.spans(df, parts).collect()}
@@ -116,9 +116,7 @@ def test_spans_of_a_long_text(spark):
             elif len(owner[4]) < 5:
                 owner[4].append(row)
         want |= {(g, i): c for i, c in enumerate(sorted(chosen))}
-    assert got.keys() == want.keys() and all(got[k][:2] == want[k][:2] for k in want)
-    settled = [k for k in want if sum(x[0] == k[0] and (x[2], x[5], x[3], x[4]) == (want[k][1], 0, want[k][2], want[k][3]) for x in rows) <= 1]
-    assert all(got[k] == want[k] for k in settled) and len(settled) > 100
+    assert got == want and len(want) > 100
 
 
 def test_gate_memory_step_by_step():
