@@ -111,27 +111,40 @@ class Ladder:
         """The partitions of some documents as the live version has them, and as they are with the feed: key, and columns made of theirs."""
         taken = [*corpus.KEY, *columns]
         new = feed.where("op = 'deposit'").select(taken)
-        before = self.store.read(last, self.store.touched(docs)).select(taken).join(docs, "document_id", "left_semi") if last is not None else new.limit(0)
+        if last is None:
+            return new.limit(0), new.join(docs, "document_id", "left_semi")
+        before = self.store.read(last, self.store.touched(docs)).select(taken).join(docs, "document_id", "left_semi")
         gone = feed.where("op = 'withdraw'").select("document_id").distinct()
         kept = before.join(gone, "document_id", "left_anti").join(new.select(*corpus.KEY), corpus.KEY, "left_anti")
         return before, kept.unionByName(new.join(docs, "document_id", "left_semi"))
 
     def changed(self, feed: DataFrame, batch: int, last: int | None) -> DataFrame:
         """What the feed changes, kept as a table: key, change, bucket, and by how much the inexact partitions grow."""
-        before, after = self.applied(feed, last, feed.select("document_id").distinct(), F.col("sha"), inexact())
-        flags = before.select(*corpus.KEY, (-F.col("inexact")).alias("inexact")).unionByName(after.select(*corpus.KEY, "inexact"))
-        found = corpus.changes(before, after).join(flags.groupBy(*corpus.KEY).agg(F.sum("inexact").alias("inexact")), corpus.KEY)
+        if last is None:
+            found = feed.where("op = 'deposit'").select(*corpus.KEY, F.lit("added").alias("change"), inexact())
+        else:
+            found = self.compared(feed, last)
         found.withColumn("bucket", self.store.bucket()).write.mode("overwrite").parquet(f"{self.path}/changes/number={batch}")
         return self.spark.read.parquet(f"{self.path}/changes/number={batch}")
 
+    def compared(self, feed: DataFrame, last: int) -> DataFrame:
+        """What the feed changes of the live version: key, change, and by how much the inexact partitions grow."""
+        before, after = self.applied(feed, last, feed.select("document_id").distinct(), F.col("sha"), inexact())
+        flags = before.select(*corpus.KEY, (-F.col("inexact")).alias("inexact")).unionByName(after.select(*corpus.KEY, "inexact"))
+        return corpus.changes(before, after).join(flags.groupBy(*corpus.KEY).agg(F.sum("inexact").alias("inexact")), corpus.KEY)
+
     def checked(self, feed: DataFrame, version: int, last: int | None) -> tuple[int, int, int]:
         """What a reader of the version finds of the feed's documents: rows that differ, rows of withdrawn documents, inexact rows beyond those of the live version."""
         docs = feed.select("document_id").distinct()
-        before, after = self.applied(feed, last, docs, F.col("sha"), inexact())
-        now = self.store.read(version, self.store.touched(docs)).select(*corpus.KEY, "sha", inexact()).join(docs, "document_id", "left_semi")
+        if last is None:  # all that the version has is the feed's
+            now, after = self.store.read(version).select(*corpus.KEY, "sha", inexact()), feed.where("op = 'deposit'").select(*corpus.KEY, "sha")
+            before = now.limit(0)
+        else:
+            before, after = self.applied(feed, last, docs, F.col("sha"), inexact())
+            now = self.store.read(version, self.store.touched(docs)).select(*corpus.KEY, "sha", inexact()).join(docs, "document_id", "left_semi")
         # A document that the feed withdraws and deposits anew is wanted; one that it only withdraws must not be indexed.
         gone = feed.groupBy("document_id").agg(F.bool_and(F.col("op") == "withdraw").alias("_gone"))
-        met = now.join(gone, "document_id").join(after.select(*corpus.KEY, F.col("sha").alias("_want")), corpus.KEY, "full_outer")
+        met = now.join(gone, "document_id", "left").join(after.select(*corpus.KEY, F.col("sha").alias("_want")), corpus.KEY, "full_outer")
         differs = ~F.coalesce(F.col("sha") == F.col("_want"), F.lit(False))
         told = met.agg(F.count_if(differs), F.count_if(F.coalesce(F.col("_gone"), F.lit(False)) & F.col("sha").isNotNull()), F.coalesce(F.sum("inexact"), F.lit(0))).first()
         return told[0], told[1], told[2] - (before.agg(F.sum("inexact")).first()[0] or 0)
