@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 from tessera.sources.store import StoreError, exists
 
 KEY = ["document_id", "partition_index"]
+#: Marks that travel to the rows when a version is read; the manifest knows how many there are at most.
+FEW_MARKS = 200_000
 
 MANIFEST = T.StructType([
     T.StructField("bucket", T.IntegerType()), T.StructField("base", T.LongType()), T.StructField("layers", T.ArrayType(T.LongType())), T.StructField("marks", T.ArrayType(T.LongType())),
@@ -84,6 +86,8 @@ class Layers:
         if not marked:
             return rows.drop("written")
         marks = self._files("marks", marked, T.StructType([schema[k] for k in KEY])).groupBy(*KEY).agg(F.max("written").alias("_marked"))
+        if sum(x.layered for _, x in chosen) <= FEW_MARKS:
+            marks = F.broadcast(marks)  # rows stay where they are
         return rows.join(marks, KEY, "left").where("_marked IS NULL OR written >= _marked").select(*schema.names)
 
     def touched(self, docs: DataFrame) -> set[int]:

@@ -88,6 +88,22 @@ def test_only_touched_buckets_are_read(spark, tmp_path):
     assert [x.base for x in manifest] == [0] * 16 and sum(len(x.layers) for x in manifest) == 1
 
 
+def test_few_marks_travel_and_many_are_joined(spark, tmp_path, monkeypatch):
+    """Reading a version shuffles no rows while its marks are few; the rows are the same beyond that."""
+    from tessera.sources import layers
+
+    ladder = Ladder(spark, str(tmp_path / "l"), buckets=4)
+    ladder.sync(texts(many(spark, 200)), 0)
+    ladder.sync(texts(many(spark, 5, "x")), 1)
+    found = ladder.index(1)
+    rows = sorted(map(tuple, found.collect()))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan and len(rows) == 200
+    monkeypatch.setattr(layers, "FEW_MARKS", 3)
+    found = ladder.index(1)
+    assert "broadcast" not in found._jdf.queryExecution().optimizedPlan().toString() and sorted(map(tuple, found.collect())) == rows
+
+
 def test_a_failed_commit_leaves_no_version(spark, tmp_path):
     ladder = Ladder(spark, str(tmp_path / "l"), buckets=4)
     ladder.sync(texts(many(spark, 40)), 0)
