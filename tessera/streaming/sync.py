@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import sha256
 from tessera.operators import corpus, ledger, rules
+from tessera.operators.bounds import few
 from tessera.sources.layers import Layers
 from tessera.sources.store import exists
 
+#: Documents that travel to the partitions of the live version.
+FEW_DOCUMENTS = 100_000
 #: What an index keeps of a partition.
 PARTITION = ["document_id", "partition_index", "text", "sha"]
 
@@ -24,6 +27,11 @@ def inexact() -> Column:
     return (F.col("sha") != sha256(F.col("text"))).cast("long").alias("inexact")
 
 
+def touching(rows: DataFrame) -> DataFrame:
+    """The documents of a feed or of spans, to pick their partitions: they travel to these while they are few."""
+    return few(rows.select("document_id").distinct(), FEW_DOCUMENTS)
+
+
 @dataclass
 class Measured:
     """What a model trained on a version, or read with it, says; models are outside, so that it comes as tables.
@@ -129,13 +137,13 @@ class Ladder:
 
     def compared(self, feed: DataFrame, last: int) -> DataFrame:
         """What the feed changes of the live version: key, change, and by how much the inexact partitions grow."""
-        before, after = self.applied(feed, last, feed.select("document_id").distinct(), F.col("sha"), inexact())
+        before, after = self.applied(feed, last, touching(feed), F.col("sha"), inexact())
         flags = before.select(*corpus.KEY, (-F.col("inexact")).alias("inexact")).unionByName(after.select(*corpus.KEY, "inexact"))
         return corpus.changes(before, after).join(flags.groupBy(*corpus.KEY).agg(F.sum("inexact").alias("inexact")), corpus.KEY)
 
     def checked(self, feed: DataFrame, version: int, last: int | None) -> tuple[int, int, int]:
         """What a reader of the version finds of the feed's documents: rows that differ, rows of withdrawn documents, inexact rows beyond those of the live version."""
-        docs = feed.select("document_id").distinct()
+        docs = touching(feed)
         if last is None:  # all that the version has is the feed's
             now, after = self.store.read(version).select(*corpus.KEY, "sha", inexact()), feed.where("op = 'deposit'").select(*corpus.KEY, "sha")
             before = now.limit(0)
@@ -177,7 +185,7 @@ class Ladder:
             learned = 1 - (sum(x.sums[0] for x in buckets if x.sums) + more) / rows
         bad = 0
         if said.spans is not None:
-            bad = unverified(said.spans, self.applied(feed, last, said.spans.select("document_id").distinct(), F.col("text"))[1])
+            bad = unverified(said.spans, self.applied(feed, last, touching(said.spans), F.col("text"))[1])
         kind = "train" if "train" in plan else "reindex"
         row = self.spark.createDataFrame(
             [(batch, kind, float(learned or 0.0), said.vocabulary, self.vocabulary, said.trunk, self.trunk, leaked, bad, strays)],
