@@ -81,10 +81,9 @@ def bpe_round_trip(spark, sf):
     from tessera.functions import bpe
 
     path = vocabulary_file()
-    ids = documents(spark, sf).select("doc_id", bpe.encoded(path)(F.col("text")).alias("ids"))
-    joined = F.aggregate(bpe.token_texts(path)(F.col("ids")), F.lit("").cast("binary"), lambda a, x: F.concat(a, x))
-    mark = F.array(*[F.lit(i) for i in bpe.paragraph_break(path)])
-    return ids.select("doc_id", F.sha2(bpe.decoded(path)(F.col("ids")).cast("binary"), 256).alias("decoded"), F.sha2(joined, 256).alias("joined"), bpe.decoded(path)(mark).alias("mark"))
+    back = bpe.round_trips(documents(spark, sf), "doc_id", "text", path)
+    mark = spark.range(0, 1, 1, 1).select(bpe.decoded(path)(F.array(*[F.lit(i) for i in bpe.paragraph_break(path)])).alias("mark"))
+    return back.select("doc_id", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded"), F.sha2("joined", 256).alias("joined")).join(F.broadcast(mark))
 
 
 @query("document_lookup", "SELECT doc_id::VARCHAR AS document_id, sha256(text) AS sha FROM documents WHERE doc_id IN (3, 50, 77, 150, 199, 9999999)")

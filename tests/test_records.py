@@ -17,6 +17,22 @@ def path():
 TEXTS = ["", " ", "plain words", "  two  spaces\n\n\ttab ", "été 漢字 🎉 \u200d\x00 ½", "<|endoftext|> in a text", "a" * 5000, None]
 
 
+def test_round_trips_hold_a_slice_of_a_batch(spark, path):
+    rows = spark.createDataFrame(list(enumerate(TEXTS * 3)), "i long, text string")
+    found = {r["i"]: r for r in bpe.round_trips(rows, "i", "text", path).collect()}
+    assert len(found) == len(TEXTS) * 3
+    for i, t in enumerate(TEXTS * 3):
+        assert found[i]["decoded"] == t and found[i]["joined"] == (None if t is None else t.encode())
+    texts = ["ab" * 50, "", "x" * 1000, "y", "z" * 99]
+    cut = list(bpe.slices(texts, 100))
+    assert sum(cut, []) == texts and all(len(c) == 1 or sum(map(len, c)) <= 100 for c in cut)
+    # The query runs the encoder once, and no fold copies a text for each of its tokens.
+    from tessera import registry
+
+    plan = registry.queries()["bpe_round_trip"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "aggregate(" not in plan
+
+
 def test_ids_are_the_tokenizers(spark, path):
     rows = spark.createDataFrame(list(enumerate(TEXTS)), "i long, text string")
     found = rows.withColumn("ids", bpe.encoded(path)(F.col("text"))).withColumn("again", bpe.decoded(path)(F.col("ids"))).withColumn("pieces", bpe.token_texts(path)(F.col("ids"))).collect()
