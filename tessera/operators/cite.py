@@ -23,10 +23,17 @@ def citable(neighbours: DataFrame, parts: DataFrame) -> DataFrame:
     return neighbours.where("matches").join(parts, "row").where(F.col("offset") < F.col("token_count"))
 
 
+def exact_sum(weight: Column) -> Column:
+    """A sum that doesn't depend on the order of the rows, so that equal weights tie; plain where one is no number below 1e9."""
+    weight = weight.cast("double")
+    whole = F.sum(weight.try_cast("decimal(38,28)")).cast("double")
+    return F.when(F.count_if(~(F.abs(weight) < 1e9)) > 0, F.sum(weight)).otherwise(whole)
+
+
 def citations(neighbours: DataFrame, parts: DataFrame, gen: str = "gen") -> DataFrame:
     """Every partition that supports a token: summed weight, best hit, confidence, and order among the token's citations."""
     best = F.max_by(F.struct("score", "rank", "offset", "loss"), F.struct(F.col("score"), -F.col("rank")))
-    groups = citable(neighbours, parts).groupBy(gen, "k", "row").agg(F.sum("weight").alias("weight"), best.alias("best"))
+    groups = citable(neighbours, parts).groupBy(gen, "k", "row").agg(exact_sum(F.col("weight")).alias("weight"), best.alias("best"))
     rows = groups.select(gen, "k", "row", "weight", F.col("best.score").alias("score"), F.col("best.rank").alias("rank"), F.col("best.offset").alias("offset"), confidence(F.col("best.score"), F.col("weight"), F.col("best.loss")).alias("confidence"))
     w = Window.partitionBy(gen, "k").orderBy(F.desc("weight"), F.desc("score"), "row")
     return rows.withColumn("place", F.row_number().over(w))

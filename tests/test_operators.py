@@ -478,3 +478,12 @@ def test_tokens_know_what_follows(spark):
     assert key(plain) == key(ahead) and len(key(plain)) == 2
     assert sorted(map(tuple, index.transitions(plain, "doc").select("doc", "pos", "token", "next").collect())) == sorted(map(tuple, index.transitions(ahead, "doc").select("doc", "pos", "token", "next").collect()))
     assert "Exchange" not in index.ngrams(ahead, "doc", 3, 16)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_citations_of_equal_weight_tie_in_any_order_of_rows(spark):
+    hit = lambda row, weights: [("g", 0, 1, row * 10 + i, 0.6, w, True, row, i, 0.0) for i, w in enumerate(weights)]
+    rows = hit(2, [0.1, 0.2, 0.3]) + hit(1, [0.3, 0.2, 0.1]) + hit(3, [float("nan")])
+    near = spark.createDataFrame(rows, "gen string, k int, token int, rank int, score double, weight double, matches boolean, row int, offset int, loss double").coalesce(1)
+    parts = spark.createDataFrame([(r, r, 0, 9) for r in (1, 2, 3)], "row int, document_id int, partition_index int, token_count int")
+    found = {r["row"]: r for r in cite.citations(near, parts).collect()}
+    assert found[1]["weight"] == found[2]["weight"] and found[1]["place"] < found[2]["place"] and math.isnan(found[3]["weight"])
