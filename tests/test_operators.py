@@ -453,6 +453,17 @@ def test_mentions_by_the_rarest_word(spark):
     assert found == {("Old Mill", 2), ("the Old Bridge", 1), ("Mill", 1), ("Mill", 3), ("Mill", 4)}
 
 
+def test_mentions_fetch_a_text_once_for_all_owners(spark):
+    import re
+
+    docs = spark.createDataFrame([(i, "the Old Mill") for i in range(5)], "doc long, text string")
+    subjects = spark.createDataFrame([("Old Mill", 100 + i) for i in range(40)] + [("Old Mill", 1), ("Mill", 1)], "subject string, owner long")
+    found = corpus.mentions(subjects, docs, "subject", "owner", "doc", "text")
+    assert found.count() == 40 * 5 + 4 + 4 and found.distinct().count() == found.count()
+    last = next(x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x)
+    assert re.search(r"owner#\d+L?\)*$|subject#\d+ = subject#\d+", last) and "_t" not in last
+
+
 def test_hashes_of_streamed_groups(spark):
     import hashlib
 
