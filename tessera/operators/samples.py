@@ -76,10 +76,18 @@ def collage(sentences: DataFrame, documents: int, by: str, document: str, order:
     return picked.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, document, text))), lambda x: x[text]), " ").alias("text"))
 
 
-def joined_again(units: DataFrame, by: str, order: str, tokens: str, whole: str) -> DataFrame:
-    """Whether a document's units, put together, are its tokens again."""
-    parts = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order, tokens))), lambda x: x[tokens]))
-    return units.groupBy(by).agg((parts == F.first(whole)).alias("exact"))
+def listed(tokens: Column) -> Column:
+    """A list of tokens as one string, different for different lists; that of two lists in a row is their strings in a row."""
+    return F.array_join(F.transform(tokens, lambda x: F.concat(F.lit("\0\2"), F.replace(x, F.lit("\0"), F.lit("\0\1")))), "")
+
+
+def joined_again(units: DataFrame, documents: DataFrame, by: str, order: str, tokens: str, whole: str) -> DataFrame:
+    """Whether a document's units, put together, are its tokens again. A unit travels as a string and a document as a digest."""
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    told = units.select(by, F.struct(order, listed(F.col(tokens)).alias("_unit")).alias("_unit"))
+    parts = F.array_join(F.transform(F.array_sort(F.collect_list("_unit")), lambda x: x["_unit"]), "")
+    found = told.groupBy(by).agg(digest(parts).alias("_parts"))
+    return found.join(documents.select(by, digest(listed(F.col(whole))).alias("_whole")), by).select(by, (F.col("_parts") == F.col("_whole")).alias("exact"))
 
 
 def next_unfed(documents: DataFrame, fed: DataFrame, order: str, number: int) -> DataFrame:

@@ -240,8 +240,8 @@ def collage_texts(spark, sf):
 @query("units_rejoin", f"WITH {PARTS}, u AS (SELECT document_id, list({WORDS.format('text')} ORDER BY partition_index) AS us FROM parts GROUP BY 1) SELECT document_id, flatten(us) = {WORDS.format('d.text')} AS exact FROM u JOIN documents d ON doc_id = document_id")
 def units_rejoin(spark, sf):
     whole = documents(spark, sf).select(F.col("doc_id").alias("document_id"), words(F.col("text")).alias("whole"))
-    units = parts(spark, sf).select("document_id", "partition_index", words(F.col("text")).alias("tokens")).join(whole, "document_id")
-    return samples.joined_again(units, "document_id", "partition_index", "tokens", "whole")
+    units = parts(spark, sf).select("document_id", "partition_index", words(F.col("text")).alias("tokens"))
+    return samples.joined_again(units, whole, "document_id", "partition_index", "tokens", "whole")
 
 
 @query("next_unfed", "SELECT doc_id AS document_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY doc_id LIMIT 25")
