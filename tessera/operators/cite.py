@@ -113,9 +113,13 @@ def span_confidence(chosen: DataFrame, cited: DataFrame, gen: str = "gen") -> Da
 
 
 def distinctiveness(grams: DataFrame, shared: DataFrame, by: list[str]) -> DataFrame:
-    """1 less the share of n-grams that several documents have; only groups with an n-gram appear."""
+    """1 less the share of n-grams that several documents have; only groups with an n-gram appear.
+
+    `n`, where n-grams have it, is how often each is there.
+    """
+    n = F.col("n") if "n" in grams.columns else F.lit(1)
     hit = grams.join(shared.select("key", F.lit(1.0).alias("_hit")), "key", "left")
-    return hit.groupBy(*by).agg((1 - F.avg(F.coalesce("_hit", F.lit(0.0)))).alias("distinctiveness"))
+    return hit.groupBy(*by).agg((1 - F.sum(F.coalesce("_hit", F.lit(0.0)) * n) / F.sum(n)).alias("distinctiveness"))
 
 
 def markers(chosen: DataFrame, gen: str = "gen") -> DataFrame:

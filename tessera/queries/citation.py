@@ -109,7 +109,7 @@ def generation_summary(spark, sf):
 @query("span_distinctiveness", f"""WITH {TOKENS}, g AS (SELECT doc_id, (token << 32) | (lead(token, 1) OVER w << 16) | lead(token, 2) OVER w AS key FROM tokens WINDOW w AS (PARTITION BY doc_id ORDER BY pos)), s AS (SELECT key FROM g WHERE key IS NOT NULL GROUP BY 1 HAVING count(DISTINCT doc_id) >= 2)
     SELECT doc_id, round(1 - avg(CASE WHEN s.key IS NOT NULL THEN 1.0 ELSE 0 END)::DOUBLE, 6) AS distinctiveness FROM g LEFT JOIN s USING (key) WHERE g.key IS NOT NULL GROUP BY 1""")
 def span_distinctiveness(spark, sf):
-    g = index.ngrams(tokens(spark, sf, 2), "doc_id", 3, 16)
+    g = index.ngram_counts(documents(spark, sf), "doc_id", "text", n=3, bits=16)
     return rounded(cite.distinctiveness(g, index.shared_ngrams(g, "doc_id"), ["doc_id"]))
 
 
