@@ -108,3 +108,14 @@ def test_ranges_are_many(spark):
         assert len(dealt) == 4 and max(r["count"] for r in dealt) < 8000
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_quantiles_by_flag_hold_no_group(spark, tmp_path):
+    from tessera.registry import queries
+
+    rows = [("A", float(i)) for i in range(101)] + [("B", None), (None, 4.0), (None, 6.0)]
+    spark.createDataFrame(rows, "l_returnflag string, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = queries()["quantile_linear"](spark, str(tmp_path))
+    assert "percentile(" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {r["l_returnflag"]: (r["q10"], r["q50"], r["q90"]) for r in found.collect()}
+    assert got == {"A": (10.0, 50.0, 90.0), "B": (None, None, None), None: (4.2, 5.0, 5.8)}
