@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.streaming import resume, sessions
-from tessera.streaming.ordered import presence, streaming_session
+from tessera.streaming.ordered import GROUPS, presence, streaming_session
 from tessera.streaming.sync import Ladder
 
 T0 = dt.datetime(2024, 1, 1)
@@ -84,6 +84,16 @@ def test_what_waits_follows_the_lateness(own, tmp_path):
     assert 9 <= waiting.count() <= 11
 
 
+def test_many_keys_share_groups(own, tmp_path):
+    """State is called for by groups of keys, of which there are no more when keys are many; every key is still its own."""
+    keys = 3 * GROUPS
+    feeds = [requests([(s, s % 7 + k, k, kind, s) for s in range(keys) for k, kind in enumerate(("open", "advance"))]), requests([(s, 40, 2, "close", None) for s in range(keys)] + [(-1, 500, 3, "hidden", None)])]
+    told = followed(own, str(tmp_path), feeds, REQUEST, lambda s: sessions.served_late(s, "10 minutes"))
+    assert {x for t in told for x in t if x[0] >= 0} == {(s, k, kind, s, min(k, 1), "served") for s in range(keys) for k, kind in enumerate(("open", "advance", "close"))}
+    timers = own.read.format("statestore").option("stateVarName", "timer").load(f"{tmp_path}/checkpoint")
+    assert timers.count() <= GROUPS
+
+
 def test_chains_of_late_steps(own, tmp_path):
     r = random.Random(4)
     rows = [(s, at(j), j, [j % 3 + j, 7 + j], [r.random() < 0.7, r.random() < 0.7]) for s in (1, 2) for j in range(60)]
