@@ -537,3 +537,17 @@ def test_citations_of_equal_weight_tie_in_any_order_of_rows(spark):
     parts = spark.createDataFrame([(r, r, 0, 9) for r in (1, 2, 3)], "row int, document_id int, partition_index int, token_count int")
     found = {r["row"]: r for r in cite.citations(near, parts).collect()}
     assert found[1]["weight"] == found[2]["weight"] and found[1]["place"] < found[2]["place"] and math.isnan(found[3]["weight"])
+
+
+def test_neighbours_meet_a_cell_in_slices(spark, monkeypatch):
+    """However many queries a block has, a product of matrices takes a part of them, and each keeps its own best."""
+    one = index.nearest_in_cell
+
+    def held(ids, *rest):
+        assert len(ids) <= 128
+        return one(ids, *rest)
+
+    monkeypatch.setattr(index, "nearest_in_cell", held)
+    e = spark.range(300).select(F.col("id").alias("entry"), F.array(F.cos(F.col("id") / 60), F.sin(F.col("id") / 60)).alias("vector"), F.lit(None).cast("long").alias("grp"))
+    found = index.blocked_neighbours(e.withColumnRenamed("entry", "query"), e, 1, digits=12).collect()
+    assert len(found) == 300 and all(r["query"] == r["entry"] for r in found)
