@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import numpy as np
@@ -551,3 +552,17 @@ def test_neighbours_meet_a_cell_in_slices(spark, monkeypatch):
     e = spark.range(300).select(F.col("id").alias("entry"), F.array(F.cos(F.col("id") / 60), F.sin(F.col("id") / 60)).alias("vector"), F.lit(None).cast("long").alias("grp"))
     found = index.blocked_neighbours(e.withColumnRenamed("entry", "query"), e, 1, digits=12).collect()
     assert len(found) == 300 and all(r["query"] == r["entry"] for r in found)
+
+
+def test_lines_are_hashed_from_packs(spark, monkeypatch):
+    """What comes to the task of a group are packs of sorted lines, from which every byte is got back: with digests, without and empty."""
+    monkeypatch.setattr(corpus, "PACK", 1000)
+    line = [f"{k}\t" + ("ab" * 32) * (k % 3) + ("" if k % 5 else "c" * 63 + "\0é\n") for k in range(500)]
+    rows = spark.createDataFrame([(k % 2, k, x) for k, x in enumerate(line)], "g int, k int, line string").repartition(7)
+    made = corpus.packs(rows, ("g",), ["k"])
+    assert 4 < made.count() < 100
+    want = {g: hashlib.sha256("".join(line[g::2]).encode()).hexdigest() for g in (0, 1)}
+    assert {r["g"]: r["h"] for r in corpus.streamed_hash(rows, ("g",), ["k"], "h").collect()} == want
+    assert corpus.streamed_hash(rows, (), ["k"], "h").first()["h"] == hashlib.sha256("".join(line).encode()).hexdigest()
+    assert corpus.streamed_hash(rows.limit(0), (), ["k"], "h").first()["h"] == hashlib.sha256(b"").hexdigest()
+    assert all(corpus.expanded(*corpus.squeezed(x)) == x for x in (b"", b"a", b"0" * 64, b"0" * 200))
