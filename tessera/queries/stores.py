@@ -13,7 +13,7 @@ from tessera.session import table
 from tessera.streaming import sessions as session_state
 from tessera.streaming import sync, windows
 
-from .base import BEFORE, PARTS, TOKENS, derived, documents, mixed_numbers, parts, query, tokens
+from .base import BEFORE, PARTS, TOKENS, derived, documents, mixed_numbers, parts, query
 
 
 def exported(spark, sf):
@@ -94,10 +94,10 @@ def version_store(spark, sf):
 
 @query("token_shard_slice", f"""WITH {TOKENS}, z AS (SELECT doc_id, count(*) AS n FROM tokens GROUP BY 1), s AS (SELECT doc_id, coalesce(sum(n + 1) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS start FROM z) SELECT (start + pos)::BIGINT AS at, token FROM tokens JOIN s USING (doc_id) WHERE start + pos BETWEEN 5000 AND 5999""")
 def token_shard_slice(spark, sf):
-    from tessera.operators.index import stream
+    from tessera.operators.index import text_stream
 
     path = Scratch(spark, "shard").path
-    shard = store.shard(spark, path, "words16", lambda: stream(tokens(spark, sf), "doc_id", 70000))
+    shard = store.shard(spark, path, "words16", lambda: text_stream(documents(spark, sf), "doc_id", "text", 70000))
     return store.token_slice(shard, 5000, 1000).where("offset IS NOT NULL").select("at", "token")
 
 

@@ -566,3 +566,16 @@ def test_lines_are_hashed_from_packs(spark, monkeypatch):
     assert corpus.streamed_hash(rows, (), ["k"], "h").first()["h"] == hashlib.sha256("".join(line).encode()).hexdigest()
     assert corpus.streamed_hash(rows.limit(0), (), ["k"], "h").first()["h"] == hashlib.sha256(b"").hexdigest()
     assert all(corpus.expanded(*corpus.squeezed(x)) == x for x in (b"", b"a", b"0" * 64, b"0" * 200))
+
+
+def test_starts_come_to_texts_before_words_do(spark):
+    """A text's stream is that of its tokens, without an exchange or a sort of tokens by document."""
+    docs = spark.createDataFrame([(7, "one two three"), (3, "four"), (5, None), (20_001, "five, five"), (9, " ")], "doc int, text string")
+    made = index.text_stream(docs, "doc", "text", -1)
+    assert sorted(map(tuple, made.collect()), key=str) == sorted(map(tuple, index.stream(index.tokens(docs, "doc", "text"), "doc", -1).collect()), key=str)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = index.text_stream(docs, "doc", "text", -1)._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert 0 <= plan.find("Generate") < plan.find("SortMergeJoin")
