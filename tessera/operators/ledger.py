@@ -14,9 +14,16 @@ MEMORISED = 0.1
 def partition_stats(losses: DataFrame, parts: DataFrame, row: str = "row") -> DataFrame:
     """Positions, mean, largest and 90th percentile loss, mean entropy and memorised share of every partition; null where it has none.
 
+    losses: a row for each position, or one for each partition with the lists of its losses and entropies. Rows are sorted by
+    partition in each task; lists are measured where they are. A partition in several lists has the positions of all.
+
     The mean loss is the exact sum of the losses to fifteen places over their number, so that it doesn't depend on the order
     of the rows; losses that aren't finite numbers below 1e12 make it the plain average.
     """
+    if losses.schema["loss"].dataType.typeName() == "array":
+        if losses.groupBy(row).count().where("count > 1").isEmpty():
+            return parts.select(row).join(listed_stats(losses, row), row, "left")
+        losses = losses.select(row, F.explode(F.arrays_zip("loss", "entropy")).alias("_p")).select(row, "_p.loss", "_p.entropy")
     loss = F.col("loss").cast("double")
     exact = F.when(F.count_if(~(F.abs(loss) < 1e12)) > 0, F.avg(loss)).otherwise(F.sum(loss.try_cast("decimal(28,15)")).cast("double") / F.count(loss))
     found = losses.groupBy(row).agg(
@@ -26,6 +33,25 @@ def partition_stats(losses: DataFrame, parts: DataFrame, row: str = "row") -> Da
     return parts.select(row).join(found, row, "left")
 
 
+def listed_stats(losses: DataFrame, row: str) -> DataFrame:
+    """The measures of `partition_stats` of partitions whose losses and entropies are lists; no position becomes a row."""
+    known = lambda x: F.filter(x.cast("array<double>"), lambda v: v.isNotNull())
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+    places = F.aggregate("_loss", F.lit(0).cast("decimal(37,15)"), lambda s, v: (s + v.try_cast("decimal(28,15)")).cast("decimal(37,15)"))
+    held = lambda x: F.when(F.size(x) > 0, F.size(x))
+    n = held("_loss")
+    at = (n - 1) * F.lit(0.9)
+    low, high = F.get("_loss", F.floor(at).cast("int")), F.get("_loss", F.ceil(at).cast("int"))
+    some = losses.select(row, held("loss").cast("long").alias("positions"), F.sort_array(known(F.col("loss"))).alias("_loss"), known(F.col("entropy")).alias("_entropy"))
+    measured = [
+        F.when(F.exists("_loss", lambda v: ~(F.abs(v) < 1e12)), total("_loss") / n).otherwise(places.cast("double") / n).alias("mean_loss"),
+        (total("_entropy") / held("_entropy")).alias("mean_entropy"), F.get("_loss", n - 1).alias("max_loss"),
+        F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high).alias("p90_loss"),
+        (F.size(F.filter("_loss", lambda v: v < MEMORISED)) / n).alias("memorised"),
+    ]
+    return some.select(row, "positions", *measured)
+
+
 def memorised_share(loss: Column) -> Column:
     return mean((loss < MEMORISED).cast("double"))
 

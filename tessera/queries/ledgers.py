@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import token_id, words
 from tessera.operators import cite, evaluate, ledger, rules
 from tessera.session import table
 
@@ -16,9 +17,15 @@ def losses(spark, sf):
     return tokens(spark, sf).select(F.col("doc_id").alias("row"), F.col("pos").alias("offset"), ((F.col("token") % 1000) / 1000.0).alias("loss"), ((F.col("token") % 777) / 777.0).alias("entropy"), "lang")
 
 
+def listed_losses(spark, sf):
+    """The same, a document's in two lists: texts become words and measures where they are."""
+    t = documents(spark, sf).select(F.col("doc_id").alias("row"), F.transform(words(F.col("text")), token_id).alias("token"))
+    return t.select("row", F.transform("token", lambda x: (x % 1000) / 1000.0).alias("loss"), F.transform("token", lambda x: (x % 777) / 777.0).alias("entropy"))
+
+
 @query("partition_stats", f"WITH {LOSSES} SELECT doc_id AS row, count(loss) FILTER (loss IS NOT NULL) AS positions, sum(thousandths)::DOUBLE / 1000.0::DOUBLE / count(loss) AS mean_loss, round(avg(entropy), 6) AS mean_entropy, max(loss) AS max_loss, round(quantile_cont(loss, 0.9), 6) AS p90_loss, round(avg((loss < 0.1)::INT), 6) AS memorised FROM documents LEFT JOIN losses ON row = doc_id GROUP BY 1")
 def partition_stats(spark, sf):
-    s = ledger.partition_stats(losses(spark, sf), documents(spark, sf).select(F.col("doc_id").alias("row")))
+    s = ledger.partition_stats(listed_losses(spark, sf), documents(spark, sf).select(F.col("doc_id").alias("row")))
     # The mean loss is exact on both sides; rounded, means that lie halfway between two places would part.
     return rounded(s.withColumn("positions", F.coalesce("positions", F.lit(0))), "mean_entropy", "p90_loss", "memorised")
 

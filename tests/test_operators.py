@@ -392,6 +392,24 @@ def test_routing_by_rare_bigrams(spark):
     assert got["rare"] == {"n2"} and got["two"] == {"n3", "n4"} and len(got["common"]) == len(got["none"]) == 8
 
 
+def test_partition_stats_of_lists(spark):
+    """Lists are measured as rows are: none, unknown, not a number, huge, equal and unequal neighbours; no position is shuffled."""
+    nan = float("nan")
+    lists = {1: [], 2: None, 3: [None], 4: [0.05], 5: [0.3, 0.01, None, 0.2], 6: [nan, 0.1, 0.09], 7: [1e13, 0.1, 2.5], 8: [k % 7 / 1000 for k in range(30)], 9: [-0.5, 123456789.123456, 0.1] * 7}
+    kind = "row int, loss array<double>, entropy array<double>"
+    own = spark.createDataFrame([(k, v, v and [x and x / 2 for x in v]) for k, v in lists.items()], kind)
+    rows = lambda df: df.select("row", F.explode(F.arrays_zip("loss", "entropy")).alias("p")).select("row", "p.loss", "p.entropy")
+    parts = spark.createDataFrame([(k,) for k in range(11)], "row int")
+    told = lambda df: {r[0]: [x if x is None else repr(round(x, 12)) for x in r[1:3]] + [x if x is None else repr(round(float(x), 9)) for x in r[3:]] for r in ledger.partition_stats(df, parts).collect()}
+    got = told(own)
+    assert got == told(rows(own)) and len(got) == 11 and got[1] == got[2] == [None] * 6
+    assert got[5] == ["4", "0.17", "0.085", "0.3", "0.28", "0.333333333"]
+    plan = ledger.partition_stats(own, parts)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan
+    halves = spark.createDataFrame([(5, [0.3, 0.01], [0.15, 0.005]), (5, [None, 0.2], [None, 0.1])], kind)
+    assert told(halves)[5] == got[5]
+
+
 def test_stream_in_two_levels(spark):
     sizes = {i: (i * 7) % 11 + 1 for i in range(50)}
     tokens = spark.createDataFrame([(d, p, d * 100 + p) for d, n in sizes.items() for p in range(n)], "doc long, pos int, token long")
