@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 from tessera.functions.text import sha256
 from tessera.operators import corpus, ledger, rules
 from tessera.operators.bounds import few
-from tessera.sources.layers import Layers
+from tessera.sources.layers import COMPRESSION, Layers
 from tessera.sources.store import exists
 
 #: Documents that travel to the partitions of the live version.
 FEW_DOCUMENTS = 100_000
 #: What an index keeps of a partition.
 PARTITION = ["document_id", "partition_index", "text", "sha"]
+#: Rows of one key in one batch: the first by these is taken.
+SAME = ["sha", "inexact"]
 
 
 def inexact() -> Column:
@@ -99,69 +101,100 @@ class Ladder:
         told = [self.spark.read.parquet(f"{self.path}/{k}").drop("number") for k in ("live", "held") if exists(self.spark, f"{self.path}/{k}")]
         return reduce(DataFrame.unionByName, told)
 
+    def since(self, batch: int, last: int | None) -> DataFrame:
+        """The rows of this batch and of those since the live version, as they came."""
+        return self.spark.read.parquet(f"{self.path}/feeds").where((F.col("number") <= batch) & (F.col("number") > (-1 if last is None else last)))
+
+    def kept(self, df: DataFrame, name: str) -> DataFrame:
+        """A table of the ladder, written once and read back."""
+        df.write.mode("overwrite").option("compression", COMPRESSION).parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+
     def pending(self, feed: DataFrame, batch: int, last: int | None) -> DataFrame:
-        """This batch after those since the live version, of each key and document the newest rows; a batch withdraws before it deposits.
+        """What this batch and those since the live version ask for, of each key and document the newest; a batch withdraws before it deposits.
 
-        A batch with nothing before it and a row for each key is read as it is stored; others are put together once.
+        Key, op, sha, inexact, and the batch whose rows have the text: texts stay in the feeds. A batch with nothing before it
+        and a row for each key is read as it is stored; of others the keys are put together once.
         """
-        feed.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(f"{self.path}/feeds/number={batch}")
-        rows = self.spark.read.parquet(f"{self.path}/feeds").where((F.col("number") <= batch) & (F.col("number") > (-1 if last is None else last)))
-        if rows.groupBy(*corpus.KEY, "op").count().where("count > 1").isEmpty() and rows.select("number").distinct().count() <= 1:
-            return rows.select(feed.columns)
+        feed.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").option("compression", COMPRESSION).parquet(f"{self.path}/feeds/number={batch}")
+        rows = self.since(batch, last)
+        alone = rows.groupBy(*corpus.KEY, "op").count().where("count > 1").isEmpty() and rows.select("number").distinct().count() <= 1
+        rows = rows.select(*corpus.KEY, "op", "sha", inexact(), "batch")
+        if alone:
+            return rows
         gone = rows.where("op = 'withdraw'").groupBy("document_id").agg(F.max("batch").alias("_gone"))
-        rows = rows.join(gone, "document_id", "left").where("_gone IS NULL OR batch >= _gone OR op = 'withdraw'")
-        newest = Window.partitionBy(*corpus.KEY, "op").orderBy(F.desc("batch"))
-        whole = rows.withColumn("_k", F.row_number().over(newest)).where("_k = 1").select(feed.columns)
-        whole.write.mode("overwrite").parquet(f"{self.path}/pending/number={batch}")
-        return self.spark.read.parquet(f"{self.path}/pending/number={batch}")
-
-    def applied(self, feed: DataFrame, last: int | None, docs: DataFrame, *columns: Column) -> tuple[DataFrame, DataFrame]:
-        """The partitions of some documents as the live version has them, and as they are with the feed: key, and columns made of theirs."""
-        taken = [*corpus.KEY, *columns]
-        new = feed.where("op = 'deposit'").select(taken)
-        if last is None:
-            return new.limit(0), new.join(docs, "document_id", "left_semi")
-        before = self.store.read(last, self.store.touched(docs)).select(taken).join(docs, "document_id", "left_semi")
-        gone = feed.where("op = 'withdraw'").select("document_id").distinct()
-        kept = before.join(gone, "document_id", "left_anti").join(new.select(*corpus.KEY), corpus.KEY, "left_anti")
-        return before, kept.unionByName(new.join(docs, "document_id", "left_semi"))
-
-    def changed(self, feed: DataFrame, batch: int, last: int | None) -> DataFrame:
-        """What the feed changes, kept as a table: key, change, bucket, and by how much the inexact partitions grow."""
+        newest = Window.partitionBy(*corpus.KEY, "op").orderBy(F.desc("batch"), *SAME)
+        whole = rows.join(gone, "document_id", "left").where("_gone IS NULL OR batch >= _gone OR op = 'withdraw'")
+        return self.kept(whole.withColumn("_k", F.row_number().over(newest)).where("_k = 1").select(rows.columns), f"pending/number={batch}")
+
+    def deposits(self, wanted: DataFrame, batch: int, last: int | None) -> DataFrame:
+        """The partitions of some pending deposits (key, batch), from the feeds.
+
+        Feeds that have none of them are not read, and keys meet texts only where feeds have others too.
+        """
+        counts = {r["batch"]: r["count"] for r in wanted.groupBy("batch").count().collect()}  # a row for each batch since the live version
+        rows = self.since(batch, last).where(F.col("number").isin(*counts) & (F.col("op") == "deposit"))
+        if rows.count() > sum(counts.values()):
+            rows = rows.join(wanted.select(*corpus.KEY, "batch"), [*corpus.KEY, "batch"], "left_semi")
+            if rows.count() > sum(counts.values()):  # a batch has a key twice
+                one = Window.partitionBy(*corpus.KEY, "batch").orderBy(*SAME)
+                rows = rows.withColumn("inexact", inexact()).withColumn("_k", F.row_number().over(one)).where("_k = 1")
+        return rows.select(*PARTITION)
+
+    def now(self, asked: DataFrame, batch: int, last: int | None, docs: DataFrame) -> DataFrame:
+        """The partitions of some documents as they are with the feed: key and text."""
+        wanted = asked.where("op = 'deposit'").join(docs, "document_id", "left_semi")
+        new = self.deposits(wanted, batch, last).select(*corpus.KEY, "text")
         if last is None:
-            found = feed.where("op = 'deposit'").select(*corpus.KEY, F.lit("added").alias("change"), inexact())
-        else:
-            found = self.compared(feed, last)
-        found.withColumn("bucket", self.store.bucket()).write.mode("overwrite").parquet(f"{self.path}/changes/number={batch}")
-        return self.spark.read.parquet(f"{self.path}/changes/number={batch}")
+            return new
+        gone = asked.where("op = 'withdraw'").select("document_id").distinct()
+        before = self.store.read(last, self.store.touched(docs)).select(*corpus.KEY, "text").join(docs, "document_id", "left_semi")
+        return before.join(gone, "document_id", "left_anti").join(wanted.select(*corpus.KEY), corpus.KEY, "left_anti").unionByName(new)
 
-    def compared(self, feed: DataFrame, last: int) -> DataFrame:
-        """What the feed changes of the live version: key, change, and by how much the inexact partitions grow."""
-        before, after = self.applied(feed, last, touching(feed), F.col("sha"), inexact())
-        flags = before.select(*corpus.KEY, (-F.col("inexact")).alias("inexact")).unionByName(after.select(*corpus.KEY, "inexact"))
-        return corpus.changes(before, after).join(flags.groupBy(*corpus.KEY).agg(F.sum("inexact").alias("inexact")), corpus.KEY)
+    def changed(self, asked: DataFrame, batch: int, last: int | None) -> DataFrame:
+        """What the feed changes, kept as a table: key, change, bucket, by how much the inexact partitions grow, and the batch of the text.
 
-    def checked(self, feed: DataFrame, version: int, last: int | None) -> tuple[int, int, int]:
+        Where there is a live version, the partitions that stay as they are in the feed's documents are there as well, with no change.
+        """
+        if last is None:
+            found = asked.where("op = 'deposit'").select(*corpus.KEY, F.lit("added").alias("change"), "inexact", "batch")
+        else:
+            found = self.compared(asked, last)
+        return self.kept(found.withColumn("bucket", self.store.bucket()), f"changes/number={batch}")
+
+    def compared(self, asked: DataFrame, last: int) -> DataFrame:
+        """The partitions of the feed's documents: key, change, by how much the inexact ones grow, the batch of the text, `want` and `kept`, the digest and whether there is one with the feed, and `was`, whether the live version's is inexact."""
+        docs = touching(asked)
+        old = self.store.read(last, self.store.touched(docs)).select(*corpus.KEY, F.col("sha").alias("_old"), inexact().alias("was")).join(docs, "document_id", "left_semi")
+        gone = asked.where("op = 'withdraw'").select("document_id").distinct().withColumn("_gone", F.lit(True))
+        new = asked.where("op = 'deposit' AND document_id IS NOT NULL").select(*corpus.KEY, F.col("sha").alias("_new"), F.col("inexact").alias("_is"), "batch")
+        met = old.join(gone, "document_id", "left").join(new, corpus.KEY, "full_outer")
+        comes, stays = F.col("batch").isNotNull(), F.col("_gone").isNull()
+        met = met.withColumn("want", F.when(comes, F.col("_new")).when(stays, F.col("_old"))).withColumn("_is", F.when(comes, F.col("_is")).when(stays, F.col("was")))
+        change = F.when(F.col("_old").isNull(), "added").when(F.col("want").isNull(), "removed").when(F.col("_old") != F.col("want"), "changed")
+        more = F.coalesce("_is", F.lit(0)) - F.coalesce("was", F.lit(0))
+        return met.select(*corpus.KEY, change.alias("change"), more.alias("inexact"), "batch", "want", (comes | stays).alias("kept"), "was")
+
+    def checked(self, asked: DataFrame, version: int, last: int | None) -> tuple[int, int, int]:
         """What a reader of the version finds of the feed's documents: rows that differ, rows of withdrawn documents, inexact rows beyond those of the live version."""
-        docs = touching(feed)
         if last is None:  # all that the version has is the feed's
-            now, after = self.store.read(version).select(*corpus.KEY, "sha", inexact()), feed.where("op = 'deposit'").select(*corpus.KEY, "sha")
-            before = now.limit(0)
+            now, after, was = self.store.read(version).select(*corpus.KEY, "sha", inexact()), asked.where("op = 'deposit'").select(*corpus.KEY, F.col("sha").alias("_want")), 0
         else:
-            before, after = self.applied(feed, last, docs, F.col("sha"), inexact())
+            docs, found = touching(asked), self.spark.read.parquet(f"{self.path}/changes/number={version}")
             now = self.store.read(version, self.store.touched(docs)).select(*corpus.KEY, "sha", inexact()).join(docs, "document_id", "left_semi")
+            after, was = found.where("kept").select(*corpus.KEY, F.col("want").alias("_want")), found.agg(F.sum("was")).first()[0] or 0
         # A document that the feed withdraws and deposits anew is wanted; one that it only withdraws must not be indexed.
-        gone = feed.groupBy("document_id").agg(F.bool_and(F.col("op") == "withdraw").alias("_gone"))
-        met = now.join(gone, "document_id", "left").join(after.select(*corpus.KEY, F.col("sha").alias("_want")), corpus.KEY, "full_outer")
+        gone = asked.groupBy("document_id").agg(F.bool_and(F.col("op") == "withdraw").alias("_gone")).where("_gone")
+        met = now.join(gone, "document_id", "left").join(after, corpus.KEY, "full_outer")
         differs = ~F.coalesce(F.col("sha") == F.col("_want"), F.lit(False))
         told = met.agg(F.count_if(differs), F.count_if(F.coalesce(F.col("_gone"), F.lit(False)) & F.col("sha").isNotNull()), F.coalesce(F.sum("inexact"), F.lit(0))).first()
-        return told[0], told[1], told[2] - (before.agg(F.sum("inexact")).first()[0] or 0)
+        return told[0], told[1], told[2] - was
 
     def sync(self, feed: DataFrame, batch: int) -> None:
         """feed: (document_id, partition_index, text, sha, op), op `deposit` or `withdraw`."""
         last = self.live()
-        feed = self.pending(feed, batch, last)
-        change = self.changed(feed, batch, last)
+        asked = self.pending(feed, batch, last)
+        change = self.changed(asked, batch, last).where("change IS NOT NULL")
         kinds = ("added", "changed", "removed")
         found = change.groupBy("bucket").agg(*[F.count_if(F.col("change") == c).alias(c) for c in kinds], F.sum("inexact").alias("inexact")).collect()  # a row for each bucket
         added, altered, removed = (sum(r[c] for r in found) for c in kinds)
@@ -172,20 +205,19 @@ class Ladder:
         if plan == "none":
             return
         touched = change.where("change <> 'removed'").select(*corpus.KEY)
-        new = feed.where("op = 'deposit'").select(*PARTITION)
-        if new.count() > added + altered:  # some are there already
-            new = new.join(touched, corpus.KEY, "left_semi")
+        new = self.deposits(change.where("change <> 'removed'"), batch, last)
         marks = change.where("change <> 'added'").select(*corpus.KEY)
         grown = {r["bucket"]: (r["added"] - r["removed"], r["added"] + 2 * r["changed"] + r["removed"], (r["inexact"],)) for r in found}
         self.store.commit(batch, last, self.build(new) if self.build else new, marks, grown)
-        strays, leaked, more = self.checked(feed, batch, last)
+        strays, leaked, more = self.checked(asked, batch, last)
         said = self.measure(self.index(batch), touched, batch) if self.measure else Measured(None, None, self.vocabulary, self.trunk)
         learned = said.losses.agg(ledger.memorised_share(F.col("loss"))).first()[0] if said.losses is not None else 0.0
         if not self.measure:
             learned = 1 - (sum(x.sums[0] for x in buckets if x.sums) + more) / rows
         bad = 0
         if said.spans is not None:
-            bad = unverified(said.spans, self.applied(feed, last, touching(said.spans), F.col("text"))[1])
+            spans = self.kept(said.spans, f"spans/number={batch}")
+            bad = unverified(spans, self.now(asked, batch, last, touching(spans)))
         kind = "train" if "train" in plan else "reindex"
         row = self.spark.createDataFrame(
             [(batch, kind, float(learned or 0.0), said.vocabulary, self.vocabulary, said.trunk, self.trunk, leaked, bad, strays)],

@@ -149,3 +149,14 @@ def test_probes_of_documents_that_the_batch_does_not_touch(spark, tmp_path):
     said[2] = quote.where("document_id <> 'd0'")
     ladder.sync(texts(many(spark, 21).where("id = 20")), 2)
     assert ladder.live() == 2
+
+
+def test_pending_keys_leave_texts_in_the_feeds(spark, tmp_path):
+    """A held batch and the next are put together by keys: texts are not stored again, and are the newest of each key, once."""
+    ladder = Ladder(spark, str(tmp_path / "l"), buckets=4)
+    rows = lambda *given: spark.createDataFrame(given, "document_id string, text string")
+    ladder.sync(texts(rows(("a", "one"), ("b", "two"), ("c", "three"), ("d", "four"))).withColumn("sha", F.when(F.col("document_id") == "a", "wrong").otherwise(F.col("sha"))), 0)
+    assert ladder.live() is None
+    ladder.sync(texts(rows(("a", "ONE"), ("e", "five"), ("e", "five"))).unionByName(texts(rows(("b", "")), "withdraw")), 1)
+    assert ladder.live() == 1 and "text" not in spark.read.parquet(str(tmp_path / "l/pending/number=1")).columns
+    assert sorted(tuple(r) for r in ladder.index(1).select("document_id", "text").collect()) == [("a", "ONE"), ("c", "three"), ("d", "four"), ("e", "five")]
