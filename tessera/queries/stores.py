@@ -217,7 +217,7 @@ def stream_sync_foreachbatch(spark, sf):
     second = after.select(*columns).withColumn("op", F.lit("deposit")).unionByName(gone)
     ladder = sync.Ladder(spark, scratch.path)
     for feed in (first, second):
-        feed.write.mode("append").parquet(f"{scratch.path}/feed")
+        feed.write.mode("append").option("compression", "zstd").parquet(f"{scratch.path}/feed")
         stream = spark.readStream.schema(first.schema).parquet(f"{scratch.path}/feed")
         ladder.follow(stream, f"{scratch.path}/checkpoint").awaitTermination()
     return ladder.index(ladder.live()).groupBy("document_id").agg(F.count(F.lit(1)).alias("partitions"))
@@ -247,12 +247,13 @@ def sync_versions(spark, sf):
 
     def measure(index, touched, version):
         says = index if version != 2 else ladder.index(1)
-        spans = says.join(touched, ["document_id", "partition_index"], "left_semi").select("document_id", "partition_index", F.lit(0).alias("first"), F.substring("text", 1, 24).alias("text"))
+        quotes = says.select("document_id", "partition_index", F.lit(0).alias("first"), F.substring("text", 1, 24).alias("text"))
+        spans = quotes.join(touched, ["document_id", "partition_index"], "left_semi")
         return sync.Measured(index.select("document_id", "partition_index", F.when(sha256(F.col("text")) == F.col("sha"), 0.0).otherwise(1.0).alias("loss")), spans)
 
     ladder.measure = measure
     for feed in feeds:
-        feed.write.mode("append").parquet(f"{scratch.path}/feed")
+        feed.write.mode("append").option("compression", "zstd").parquet(f"{scratch.path}/feed")
         ladder.follow(spark.readStream.schema(feeds[0].schema).parquet(f"{scratch.path}/feed"), f"{scratch.path}/checkpoint").awaitTermination()
     return ladder.batches()
 

@@ -160,3 +160,13 @@ def test_pending_keys_leave_texts_in_the_feeds(spark, tmp_path):
     ladder.sync(texts(rows(("a", "ONE"), ("e", "five"), ("e", "five"))).unionByName(texts(rows(("b", "")), "withdraw")), 1)
     assert ladder.live() == 1 and "text" not in spark.read.parquet(str(tmp_path / "l/pending/number=1")).columns
     assert sorted(tuple(r) for r in ladder.index(1).select("document_id", "text").collect()) == [("a", "ONE"), ("c", "three"), ("d", "four"), ("e", "five")]
+
+
+def test_a_batch_is_compared_in_one_pass_over_the_index(spark, tmp_path):
+    ladder = Ladder(spark, str(tmp_path / "l"), buckets=4)
+    ladder.sync(texts(many(spark, 40)), 0)
+    feed = texts(many(spark, 3, "x").unionByName(many(spark, 41).where("id = 40"))).unionByName(texts(many(spark, 6).where("id > 4").withColumn("text", F.lit("")), "withdraw")).withColumns({"inexact": F.lit(0).cast("long"), "batch": F.lit(1).cast("long")})
+    found = ladder.compared(feed, 0)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert len([line for line in plan.split("\n") if "FileScan parquet" in line and "written#" in line]) == 1
+    assert sorted((r["document_id"], r["change"]) for r in found.where("change IS NOT NULL").collect()) == [("d0", "changed"), ("d1", "changed"), ("d2", "changed"), ("d40", "added"), ("d5", "removed")]
